@@ -31,6 +31,12 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexvane.llm.ngram_join import NgramParams, ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"), params=NgramParams(n=4, threshold=85))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexvane.llm.line_dedup import dedup_lines
 
@@ -48,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op5_packing": op5_packing,
     "op6_media_columns": op6_media_columns,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_ids": op10_token_ids,
 }

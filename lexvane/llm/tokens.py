@@ -30,6 +30,11 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lens), lens)
 
 
+def fresh(texts: pa.Array) -> pa.Array:
+    """A copy that starts at its buffers' beginning: some string kernels misread slices."""
+    return texts.take(pa.array(np.arange(len(texts))))
+
+
 class WordEncoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -101,7 +106,7 @@ class WordEncoder:
             base = size[at - 1] if at else 0
             upto = max(at + 1, int(np.searchsorted(size, base + _SLICE, side="right")))
             part = texts.slice(at, upto - at)
-            part = part.cast(pa.string()) if size[upto - 1] - base < 2**30 else part
+            part = fresh(part.cast(pa.string()) if size[upto - 1] - base < 2**30 else part)
             yield at, *self._some(part)
             at = upto
 

@@ -19,14 +19,16 @@ def _ids(texts):
     return [np.array(e.ids, "<u4") for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_words_give_the_whole_texts_ids(spark):
+def test_words_give_the_whole_texts_ids(spark, monkeypatch):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     texts += ["", " ", "it's, we'll!! don't. x,y. a.,b $$$ c$$$ d́. İstanbul, ΣΑΣ. Å H̱ ẖ, \x1cq \x85 r", "<|endoftext|> a<|startoftext|>, <|EndOfText|>.", "µ ª º ﬁn ǅ, ß. Ÿ; ²³ 12.5 a1,b2. 'S 'T"]
     enc = WordEncoder(PATH)
+    monkeypatch.setattr("lexvane.llm.tokens._SLICE", 50_000)
     for _ in range(2):  # the second time from the cache
         found = [ids[o:p] for _, ids, offs in enc.encode(pa.array(texts)) for o, p in zip(offs[:-1], offs[1:], strict=True)]
         for a, b, text in zip(found, _ids(texts), texts, strict=True):
             assert a.tolist() == b.tolist(), text[:80]
+        assert len(found) == len(texts)
 
 
 def test_values_round_trip():
