@@ -5,7 +5,7 @@ four 2-bit fields, the byte lengths less one of the next four values; the data b
 table of 256 rows gives the lengths for every control byte at once when a file is decoded.
 
 File (little-endian): ``IDSV0001``, u64 documents, u64 ids, u64 data bytes, ranks' table size as u64, the table as u32 (rank to
-id), lengths of the documents as u32, control bytes, data bytes. One file holds a range of document ids in ascending order.
+id), the documents' ids as i64 and a byte for each (0: null), their lengths as u32, control bytes, data bytes. One file holds a range of document ids in ascending order.
 
 Defined cases: null and empty texts are the end id alone; null ids come first; repeated rows are written each; an empty table
 gives an empty result; other columns are ignored.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +56,7 @@ def decode_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def write_file(stream, lengths: np.ndarray, chunks: Iterator[np.ndarray], id_of_rank: np.ndarray, rank_of_id: np.ndarray) -> int:
+def write_file(stream, doc_ids: list[int | None], lengths: np.ndarray, chunks: Iterator[np.ndarray], id_of_rank: np.ndarray, rank_of_id: np.ndarray) -> int:
     controls, datas, carry = [], [], np.zeros(0, np.uint32)
     for ids in chunks:
         ranks = np.concatenate([carry, rank_of_id[ids]])
@@ -67,19 +68,23 @@ def write_file(stream, lengths: np.ndarray, chunks: Iterator[np.ndarray], id_of_
     c, d = encode_values(carry)
     data = b"".join([*datas, d])
     stream.write(MAGIC + np.array([len(lengths), int(lengths.sum()), len(data), len(id_of_rank)], "<u8").tobytes())
-    for part in (id_of_rank.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), b"".join([*controls, c]), data):
+    known = np.array([i is not None for i in doc_ids], np.uint8)
+    plain = np.array([i or 0 for i in doc_ids], "<i8")
+    for part in (id_of_rank.astype("<u4").tobytes(), plain.tobytes(), known.tobytes(), lengths.astype("<u4").tobytes(), b"".join([*controls, c]), data):
         stream.write(part)
     return len(data)
 
 
-def read_file(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths of the documents and all ids."""
+def read_file(blob: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Ids and lengths of the documents, and all token ids."""
     if blob[:8] != MAGIC:
         raise ValueError("not an id file")
     docs, ids, data_bytes, ranks = (int(x) for x in np.frombuffer(blob, "<u8", 4, 8))
     at = 40
     table = np.frombuffer(blob, "<u4", ranks, at)
-    lengths = np.frombuffer(blob, "<u4", docs, at := at + 4 * ranks)
+    plain = np.frombuffer(blob, "<i8", docs, at := at + 4 * ranks)
+    known = np.frombuffer(blob, np.uint8, docs, at := at + 8 * docs)
+    lengths = np.frombuffer(blob, "<u4", docs, at := at + docs)
     control = np.frombuffer(blob, np.uint8, -(-ids // 4), at := at + 4 * docs)
     data = np.frombuffer(blob, np.uint8, data_bytes, at + len(control))
     out = np.empty(ids, np.uint32)
@@ -91,23 +96,24 @@ def read_file(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
         size = int(_LENGTHS[c].reshape(-1)[:n].sum())
         out[k : k + n] = table[decode_values(c, data[used : used + size], n)]
         used += size
-    return lengths.astype(np.int64), out
+    return pa.array(plain, mask=known == 0), lengths.astype(np.int64), out
 
 
-_ROWS = ["part", "seq", "id", "n_tokens", "path", "ids", "counts", "lengths"]
+_ROWS = ["part", "path", "ids", "counts", "doc_ids", "lengths"]
 
 
 def _provisional(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, folder: str) -> Iterator[pa.RecordBatch]:
-    """Ids of a range of documents to a file of plain 16- or 32-bit numbers; a row for the file and one for each document."""
+    """Ids of a range of documents to a file of plain 16- or 32-bit numbers, and a row for the file."""
     enc, part = encoder(tokenizer), TaskContext.get().partitionId()
     fs, base = filesystem(folder)
     size = max(enc.size, end_id + 1)
     counts, kind = np.zeros(size, np.int64), np.dtype("<u2" if size <= 1 << 16 else "<u4")
-    stream, path, seq, lengths = None, f"{base}/ids-{part:06d}-{uuid.uuid4().hex[:8]}", 0, []
+    stream, path, docs, lengths = None, f"{base}/ids-{part:06d}-{uuid.uuid4().hex[:8]}", [], []
     for b in batches:
         if stream is None:
             fs.create_dir(base, recursive=True)
             stream = pa.CompressedOutputStream(fs.open_output_stream(path, compression=None), "zstd")
+        docs += b.column(0).to_pylist()
         for at, ids, offs in enc.encode(b.column(1)):
             n = len(offs) - 1
             lens = np.diff(offs) + 1
@@ -116,14 +122,11 @@ def _provisional(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int,
             counts += np.bincount(out, minlength=size)
             stream.write(out.tobytes())
             lengths.append(lens)
-            cols = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), b.column(0).slice(at, n), pa.array(lens), pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))]
-            seq += n
-            yield pa.RecordBatch.from_arrays(cols, _ROWS)
     if stream is not None:
         stream.close()
         seen = np.flatnonzero(counts)
-        cols = [pa.array([part], pa.int32()), pa.array([-1], pa.int64()), pa.nulls(1, b.schema.field(0).type), pa.array([int(counts.sum())], pa.int64()), pa.array([path]), pa.array([seen.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts[seen]], pa.list_(pa.int64())), pa.array([np.concatenate(lengths)], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, _ROWS)
+        lists = [pa.array([x], pa.list_(kind)) for x, kind in ((seen.astype(np.int32), pa.int32()), (counts[seen], pa.int64()), (docs, pa.int64()), (np.concatenate(lengths), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), *lists], _ROWS)
 
 
 def _final(batches: Iterator[pa.RecordBatch], folder: str, ranks: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
@@ -133,7 +136,7 @@ def _final(batches: Iterator[pa.RecordBatch], folder: str, ranks: np.ndarray, wi
     rank_of_id[ranks] = np.arange(len(ranks), dtype=np.uint32)
     kind = np.dtype("<u2" if width <= 1 << 16 else "<u4")
     for b in batches:
-        for part, path, lengths in zip(*[b.column(k).to_pylist() for k in range(2)], (np.asarray(x.values) for x in b.column(2)), strict=True):
+        for part, path, docs, lengths in zip(*[b.column(k).to_pylist() for k in range(3)], (np.asarray(x.values) for x in b.column(3)), strict=True):
             out = f"{base}/part-{part:06d}-{uuid.uuid4().hex[:8]}.idsv"
 
             def chunks(path=path):
@@ -142,57 +145,71 @@ def _final(batches: Iterator[pa.RecordBatch], folder: str, ranks: np.ndarray, wi
                         yield np.frombuffer(piece, kind)
 
             with fs.open_output_stream(out, compression=None) as dst:
-                write_file(dst, lengths, chunks(), ranks, rank_of_id)
+                write_file(dst, docs, lengths, chunks(), ranks, rank_of_id)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out]), pa.array([int(lengths.sum())], pa.int64())], ["part", "path", "n_ids"])
 
 
 def _read_back(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     fs, _ = filesystem(folder)
     for b in batches:
-        for part, path, before in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
+        for path, before in zip(*[b.column(k).to_pylist() for k in range(2)], strict=True):
             with fs.open_input_stream(path, compression=None) as src:
-                lengths, ids = read_file(src.read())
+                docs, lengths, ids = read_file(src.read())
             upto = np.concatenate([[0], np.cumsum(lengths)])
             raw = memoryview(ids.astype("<u4").tobytes())
             crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-            n = len(lengths)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(n)), pa.array(before + upto[:-1]), pa.array(lengths), pa.array(crc, pa.int64())], ["part", "seq", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([docs, pa.array(before + upto[:-1]), pa.array(lengths), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
 
-def write_id_files(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Write the files. Returns the files (part, path, n_ids, ids_before) in order, and the documents (part, seq, id)."""
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, np.int64)
+    for b in batches:
+        for ids, counts in zip(b.column(0), b.column(1), strict=True):
+            i = ids.values.to_numpy()
+            if len(i) and i[-1] >= len(total):
+                total = np.concatenate([total, np.zeros(i[-1] + 1 - len(total), np.int64)])
+            total[i] += counts.values.to_numpy()
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array([seen.astype(np.int32)], pa.list_(pa.int32())), pa.array([total[seen]], pa.list_(pa.int64()))], ["ids", "counts"])
+
+
+def _ranks(tables: DataFrame, fan: int = 64) -> np.ndarray:
+    """All ids by descending frequency. Tables of counts are added up ``fan`` at a time until at most ``fan`` are left for the driver, each no larger than the vocabulary."""
+    while (n := tables.count()) > fan:
+        tables = stored(tables.repartition(-(-n // fan)).mapInArrow(_add_up, "ids array<int>, counts array<long>"), "id-counts")
+    total: Counter = Counter()
+    for r in tables.toLocalIterator():
+        for i, c in zip(r["ids"], r["counts"], strict=True):
+            total[i] += c
+    return np.array(sorted(total, key=lambda i: (-total[i], i)), np.int64)
+
+
+def write_id_files(df: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
+    """Write the files, in ascending order of the (integer) id. Returns a row for each file, in order: path, n_ids, ids_before."""
     spark = df.sparkSession
-    folder = folder or workspace(spark, "id-files")
-    text = F.col(text_col).cast("string")
-    ranged = df.select(F.col(id_col).alias("id"), text.alias("t")).repartitionByRange(shuffle_partitions(spark), "id", F.xxhash64("t")).sortWithinPartitions("id", "t")
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = stored(ranged.mapInArrow(lambda it: _provisional(it, tokenizer, end_id, folder), f"part int, seq long, id {kind}, n_tokens long, path string, ids array<int>, counts array<long>, lengths array<long>"), "id-rows")
-    # The vocabulary bounds this table, not the corpus.
-    ranked = rows.where("seq < 0").select(F.explode(F.arrays_zip("ids", "counts")).alias("z")).groupBy(F.col("z.ids").alias("id")).agg(F.sum("z.counts").alias("n")).collect()
-    ranked.sort(key=lambda r: (-r["n"], r["id"]))
-    ranks = np.array([r["id"] for r in ranked], np.int64)
+    ranged = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).repartitionByRange(shuffle_partitions(spark), "id", F.xxhash64("t")).sortWithinPartitions("id", "t")
+    rows = stored(ranged.mapInArrow(lambda it: _provisional(it, tokenizer, end_id, folder), "part int, path string, ids array<int>, counts array<long>, doc_ids array<long>, lengths array<long>"), "id-rows")
+    ranks = _ranks(rows.select("ids", "counts"))
     width = max(encoder(tokenizer).size, end_id + 1)
-    todo = rows.where("seq < 0").select("part", "path", "lengths").repartition(shuffle_partitions(spark), "part")
+    todo = rows.select("part", "path", "doc_ids", "lengths").repartition(shuffle_partitions(spark), "part")
     files = stored(todo.mapInArrow(lambda it: _final(it, folder, ranks, width), "part int, path string, n_ids long"), "id-parts")
-    done = sorted(files.collect(), key=lambda r: r["part"])  # one row a file
     fs, _ = filesystem(folder)
-    for r in rows.where("seq < 0").select("path").collect():
-        fs.delete_file(r["path"])
     before, listing = 0, []
-    for r in done:
-        listing.append((r["part"], r["path"], r["n_ids"], before))
+    for r in sorted(files.collect(), key=lambda r: r["part"]):  # one row a file
+        listing.append((r["path"], r["n_ids"], before))
         before += r["n_ids"]
-    return spark.createDataFrame(listing, "part int, path string, n_ids long, ids_before long"), rows.where("seq >= 0").select("part", "seq", "id")
+    for r in rows.select("path").collect():
+        fs.delete_file(r["path"])
+    return spark.createDataFrame(listing, "path string, n_ids long, ids_before long")
 
 
 def read_id_files(files: DataFrame, folder: str) -> DataFrame:
-    """A row for each document of the files: part, seq, start, n_tokens, ids_crc32."""
-    spread = files.select("part", "path", "ids_before").repartition(shuffle_partitions(files.sparkSession), "part")
-    return spread.mapInArrow(lambda it: _read_back(it, folder), "part int, seq long, start long, n_tokens long, ids_crc32 long")
+    """A row for each document of the files: id, start, n_tokens, ids_crc32."""
+    spread = files.select("path", "ids_before").repartition(shuffle_partitions(files.sparkSession), "path")
+    return spread.mapInArrow(lambda it: _read_back(it, folder), "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_corpus(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
     """Write the files and read them back: id, start, n_tokens, ids_crc32."""
     folder = workspace(df.sparkSession, "id-files")
-    files, docs = write_id_files(df, tokenizer, id_col, text_col, end_id, folder)
-    return read_id_files(files, folder).join(docs, ["part", "seq"]).select(F.col("id").alias(id_col), "start", "n_tokens", "ids_crc32")
+    return read_id_files(write_id_files(df, tokenizer, folder, id_col, text_col, end_id), folder).withColumnRenamed("id", id_col)
