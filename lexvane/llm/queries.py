@@ -13,12 +13,28 @@ from lexvane.llm.common import table
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexvane.llm.toxicity import ToxicityParams, fit_on_labels, score_documents
+
+    p = ToxicityParams()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_documents(docs, fit_on_labels(docs, table(spark, sf_dir, "labels"), p))
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexvane.llm.sharding import shard_by_sampled_splitters
 
     return shard_by_sampled_splitters(table(spark, sf_dir, "documents"))
 
 
+def op4_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexvane.llm.vector_dedup import vector_components
+
+    return vector_components(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexvane.llm.packing import pack_documents
 
@@ -51,7 +67,9 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_sharding": op3_sharding,
+    "op4_vector_codes": op4_vector_codes,
     "op5_packing": op5_packing,
     "op6_media_columns": op6_media_columns,
     "op7_ngram_jaccard": op7_ngram_jaccard,
