@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexvane.llm.common import shuffle_partitions, stored, unused_name, workspace
 from lexvane.llm.files import filesystem
@@ -48,7 +49,7 @@ def encode_image(payload: bytes) -> bytes:
     rows = np.zeros((len(payload) // WIDTH, WIDTH + 1), np.uint8)
     rows[:, 1:] = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), 2)) + _chunk(b"IEND", b"")
+    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), 4)) + _chunk(b"IEND", b"")
 
 
 def read_header(blob: bytes) -> tuple[int, int, int]:
@@ -121,7 +122,7 @@ def _opened(batches: Iterator[pa.RecordBatch], folder: str):
     name, src = None, None
     for b in batches:
         out, done = [], []
-        for digest, shard, offset, length in zip(*[c.to_pylist() for c in b.columns], strict=True):
+        for digest, shard, offset, length in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
             if shard != name:
                 done.append(src)
                 name, src = shard, fs.open_input_file(shard)
@@ -138,17 +139,17 @@ def _headers(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
 
 
 def _contents(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    for b, rows in _opened((x.select(["digest", "shard", "offset", "length"]) for x in batches), folder):
-        out: list[list] = [[], [], [], []]
+    for b, rows in _opened(batches, folder):
+        out: list[list] = [[], [], []]
         for digest, src, offset, length in rows:
             image = src.read_at(length, offset)
             payload = decode_image(image)
             found = hashlib.sha256(payload).hexdigest()
             if found != digest:
                 raise ValueError(f"{digest}: the stored bytes have another digest")
-            for col, v in zip(out, (found, zlib.crc32(payload[-32:]), hashlib.sha256(image).hexdigest(), feature_of(payload)), strict=True):
+            for col, v in zip(out, (zlib.crc32(payload[-32:]), hashlib.sha256(image).hexdigest(), feature_of(payload)), strict=True):
                 col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], ["digest", "tail_crc32", "media_sha256", "feature"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], [*b.schema.names, "tail_crc32", "media_sha256", "feature"])
 
 
 def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -172,17 +173,16 @@ def fill_header_columns(places: DataFrame, folder: str) -> DataFrame:
 
 
 def read_contents(places: DataFrame, folder: str) -> DataFrame:
-    """Digest, tail_crc32, media_sha256 and feature of each place, from the bytes read back."""
-    return places.mapInArrow(lambda it: _contents(it, folder), "digest string, tail_crc32 long, media_sha256 string, feature string")
+    """``places`` (digest, shard, offset and length first) with tail_crc32, media_sha256 and feature, from the bytes read back."""
+    more = StructType().add("tail_crc32", "long").add("media_sha256", "string").add("feature", "string")
+    return places.mapInArrow(lambda it: _contents(it, folder), StructType(places.schema.fields + more.fields))
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``df``: digests, places, sizes, header columns and features, read back from the shards."""
     folder = workspace(df.sparkSession, "media")
     rows = store_media(df, id_col, text_col, folder)
-    places = stored(fill_header_columns(catalogue(rows), folder), "media-places")
-    spread = places.repartition(shuffle_partitions(df.sparkSession), "shard", F.expr("offset div 16777216")).sortWithinPartitions("shard", "offset")
-    found = stored(places.join(read_contents(spread, folder), "digest"), "media-found")
+    found = stored(read_contents(fill_header_columns(catalogue(rows), folder), folder), "media-found")
     out = rows.select("id", "digest", "n_bytes", "payload_bytes").join(found, "digest")
     name = unused_name(out.drop("id"), id_col)
     return out.select(F.col("id").alias(name), "n_bytes", "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "shard", "offset", "width", "height", "bit_depth")
