@@ -23,6 +23,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexvane.llm.mixing import mix
+
+    out = mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.col("mix_weight").alias("weight"), F.col("mix_prob").alias("prob"), F.col("mix_keep").alias("selected"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexvane.llm.sharding import shard_by_sampled_splitters
 
@@ -53,6 +60,12 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), params=NgramParams(n=4, threshold=85))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexvane.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexvane.llm.line_dedup import dedup_lines
 
@@ -68,11 +81,13 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op4_vector_codes": op4_vector_codes,
     "op5_packing": op5_packing,
     "op6_media_columns": op6_media_columns,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_html_extraction": op8_html_extraction,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_ids": op10_token_ids,
 }
