@@ -6,10 +6,10 @@ fragment counts in how many documents each of its n-grams is; n-grams that many
 the batch and only the count travels. A document's overlaps with the rest of the corpus, counted by fragment, are summed: below
 the threshold's share of its set it can have no partner. The few documents left get a prefix of their rarest shared n-grams.
 
-Candidate pairs come in rounds. First each n-gram's documents are compared with one leader, twice with other leaders; links
-found merge components. Then all pairs that still share a prefix n-gram and lie in different components are compared. Overlaps
-of pairs are again counted by fragment and summed, exactly. Pairs within one component need no comparison, so groups of copies
-and near copies never expand into all their pairs.
+Documents that share a prefix n-gram with few others form pairs; their overlaps are counted by fragment and summed. Those that
+share one with more are gathered into groups, each document once, and a group is judged in blocks: a task takes two blocks of
+documents, counts the overlaps of all its pairs fragment by fragment, adds them up, and answers with a spanning forest of the
+links, so groups of copies and near copies never leave as pairs. Both counts are exact.
 
 Links: ``threshold`` in hundredths; 100 * intersection >= threshold * union.
 
@@ -46,8 +46,12 @@ class NgramParams:
     threshold: int = 80
     #: An n-gram in so many documents of one batch is counted within the batch.
     local: int = 64
-    star_rounds: int = 2
+    #: Prefix n-grams of up to so many documents make pairs, others make groups.
+    few: int = 4
     pair_fragments: int = 4
+    #: Documents in a block of a group, and n-grams in a fragment of it.
+    block: int = 1024
+    columns: int = 4096
     slice_bytes: int = 16 << 20
 
 
@@ -101,6 +105,7 @@ def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(texts):
         upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        upto = min(upto, at + 60_000)  # ordinals take two bytes
         yield at, upto - at
         at = upto
 
@@ -117,7 +122,7 @@ def _cut(batches: Iterator[pa.RecordBatch], p: NgramParams, fragments: int) -> I
                 first.setdefault(s, k)
             reps = [k for k in first.values() if len(sets[k])]
             toks = np.concatenate([sets[k] for k in reps]) if reps else np.zeros(0, np.uint64)
-            ords = np.repeat(np.array(reps, np.uint32), [len(sets[k]) for k in reps]) if reps else np.zeros(0, np.uint32)
+            ords = np.repeat(np.array(reps, np.uint16), [len(sets[k]) for k in reps]) if reps else np.zeros(0, np.uint16)
             order = np.argsort(toks, kind="stable")
             toks, ords = toks[order], ords[order]
             starts = np.flatnonzero(np.concatenate([[True], toks[1:] != toks[:-1]])) if len(toks) else np.zeros(0, np.int64)
@@ -125,7 +130,7 @@ def _cut(batches: Iterator[pa.RecordBatch], p: NgramParams, fragments: int) -> I
             often = runs >= p.local
             is_hot = np.repeat(often, runs)
             hot, counts = toks[starts[often]], runs[often].astype(np.uint32)
-            rows = [_row(frag=int(batch % fragments), kind=_DOCS, batch=batch, ids=ids, ns=[len(s) for s in sets], sigs=sigs, toks=toks[is_hot].tobytes(), ords=ords[is_hot].tobytes())]
+            rows = [_row(frag=int(batch % fragments), kind=_DOCS, batch=batch, ids=ids, ns=[len(s) for s in sets], sigs=sigs, toks=_planes(toks[is_hot]), ords=ords[is_hot].tobytes())]
             toks, ords = toks[~is_hot], ords[~is_hot]
             bounds = np.array([(f << 64) // fragments for f in range(1, fragments)], np.uint64)
             cut = np.concatenate([[0], np.searchsorted(toks, bounds), [len(toks)]])
@@ -133,17 +138,28 @@ def _cut(batches: Iterator[pa.RecordBatch], p: NgramParams, fragments: int) -> I
             for f in range(fragments):
                 a, z, c, d = cut[f], cut[f + 1], cut_hot[f], cut_hot[f + 1]
                 if z > a or d > c:
-                    rows.append(_row(frag=f, kind=_PART, batch=batch, toks=toks[a:z].tobytes(), ords=ords[a:z].tobytes(), hot=hot[c:d].tobytes(), counts=counts[c:d].tobytes()))
+                    rows.append(_row(frag=f, kind=_PART, batch=batch, toks=_planes(toks[a:z]), ords=ords[a:z].tobytes(), hot=_planes(hot[c:d]), counts=counts[c:d].tobytes()))
             yield pa.RecordBatch.from_pylist(rows, _CUT_SCHEMA)
             batch += 1
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Ascending values as differences, first all lowest bytes, then all next ones: the upper ones are zeros and compress away."""
+    return np.diff(values, prepend=np.zeros(1, np.uint64)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _values(planes: bytes | None) -> np.ndarray:
+    if not planes:
+        return np.zeros(0, np.uint64)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _u64(cells: list) -> list[np.ndarray]:
-    return [np.frombuffer(x or b"", np.uint64) for x in cells]
+    return [_values(x) for x in cells]
 
 
-def _u32(cells: list) -> list[np.ndarray]:
-    return [np.frombuffer(x or b"", np.uint32) for x in cells]
+def _ints(cells: list, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x or b"", kind) for x in cells]
 
 
 def _count_fragment(t: pa.Table) -> pa.Table:
@@ -153,8 +169,8 @@ def _count_fragment(t: pa.Table) -> pa.Table:
     out = [t.filter(pa.array(kind == _DOCS)).cast(_CUT_SCHEMA)]
     if parts.num_rows:
         batch = parts["batch"].to_pylist()
-        toks, ords = _u64(parts["toks"].to_pylist()), _u32(parts["ords"].to_pylist())
-        hot, counts = _u64(parts["hot"].to_pylist()), _u32(parts["counts"].to_pylist())
+        toks, ords = _u64(parts["toks"].to_pylist()), _ints(parts["ords"].to_pylist(), np.uint16)
+        hot, counts = _u64(parts["hot"].to_pylist()), _ints(parts["counts"].to_pylist(), np.uint32)
         every = np.concatenate([*toks, *hot])
         times = np.concatenate([np.ones(sum(map(len, toks)), np.int64), *[c.astype(np.int64) for c in counts]])
         order = np.argsort(every, kind="stable")
@@ -162,13 +178,13 @@ def _count_fragment(t: pa.Table) -> pa.Table:
         starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
         df = np.add.reduceat(times, starts)
         shared = df >= 2
-        known, df = every[starts][shared], np.minimum(df[shared], 2**32 - 1).astype(np.uint32)
+        known, df = every[starts][shared], np.minimum(df[shared], 65535).astype(np.uint16)
         rows = []
         for b, tk, od, h in zip(batch, toks, ords, hot, strict=True):
             at = np.searchsorted(known, tk)
             there = known[np.minimum(at, len(known) - 1)] == tk if len(known) else np.zeros(len(tk), bool)
             if there.any() or len(h):
-                rows.append(_row(frag=0, kind=_SHARED, batch=b, toks=tk[there].tobytes(), ords=od[there].tobytes(), hot=h.tobytes(), counts=np.concatenate([df[at[there]], df[np.searchsorted(known, h)]]).tobytes()))
+                rows.append(_row(frag=0, kind=_SHARED, batch=b, toks=_planes(tk[there]), ords=od[there].tobytes(), hot=_planes(h), counts=np.concatenate([df[at[there]], df[np.searchsorted(known, h)]]).tobytes()))
         out.append(pa.Table.from_pylist(rows, _CUT_SCHEMA))
     return pa.concat_tables(out)
 
@@ -182,16 +198,16 @@ def _sum_batch(t: pa.Table, p: NgramParams) -> pa.Table:
     kind = t["kind"].to_pylist()
     docs = t.filter(pa.array([k == _DOCS for k in kind])).to_pylist()[0]
     shared = t.filter(pa.array([k == _SHARED for k in kind]))
-    toks, ords, hot = _u64(shared["toks"].to_pylist()), _u32(shared["ords"].to_pylist()), _u64(shared["hot"].to_pylist())
-    counts = _u32(shared["counts"].to_pylist())
-    tok, ord_ = np.concatenate([*toks, np.zeros(0, np.uint64)]), np.concatenate([*ords, np.zeros(0, np.uint32)])
-    df = np.concatenate([*[c[: len(x)] for c, x in zip(counts, toks, strict=True)], np.zeros(0, np.uint32)])
+    toks, ords, hot = _u64(shared["toks"].to_pylist()), _ints(shared["ords"].to_pylist(), np.uint16), _u64(shared["hot"].to_pylist())
+    counts = _ints(shared["counts"].to_pylist(), np.uint16)
+    tok, ord_ = np.concatenate([*toks, np.zeros(0, np.uint64)]), np.concatenate([*ords, np.zeros(0, np.uint16)])
+    df = np.concatenate([*[c[: len(x)] for c, x in zip(counts, toks, strict=True)], np.zeros(0, np.uint16)])
     hot_tok = np.concatenate([*hot, np.zeros(0, np.uint64)])
-    hot_df = np.concatenate([*[c[len(x) :] for c, x in zip(counts, toks, strict=True)], np.zeros(0, np.uint32)])
+    hot_df = np.concatenate([*[c[len(x) :] for c, x in zip(counts, toks, strict=True)], np.zeros(0, np.uint16)])
     o = np.argsort(hot_tok)
-    own_tok, own_ord = np.frombuffer(docs["toks"], np.uint64), np.frombuffer(docs["ords"], np.uint32)
+    own_tok, own_ord = _values(docs["toks"]), np.frombuffer(docs["ords"], np.uint16)
     tok, ord_ = np.concatenate([tok, own_tok]), np.concatenate([ord_, own_ord])
-    df = np.concatenate([df, hot_df[o][np.searchsorted(hot_tok[o], own_tok)] if len(own_tok) else np.zeros(0, np.uint32)])
+    df = np.concatenate([df, hot_df[o][np.searchsorted(hot_tok[o], own_tok)] if len(own_tok) else np.zeros(0, np.uint16)])
     ns = np.array(docs["ns"], np.int64)
     total = np.bincount(ord_, minlength=len(ns))
     enough = (total * 100 >= p.threshold * ns) & (ns > 0) & (total > 0)
@@ -217,6 +233,46 @@ def _overlaps(pairs: DataFrame, fragments: DataFrame, t: int) -> DataFrame:
     return each.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(F.col("c") * 100 >= t * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
 
 
+def _judge(x: pa.Table, p: NgramParams) -> pa.Table:
+    """A spanning forest of the links between two blocks of a group (or within one)."""
+    side, n, sig = x["side"].to_numpy(), x["n"].to_numpy().astype(np.float32), x["sig"].to_pylist()
+    left, right = np.flatnonzero(side == x["i"][0].as_py()), np.flatnonzero(side == x["j"][0].as_py())
+    lists = x["toks"].combine_chunks()
+    toks, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(sig)), lists.value_lengths().to_numpy())
+    known, col, seen = np.unique(toks, return_inverse=True, return_counts=True)
+    # Only n-grams that two of these documents have can add to an overlap; they are numbered anew, in order.
+    use = seen >= 2
+    number = np.cumsum(use) - 1
+    keep = use[col]
+    col, owner = number[col[keep]], owner[keep]
+    order = np.argsort(col, kind="stable")
+    col, owner = col[order], owner[order]
+    overlap = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, int(use.sum()), p.columns):
+        lo, hi = np.searchsorted(col, [a, a + p.columns])
+        part = np.zeros((len(sig), min(p.columns, int(use.sum()) - a)), np.float32)
+        part[owner[lo:hi], col[lo:hi] - a] = 1
+        overlap += part[left] @ part[right].T
+    link = overlap * 100 >= p.threshold * (n[left][:, None] + n[right][None, :] - overlap)
+    i, j = np.nonzero(link & (left[:, None] != right[None, :]))
+    low = _forest(len(sig), left[i], right[j])
+    some = np.flatnonzero(low != np.arange(len(sig)))
+    return pa.Table.from_arrays([pa.array([sig[k] for k in some], pa.binary()), pa.array([sig[low[k]] for k in some], pa.binary())], ["a", "b"])
+
+
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least member of each member's component."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: NgramParams = NgramParams()) -> DataFrame:
     """One row per row of ``df``: id, n_shingles, component_id (least id of its component)."""
     p, t = params, params.threshold
@@ -230,27 +286,24 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # The prefix of the rarest n - ceil(t n) + 1 n-grams, less those that no other document has.
     need = F.col("n") - F.ceil(F.col("n") * t / 100) + 1 - (F.col("n") - F.size("toks"))
     posts = stored(sets.where(need > 0).select("sig", "n", F.explode(F.slice("toks", 1, need.cast("int"))).alias("tok")), "ngram-posts")
+    # Few documents: pairs.
+    sizes = stored(posts.groupBy("tok").agg(F.count(F.lit(1)).alias("size"), F.min("sig").alias("lead")).where("size > 1"), "ngram-sizes")
+    at = stored(posts.join(sizes, "tok"), "ngram-met")
+    one = at.where(F.col("size") <= p.few).select("tok", F.col("sig").alias("a"), F.col("n").alias("na"))
+    two = one.select("tok", F.col("a").alias("b"), F.col("na").alias("nb"))
+    pairs = one.join(two, (one["tok"] == two["tok"]) & (F.col("a") < F.col("b")) & _alike("na", "nb", t)).select("a", "b", "na", "nb")
     within = lambda v: F.filter("toks", lambda x: F.floor((F.shiftright(x, 56) + 128) * p.pair_fragments / 256) == v)
-    cut = stored(sets.select("sig", F.posexplode(F.array(*[within(v) for v in range(p.pair_fragments)])).alias("v", "part")), "ngram-fragments")
-    edges: DataFrame | None = None
-    roots: DataFrame | None = None
-    for turn in range(p.star_rounds + 1):
-        at = posts if roots is None else posts.join(roots.withColumnRenamed("node", "sig"), "sig", "left")
-        at = at.withColumn("root", F.col("sig")) if roots is None else at.withColumn("root", F.coalesce("root", "sig"))
-        if roots is not None:
-            mixed = stored(at.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok"), "ngram-mixed")
-            at = stored(at.join(mixed, "tok"), "ngram-left")
-        if turn < p.star_rounds:
-            lead = stored(at.groupBy("tok").agg(F.min_by(F.struct("sig", "n", "root"), F.xxhash64("sig", F.lit(turn))).alias("l")), "ngram-leaders")
-            pairs = at.join(lead, "tok").where((F.col("sig") != F.col("l.sig")) & (F.col("root") != F.col("l.root")) & _alike("n", "l.n", t))
-            pairs = pairs.select(F.col("sig").alias("a"), F.col("l.sig").alias("b"), F.col("n").alias("na"), F.col("l.n").alias("nb"))
-        else:
-            other = at.select("tok", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            pairs = at.join(other, (at["tok"] == other["tok"]) & (F.col("sig") < F.col("b")) & (F.col("root") != F.col("rb")) & _alike("n", "nb", t))
-            pairs = pairs.select(F.col("sig").alias("a"), "b", F.col("n").alias("na"), "nb")
-        links = _overlaps(stored(pairs.distinct(), "ngram-pairs"), cut, t)
-        edges = stored(links if edges is None else edges.union(links), "ngram-edges")
-        roots = components(edges)
+    cut = sets.select("sig", F.posexplode(F.array(*[within(v) for v in range(p.pair_fragments)])).alias("v", "part"))
+    links = stored(_overlaps(stored(pairs.distinct(), "ngram-pairs"), cut, t), "ngram-links")
+
+    # More documents: groups, in blocks.
+    groups = components(at.where((F.col("size") > p.few) & (F.col("sig") != F.col("lead"))).select(F.col("sig").alias("a"), F.col("lead").alias("b")))
+    extent = stored(groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("blocks")), "ngram-extent")
+    member = stored(groups.join(extent, "root"), "ngram-members").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    member = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("side", "o")).withColumn("j", F.greatest("side", "o"))
+    held = sets.join(member.select(F.col("node").alias("sig"), "root", "side", "i", "j"), "sig")
+    forest = held.groupBy("root", "i", "j").applyInArrow(lambda x: _judge(x, p), "a binary, b binary")
+    roots = components(links.union(stored(forest, "ngram-forest")))
 
     least = docs.where("n > 0").groupBy("sig").agg(F.min("id").alias("least"))
     joined = least.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))

@@ -72,7 +72,7 @@ def test_near_copies_chains_and_hot_passages(spark):
             text = [word() for _ in range(rng.randrange(6))]
         rows.append((k, " ".join(text).title() if k % 3 else "  ".join(text)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for p in (NgramParams(n=4, threshold=85, local=8, slice_bytes=20_000), NgramParams(n=4, threshold=85, star_rounds=0), NgramParams(n=3, threshold=50)):
+    for p in (NgramParams(n=4, threshold=85, local=8, slice_bytes=20_000), NgramParams(n=4, threshold=85, few=1, block=16, columns=50), NgramParams(n=4, threshold=85, few=10**6), NgramParams(n=3, threshold=50)):
         assert run(df, p) == brute(rows, p.n, p.threshold)
 
 
