@@ -174,7 +174,7 @@ def hybrid_rrf(spark, sf):
 
 
 def _engine(spark, sf) -> Engine:
-    return Engine(R.indexed(_chunks(spark, sf)))
+    return Engine(R.indexed(_chunks(spark, sf)).persist())
 
 
 @query()
