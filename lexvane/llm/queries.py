@@ -94,7 +94,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+_LEAST = """reach AS (SELECT {id} AS id, {id} AS r FROM nodes UNION SELECT reach.id, b FROM reach JOIN links ON reach.r = links.a)"""
+
 ORACLES: dict[str, str] = {
+    "op4_vector_codes": f"""
+        WITH RECURSIVE nodes AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS double)) AS v FROM embeddings),
+        sized AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS s FROM nodes WHERE label IS NOT NULL AND len(v) > 0 AND list_dot_product(v, v) > 0),
+        links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM sized x JOIN sized y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+                  WHERE list_dot_product(x.v, y.v) / (x.s * y.s) >= 0.98),
+        {_LEAST.format(id="vec_id")},
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a), least_ AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM nodes LEFT JOIN counts ON a = vec_id JOIN least_ ON id = vec_id""",
+    "op7_ngram_jaccard": f"""
+        WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+        nodes AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                    ELSE list_distinct(list_transform(generate_series(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS grams FROM words),
+        grams AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS g FROM nodes),
+        links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n
+                  HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+        {_LEAST.format(id="doc_id")},
+        least_ AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+        SELECT doc_id, len(grams) AS n_shingles, component_id FROM nodes JOIN least_ ON id = doc_id""",
     "op9_line_dedup": f"""
         WITH lines AS (
           SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
