@@ -266,3 +266,31 @@ def test_streams(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("seen").option("checkpointLocation", f"{tmp_path}/k").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("seen").count() == 7
+
+
+def test_service_and_jobs(spark, tmp_path):
+    import threading
+    import urllib.request
+
+    from lexvane.plans import jobs
+    from lexvane.sources.download import kind_of, manifest_row
+
+    sinks.write_json_lines(spark.createDataFrame(ROWS, S.CHUNK), f"{tmp_path}/c")
+    service = jobs.Service(spark, f"{tmp_path}/c", f"{tmp_path}/i", cache="memory")
+    first = service.query("Artikel 10ec lid 1")
+    assert first["outcome"] == "answered" and "cached" not in first and "Outcome: answered" in jobs.render(first)
+    assert service.query("Artikel 10ec lid 1")["cached"]
+    server = jobs.serve(service, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_address[1]}"
+    assert json.loads(urllib.request.urlopen(f"{at}/health").read()) == {"status": "ok"}
+    got = json.loads(urllib.request.urlopen(f"{at}/query", json.dumps({"query": "Artikel 10ec lid 1"}).encode()).read())
+    assert got["cached"]
+    server.shutdown()
+    raw = tmp_path / "raw"
+    for d in ("laws", "internal_policy"):
+        (raw / d).mkdir(parents=True)
+    (raw / "laws/a.xml").write_text(LAW)
+    (raw / "internal_policy/p.json").write_text(json.dumps({"doc_id": "p1", "title": "T", "text": "# A\nb"}))
+    assert jobs.build_chunks(spark, str(raw), f"{tmp_path}/out").count() == 5
+    assert kind_of(b" <?xml") == "xml" and manifest_row("law", "x", "n", "u", b"<a/>", "p", locked="0")["status"] == "mismatch"
