@@ -41,6 +41,7 @@ from lexvane.llm.tokens import fresh
 _SIZE = 36
 _OTHER, _START, _NONE = 28, 27, 255
 _LOW = -2.0
+_BLOCK = 20_000
 
 
 @dataclass(frozen=True)
@@ -123,10 +124,14 @@ def features(words: list[str], decay: float) -> tuple[np.ndarray, np.ndarray, np
 
 
 def margins(words: list[str], table: np.ndarray, bias: float, decay: float) -> np.ndarray:
-    """The machine's decision for each word; the lowest for words with no subsequence."""
-    w, u, x = features(words, decay)
-    norm = np.bincount(w, x * x, len(words))
-    return np.where(norm > 0, np.bincount(w, x * table[u], len(words)) / np.sqrt(np.maximum(norm, 1e-12)) + bias, _LOW)
+    """The machine's decision for each word; the lowest for words with no subsequence. Taken in blocks, to bound memory."""
+    out = [np.zeros(0)]
+    for k in range(0, len(words), _BLOCK):
+        part = words[k : k + _BLOCK]
+        w, u, x = features(part, decay)
+        norm = np.bincount(w, x * x, len(part))
+        out.append(np.where(norm > 0, np.bincount(w, x * table[u], len(part)) / np.sqrt(np.maximum(norm, 1e-12)) + bias, _LOW))
+    return np.concatenate(out)
 
 
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -258,11 +263,17 @@ def fit(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityParams
     starts = np.searchsorted(gram_word, np.arange(len(words) + 1))
 
     def grams_in(mask: np.ndarray) -> np.ndarray:
-        lens = (starts[1:] - starts[:-1])[word[mask]]
-        ends = np.cumsum(lens)
-        idx = np.arange(lens.sum()) - np.repeat(ends - lens, lens) + np.repeat(starts[word[mask]], lens)
-        seen = np.unique(np.repeat(doc[mask], lens) * _SIZE**3 + gram[idx])
-        return np.bincount(seen % _SIZE**3, minlength=_SIZE**3)
+        """In how many texts each run of three is; a few texts at a time."""
+        out = np.zeros(_SIZE**3, np.int64)
+        d, v = doc[mask], word[mask]
+        at_ = np.searchsorted(d, np.arange(0, len(texts) + 100, 100))
+        for lo, hi in zip(at_[:-1], at_[1:], strict=True):
+            lens = (starts[1:] - starts[:-1])[v[lo:hi]]
+            ends = np.cumsum(lens)
+            idx = np.arange(lens.sum()) - np.repeat(ends - lens, lens) + np.repeat(starts[v[lo:hi]], lens)
+            seen = np.unique(np.repeat(d[lo:hi], lens) * _SIZE**3 + gram[idx])
+            out += np.bincount(seen % _SIZE**3, minlength=_SIZE**3)
+        return out
 
     odds = np.log((grams_in(toxic) + 2) / (n_toxic + 4)) - np.log((grams_in(clean) + 2) / (n_clean + 4))
     val = odds[gram]
