@@ -50,9 +50,9 @@ class NgramParams:
     few: int = 4
     pair_fragments: int = 4
     #: Documents in a block of a group, and n-grams in a fragment of it.
-    block: int = 1024
+    block: int = 512
     columns: int = 4096
-    slice_bytes: int = 16 << 20
+    slice_bytes: int = 8 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
