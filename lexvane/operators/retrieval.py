@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +94,72 @@ def dense(requests: DataFrame, chunks: DataFrame, least: int = 0) -> DataFrame:
     return top(scored, F.greatest(F.col("q_top_k"), F.lit(least)), F.desc("dense_score"), F.col("chunk.chunk_id")).drop("q_top_k")
 
 
+# Vectors to a slice of the table and to a block of queries that meet in one call.
+SLICE, BLOCK = 4096, 256
+
+
+def _packed(vectors: DataFrame, id_col: str, vector_col: str, size: int, at: str, rows: str) -> DataFrame:
+    """Rows dealt by a hash of their id into lists of about ``size``: ``at`` and the list ``rows`` of (id, v)."""
+    parts = max(1, -(-vectors.count() // size))
+    dealt = vectors.select(F.pmod(F.xxhash64(id_col), F.lit(parts)).alias(at), F.struct(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).alias("r"))
+    return dealt.groupBy(at).agg(F.collect_list("r").alias(rows))
+
+
+def _matrix(rows: pa.StructArray) -> tuple[pa.Array, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Ids, and for each length of vector the places and the unit vectors; vectors that are null, zero or hold a null have none."""
+    v = rows.field("v")
+    ends, bad = np.asarray(v.offsets), np.asarray(v.is_null())
+    flat = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    if v.values.null_count:
+        holes = np.flatnonzero(np.asarray(v.values.is_null()))
+        bad = bad.copy()
+        bad[np.searchsorted(ends, holes, "right") - 1] = True
+    length, out = np.diff(ends), {}
+    for n in np.unique(length[~bad]):
+        at = np.flatnonzero(~bad & (length == n))
+        m = flat[ends[at][:, None] + np.arange(n)]
+        size = np.sqrt((m * m).sum(1))
+        there = size != 0
+        out[int(n)] = at[there], m[there] / size[there, None]
+    return rows.field("id"), out
+
+
+def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for slice_, block in zip(b.column(0), b.column(1), strict=True):
+            ids, of = _matrix(slice_.values)
+            asked, qs = _matrix(block.values)
+            score = np.zeros((len(asked), len(ids)))
+            for n, (at, m) in qs.items():
+                if n in of:
+                    score[np.ix_(at, of[n][0])] = np.round(m @ of[n][1].T, 9)
+            by_id = np.argsort(ids.fill_null(-(2**63)).to_numpy(), kind="stable")
+            score = np.where(np.isnan(score), np.inf, score)[:, by_id]
+            least = -np.partition(-score, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+            rows, places = [], []
+            for i, s in enumerate(score):
+                near = np.flatnonzero(s >= least[i])
+                near = near[np.argsort(-s[near], kind="stable")][:k]
+                rows.append(np.full(len(near), i))
+                places.append(near)
+            row, place = np.concatenate(rows), np.concatenate(places)
+            found = score[row, place]
+            yield pa.RecordBatch.from_arrays([asked.take(pa.array(row)), ids.take(pa.array(by_id[place])), pa.array(np.where(np.isinf(found), np.nan, found))], ["query_id", "vec_id", "score"])
+
+
+def nearest(vectors: DataFrame, asked: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The ``k`` rows of ``vectors`` of highest cosine to each row of ``asked``, itself included: query_id, vec_id, score, rank.
+
+    Every row of ``asked`` meets every row of ``vectors``. Both are packed, blocks of queries with slices of vectors, so that nothing
+    has to be broadcast whole and each pair of packs answers with ``k`` rows a query. Scores are rounded to nine places; ties go
+    to the lower id; a vector that is null, zero or of another length has the score 0.
+    """
+    met = _packed(vectors, id_col, vector_col, SLICE, "_s", "of").join(_packed(asked, id_col, vector_col, BLOCK, "_b", "by"), F.lit(True)).select("of", "by")
+    kind = vectors.schema[id_col].dataType.simpleString()
+    found = met.mapInArrow(lambda it: _best(it, k), f"query_id {kind}, vec_id {kind}, score double")
+    return top(found, F.lit(k), F.desc("score"), F.col("vec_id"))
+
+
 def fuse(requests: DataFrame, by_terms: DataFrame, by_vectors: DataFrame, k: int = RRF_K, window: int = WINDOW) -> DataFrame:
     """Reciprocal-rank fusion. On identifier queries exact hits come first, and where there are any the others go."""
     a = by_terms.withColumn("dense_score", F.lit(None).cast("double")).withColumn("rrf_lexical", 1.0 / (k + F.col("rank"))).withColumn("rrf_dense", F.lit(None).cast("double"))

@@ -173,6 +173,35 @@ def hybrid_rrf(spark, sf):
     return R.top(fused, F.lit(10), F.desc("rrf_score"), F.col("vec_id")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS double)) AS v FROM embeddings),
+  q AS (SELECT vec_id AS query_id, v AS w FROM e WHERE vec_id % 100 = 0),
+  s AS (SELECT query_id, vec_id, round(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 9) AS score FROM e, q)
+  SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+def dense_knn_topk_all(spark, sf):
+    """Every row whose id is divisible by 100 against all rows; ``dense_knn_topk`` asks for five, as its SQL does."""
+    e = _table(spark, sf, "embeddings")
+    return R.nearest(e, e.where("vec_id % 100 = 0"), 10).withColumn("score", _r("score")).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS double)) AS v FROM embeddings),
+  q AS (SELECT vec_id AS query_id, v AS w, label AS l FROM e WHERE vec_id % 100 = 0),
+  dense AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 9) DESC, vec_id) AS rank FROM e, q),
+  same AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS rank FROM e JOIN q ON label = l),
+  both_ AS (SELECT * FROM dense WHERE rank <= 100 UNION ALL SELECT * FROM same WHERE rank <= 50)
+  SELECT query_id, vec_id, rrf_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, vec_id) AS rank FROM
+    (SELECT query_id, vec_id, round(sum(CAST(1 AS double) / (60 + rank)), 9) AS rrf_score FROM both_ GROUP BY 1, 2)) WHERE rank <= 10""")
+def hybrid_rrf_all(spark, sf):
+    """As ``hybrid_rrf``, for every row whose id is divisible by 100."""
+    e = _table(spark, sf, "embeddings")
+    asked = e.where("vec_id % 100 = 0")
+    dense = R.nearest(e, asked, 100).select("query_id", "vec_id", "rank")
+    # The first rows of a label are the same for all queries of that label.
+    first = R.top(e.where("label IS NOT NULL").select(F.col("label").alias("query_id"), "vec_id"), F.lit(50), F.col("vec_id")).withColumnRenamed("query_id", "label")
+    same = asked.select(F.col("vec_id").alias("query_id"), "label").join(first, "label").select("query_id", "vec_id", "rank")
+    fused = dense.unionByName(same).groupBy("query_id", "vec_id").agg(_r(F.sum(1.0 / (R.RRF_K + F.col("rank")))).alias("rrf_score"))
+    return R.top(fused, F.lit(10), F.desc("rrf_score"), F.col("vec_id")).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 def _engine(spark, sf) -> Engine:
     return Engine(R.indexed(_chunks(spark, sf)).persist())
 
