@@ -1,9 +1,14 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token weights of (source, language, topic) cells are raked: scaled in turn so that each margin meets its targets, until no margin
-moves. A cell's factor is its raked weight over its tokens. Documents are kept with probability min(1, c * factor), where c is
-calibrated so that the expected tokens of what is kept meet the wanted share, and a hash of the document decides, so that runs
-agree. Only DataFrame operations are used; the table of cells is aggregated before anything else is done with it.
+moves. That gives the weights. The probabilities are raked under the bound that no cell can be kept more than whole: cells at the
+bound stay there and the others make up for them, until the margins of the expected kept tokens meet the targets. A hash of the
+document decides, so that runs agree. Only DataFrame operations are used; the table of cells is aggregated before anything else
+is done with it.
+
+Where a value has too few tokens for its target at the wanted share, fewer tokens are kept in all: the most that the targets allow.
+Margins without targets never lower what is kept: their values with too few tokens are kept whole and fall short of their share.
+Targets of several margins that no choice of documents meets together are met in the last margin only; a warning names what is missed.
 
 Targets are shares of tokens by value. A margin without targets keeps its shares to the power ``temper``, which evens out sources
 of unlike sizes. Values without a target keep their own share within what the targets leave over.
@@ -14,6 +19,7 @@ a value of its own; equal rows share a fate; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +34,7 @@ _MARGINS = ("source", "lang", "topic")
 class MixParams:
     targets: dict[str, dict[str, float]] = field(default_factory=lambda: {"lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}})
     temper: float = 0.5
-    #: Share of all tokens that is wanted.
+    #: Share of all tokens that is wanted, at most.
     keep: float = 0.7
     rounds: int = 12
     tolerance: float = 1e-4
@@ -83,18 +89,62 @@ def rake(cells: DataFrame, p: MixParams) -> DataFrame:
     return now.select(*_MARGINS, "tokens", "n", "weight")
 
 
-def _calibrate(cells: DataFrame, keep: float) -> float:
-    """c such that the expected tokens sum(tokens * min(1, c * factor)) are ``keep`` of all tokens, by halving an interval."""
+def _scaled(df: DataFrame, have: str, pull: str, goal: Column, by: list[str]) -> DataFrame:
+    """Adds _f for each group of ``by``, so that sum(min(have, _f * pull)) is ``goal``, or all that rows with a pull have where that is less."""
+    whole = Window.partitionBy(*([F.col(c) for c in by] or [F.lit(0)]))
+    order = whole.orderBy(F.try_divide(have, pull).asc_nulls_last())
+    ranked = df.withColumn("_k", F.row_number().over(order))
+    by_rank = whole.orderBy("_k")
+    before = F.coalesce(F.sum(have).over(by_rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum(pull).over(by_rank.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # The sum is the least of what is got by holding the first k rows at what they have, so the largest of these factors is right.
+    each = ranked.withColumn("_f", F.when(F.col(pull) > 0, (goal - before) / rest))
+    return each.withColumn("_f", F.coalesce(F.greatest(F.max("_f").over(whole), F.lit(0.0)), F.lit(1.0))).drop("_k")
+
+
+def _feasible(cells: DataFrame, p: MixParams) -> tuple[DataFrame, float]:
+    """``cells`` with want_{margin}, the tokens to keep of the cell's value, and how many tokens are kept in all.
+
+    Margins with targets get their shares, of fewer tokens than ``keep`` where a value has too few. Values of the other margins
+    are held at the tokens they have, and what they lack goes to the others in proportion.
+    """
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    if not total:
-        return 1.0
-    low, high = 0.0, float(2**30)
-    for _ in range(4):  # each pass over the cells tries 64 values between the bounds
-        tries = [low + (high - low) * k / 64 for k in range(65)] if low else [high * 2.0 ** (k - 64) for k in range(65)]
-        got = cells.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(c) * F.col("factor"))).alias(f"g{k}") for k, c in enumerate(tries)]).first()
-        at = next((k for k in range(65) if got[k] >= keep * total), 64)
-        low, high = tries[max(0, at - 1)], tries[at]
-    return high
+    spreads = {m: stored(_spread(cells, m, p).join(cells.groupBy(F.col(m).alias("v")).agg(F.sum("tokens").cast("double").alias("have")), F.col(m).eqNullSafe(F.col("v"))).drop("v"), "mix-goals") for m in _MARGINS}
+    wanted = p.keep * total
+    for m, s in spreads.items():
+        most = F.min(F.when(F.col("goal") > 0, F.col("have") / F.col("goal"))) if p.targets.get(m) else F.sum(F.when(F.col("goal") > 0, F.col("have")))
+        wanted = min(wanted, s.agg(most).first()[0] or 0.0)
+    for m, s in spreads.items():
+        want = F.least("have", F.col("_f") * F.col("goal"))
+        goals = _scaled(s, "have", "goal", F.lit(wanted), []).select(F.col(m).alias("v"), want.alias(f"want_{m}"), F.col("goal").alias(f"goal_{m}"))
+        cells = cells.join(goals, F.col(m).eqNullSafe(F.col("v")), "left").drop("v")
+    return cells, wanted
+
+
+def rake_kept(cells: DataFrame, p: MixParams) -> DataFrame:
+    """``cells`` and prob, such that the margins of the expected kept tokens sum(tokens * prob) meet the targets.
+
+    Fitting as in ``rake``, but of min(tokens, tokens * pull): cells that are kept whole stay so and the others make up for
+    them. Margins with targets are fitted last. A warning names the values that miss their share.
+    """
+    now, wanted = _feasible(cells, p)
+    # All cells in one partition: they are few beside the documents, and no window or sum has to shuffle them then.
+    now = stored(now.withColumn("have", F.col("tokens").cast("double")).withColumn("pull", F.lit(1.0)), "mix-cells").coalesce(1)
+    kept = F.least("have", F.col("have") * F.col("pull"))
+    for _ in range(p.rounds):
+        for m in sorted(_MARGINS, key=lambda m: bool(p.targets.get(m))):
+            now = _scaled(now.withColumn("_y", F.col("have") * F.col("pull")), "have", "_y", F.col(f"want_{m}"), [m])
+            now = now.withColumn("pull", F.least(F.col("pull") * F.col("_f"), F.lit(1e100))).drop("_y", "_f")
+        now = stored(now, "mix-cells").coalesce(1)
+        off = [F.abs(F.sum(kept).over(Window.partitionBy(m)) - F.col(f"want_{m}")).alias(m) for m in _MARGINS]
+        if (now.select(F.greatest(*off).alias("d")).agg(F.max("d")).first()[0] or 0.0) <= p.tolerance * wanted:
+            break
+    share = F.sum(kept) / max(1.0, wanted)
+    for m in _MARGINS:
+        missed = now.groupBy(m).agg(share.alias("share"), F.first(f"goal_{m}").alias("goal")).where(F.abs(F.col("share") - F.col("goal")) > 0.01)
+        if rows := missed.orderBy(F.abs(F.col("share") - F.col("goal")).desc()).take(20):
+            warnings.warn(f"mixing: expected shares of kept tokens miss those wanted, by {m}: " + ", ".join(f"{r[0]} {r.share:.3f} for {r.goal:.3f}" for r in rows), stacklevel=3)
+    return now.select(*_MARGINS, F.least(F.lit(1.0), "pull").alias("prob"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, params: MixParams = MixParams()) -> DataFrame:
@@ -105,10 +155,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     keys = {"source": F.col(source_col).cast("string"), "lang": F.col(lang_col).cast("string"), "topic": (topic_of(text) if topic is None else topic).cast("string")}
     about = df.select(*[e.alias(k) for k, e in keys.items()], token_count(text).alias("tokens"))
     cells = stored(about.groupBy(*_MARGINS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "mix-counts")
-    raked = rake(cells, p).withColumn("factor", F.coalesce(F.try_divide("weight", "tokens"), F.lit(1.0)))
-    raked = stored(raked, "mix-raked")
-    c = _calibrate(raked, p.keep)
-    probs = raked.select(*[F.col(m).alias(f"_mix_{m}") for m in _MARGINS], F.col("factor").alias(names[2]), F.least(F.lit(1.0), F.lit(c) * F.col("factor")).alias(names[3]))
+    raked = rake(cells, p).select(*[F.col(m).alias(f"_mix_{m}") for m in _MARGINS], F.coalesce(F.try_divide("weight", "tokens"), F.lit(1.0)).alias(names[2]))
+    same = [F.col(f"_mix_{m}").eqNullSafe(F.col(m)) for m in _MARGINS]
+    probs = stored(raked.join(rake_kept(cells, p), same).select(*raked.columns, F.col("prob").alias(names[3])), "mix-raked")
     u = F.pmod(F.xxhash64(F.col(id_col), text, F.lit(p.seed)), F.lit(2**53)) / F.lit(float(2**53))
     out = df.withColumn(names[0], keys["topic"]).withColumn(names[1], token_count(text))
     # Spark broadcasts the cells only where their size is under its threshold; else it shuffles and splits skewed parts.

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lexvane.llm.mixing import MixParams, mix, rake
+from lexvane.llm.mixing import MixParams, mix, rake, rake_kept
 
 
 def test_raking_meets_the_margins(spark):
@@ -40,3 +40,37 @@ def test_odd_rows(odd, nothing):
     assert len(rows) == odd.count() and all(r.mix_prob is not None for r in rows)
     assert len({r.mix_keep for r in rows if r.doc_id == 7}) == 1
     assert mix(nothing).count() == 0
+
+
+def _kept(spark, rows, p):
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, n long")
+    got = cells.join(rake_kept(cells, p), ["source", "lang", "topic"]).toPandas()
+    got["kept"] = got.tokens * got.prob
+    assert len(got) == len(rows) and got.prob.between(0, 1).all()
+    return got, lambda m: got.groupby(m).kept.sum().div(got.kept.sum()).to_dict()
+
+
+def test_kept_tokens_meet_the_targets_when_cells_are_kept_whole(spark):
+    # Cells of b are small in s0 and s1, so they reach the bound and the others have to make up for them.
+    rows = [(f"s{i}", lang, "t", n, 1) for i, (a, b) in enumerate([(9000, 100), (5000, 200), (3000, 4000)]) for lang, n in (("a", a), ("b", b))]
+    got, share = _kept(spark, rows, MixParams(targets={"source": {"s0": 0.4, "s1": 0.3, "s2": 0.3}, "lang": {"a": 0.75, "b": 0.25}}, keep=0.6, rounds=40))
+    assert (got.prob == 1).any() and got.kept.sum() == pytest.approx(0.6 * got.tokens.sum(), rel=1e-3)
+    assert share("source") == pytest.approx({"s0": 0.4, "s1": 0.3, "s2": 0.3}, abs=1e-3)
+    assert share("lang") == pytest.approx({"a": 0.75, "b": 0.25}, abs=1e-3)
+
+
+def test_targets_without_enough_tokens_lower_what_is_kept(spark):
+    rows = [(s, lang, t, n, 1) for s in ("x", "y") for t in ("p", "q") for lang, n in (("en", 7000), ("es", 500))]
+    rows.append(("x", "en", "rare", 10, 1))
+    with pytest.warns(UserWarning, match="topic: .*rare"):
+        got, share = _kept(spark, rows, MixParams(targets={"lang": {"en": 0.8, "es": 0.2}}, keep=0.7))
+    assert share("lang") == pytest.approx({"en": 0.8, "es": 0.2}, abs=1e-3)
+    assert got[got.lang == "es"].prob.to_list() == pytest.approx([1.0] * 4, abs=1e-3) and got.kept.sum() == pytest.approx(2000 / 0.2, rel=1e-3)
+    assert got[got.topic == "rare"].prob.to_list() == pytest.approx([1.0], abs=1e-3)  # a margin without targets is held at what it has
+
+
+def test_documents_kept_meet_the_targets(spark):
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "repeat('word ', 20) AS text", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 5) END AS source", "CASE WHEN id % 12 = 0 THEN 'es' WHEN id % 4 = 1 THEN 'de' ELSE 'en' END AS lang")
+    out = mix(docs, params=MixParams(targets={"lang": {"en": 0.55, "de": 0.3, "es": 0.15}})).toPandas()
+    got = out[out.mix_keep].groupby("lang").mix_tokens.sum() / out[out.mix_keep].mix_tokens.sum()
+    assert got.to_dict() == pytest.approx({"en": 0.55, "de": 0.3, "es": 0.15}, abs=0.015)
