@@ -1,9 +1,9 @@
 """Hierarchical multi-length packing.
 
 Every document is cut at multiples of the window; what is left over is routed to a tier by its length (256, 512, 1024 or 2048
-tokens). Within a group of pieces the longest tier opens windows, each gap takes the longest piece that fits from its own or a
-shorter tier, and windows that stay short are closed at a shorter tier where they fit one. Sequences are then dealt to step
-groups so that the groups' token counts are near equal. Lengths alone decide: token ids are never shuffled.
+tokens). Within a group of pieces the tiers are packed from the longest to the shortest: a piece opens a sequence of its tier's
+size, and each gap takes the longest piece that fits from its own or a shorter tier. Sequences of each tier are then dealt to step
+groups of that tier so that the groups' token counts are near equal. Lengths alone decide: token ids are never shuffled.
 
 Pieces are grouped by a hash, ``group_pieces`` to a group, so that a packing task's size stays the same at any size of input.
 
@@ -52,8 +52,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, p: PackParams, wi
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(rows[5], pa.binary())] if with_ids else []), ["id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
 
 
-def pack_lengths(lengths: np.ndarray, p: PackParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequence, offset and tier of each piece. Longest first; a gap takes the longest piece left that fits it."""
+def pack_lengths(lengths: np.ndarray, p: PackParams, by_tier: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence, offset and tier of each piece. Longest first; a gap takes the longest piece left that fits it.
+
+    ``by_tier``: the piece that opens a sequence gives it the size of the piece's tier; else every sequence may fill a window.
+    """
     n, w = len(lengths), p.window
     seq, off, tier = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     order = np.argsort(-lengths, kind="stable")
@@ -75,13 +78,14 @@ def pack_lengths(lengths: np.ndarray, p: PackParams) -> tuple[np.ndarray, np.nda
     number = 0
     while (x := find(w)) > 0:
         used, members = 0, []
+        room = next(t for t in p.tiers if t >= x) if by_tier else w
         while x:
             k = stacks[x].pop()
             seq[k], off[k] = number, used
             members.append(k)
             used += x
-            x = find(w - used)
-        tier[members] = next(t for t in p.tiers if t >= used)
+            x = find(room - used)
+        tier[members] = room if by_tier else next(t for t in p.tiers if t >= used)
         number += 1
     return seq, off, tier
 
@@ -96,13 +100,26 @@ def step_groups(used: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def tier_groups(used: np.ndarray, tier: np.ndarray, p: PackParams) -> np.ndarray:
+    """Step groups of sequences of one tier each; those of shorter tiers have as many more, so that a step's room is the same."""
+    out, first = np.zeros(len(used), np.int64), 0
+    for t in p.tiers:
+        at = np.flatnonzero(tier == t)
+        if len(at):
+            out[at] = first + step_groups(used[at], p.step_sequences * p.window // t)
+            first = out[at].max() + 1
+    return out
+
+
 def _pack_group(pdf: pd.DataFrame, p: PackParams) -> pd.DataFrame:
     pdf = pdf.sort_values(["length", "id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
-    seq, off, tier = pack_lengths(pdf["length"].to_numpy(), p)
+    seq, off, tier = pack_lengths(pdf["length"].to_numpy(), p, by_tier=True)
     used = np.bincount(seq, pdf["length"].to_numpy()) if len(seq) else np.zeros(0)
     first = pdf["grp"].to_numpy(np.int64) << 32
     pdf["sequence_id"], pdf["offset"], pdf["tier"] = first + seq, off, tier
-    pdf["step_group"] = first + step_groups(used, p.step_sequences)[seq]
+    of = np.zeros(len(used), np.int64)
+    of[seq] = tier
+    pdf["step_group"] = first + tier_groups(used, of, p)[seq]
     return pdf
 
 

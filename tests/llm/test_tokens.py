@@ -7,7 +7,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 from lexvane.llm.id_output import decode_values, encode_corpus, encode_values
-from lexvane.llm.packing import PackParams, pack_documents, pack_lengths
+from lexvane.llm.packing import PackParams, pack_documents, pack_lengths, tier_groups
 from lexvane.llm.tokens import WordEncoder
 from tests.conftest import SF
 
@@ -78,3 +78,31 @@ def test_tiers_and_padding():
     used = np.bincount(seq, lengths)
     assert used.max() <= 2048 and used.sum() / (2048 * len(used)) > 0.995
     assert all(t >= u for t, u in zip(tier, used[seq], strict=True))
+
+
+def test_each_tier_is_packed():
+    rng = np.random.default_rng(1)
+    lengths, p = np.minimum(2048, rng.geometric(1 / 500, 5000)), PackParams()
+    seq, off, tier = pack_lengths(lengths, p, by_tier=True)
+    used, of = np.bincount(seq, lengths), np.zeros(seq.max() + 1, int)
+    of[seq] = tier
+    assert (of[seq] == tier).all() and (used <= of).all() and used.sum() / of.sum() > 0.98
+    assert {t: int((of == t).sum()) > 10 for t in p.tiers[1:]} == dict.fromkeys(p.tiers[1:], True)
+    # A sequence has the tier that its longest piece is routed to.
+    longest = np.zeros(len(of), int)
+    np.maximum.at(longest, seq, lengths)
+    assert [next(t for t in p.tiers if t >= x) for x in longest] == of.tolist()
+    # Gaps of long sequences hold pieces of shorter tiers.
+    assert (lengths[tier == 2048] <= 1024).any()
+    group = tier_groups(used, of, p)
+    for g in set(group):
+        assert len(set(of[group == g])) == 1 and of[group == g].sum() <= p.step_sequences * p.window
+    for t in p.tiers:
+        sums = [used[group == g].sum() for g in set(group[of == t])]
+        assert not sums or max(sums) - min(sums) <= 2 * t
+
+
+def test_short_documents_fill_short_tiers():
+    p = PackParams()
+    seq, _, tier = pack_lengths(np.array([100] * 20 + [500] * 4 + [1000] * 2), p, by_tier=True)
+    assert set(tier) == {256, 512, 1024}
