@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexvane.llm.files import filesystem
+
 _OWN_ROOTS: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (local runs)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset and Spark runs locally."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOTS:
         _OWN_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="lexvane-")
@@ -27,14 +32,26 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+def stored_at(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
+    """``stored`` and the path written to, for ``discard``."""
     path = workspace(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+    return stored_at(df, name, partition_by)[0]
+
+
+def discard(*paths: str) -> None:
+    """Remove stored tables that nothing will read again."""
+    for path in paths:
+        fs, at = filesystem(path)
+        fs.delete_dir(at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
