@@ -66,7 +66,8 @@ class ToxicityParams:
 
 #: Offsets of the second and third character of a subsequence.
 _OFFSETS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
-_WINDOW, _STRIDE = 40, 30
+_WINDOW, _STRIDE = 40, 12
+_INNER = re.compile(r"[^\W_]+")
 _SPACED = r"(^|\s)\pL(\s\pL){3,}(\s|$)"
 _SPACED_PY = re.compile(r"(?:(?<=\s)|^)[^\W\d_](?:\s[^\W\d_]){3,}(?=\s|$)")
 
@@ -134,6 +135,10 @@ def margins(words: list[str], table: np.ndarray, bias: float, decay: float) -> n
     return np.concatenate(out)
 
 
+def _windows(w: str) -> list[str]:
+    return [w[k : k + _WINDOW] for k in range(0, len(w) - _WINDOW + _STRIDE, _STRIDE)]
+
+
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, each text's words as numbers of these, and the number of words of each text."""
     texts = fresh(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -141,7 +146,7 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     if pc.any(spaced).as_py():
         joined = [_SPACED_PY.sub(lambda m: re.sub(r"\s", "", m[0]), x) if s else x for x, s in zip(texts.to_pylist(), spaced.to_pylist(), strict=True)]
         texts = pa.array(joined, pa.large_string())
-    split = pc.ascii_split_whitespace(texts)
+    split = pc.utf8_split_whitespace(texts)
     coded = split.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
     parts, index, counts = [], [], []
@@ -151,7 +156,11 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
             parts.append(w)
             counts.append(1)
         else:
-            more = [w[k : k + _WINDOW] for k in range(0, len(w) - _WINDOW + _STRIDE, _STRIDE)]
+            # Glued text: windows that overlap by 28 characters, and the runs of letters and digits between other signs.
+            more = _windows(w)
+            for inner in dict.fromkeys(_INNER.findall(w)):
+                if 3 < len(inner) < len(w):
+                    more += [inner] if len(inner) <= _WINDOW else _windows(inner)
             index.append(len(parts))
             parts += more
             counts.append(len(more))
@@ -355,8 +364,8 @@ def fit(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityParams
     return ToxicityModel(table, bias, float(max(a, 0.5)), float(c), share, p.decay)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, p: ToxicityParams, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], np.ndarray]:
-    """The bounded sample of labelled texts that may be learned from, in order of a hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, p: ToxicityParams, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The bounded sample (i, t, y) of labelled texts that may be learned from, in one partition."""
     may = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
     may = may.where(F.pmod(F.crc32(F.col("i").cast("string").cast("binary")), F.lit(4)) != 2).distinct()
     short = docs.where(F.char_length(text_col) <= p.most_chars).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
@@ -364,9 +373,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: ToxicityParams, id_col:
     for y, most in ((1, p.most_toxic), (0, p.most_clean)):
         chosen.append(may.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(most))
     # At most most_toxic + most_clean rows: a side that may be broadcast.
-    rows = short.join(F.broadcast(chosen[0].unionAll(chosen[1])), "i").dropDuplicates(["i", "t", "y"]).collect()
-    rows.sort(key=lambda r: (hash_of(r["i"]), r["t"], r["y"]))
-    return [r["t"] for r in rows], np.array([r["y"] for r in rows], np.int64)
+    return short.join(F.broadcast(chosen[0].unionAll(chosen[1])), "i").dropDuplicates(["i", "t", "y"]).select("i", "t", "y").coalesce(1)
+
+
+_FITTED = "table binary, bias double, slope double, shift double, constant double"
+
+
+def _fit(batches: Iterator[pa.RecordBatch], p: ToxicityParams) -> Iterator[pa.RecordBatch]:
+    """The model of one partition's texts, as a row."""
+    parts = list(batches)
+    rows = pa.Table.from_batches(parts) if parts else pa.table({"i": [], "t": pa.array([], pa.string()), "y": pa.array([], pa.int32())})
+    del parts
+    texts, y = rows["t"].to_pylist(), rows["y"].to_numpy().astype(np.int64)
+    order = sorted(range(len(y)), key=lambda k: (hash_of(rows["i"][k].as_py()), texts[k], y[k]))
+    model = fit([texts[k] for k in order], y[order], p)
+    table = None if model.table is None else model.table.astype("<f4").tobytes()
+    yield pa.RecordBatch.from_arrays([pa.array([table], pa.binary()), *[pa.array([x], pa.float64()) for x in (model.bias, model.slope, model.shift, model.constant)]], ["table", "bias", "slope", "shift", "constant"])
 
 
 def hash_of(i: object) -> int:
@@ -397,6 +419,11 @@ def score_documents(df: DataFrame, model: ToxicityModel, text_col: str = "text")
     return inner.mapInArrow(lambda it: _score(it, model, at), schema).toDF(*df.columns, name)
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    texts, y = training_rows(docs, labels, p)
-    return fit(texts, y, p)
+def fit_on_labels(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+    """Fit in one task on the bounded sample; the driver gets the model alone, a table of 46,656 numbers."""
+    found = training_rows(docs, labels, p, id_col, text_col, label_col).mapInArrow(lambda it: _fit(it, p), _FITTED).collect()
+    if not found:  # no rows, no partition
+        return fit([], np.zeros(0, np.int64), p)
+    row = found[0]
+    table = None if row["table"] is None else np.frombuffer(row["table"], "<f4")
+    return ToxicityModel(table, row["bias"], row["slope"], row["shift"], row["constant"], p.decay)

@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lexvane.llm.toxicity import ToxicityModel, features, fit, fit_on_labels, margins, score_documents
+from lexvane.llm.toxicity import ToxicityModel, ToxicityParams, _dense, features, fit, fit_on_labels, margins, score_documents, words_of
 
 BAD = ["blorgnak", "fizzwump", "snargle"]
 
@@ -48,6 +48,80 @@ def test_long_words_are_read_whole():
     assert model.score(pa.array(["ta" * 60 + "fizzwump" + "re" * 60]))[0] > model.score(pa.array(["ta" * 60 + "re" * 64]))[0]
 
 
+def test_insults_in_glued_text():
+    model = fit(*_corpus())
+    clean = ["ta", "re", "mi", "so", "la", "do", "ven", "ter", "al", "in"] * 6
+    for glue in ("\u00a0", "-", "/", "_"):
+        for at in range(0, 40, 7):
+            words = [*clean[:at], "fizzwump", *clean[at:]]
+            assert model.score(pa.array([glue.join(words)]))[0] >= 0.3, (glue, at)
+        assert model.score(pa.array([glue.join(clean)]))[0] < 0.3
+    assert model.score(pa.array(["*".join([*clean[:20], *"fizzwump", *clean[20:]])]))[0] >= 0.3
+
+
+def _plain_kernel(a, b, decay):
+    """The normalised kernel of two words, from its definition."""
+
+    def mapped(word):
+        word, out = "^" + word, {}
+        for i in range(len(word)):
+            for j in range(i + 1, len(word)):
+                for k in range(j + 1, min(len(word), i + 5)):
+                    key = word[i] + word[j] + word[k]
+                    out[key] = out.get(key, 0) + decay ** (k - i - 2)
+        return out
+
+    x, y = mapped(a), mapped(b)
+    size = lambda m: sum(v * v for v in m.values()) ** 0.5
+    return sum(v * y.get(k, 0) for k, v in x.items()) / (size(x) * size(y))
+
+
+def test_decisions_match_the_landmark_form():
+    """One table of subsequences decides as K(x, Z) K(Z, Z)^(-1/2) w does, and a text as its worst word."""
+    p = ToxicityParams()
+    marks, some = ["blorgnak", "snargle", "tarevan", "solado"], ["blorxgnak", "banana", "snargl", "teralin"]
+    kzz = np.array([[_plain_kernel(a, b, p.decay) for b in marks] for a in marks])
+    kxz = np.array([[_plain_kernel(a, b, p.decay) for b in marks] for a in some])
+    assert _dense(marks, marks, p.decay) == pytest.approx(kzz, abs=1e-5) and _dense(some, marks, p.decay) == pytest.approx(kxz, abs=1e-5)
+    vals, vecs = np.linalg.eigh(kzz)
+    root, w = vecs / np.sqrt(vals) @ vecs.T, np.array([1.0, 0.5, -0.7, -0.2])
+    zw, zu, zx = features(marks, p.decay)
+    zx = zx / np.sqrt(np.bincount(zw, zx * zx))[zw]
+    table = np.bincount(zu, zx * (root @ w)[zw], 36**3)
+    assert margins(some, table, 0.1, p.decay) == pytest.approx(kxz @ root @ w + 0.1, abs=1e-4)
+    model = ToxicityModel(table.astype(np.float32), 0.1, 2.0, 0.0, 0.0, p.decay)
+    assert model.text_margins(pa.array([" ".join(some)]))[0] == pytest.approx((kxz @ root @ w + 0.1).max(), abs=1e-4)
+
+
+def test_query_columns_and_what_is_never_learned_from(spark, tmp_path):
+    """Rows of remainder 2 are held out: turning their labels round changes no score."""
+    import zlib
+
+    from lexvane.llm.queries import op1_toxicity
+
+    texts, labels = _corpus(240)
+    out = []
+    for flip in (False, True):
+        d = tmp_path / str(flip)
+        spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+        rows = [(k, int(y) if not flip or zlib.crc32(str(k).encode()) % 4 != 2 else 1 - int(y)) for k, y in enumerate(labels)]
+        spark.createDataFrame(rows, "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+        out.append(sorted(map(tuple, op1_toxicity(spark, str(d)).select("doc_id", "held_out", "score", "predicted").collect())))
+    assert out[0] == out[1] and len(out[0]) == 240
+    for i, held, score, predicted in out[0]:
+        assert held == (zlib.crc32(str(i).encode()) % 4 == 2) and predicted == int(score >= 0.3)
+    assert np.mean([r[3] == labels[r[0]] for r in out[0]]) > 0.95
+
+
+def test_long_texts_and_clashing_names(spark):
+    model = fit(*_corpus())
+    df = spark.createDataFrame([(1, "talare " * 9000 + "snargle", 0.5), (2, "talare " * 9000, None)], "doc_id long, text string, score double")
+    got = {r.doc_id: r for r in score_documents(df, model).collect()}
+    assert got[1]._score >= 0.3 > got[2]._score and got[1].score == 0.5
+    words, flat, sizes = words_of(pa.array(["a b a", None, ""]))
+    assert [words[k] for k in flat] == ["a", "b", "a", "", ""] and sizes.tolist() == [3, 1, 1]
+
+
 def test_odd_rows(spark, odd, nothing):
     model = fit(*_corpus(150))
     out = score_documents(odd, model)
