@@ -69,3 +69,22 @@ def test_groups_copies_and_odd_rows(spark, block):
     assert drop(got) == drop(want)
     assert [r for r in got if r[0] in (609, 610)] == [(609, 1, 609, True), (610, 1, 609, False)]
     assert vector_components(df.where("false")).count() == 0
+
+
+def test_chain_and_recall_of_hashing(spark):
+    """Vectors drifting in small steps are one component; hashing finds the links that comparing all blocks finds."""
+    rng = np.random.default_rng(9)
+    v, rows = rng.standard_normal(64), []
+    for k in range(500):
+        v = v / np.linalg.norm(v)
+        rows.append((int(rng.integers(10**9)), [float(x) for x in v], "drift"))
+        step = rng.standard_normal(64)
+        v = v + 0.15 * (step - (step @ v) * v) / np.linalg.norm(step - (step @ v) * v)
+    base = rng.standard_normal((40, 64))
+    rows += [(10**9 + k, [float(x) for x in base[k % 40] + rng.standard_normal(64) * 0.13], "near") for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    want = brute([tuple(r) for r in df.collect()])
+    assert run(df, params=VectorParams(exact=True, block=128)) == want
+    assert len({r[2] for r in want if r[0] < 10**9}) == 1
+    # A pair at the threshold is missed with a chance of 3.5e-5: of some thousand links at most one may go.
+    assert sum(a != b for a, b in zip(run(df), want, strict=True)) <= 2
