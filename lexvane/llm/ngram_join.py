@@ -7,9 +7,13 @@ the batch and only the count travels. A document's overlaps with the rest of the
 the threshold's share of its set it can have no partner. The few documents left get a prefix of their rarest shared n-grams.
 
 Documents that share a prefix n-gram with few others form pairs; their overlaps are counted by fragment and summed. Those that
-share one with more are gathered into groups, each document once, and a group is judged in blocks: a task takes two blocks of
-documents, counts the overlaps of all its pairs fragment by fragment, adds them up, and answers with a spanning forest of the
-links, so groups of copies and near copies never leave as pairs. Both counts are exact.
+share one with more are gathered into groups, each document once, and a group is cut into cells by the size of its sets, in
+steps of the threshold: only documents of one cell or of neighbouring ones can be linked. Every document of a cell forms a pair
+with the cell's pivot, counted like the others. Those linked to the pivot are in its component already and need no look at each
+other; what is left (documents not linked to their pivot with all of their cells) is judged in blocks: a task takes two blocks
+of documents, counts the overlaps of all its pairs fragment by fragment, adds them up, and answers with a spanning forest of the
+links. So groups of copies and near copies never leave as pairs, and cost what their documents not close to the pivot cost.
+Both counts are exact.
 
 Links: ``threshold`` in hundredths; 100 * intersection >= threshold * union.
 
@@ -21,6 +25,7 @@ other id as the least; an empty table gives an empty result; other columns are i
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,6 +58,8 @@ class NgramParams:
     block: int = 512
     columns: int = 4096
     slice_bytes: int = 8 << 20
+    #: Text for one fragment of the order, at most: what one call in a task has to hold follows from it.
+    fragment_bytes: int = 64 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -235,8 +242,8 @@ def _overlaps(pairs: DataFrame, fragments: DataFrame, t: int) -> DataFrame:
 
 def _judge(x: pa.Table, p: NgramParams) -> pa.Table:
     """A spanning forest of the links between two blocks of a group (or within one)."""
-    side, n, sig = x["side"].to_numpy(), x["n"].to_numpy().astype(np.float32), x["sig"].to_pylist()
-    left, right = np.flatnonzero(side == x["i"][0].as_py()), np.flatnonzero(side == x["j"][0].as_py())
+    n, sig = x["n"].to_numpy().astype(np.float32), x["sig"].to_pylist()
+    left, right = (np.flatnonzero(x[c].to_numpy()) for c in ("in_left", "in_right"))
     lists = x["toks"].combine_chunks()
     toks, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(sig)), lists.value_lengths().to_numpy())
     known, col, seen = np.unique(toks, return_inverse=True, return_counts=True)
@@ -260,6 +267,31 @@ def _judge(x: pa.Table, p: NgramParams) -> pa.Table:
     return pa.Table.from_arrays([pa.array([sig[k] for k in some], pa.binary()), pa.array([sig[low[k]] for k in some], pa.binary())], ["a", "b"])
 
 
+def _block_tasks(member: DataFrame, tied: DataFrame, p: NgramParams) -> DataFrame:
+    """Which blocks each member of a group meets: sig, root and a task (two cells, two blocks) with the member's sides in it.
+
+    ``member``: sig, root, bin, near (linked to its cell's pivot); ``tied``: root and bin of cells whose pivot is linked to the
+    next cell's. Cells are (bin, near). Those near one pivot, or near two pivots that are linked, are in one component already.
+    """
+    cell = F.struct("bin", "near").alias("cell")
+    extent = stored(member.groupBy("root", cell).agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("blocks")), "ngram-extent")
+    one, two = extent.select("root", F.col("cell").alias("x"), F.col("blocks").alias("bx")), extent.select(F.col("root").alias("root_y"), F.col("cell").alias("y"), F.col("blocks").alias("by"))
+    # A group has few cells beside its members: two for each step of size.
+    met = one.join(two, (F.col("root") == F.col("root_y")) & (F.col("x") <= F.col("y")) & (F.col("y.bin") - F.col("x.bin") <= 1)).drop("root_y")
+    tie = tied.select(F.col("root").alias("root_t"), F.col("bin").alias("bin_t"), F.lit(True).alias("tied"))
+    met = met.join(tie, (F.col("root") == F.col("root_t")) & (F.col("x.bin") == F.col("bin_t")), "left")
+    done = F.col("x.near") & F.col("y.near") & ((F.col("x.bin") == F.col("y.bin")) | F.coalesce("tied", F.lit(False)))
+    met = stored(met.where(~done).select("root", "x", "y", "bx", "by"), "ngram-cells")
+    has = member.join(extent.withColumnRenamed("root", "root_e"), (F.col("root") == F.col("root_e")) & (cell == F.col("cell"))).withColumn("side", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).select("sig", "root", "cell", "side")
+    has = stored(has, "ngram-members").withColumnRenamed("root", "root_m")
+    same = F.col("x") == F.col("y")
+    as_left = has.join(met, (F.col("root_m") == F.col("root")) & (F.col("cell") == F.col("x"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("by") - 1)))
+    as_left = as_left.withColumn("i", F.when(same, F.least("side", "o")).otherwise(F.col("side"))).withColumn("j", F.when(same, F.greatest("side", "o")).otherwise(F.col("o")))
+    as_left = as_left.select("sig", "root", "x", "y", "i", "j", (F.col("side") == F.col("i")).alias("in_left"), (same & (F.col("side") == F.col("j"))).alias("in_right"))
+    as_right = has.join(met.where(~same), (F.col("root_m") == F.col("root")) & (F.col("cell") == F.col("y"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("bx") - 1)))
+    return as_left.unionByName(as_right.select("sig", "root", "x", "y", "i", F.col("side").alias("j"), F.lit(False).alias("in_left"), F.lit(True).alias("in_right")))
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least member of each member's component."""
     low = np.arange(n)
@@ -276,8 +308,9 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: NgramParams = NgramParams()) -> DataFrame:
     """One row per row of ``df``: id, n_shingles, component_id (least id of its component)."""
     p, t = params, params.threshold
-    fragments = 4 * shuffle_partitions(df.sparkSession)
     src = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    size = src.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+    fragments = max(4 * shuffle_partitions(df.sparkSession), -(-size // p.fragment_bytes))
     counted = src.mapInArrow(lambda it: _cut(it, p, fragments), _CUT).groupBy("frag").applyInArrow(_count_fragment, _CUT)
     found = stored(counted.groupBy("batch").applyInArrow(lambda x: _sum_batch(x, p), _FOUND), "ngram-found")
 
@@ -292,17 +325,28 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one = at.where(F.col("size") <= p.few).select("tok", F.col("sig").alias("a"), F.col("n").alias("na"))
     two = one.select("tok", F.col("a").alias("b"), F.col("na").alias("nb"))
     pairs = one.join(two, (one["tok"] == two["tok"]) & (F.col("a") < F.col("b")) & _alike("na", "nb", t)).select("a", "b", "na", "nb")
-    within = lambda v: F.filter("toks", lambda x: F.floor((F.shiftright(x, 56) + 128) * p.pair_fragments / 256) == v)
-    cut = sets.select("sig", F.posexplode(F.array(*[within(v) for v in range(p.pair_fragments)])).alias("v", "part"))
-    links = stored(_overlaps(stored(pairs.distinct(), "ngram-pairs"), cut, t), "ngram-links")
 
-    # More documents: groups, in blocks.
+    # More documents: groups, and in each cell of a group pairs with the pivot, the least digest. Sizes more than a step of
+    # the threshold apart can't be linked, so that cells two or more apart never meet.
     groups = components(at.where((F.col("size") > p.few) & (F.col("sig") != F.col("lead"))).select(F.col("sig").alias("a"), F.col("lead").alias("b")))
-    extent = stored(groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("blocks")), "ngram-extent")
-    member = stored(groups.join(extent, "root"), "ngram-members").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("side", "o")).withColumn("j", F.greatest("side", "o"))
-    held = sets.join(member.select(F.col("node").alias("sig"), "root", "side", "i", "j"), "sig")
-    forest = held.groupBy("root", "i", "j").applyInArrow(lambda x: _judge(x, p), "a binary, b binary")
+    step = math.log(100 / t) if t < 100 else 1e-9
+    member = stored(groups.withColumnRenamed("node", "sig").join(sets.select("sig", "n"), "sig").withColumn("bin", F.floor(F.log("n") / step * (1 - 1e-9)).cast("long")), "ngram-grouped")
+    pivot = stored(member.groupBy("root", "bin").agg(F.min_by(F.struct("sig", "n"), "sig").alias("pivot")).select("root", "bin", F.col("pivot.sig").alias("b"), F.col("pivot.n").alias("nb")), "ngram-pivots")
+    to_pivot = member.join(pivot, ["root", "bin"]).where("sig <> b").select(F.col("sig").alias("a"), "b", F.col("n").alias("na"), "nb")
+    following = pivot.select("root", (F.col("bin") - 1).alias("bin"), F.col("b").alias("a"), F.col("nb").alias("na"))
+    ties = stored(pivot.join(following, ["root", "bin"]).select("root", "bin", "a", "b", "na", "nb"), "ngram-ties")
+    asked = pairs.union(to_pivot.where(_alike("na", "nb", t))).union(ties.select("a", "b", "na", "nb").where(_alike("na", "nb", t)))
+
+    within = lambda v: F.filter("toks", lambda x: F.floor((F.shiftright(x, 56) + 128) * p.pair_fragments / 256) == v)
+    cut = sets.select("sig", F.posexplode(F.array(*[within(v) for v in range(p.pair_fragments)])).alias("v", "part"))
+    links = stored(_overlaps(stored(asked.distinct(), "ngram-pairs"), cut, t), "ngram-links")
+
+    tied = ties.join(links, ["a", "b"], "left_semi").select("root", "bin")
+    close = member.join(pivot.select("root", "bin", "b"), ["root", "bin"]).join(links.select(F.col("a").alias("sig"), "b", F.lit(True).alias("hit")), ["sig", "b"], "left")
+    close = stored(close.select("sig", "root", "bin", (F.coalesce("hit", F.lit(False)) | (F.col("sig") == F.col("b"))).alias("near")), "ngram-close")
+    tasks = _block_tasks(close, tied, p)
+    held = sets.join(tasks, "sig").groupBy("root", "x", "y", "i", "j")
+    forest = held.applyInArrow(lambda x: _judge(x, p), "a binary, b binary")
     roots = components(links.union(stored(forest, "ngram-forest")))
 
     least = docs.where("n > 0").groupBy("sig").agg(F.min("id").alias("least"))

@@ -79,3 +79,18 @@ def test_near_copies_chains_and_hot_passages(spark):
 def test_odd_rows(odd, nothing):
     assert run(odd, NgramParams()) == brute([(r.doc_id, r.text) for r in odd.collect()], 5, 80)
     assert ngram_components(nothing).count() == 0
+
+
+def test_versions_in_a_chain_and_boilerplate(spark):
+    """Versions that drift word by word are one component; texts of all lengths around one passage stay apart."""
+    rng = random.Random(6)
+    words = [f"v{k}" for k in range(2000)]
+    ids = rng.sample(range(10**6), 600)
+    rows = [(ids[k], " ".join(words[5 * k : 5 * k + 150])) for k in range(300)]
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows += [(ids[300 + k], passage + "".join(f" q{k}_{j}" for j in range(k))) for k in range(250)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for p in (NgramParams(n=4, threshold=85), NgramParams(n=4, threshold=85, block=32, few=2)):
+        got = run(df, p)
+        assert got == brute(rows, p.n, p.threshold)
+    assert len({c for i, _, c in got if i in set(ids[:300])}) == 1
