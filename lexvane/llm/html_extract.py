@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as _html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -55,10 +56,67 @@ class HtmlParams:
     seed: int = 8
 
 
-def blocks_of(page: str) -> list[tuple[str, str, float]]:
-    """(path, text, share of linked characters) of each block with text. The path has the words of all elements above."""
-    out: list[tuple[str, str, float]] = []
-    stack: list[tuple[str, str]] = []
+class Place:
+    """An open element: its own words, those of them that no element above it has, and the element above."""
+
+    __slots__ = ("up", "words", "new", "_sum", "_tail")
+
+    def __init__(self, up: Place | None, words: tuple[str, ...], new: tuple[str, ...]) -> None:
+        self.up, self.words, self.new, self._sum, self._tail = up, words, new, None, None
+
+    def __str__(self) -> str:
+        """The words of all elements from the outermost one to this."""
+        parts, node = [], self
+        while node is not None:
+            parts.append(" ".join(node.words))
+            node = node.up
+        return " ".join(reversed(parts))
+
+    def __eq__(self, other: object) -> bool:
+        return str(self) == str(other)
+
+    def __hash__(self) -> int:
+        return hash(str(self))
+
+    def _fill(self) -> None:
+        """Add up hashed words from the nearest element above that has its sum: each element is done once."""
+        chain, node = [], self
+        while node is not None and node._sum is None:
+            chain.append(node)
+            node = node.up
+        above, tail = (node._sum, node._tail) if node else (np.zeros(_PATH, np.float32), ())
+        for x in reversed(chain):
+            if x.new:
+                above = above + sum(_hashed("p", w) for w in x.new)
+            tail = (tail + x.words)[-3:]
+            x._sum, x._tail = above, tail
+
+    def vector(self) -> np.ndarray:
+        """Two hashed places for each word of the path, with signs; the words of the innermost elements once more on their own."""
+        if self._sum is None:
+            self._fill()
+        return self._sum + _tail_vector(self._tail)
+
+
+@lru_cache(maxsize=50_000)
+def _hashed(salt: str, word: str) -> np.ndarray:
+    v = np.zeros(_PATH, np.float32)
+    for turn in range(2):
+        h = zlib.crc32(f"{salt}{turn}{word}".encode())
+        v[h % _PATH] += 1.0 if h & 65536 else -1.0
+    return v
+
+
+@lru_cache(maxsize=50_000)
+def _tail_vector(tail: tuple[str, ...]) -> np.ndarray:
+    return sum((_hashed("q", w) for w in set(tail)), np.zeros(_PATH, np.float32))
+
+
+def blocks_of(page: str) -> list[tuple[Place | str, str, float]]:
+    """(place in the tag tree or "" outside it, text, share of linked characters) of each block with text."""
+    out: list[tuple[Place | str, str, float]] = []
+    stack: list[tuple[str, Place]] = []
+    names, seen = Counter(), Counter()  # of the open elements
     parts: list[str] = []
     path, linked, links = "", 0, 0
 
@@ -73,8 +131,10 @@ def blocks_of(page: str) -> list[tuple[str, str, float]]:
 
     def pop(to: int) -> None:
         nonlocal links
-        for name, _ in stack[to:]:
+        for name, place in stack[to:]:
             links -= name == "a"
+            names[name] -= 1
+            seen.subtract(place.new)
         del stack[to:]
 
     at, end = 0, len(page)
@@ -83,7 +143,7 @@ def blocks_of(page: str) -> list[tuple[str, str, float]]:
         text = page[at : m.start()] if m else page[at:]
         if text:
             if not parts:
-                path = " ".join(words for _, words in stack)
+                path = stack[-1][1] if stack else ""
             parts.append(text)
             if links:
                 linked += len(text)
@@ -103,31 +163,34 @@ def blocks_of(page: str) -> list[tuple[str, str, float]]:
         if name not in INLINE:
             flush()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in () if not names[name] else range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     pop(k)
                     break
             continue
         if name in ENDS_P:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in () if not names["p"] else range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
                     pop(k)
                     break
                 if stack[k][0] not in INLINE:
                     break
         elif name in SAME:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in () if not names[name] else range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     pop(k)
                     break
                 if stack[k][0] in SAME[name]:
                     break
         if name not in VOID:
-            words = name
+            words = [name]
             if "=" in m[4]:
                 for _, x, y, z in _ATTR.findall(m[4]):
-                    words += " ." + " .".join(w for w in _PARTS.split((x or y or z).lower()) if w)
-            stack.append((name, words))
+                    words += ["." + w for w in _PARTS.split((x or y or z).lower()) if w]
+            new = tuple(w for w in dict.fromkeys(words) if not seen[w])
+            stack.append((name, Place(stack[-1][1] if stack else None, tuple(words), new)))
+            names[name] += 1
+            seen.update(new)
             links += name == "a"
     flush()
     return out
@@ -138,25 +201,13 @@ def _word_at(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % _WORD
 
 
-@lru_cache(maxsize=20_000)
-def _path_vector(path: str) -> np.ndarray:
-    """Two hashed places for each word of the path, with signs; the words of the innermost elements once more on their own."""
-    v = np.zeros(_PATH, np.float32)
-    words = path.split()
-    for salt, some in (("p", words), ("q", words[-3:])):
-        for w in set(some):
-            for turn in range(2):
-                h = zlib.crc32(f"{salt}{turn}{w}".encode())
-                v[h % _PATH] += 1.0 if h & 65536 else -1.0
-    return v
-
-
-def vectors(blocks: list[tuple[str, str, float]]) -> np.ndarray:
+def vectors(blocks: list[tuple[Place | str, str, float]]) -> np.ndarray:
     n = len(blocks)
     out = np.zeros((n, DIM), np.float32)
     for k, (path, text, linked) in enumerate(blocks):
         words = text.lower().split()
-        out[k, :_PATH] = _path_vector(path)
+        if path:
+            out[k, :_PATH] = path.vector()
         out[k, _PATH : _PATH + _WORD] = np.bincount([_word_at(w) for w in words], minlength=_WORD) / len(words) ** 0.5
         size = len(text)
         out[k, _PATH + _WORD :] = (size**0.25 / 4, linked, min(1.0, len(words) / 20), text.count(",") / len(words), text[-1] in ".!?…:", sum(map(text.count, "0123456789")) / size, k / n, k < 3)

@@ -5,7 +5,8 @@ four 2-bit fields, the byte lengths less one of the next four values; the data b
 table of 256 rows gives the lengths for every control byte at once when a file is decoded.
 
 File (little-endian): ``IDSV0001``, u64 documents, u64 ids, u64 data bytes, ranks' table size as u64, the table as u32 (rank to
-id), the documents' ids as i64 and a byte for each (0: null), their lengths as u32, control bytes, data bytes. One file holds a range of document ids in ascending order.
+id), the documents' ids as i64 and a byte for each (0: null), their lengths as u32, control bytes, data bytes. One file holds a range of document ids in ascending order,
+of ``file_bytes`` of text or about that, so that a file can be held whole by the task that writes or reads it.
 
 Defined cases: null and empty texts are the end id alone; null ids come first; repeated rows are written each; an empty table
 gives an empty result; other columns are ignored.
@@ -184,10 +185,14 @@ def _ranks(tables: DataFrame, fan: int = 64) -> np.ndarray:
     return np.array(sorted(total, key=lambda i: (-total[i], i)), np.int64)
 
 
-def write_id_files(df: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
+def write_id_files(df: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, file_bytes: int = 128 << 20) -> DataFrame:
     """Write the files, in ascending order of the (integer) id. Returns a row for each file, in order: path, n_ids, ids_before."""
     spark = df.sparkSession
-    ranged = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).repartitionByRange(shuffle_partitions(spark), "id", F.xxhash64("t")).sortWithinPartitions("id", "t")
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    size = src.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    n_files = max(shuffle_partitions(spark), -(-size // file_bytes))
+    # The row's number parts repeats of one row; rows of one id and text may stand in any order.
+    ranged = src.withColumn("r", F.monotonically_increasing_id()).repartitionByRange(n_files, "id", F.xxhash64("t"), "r").sortWithinPartitions("id", "t").drop("r")
     rows = stored(ranged.mapInArrow(lambda it: _provisional(it, tokenizer, end_id, folder), "part int, path string, ids array<int>, counts array<long>, doc_ids array<long>, lengths array<long>"), "id-rows")
     ranks = _ranks(rows.select("ids", "counts"))
     width = max(encoder(tokenizer).size, end_id + 1)

@@ -36,7 +36,9 @@ class MixParams:
     temper: float = 0.5
     #: Share of all tokens that is wanted, at most.
     keep: float = 0.7
-    rounds: int = 12
+    rounds: int = 30
+    #: So many cells or fewer are raked in one partition.
+    few_cells: int = 100_000
     tolerance: float = 1e-4
     seed: int = 11
 
@@ -78,14 +80,18 @@ def rake(cells: DataFrame, p: MixParams) -> DataFrame:
         goals = _spread(cells, m, p).withColumnRenamed(m, "v").withColumnRenamed("goal", f"goal_{m}")
         now = now.join(goals, F.col(m).eqNullSafe(F.col("v")), "left").drop("v")
     now = stored(now, "mix-cells")
+    last = float("inf")
     for _ in range(p.rounds):
         for m in _MARGINS:
             sums = F.sum("weight").over(Window.partitionBy(m))
             now = now.withColumn("weight", F.when(sums > 0, F.col("weight") * F.col(f"goal_{m}") * F.lit(float(total)) / sums).otherwise(0.0))
         now = stored(now, "mix-cells")
-        off = [now.groupBy(m).agg((F.abs(F.sum("weight") - F.first(f"goal_{m}") * float(total)) / max(1, total)).alias("d")).agg(F.max("d")).first()[0] or 0.0 for m in _MARGINS]
-        if max(off) < p.tolerance:
+        off = max(now.groupBy(m).agg((F.abs(F.sum("weight") - F.first(f"goal_{m}") * float(total)) / max(1, total)).alias("d")).agg(F.max("d")).first()[0] or 0.0 for m in _MARGINS)
+        if off < p.tolerance or off > 0.98 * last:  # met, or no nearer than before
             break
+        last = off
+    if off >= p.tolerance:
+        warnings.warn(f"mixing: a margin's weight is still {off:.4f} of all tokens off its target", stacklevel=3)
     return now.select(*_MARGINS, "tokens", "n", "weight")
 
 
@@ -128,17 +134,22 @@ def rake_kept(cells: DataFrame, p: MixParams) -> DataFrame:
     them. Margins with targets are fitted last. A warning names the values that miss their share.
     """
     now, wanted = _feasible(cells, p)
-    # All cells in one partition: they are few beside the documents, and no window or sum has to shuffle them then.
-    now = stored(now.withColumn("have", F.col("tokens").cast("double")).withColumn("pull", F.lit(1.0)), "mix-cells").coalesce(1)
+    # Few cells are taken in one partition, where no window or sum has to shuffle them; more are dealt out by margin.
+    few = cells.count() <= p.few_cells
+    gathered = lambda df: df.coalesce(1) if few else df
+    now = gathered(stored(now.withColumn("have", F.col("tokens").cast("double")).withColumn("pull", F.lit(1.0)), "mix-cells"))
     kept = F.least("have", F.col("have") * F.col("pull"))
+    last = float("inf")
     for _ in range(p.rounds):
         for m in sorted(_MARGINS, key=lambda m: bool(p.targets.get(m))):
             now = _scaled(now.withColumn("_y", F.col("have") * F.col("pull")), "have", "_y", F.col(f"want_{m}"), [m])
             now = now.withColumn("pull", F.least(F.col("pull") * F.col("_f"), F.lit(1e100))).drop("_y", "_f")
-        now = stored(now, "mix-cells").coalesce(1)
+        now = gathered(stored(now, "mix-cells"))
         off = [F.abs(F.sum(kept).over(Window.partitionBy(m)) - F.col(f"want_{m}")).alias(m) for m in _MARGINS]
-        if (now.select(F.greatest(*off).alias("d")).agg(F.max("d")).first()[0] or 0.0) <= p.tolerance * wanted:
+        d = now.select(F.greatest(*off).alias("d")).agg(F.max("d")).first()[0] or 0.0
+        if d <= p.tolerance * wanted or d > 0.98 * last:
             break
+        last = d
     share = F.sum(kept) / max(1.0, wanted)
     for m in _MARGINS:
         missed = now.groupBy(m).agg(share.alias("share"), F.first(f"goal_{m}").alias("goal")).where(F.abs(F.col("share") - F.col("goal")) > 0.01)
@@ -155,12 +166,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     keys = {"source": F.col(source_col).cast("string"), "lang": F.col(lang_col).cast("string"), "topic": (topic_of(text) if topic is None else topic).cast("string")}
     about = df.select(*[e.alias(k) for k, e in keys.items()], token_count(text).alias("tokens"))
     cells = stored(about.groupBy(*_MARGINS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "mix-counts")
-    raked = rake(cells, p).select(*[F.col(m).alias(f"_mix_{m}") for m in _MARGINS], F.coalesce(F.try_divide("weight", "tokens"), F.lit(1.0)).alias(names[2]))
-    same = [F.col(f"_mix_{m}").eqNullSafe(F.col(m)) for m in _MARGINS]
+    inner = {m: unused_name(df, f"_mix_{m}") for m in _MARGINS}
+    raked = rake(cells, p).select(*[F.col(m).alias(inner[m]) for m in _MARGINS], F.coalesce(F.try_divide("weight", "tokens"), F.lit(1.0)).alias(names[2]))
+    same = [F.col(inner[m]).eqNullSafe(F.col(m)) for m in _MARGINS]
     probs = stored(raked.join(rake_kept(cells, p), same).select(*raked.columns, F.col("prob").alias(names[3])), "mix-raked")
     u = F.pmod(F.xxhash64(F.col(id_col), text, F.lit(p.seed)), F.lit(2**53)) / F.lit(float(2**53))
     out = df.withColumn(names[0], keys["topic"]).withColumn(names[1], token_count(text))
     # Spark broadcasts the cells only where their size is under its threshold; else it shuffles and splits skewed parts.
-    match = keys["source"].eqNullSafe(F.col("_mix_source")) & keys["lang"].eqNullSafe(F.col("_mix_lang")) & F.col(names[0]).eqNullSafe(F.col("_mix_topic"))
+    match = keys["source"].eqNullSafe(F.col(inner["source"])) & keys["lang"].eqNullSafe(F.col(inner["lang"])) & F.col(names[0]).eqNullSafe(F.col(inner["topic"]))
     joined = out.join(probs, match, "left").withColumn(names[4], u < F.col(names[3]))
     return joined.select(*df.columns, *names)

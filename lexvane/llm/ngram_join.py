@@ -7,8 +7,8 @@ the batch and only the count travels. A document's overlaps with the rest of the
 the threshold's share of its set it can have no partner. The few documents left get a prefix of their rarest shared n-grams.
 
 Documents that share a prefix n-gram with few others form pairs; their overlaps are counted by fragment and summed. Those that
-share one with more are gathered into groups, each document once, and a group is cut into cells by the size of its sets, in
-steps of the threshold: only documents of one cell or of neighbouring ones can be linked. Every document of a cell forms a pair
+share one with more are gathered into groups, each document once. A group of up to ``block`` documents is one task. A larger one is cut
+into cells by the size of its sets, in steps of the threshold: only documents of one cell or of neighbouring ones can be linked. Every document of a cell forms a pair
 with the cell's pivot, counted like the others. Those linked to the pivot are in its component already and need no look at each
 other; what is left (documents not linked to their pivot with all of their cells) is judged in blocks: a task takes two blocks
 of documents, counts the overlaps of all its pairs fragment by fragment, adds them up, and answers with a spanning forest of the
@@ -330,8 +330,11 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # the threshold apart can't be linked, so that cells two or more apart never meet.
     groups = components(at.where((F.col("size") > p.few) & (F.col("sig") != F.col("lead"))).select(F.col("sig").alias("a"), F.col("lead").alias("b")))
     step = math.log(100 / t) if t < 100 else 1e-9
-    member = stored(groups.withColumnRenamed("node", "sig").join(sets.select("sig", "n"), "sig").withColumn("bin", F.floor(F.log("n") / step * (1 - 1e-9)).cast("long")), "ngram-grouped")
-    pivot = stored(member.groupBy("root", "bin").agg(F.min_by(F.struct("sig", "n"), "sig").alias("pivot")).select("root", "bin", F.col("pivot.sig").alias("b"), F.col("pivot.n").alias("nb")), "ngram-pivots")
+    # A group of one block is one task: it needs neither cells nor a pivot.
+    large = groups.groupBy("root").agg((F.count(F.lit(1)) > p.block).alias("large"))
+    size_bin = F.when(F.col("large"), F.floor(F.log("n") / step * (1 - 1e-9))).otherwise(0).cast("long")
+    member = stored(groups.withColumnRenamed("node", "sig").join(large, "root").join(sets.select("sig", "n"), "sig").withColumn("bin", size_bin), "ngram-grouped")
+    pivot = stored(member.where("large").groupBy("root", "bin").agg(F.min_by(F.struct("sig", "n"), "sig").alias("pivot")).select("root", "bin", F.col("pivot.sig").alias("b"), F.col("pivot.n").alias("nb")), "ngram-pivots")
     to_pivot = member.join(pivot, ["root", "bin"]).where("sig <> b").select(F.col("sig").alias("a"), "b", F.col("n").alias("na"), "nb")
     following = pivot.select("root", (F.col("bin") - 1).alias("bin"), F.col("b").alias("a"), F.col("nb").alias("na"))
     ties = stored(pivot.join(following, ["root", "bin"]).select("root", "bin", "a", "b", "na", "nb"), "ngram-ties")
@@ -342,8 +345,8 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = stored(_overlaps(stored(asked.distinct(), "ngram-pairs"), cut, t), "ngram-links")
 
     tied = ties.join(links, ["a", "b"], "left_semi").select("root", "bin")
-    close = member.join(pivot.select("root", "bin", "b"), ["root", "bin"]).join(links.select(F.col("a").alias("sig"), "b", F.lit(True).alias("hit")), ["sig", "b"], "left")
-    close = stored(close.select("sig", "root", "bin", (F.coalesce("hit", F.lit(False)) | (F.col("sig") == F.col("b"))).alias("near")), "ngram-close")
+    close = member.join(pivot.select("root", "bin", "b"), ["root", "bin"], "left").join(links.select(F.col("a").alias("sig"), "b", F.lit(True).alias("hit")), ["sig", "b"], "left")
+    close = stored(close.select("sig", "root", "bin", (F.coalesce("hit", F.lit(False)) | F.coalesce(F.col("sig") == F.col("b"), F.lit(False))).alias("near")), "ngram-close")
     tasks = _block_tasks(close, tied, p)
     held = sets.join(tasks, "sig").groupBy("root", "x", "y", "i", "j")
     forest = held.applyInArrow(lambda x: _judge(x, p), "a binary, b binary")

@@ -5,7 +5,8 @@ tokens). Within a group of pieces the tiers are packed from the longest to the s
 size, and each gap takes the longest piece that fits from its own or a shorter tier. Sequences of each tier are then dealt to step
 groups of that tier so that the groups' token counts are near equal. Lengths alone decide: token ids are never shuffled.
 
-Pieces are grouped by a hash, ``group_pieces`` to a group, so that a packing task's size stays the same at any size of input.
+Pieces are grouped by a hash that takes in their row, ``group_pieces`` to a group, so that a packing task's size stays the same at
+any size of input and however often a row is repeated.
 
 Defined cases: a null or empty text is the one end id; texts of any length are cut; repeated rows are packed each; a null id is
 kept; an empty table gives an empty result; other columns are ignored.
@@ -132,9 +133,9 @@ def cut_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", params: PackParams = PackParams()) -> DataFrame:
     """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group."""
     p = params
-    pieces = stored(cut_pieces(df, tokenizer, id_col, text_col, p), "pieces")
+    pieces = stored(cut_pieces(df, tokenizer, id_col, text_col, p).withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, round(pieces.count() / p.group_pieces))
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(groups)).cast("int"))
+    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
     schema = grouped.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", sequence_id long, offset long, tier long, step_group long"
     packed = grouped.groupBy("grp").applyInPandas(lambda pdf: _pack_group(pdf, p), schema)
-    return packed.drop("grp").withColumnRenamed("id", id_col)
+    return packed.drop("grp", "row").withColumnRenamed("id", id_col)

@@ -64,3 +64,16 @@ def test_odd_rows(spark):
     assert next(r.n_chars for r in out if r.page_id is None) == len(("text of some length, said plainly. " * 20000).strip())
     assert extract_pages(df.where("false")).count() == 0
     assert main_texts([None], trained()) == [""]
+
+
+def test_deep_pages_cost_what_their_bytes_cost():
+    import time
+
+    t0 = time.process_time()
+    deep = blocks_of("<div class='a b'>x" * 50_000 + "</span>" * 50_000)
+    assert len(deep) == 50_000 and {t for _, t, _ in deep} == {"x"}
+    from lexvane.llm.html_extract import vectors
+
+    v = vectors(deep)
+    assert (v[100, :96] == v[-1, :96]).all() and time.process_time() - t0 < 20
+    assert main_texts(["<div>" * 3000 + "<article><p>" + "one two three four five six. " * 9 + "</p></article>"], trained()) is not None

@@ -62,3 +62,62 @@ def test_lines_match_brute_force(odd, nothing):
     assert sorted(map(tuple, got), key=str) == brute_lines([tuple(r) for r in odd.collect()])
     assert dedup_lines(nothing).count() == 0
     assert dedup_lines(odd).columns == [*odd.columns, "_n_lines", "n_dropped"]
+
+
+def test_runs_are_joined_and_merged_without_shuffling_them(spark):
+    from pyspark.sql import functions as F
+
+    from lexvane.llm.line_dedup import LevelledRuns, line_hash
+
+    lines = spark.range(900).select(line_hash(F.concat(F.lit("line "), (F.col("id") % 400).cast("string"))).alias("h"), "id")
+    batch = lambda k: lines.where(f"id DIV 300 = {k}").groupBy("h").agg(F.min("id").alias("owner"))
+    runs = LevelledRuns(spark, fanout=3)
+    try:
+        runs.add(batch(0))
+        runs.add(batch(1))
+        # Only the lines are shuffled and sorted, once for each run; the runs are read in order.
+        plan = runs.owners(lines)._jdf.queryExecution().executedPlan().toString()
+        assert len(runs.names()) == 2 and plan.count("SortMergeJoin") == 2 and plan.count("Bucketed: true") == 2
+        assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Sort [") == 2
+        runs.add(batch(2))
+        assert len(runs.names()) == 1
+        got = {r.id: r.owner for r in runs.owners(lines).collect()}
+        assert got == {i: i % 400 for i in range(900)}
+    finally:
+        runs.drop()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+
+def test_long_document_of_repeated_lines(spark):
+    own = "\n".join(f"a line of number {k}" for k in range(20_000))
+    rows = [(1, own), (2, "first of its own\n" + own + "\n\nlast of its own"), (2, "other text of 2\n" + own), (3, own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dedup_lines(df).selectExpr("doc_id", "n_lines", "n_dropped", "coalesce(text, '') AS text").collect()
+    assert sorted(map(tuple, got), key=str) == brute_lines(rows)
+
+
+def brute_shards(rows, shards=16):
+    """(size, crc32 of the text) of every row, and the shares of bytes: shards differ by no more than two of the largest rows."""
+    import zlib
+
+    return sorted(((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows), key=str)
+
+
+def test_sharding_matches_brute_force(spark, odd):
+    rows = [(None, "", 1)] * 400 + [(7, "the same text", 1)] * 300 + [(k, f"text {k} " * (k % 9), 1) for k in range(300)] + [(None, None, 1), (5, "é" * 50, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, r int").repartition(5)
+    for data, params in ((df, ShardParams()), (df, ShardParams(ranges_per_shard=8, samples_per_range=2)), (odd, ShardParams())):
+        got = shard_by_sampled_splitters(data, params=params).collect()
+        want = brute_shards([(r.doc_id, r.text) for r in data.collect()])
+        assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in got), key=str) == want
+        for s in {r.shard for r in got}:
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+        by = Counter()
+        for r in got:
+            by[r.shard] += r["size"]
+        assert all(0 <= s < 16 for s in by)
+        due, most = sum(by.values()) / 16, max(x[1] for x in want)
+        assert all(abs(by[s] - due) <= most for s in range(16))
+    # Repeated rows are cut into several ranges like any others.
+    got = shard_by_sampled_splitters(df, params=ShardParams(ranges_per_shard=8)).collect()
+    assert len({r.range_id for r in got if r.doc_id == 7}) > 1
