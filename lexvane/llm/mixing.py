@@ -6,7 +6,8 @@ bound stay there and the others make up for them, until the margins of the expec
 document decides, so that runs agree. Only DataFrame operations are used; the table of cells is aggregated before anything else
 is done with it.
 
-Where a value has too few tokens for its target at the wanted share, fewer tokens are kept in all: the most that the targets allow.
+Where a value has too few tokens for its target at the wanted share, fewer tokens are kept in all: the most that the targets allow,
+but no less than ``least``, so that a value with hardly any tokens does not take the corpus with it: it is kept whole then.
 Margins without targets never lower what is kept: their values with too few tokens are kept whole and fall short of their share.
 Targets of several margins that no choice of documents meets together are met in the last margin only; a warning names what is missed.
 
@@ -36,6 +37,8 @@ class MixParams:
     temper: float = 0.5
     #: Share of all tokens that is wanted, at most.
     keep: float = 0.7
+    #: Share of all tokens that is kept at least, even where that leaves a value with too few tokens short of its target.
+    least: float = 0.0
     rounds: int = 30
     #: So many cells or fewer are raked in one partition.
     few_cells: int = 100_000
@@ -120,6 +123,7 @@ def _feasible(cells: DataFrame, p: MixParams) -> tuple[DataFrame, float]:
     for m, s in spreads.items():
         most = F.min(F.when(F.col("goal") > 0, F.col("have") / F.col("goal"))) if p.targets.get(m) else F.sum(F.when(F.col("goal") > 0, F.col("have")))
         wanted = min(wanted, s.agg(most).first()[0] or 0.0)
+    wanted = max(wanted, min(p.least, p.keep) * total)
     for m, s in spreads.items():
         want = F.least("have", F.col("_f") * F.col("goal"))
         goals = _scaled(s, "have", "goal", F.lit(wanted), []).select(F.col(m).alias("v"), want.alias(f"want_{m}"), F.col("goal").alias(f"goal_{m}"))

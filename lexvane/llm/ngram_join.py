@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexvane.llm.common import shuffle_partitions, stored
+from lexvane.llm.common import shuffle_partitions, stored, whole_text
 from lexvane.llm.components import components
 from lexvane.llm.tokens import fresh
 
@@ -98,8 +98,8 @@ def ngram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-_CUT = "frag int, kind int, batch long, ids array<long>, ns array<long>, sigs array<binary>, toks binary, ords binary, hot binary, counts binary"
-_CUT_SCHEMA = pa.schema([("frag", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("sigs", pa.list_(pa.binary())), *[(c, pa.binary()) for c in ("toks", "ords", "hot", "counts")]])
+_CUT = "frag int, kind int, batch long, ids array<long>, marks array<long>, ns array<long>, sigs array<binary>, toks binary, ords binary, hot binary, counts binary"
+_CUT_SCHEMA = pa.schema([("frag", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("sigs", pa.list_(pa.binary())), *[(c, pa.binary()) for c in ("toks", "ords", "hot", "counts")]])
 _PART, _DOCS, _SHARED = 0, 1, 2
 
 
@@ -122,7 +122,7 @@ def _cut(batches: Iterator[pa.RecordBatch], p: NgramParams, fragments: int) -> I
     batch = TaskContext.get().partitionId() << 32
     for b in batches:
         for at, n in _slices(b.column(1), p.slice_bytes):
-            ids, sets = b.column(0).slice(at, n).to_pylist(), ngram_sets(b.column(1).slice(at, n), p.n)
+            ids, marks, sets = b.column(0).slice(at, n).to_pylist(), b.column(2).slice(at, n).to_pylist(), ngram_sets(b.column(1).slice(at, n), p.n)
             sigs = [hashlib.md5(s.tobytes()).digest() for s in sets]
             first: dict[bytes, int] = {}
             for k, s in enumerate(sigs):
@@ -137,7 +137,7 @@ def _cut(batches: Iterator[pa.RecordBatch], p: NgramParams, fragments: int) -> I
             often = runs >= p.local
             is_hot = np.repeat(often, runs)
             hot, counts = toks[starts[often]], runs[often].astype(np.uint32)
-            rows = [_row(frag=int(batch % fragments), kind=_DOCS, batch=batch, ids=ids, ns=[len(s) for s in sets], sigs=sigs, toks=_planes(toks[is_hot]), ords=ords[is_hot].tobytes())]
+            rows = [_row(frag=int(batch % fragments), kind=_DOCS, batch=batch, ids=ids, marks=marks, ns=[len(s) for s in sets], sigs=sigs, toks=_planes(toks[is_hot]), ords=ords[is_hot].tobytes())]
             toks, ords = toks[~is_hot], ords[~is_hot]
             bounds = np.array([(f << 64) // fragments for f in range(1, fragments)], np.uint64)
             cut = np.concatenate([[0], np.searchsorted(toks, bounds), [len(toks)]])
@@ -196,8 +196,8 @@ def _count_fragment(t: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-_FOUND = "id long, n long, sig binary, toks array<long>"
-_FOUND_SCHEMA = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("toks", pa.list_(pa.int64()))])
+_FOUND = "id long, mark long, n long, sig binary, toks array<long>"
+_FOUND_SCHEMA = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("toks", pa.list_(pa.int64()))])
 
 
 def _sum_batch(t: pa.Table, p: NgramParams) -> pa.Table:
@@ -225,7 +225,7 @@ def _sum_batch(t: pa.Table, p: NgramParams) -> pa.Table:
     upto = np.searchsorted(ord_, np.arange(len(ns) + 1))
     lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(tok))
     # Only the first document of each set in the batch carries n-grams; the others have an empty list.
-    return pa.Table.from_arrays([pa.array(docs["ids"], pa.int64()), pa.array(ns), pa.array(docs["sigs"], pa.binary()), lists], schema=_FOUND_SCHEMA)
+    return pa.Table.from_arrays([pa.array(docs["ids"], pa.int64()), pa.array(docs["marks"], pa.int64()), pa.array(ns), pa.array(docs["sigs"], pa.binary()), lists], schema=_FOUND_SCHEMA)
 
 
 def _alike(a: str, b: str, t: int):
@@ -306,15 +306,15 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: NgramParams = NgramParams()) -> DataFrame:
-    """One row per row of ``df``: id, n_shingles, component_id (least id of its component)."""
+    """One row per row of ``df``: id, n_shingles, component_id (least id of its component), text_mark (xxhash64 of the text, null as empty)."""
     p, t = params, params.threshold
-    src = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    src = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.xxhash64(whole_text(text_col)).alias("mark"))
     size = src.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
     fragments = max(4 * shuffle_partitions(df.sparkSession), -(-size // p.fragment_bytes))
     counted = src.mapInArrow(lambda it: _cut(it, p, fragments), _CUT).groupBy("frag").applyInArrow(_count_fragment, _CUT)
     found = stored(counted.groupBy("batch").applyInArrow(lambda x: _sum_batch(x, p), _FOUND), "ngram-found")
 
-    docs = found.select("id", "n", "sig")
+    docs = found.select("id", "mark", "n", "sig")
     sets = stored(found.where(F.size("toks") > 0).groupBy("sig", "n").agg(F.any_value("toks").alias("toks")), "ngram-sets")
     # The prefix of the rarest n - ceil(t n) + 1 n-grams, less those that no other document has.
     need = F.col("n") - F.ceil(F.col("n") * t / 100) + 1 - (F.col("n") - F.size("toks"))
@@ -358,4 +358,4 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tops = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     by_set = stored(joined.join(tops, "root").select("sig", "component_id"), "ngram-components")
     out = docs.join(by_set, "sig", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("mark").alias("text_mark"))

@@ -57,7 +57,7 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexvane.llm.ngram_join import NgramParams, ngram_components
 
-    return ngram_components(table(spark, sf_dir, "documents"), params=NgramParams(n=4, threshold=85))
+    return ngram_components(table(spark, sf_dir, "documents"), params=NgramParams(n=4, threshold=85)).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def brute(rows, n, t):
 
 
 def run(df, p):
-    return sorted((tuple(r) for r in ngram_components(df, params=p).collect()), key=str)
+    return sorted((tuple(r)[:3] for r in ngram_components(df, params=p).collect()), key=str)
 
 
 @pytest.mark.parametrize("n,t", [(4, 85), (5, 80)])

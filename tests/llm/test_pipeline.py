@@ -36,3 +36,11 @@ def test_odd_rows(spark, odd, nothing):
             docs.collect()
     assert cp.keep_one_of_each_group(spark, odd, SF).where("doc_id = 7").count() == 0
     assert cp.keep_one_of_each_group(spark, odd, SF).where("doc_id = 6").count() == 1
+
+
+def test_copies_under_repeated_ids(spark):
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, long), (3, "quite another text of its own with some words"), (3, long + " more"), (4, long), (4, long.replace("word7", "x")), (5, None), (5, ""), (5, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.keep_one_of_each_group(spark, docs, SF).select("doc_id", "text").collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == [(1, long), (3, rows[1][1]), (5, ""), (5, " ")]
