@@ -2,6 +2,11 @@
 
 Stages: toxic documents go; repeated lines go; one document of each group of near copies stays; sources are sampled to target
 weights; what is left is packed. Every stage but the last returns the columns of ``documents``, with n_chars as the text's length.
+
+Defined cases: null and empty texts are scored like any text without words, are one empty line, link with nothing and become one
+end id; rows without id are never learned from, lose no line to a row with an id that comes later, and are no copies of others;
+repeated rows pass the first two stages each and stay once in the third; empty tables give empty results; of other columns than
+those of ``documents`` none is kept; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lexvane.llm.common import stored, table
 from lexvane.llm.line_dedup import dedup_lines
-from lexvane.llm.mixing import mix
+from lexvane.llm.mixing import MixParams, mix
 from lexvane.llm.ngram_join import ngram_components
 from lexvane.llm.packing import pack_documents
 from lexvane.llm.toxicity import ToxicityParams, fit_on_labels, score_documents
@@ -35,16 +40,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group; equal rows once. Rows without id stay."""
-    groups = ngram_components(docs)
-    first = stored(groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "pipeline-first")
-    named = docs.where("doc_id IS NOT NULL").select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    """The document with the least id of each group; equal rows once. Texts without words stay, and rows without id.
+
+    Where one id has several texts, only those texts stay that are their group's first, one of them if several are of one group.
+    """
+    groups = ngram_components(docs).where(F.col("doc_id") == F.col("component_id"))
+    by_group = F.when(F.col("n_shingles") > 0, F.lit(None)).otherwise(F.col("text_mark")).alias("apart")
+    first = stored(groups.groupBy("doc_id", by_group).agg(F.min("text_mark").alias("mark")).select("doc_id", "mark"), "pipeline-first")
+    named = docs.where("doc_id IS NOT NULL").select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+    named = named.join(first, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"])
     return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def sample_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows drawn with probabilities calibrated to the target weights of sources, languages and topics."""
-    return mix(docs.select(*COLUMNS)).where("mix_keep").select(*COLUMNS)
+    """Rows drawn with probabilities calibrated to the target weights of sources, languages and topics.
+
+    At least 55 % of the tokens stay in expectation, so that a language with hardly any text does not take the rest with it.
+    """
+    return mix(docs.select(*COLUMNS), params=MixParams(least=0.55)).where("mix_keep").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
