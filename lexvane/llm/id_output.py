@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexvane.llm.common import shuffle_partitions, stored, workspace
+from lexvane.llm.common import lean, shuffle_partitions, stored, workspace
 from lexvane.llm.files import filesystem
 from lexvane.llm.tokens import encoder, ragged
 
@@ -193,11 +193,11 @@ def write_id_files(df: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     n_files = max(shuffle_partitions(spark), -(-size // file_bytes))
     # The row's number parts repeats of one row; rows of one id and text may stand in any order.
     ranged = src.withColumn("r", F.monotonically_increasing_id()).repartitionByRange(n_files, "id", F.xxhash64("t"), "r").sortWithinPartitions("id", "t").drop("r")
-    rows = stored(ranged.mapInArrow(lambda it: _provisional(it, tokenizer, end_id, folder), "part int, path string, ids array<int>, counts array<long>, doc_ids array<long>, lengths array<long>"), "id-rows")
+    rows = stored(ranged.mapInArrow(lambda it: lean(_provisional(it, tokenizer, end_id, folder)), "part int, path string, ids array<int>, counts array<long>, doc_ids array<long>, lengths array<long>"), "id-rows")
     ranks = _ranks(rows.select("ids", "counts"))
     width = max(encoder(tokenizer).size, end_id + 1)
     todo = rows.select("part", "path", "doc_ids", "lengths").repartition(shuffle_partitions(spark), "part")
-    files = stored(todo.mapInArrow(lambda it: _final(it, folder, ranks, width), "part int, path string, n_ids long"), "id-parts")
+    files = stored(todo.mapInArrow(lambda it: lean(_final(it, folder, ranks, width)), "part int, path string, n_ids long"), "id-parts")
     fs, _ = filesystem(folder)
     before, listing = 0, []
     for r in sorted(files.collect(), key=lambda r: r["part"]):  # one row a file
@@ -211,7 +211,7 @@ def write_id_files(df: DataFrame, tokenizer: str, folder: str, id_col: str = "do
 def read_id_files(files: DataFrame, folder: str) -> DataFrame:
     """A row for each document of the files: id, start, n_tokens, ids_crc32."""
     spread = files.select("path", "ids_before").repartition(shuffle_partitions(files.sparkSession), "path")
-    return spread.mapInArrow(lambda it: _read_back(it, folder), "id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(lambda it: lean(_read_back(it, folder)), "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_corpus(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:

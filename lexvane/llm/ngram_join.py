@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexvane.llm.common import shuffle_partitions, stored, whole_text
+from lexvane.llm.common import lean, shuffle_partitions, stored, whole_text
 from lexvane.llm.components import components
 from lexvane.llm.tokens import fresh
 
@@ -311,7 +311,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.xxhash64(whole_text(text_col)).alias("mark"))
     size = src.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
     fragments = max(4 * shuffle_partitions(df.sparkSession), -(-size // p.fragment_bytes))
-    counted = src.mapInArrow(lambda it: _cut(it, p, fragments), _CUT).groupBy("frag").applyInArrow(_count_fragment, _CUT)
+    counted = src.mapInArrow(lambda it: lean(_cut(it, p, fragments)), _CUT).groupBy("frag").applyInArrow(_count_fragment, _CUT)
     found = stored(counted.groupBy("batch").applyInArrow(lambda x: _sum_batch(x, p), _FOUND), "ngram-found")
 
     docs = found.select("id", "mark", "n", "sig")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexvane.llm.common import stored
+from lexvane.llm.common import lean, stored
 from lexvane.llm.tokens import encoder
 
 
@@ -127,7 +127,7 @@ def _pack_group(pdf: pd.DataFrame, p: PackParams) -> pd.DataFrame:
 def cut_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", params: PackParams = PackParams(), with_ids: bool = False) -> DataFrame:
     """A row for each piece of each document; ``with_ids`` adds the piece's ids as little-endian bytes."""
     schema = f"id {df.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(lambda it: _pieces(it, tokenizer, params, with_ids), schema)
+    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(lambda it: lean(_pieces(it, tokenizer, params, with_ids)), schema)
 
 
 def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", params: PackParams = PackParams()) -> DataFrame:

@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 _LATIN = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}"
 _TAIL = rf"([{_LATIN}])([,.%&*$#!?;:]+)(\s|$)"
 _PLAIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+$"
-_SLICE = 8 << 20
-_CACHE = 600_000
+_SLICE = 4 << 20
+_CACHE = 300_000
 _LOADED: dict[str, WordEncoder] = {}
 
 

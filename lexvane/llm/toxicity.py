@@ -35,12 +35,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexvane.llm.common import unused_name
+from lexvane.llm.common import lean, unused_name
 from lexvane.llm.tokens import fresh
 
 _SIZE = 36
 _OTHER, _START, _NONE = 28, 27, 255
 _LOW = -2.0
+#: Bytes of text that are taken at a time.
+_SLICE = 4 << 20
 _BLOCK = 20_000
 
 
@@ -394,7 +396,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: ToxicityModel, at: int) ->
         size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         scores, k = [np.zeros(0)], 0
         while k < len(texts):
-            z = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + (8 << 20), side="right")))
+            z = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + _SLICE, side="right")))
             scores.append(model.score(texts.slice(k, z - k)))
             k = z
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores))], [*b.schema.names, "score"])
@@ -407,12 +409,12 @@ def score_documents(df: DataFrame, model: ToxicityModel, text_col: str = "text")
     inner = df.toDF(*names)
     schema = inner.withColumn("score", F.lit(0.0)).schema
     at = df.columns.index(text_col)
-    return inner.mapInArrow(lambda it: _score(it, model, at), schema).toDF(*df.columns, name)
+    return inner.mapInArrow(lambda it: lean(_score(it, model, at)), schema).toDF(*df.columns, name)
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fit in one task on the bounded sample; the driver gets the model alone, a table of 46,656 numbers."""
-    found = training_rows(docs, labels, p, id_col, text_col, label_col).mapInArrow(lambda it: _fit(it, p), _FITTED).collect()
+    found = training_rows(docs, labels, p, id_col, text_col, label_col).mapInArrow(lambda it: lean(_fit(it, p)), _FITTED).collect()
     if not found:  # no rows, no partition
         return fit([], np.zeros(0, np.int64), p)
     row = found[0]

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from lexvane.llm.common import stored
+from lexvane.llm.common import lean, stored
 from lexvane.llm.components import components
 from lexvane.llm.tokens import ragged
 
@@ -273,7 +273,7 @@ def vector_components(df: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     nodes = stored(rows.where("node IS NOT NULL").groupBy("node", "label").agg(F.count(F.lit(1)).alias("m"), F.any_value("vec").alias("vec"), F.min("id").alias("least")), "vector-nodes")
     most = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
     p = replace(p, bits=min(62, max(p.bits, math.ceil(math.log2(most)) + p.spare)))
-    coded = stored(nodes.select("node", "label", "m", "vec").mapInArrow(lambda it: _codes(it, p, kind), "node binary, label string, m long, vec binary, code binary, factors binary, keys array<long>"), "vector-codes")
+    coded = stored(nodes.select("node", "label", "m", "vec").mapInArrow(lambda it: lean(_codes(it, p, kind)), "node binary, label string, m long, vec binary, code binary, factors binary, keys array<long>"), "vector-codes")
 
     # One bucket is a label, a dimension, a table and a key.
     at = coded.select("node", "label", F.octet_length("vec").alias("dim"), F.posexplode("keys").alias("t", "key"))
@@ -284,7 +284,7 @@ def vector_components(df: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     met = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("side", "o")).withColumn("j", F.greatest("side", "o"))
     met = stored(met.select("node", *bucket, "side", "i", "j"), "vector-met")
     groups = met.join(coded.drop("label", "keys"), "node").repartition(*[F.col(c) for c in _GROUP]).sortWithinPartitions(*_GROUP)
-    judged = stored(groups.mapInArrow(lambda it: _judged(it, p, kind), "a binary, b binary, links long"), "vector-links")
+    judged = stored(groups.mapInArrow(lambda it: lean(_judged(it, p, kind)), "a binary, b binary, links long"), "vector-links")
 
     roots = components(judged.select("a", "b"))
     counts = judged.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
