@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -140,21 +141,33 @@ def has_concept(text: Column, concept: str) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(p) for p in CONCEPTS[concept]])
 
 
-def concepts(c: Column) -> Column:
-    low = squeeze(F.lower(c))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _shown(low: Column) -> Column:
     return F.array_compact(F.array(*[F.when(has_concept(low, k), F.lit(k)) for k in CONCEPTS]))
 
 
+def _terms(low: Column, shown: Column) -> Column:
+    """Tokens that are no stop words, and the terms that the concepts ``shown`` add."""
+    own = F.filter(tokens(low), lambda t: ~t.isin(STOPWORDS))
+    added = F.flatten(F.array(*[F.when(F.array_contains(shown, k), F.array(*map(F.lit, ALIASES[k]))).otherwise(_none()) for k in CONCEPTS]))
+    return F.array_distinct(F.concat(own, added))
+
+
+def concepts(c: Column) -> Column:
+    return bound(squeeze(F.lower(c)), _shown)
+
+
 def lexical_terms(c: Column) -> Column:
     """Tokens that are no stop words, and the terms that the text's concepts add."""
-    low = squeeze(F.lower(c))
-    own = F.filter(tokens(low), lambda t: ~t.isin(STOPWORDS))
-    added = [F.when(has_concept(low, k), F.array(*map(F.lit, ALIASES[k]))).otherwise(_none()) for k in CONCEPTS]
-    return F.array_distinct(F.concat(own, *added))
+    return bound(squeeze(F.lower(c)), lambda low: bound(_shown(low), lambda shown: _terms(low, shown)))
 
 
 def semantic_terms(c: Column) -> Column:
-    return F.array_union(lexical_terms(c), concepts(c))
+    return bound(squeeze(F.lower(c)), lambda low: bound(_shown(low), lambda shown: F.array_union(_terms(low, shown), shown)))
 
 
 def clauses(q: Column) -> Column:
