@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexvane.functions.text import matches
 from lexvane.functions.vectors import dot
 
 SIMILARITY, TTL_SECONDS = 0.985, 86_400
@@ -20,9 +21,20 @@ def namespace(role: Column, jurisdiction: Column, corpus: str, retrieval: str, g
     return F.sha2(F.to_json(key, {"ignoreNullFields": "false"}), 256)
 
 
-def cacheable(outcome: Column, security_ranks: Column) -> Column:
-    """Answers alone, and only those whose cited sources are all public."""
-    return (outcome == "answered") & F.coalesce(F.size(security_ranks) > 0, F.lit(False)) & F.coalesce(F.forall(security_ranks, lambda r: r == 0), F.lit(False))
+# Fixed value: what names an exact source in a question; answers to such questions are not shared with similar ones.
+NAMES_SOURCE = r"\b(?:ecli:|artikel|article|art\.?|lid|paragraph)\b"
+
+
+def cacheable(outcome: Column, security_ranks: Column, grade: Column | None = None, query: Column | None = None) -> Column:
+    """Answers alone, and only those whose cited sources are all public.
+
+    With ``grade``: only those on relevant evidence. With ``query``: only those to questions that name no exact source.
+    """
+    public = F.coalesce(F.size(security_ranks) > 0, F.lit(False)) & F.coalesce(F.forall(security_ranks, lambda r: r == 0), F.lit(False))
+    may = (outcome == "answered") & public
+    if grade is not None:
+        may &= F.coalesce(grade == "relevant", F.lit(False))
+    return may if query is None else may & ~F.coalesce(matches(query, NAMES_SOURCE), F.lit(False))
 
 
 def live(cache: DataFrame, now: Column) -> DataFrame:

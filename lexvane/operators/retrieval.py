@@ -86,8 +86,13 @@ def indexed(chunks: DataFrame) -> DataFrame:
 
 
 def dense(requests: DataFrame, chunks: DataFrame, least: int = 0) -> DataFrame:
-    """Inner product of unit vectors. ``chunks`` has an ``embedding``; requests without one get the embedding of their query."""
+    """Inner product of unit vectors. ``chunks`` has an ``embedding``; requests without one get the embedding of their query.
+
+    Requests whose vector is zero get no results.
+    """
     asked = requests if "embedding" in requests.columns else requests.withColumn("embedding", embed(F.col("query")))
+    # A query without a single term has the zero vector: no chunk is near it.
+    asked = asked.where(F.exists("embedding", lambda x: x != 0))
     c = _with_fields(chunks)
     met = c.join(as_requests(asked), may_see())
     scored = met.select("query_id", "q_top_k", _chunk(c), dot(F.col("embedding"), F.col("q_embedding")).alias("dense_score"))

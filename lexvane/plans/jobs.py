@@ -118,9 +118,11 @@ class Service:
         if self.cache is not None:
             from lexvane.functions.vectors import embed
 
-            scope = F.array(F.concat(F.lit("as_of:"), F.coalesce(F.col("as_of_date").cast("string"), F.lit(""))))
+            # The date that holds is the one given or the one named in the question; the way of retrieval counts as well.
+            dated = with_as_of(asked)
+            scope = F.array(F.concat(F.lit("as_of:"), F.coalesce(F.col("as_of_date").cast("string"), F.lit("current"))), F.concat(F.lit("method:"), F.coalesce("method", F.lit("hybrid"))))
             key = C.namespace(F.col("role"), F.col("jurisdiction"), "corpus-1", "retrieval-1", "answer-1", scope, F.col("top_k"))
-            probe = asked.select("query_id", "query", key.alias("namespace"), embed(F.col("query")).alias("embedding")).persist()
+            probe = dated.select("query_id", "query", key.alias("namespace"), embed(F.col("query")).alias("embedding")).persist()
             if hit := C.probe(probe, self.cache, now).first():
                 return json.loads(hit["response"]) | {"cached": True}
         row = self.engine.answer(asked).first()

@@ -428,6 +428,17 @@ def cache_cacheable(spark, sf):
     return _chunks(spark, sf).select("chunk_id", C.cacheable(F.when(d % 2 == 0, "answered").otherwise("refused"), F.array("security_rank")).alias("may_keep"))
 
 
+@query(r"""SELECT conv_id, turn, conv_id % 3 <> 0 AND turn % 4 <> 3 AND conv_id % 5 <> 0
+  AND NOT regexp_matches(text || CASE WHEN conv_id % 2 = 0 THEN ' ART. 3' WHEN conv_id % 7 = 0 THEN ' Lid 2' ELSE ' articles' END, '(?i)\b(?:ecli:|artikel|article|art\.?|lid|paragraph)\b') AS may_keep FROM conversations""")
+def cache_may_keep(spark, sf):
+    """The whole rule, on every turn as a question: answered, on relevant evidence, from public sources, and naming no exact source."""
+    c = F.col("conv_id")
+    asked = F.concat("text", F.when(c % 2 == 0, " ART. 3").when(c % 7 == 0, " Lid 2").otherwise(" articles"))
+    outcome, grade = F.when(c % 3 != 0, "answered").otherwise("refused"), F.when(F.col("turn") % 4 != 3, "relevant").otherwise("ambiguous")
+    ranks = F.when(c % 5 != 0, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0), F.lit(2)))
+    return _table(spark, sf, "conversations").select("conv_id", "turn", C.cacheable(outcome, ranks, grade, asked).alias("may_keep"))
+
+
 def _cases(spark, sf) -> DataFrame:
     d = F.col("doc_id")
     kind = F.when(d % 4 == 0, "exact_lookup").when(d % 4 == 1, "semantic_lookup").when(d % 4 == 2, "unauthorized_role").otherwise("multi_part")
