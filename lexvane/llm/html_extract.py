@@ -42,6 +42,7 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _PARTS = re.compile(r"[^a-z]+")
 
 _PATH, _WORD, _NUM = 96, 48, 8
+_SHALLOW = 24
 DIM = _PATH + _WORD + _NUM
 
 
@@ -59,10 +60,11 @@ class HtmlParams:
 class Place:
     """An open element: its own words, those of them that no element above it has, and the element above."""
 
-    __slots__ = ("up", "words", "new", "_sum", "_tail")
+    __slots__ = ("up", "words", "new", "depth", "_sum", "_tail")
 
     def __init__(self, up: Place | None, words: tuple[str, ...], new: tuple[str, ...]) -> None:
         self.up, self.words, self.new, self._sum, self._tail = up, words, new, None, None
+        self.depth = up.depth + 1 if up else 1
 
     def __str__(self) -> str:
         """The words of all elements from the outermost one to this."""
@@ -93,6 +95,8 @@ class Place:
 
     def vector(self) -> np.ndarray:
         """Two hashed places for each word of the path, with signs; the words of the innermost elements once more on their own."""
+        if self.depth <= _SHALLOW:  # most paths are short and come again
+            return _path_vector(str(self))
         if self._sum is None:
             self._fill()
         return self._sum + _tail_vector(self._tail)
@@ -107,6 +111,12 @@ def _hashed(salt: str, word: str) -> np.ndarray:
     return v
 
 
+@lru_cache(maxsize=20_000)
+def _path_vector(path: str) -> np.ndarray:
+    words = path.split()
+    return sum((_hashed("p", w) for w in set(words)), np.zeros(_PATH, np.float32)) + _tail_vector(tuple(words[-3:]))
+
+
 @lru_cache(maxsize=50_000)
 def _tail_vector(tail: tuple[str, ...]) -> np.ndarray:
     return sum((_hashed("q", w) for w in set(tail)), np.zeros(_PATH, np.float32))

@@ -74,6 +74,9 @@ def test_deep_pages_cost_what_their_bytes_cost():
     assert len(deep) == 50_000 and {t for _, t, _ in deep} == {"x"}
     from lexvane.llm.html_extract import vectors
 
+    from lexvane.llm.html_extract import _path_vector
+
+    assert (deep[40][0].vector() == _path_vector(str(deep[40][0]))).all() and (deep[3][0].vector() == _path_vector(str(deep[3][0]))).all()
     v = vectors(deep)
     assert (v[100, :96] == v[-1, :96]).all() and time.process_time() - t0 < 20
     assert main_texts(["<div>" * 3000 + "<article><p>" + "one two three four five six. " * 9 + "</p></article>"], trained()) is not None
