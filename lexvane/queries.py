@@ -30,6 +30,7 @@ REQUESTS = [
     {"query_id": "q4", "query": "src0 > Artikel 0.0 > Lid 1", "role": "helpdesk"},
     {"query_id": "q5", "query": "Artikel 4.4", "role": "ghost"},
     {"query_id": "q6", "query": "src1", "role": "inspector", "source_types": ["case_law", "internal_policy"]},
+    {"query_id": "q7", "query": "ECLI:NL:HR:2003:53 after 2015", "role": "legal_counsel"},
 ]
 
 
@@ -65,13 +66,14 @@ _CHUNKS = """chunks AS (
     CASE WHEN doc_id % 4 = 0 THEN CAST(doc_id % 3 + 1 AS varchar) END AS paragraph,
     CASE WHEN doc_id % 4 = 1 THEN 'ECLI:NL:HR:' || (2000 + doc_id % 25) || ':' || doc_id END AS ecli
   FROM documents)"""
-_REQS = """reqs(query_id, role, as_of, types, ecli, article, paragraph, norm) AS (VALUES
-  ('q1', 'helpdesk', CAST(NULL AS date), CAST([] AS varchar[]), CAST(NULL AS varchar), '12.5', '1', 'artikel 12 5 lid 1'),
-  ('q2', 'legal_counsel', NULL, [], 'ECLI:NL:HR:2001:101', NULL, NULL, 'ecli nl hr 2001 101'),
-  ('q3', 'inspector', DATE '2024-06-15', [], NULL, '8.1', '2', 'artikel 8 1 lid 2'),
-  ('q4', 'helpdesk', NULL, [], NULL, '0.0', '1', 'src0 artikel 0 0 lid 1'),
-  ('q5', 'ghost', NULL, [], NULL, '4.4', NULL, 'artikel 4 4'),
-  ('q6', 'inspector', NULL, ['case_law', 'internal_policy'], NULL, NULL, NULL, 'src1'))"""
+_REQS = """reqs(query_id, role, as_of, types, ecli, article, paragraph, norm, named, asked_year) AS (VALUES
+  ('q1', 'helpdesk', CAST(NULL AS date), CAST([] AS varchar[]), CAST(NULL AS varchar), '12.5', '1', 'artikel 12 5 lid 1', true, NULL),
+  ('q2', 'legal_counsel', NULL, [], 'ECLI:NL:HR:2001:101', NULL, NULL, 'ecli nl hr 2001 101', true, 2001),
+  ('q3', 'inspector', DATE '2024-06-15', [], NULL, '8.1', '2', 'artikel 8 1 lid 2', true, NULL),
+  ('q4', 'helpdesk', NULL, [], NULL, '0.0', '1', 'src0 artikel 0 0 lid 1', true, NULL),
+  ('q5', 'ghost', NULL, [], NULL, '4.4', NULL, 'artikel 4 4', true, NULL),
+  ('q6', 'inspector', NULL, ['case_law', 'internal_policy'], NULL, NULL, NULL, 'src1', false, NULL),
+  ('q7', 'legal_counsel', NULL, [], 'ECLI:NL:HR:2003:53', NULL, NULL, 'ecli nl hr 2003 53 after 2015', true, 2015))"""
 _SEEN = """seen AS (
   SELECT q.*, c.*,
     CASE WHEN role NOT IN ('helpdesk', 'inspector', 'legal_counsel') THEN 'unknown_role'
@@ -83,7 +85,7 @@ _SEEN = """seen AS (
   FROM reqs q, chunks c)"""
 _NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 _LEX = f"""hits AS (
-  SELECT query_id, chunk_id, citation_path, source_type, text, ecli_hit, article_hit, path_hit, path_in,
+  SELECT query_id, chunk_id, citation_path, source_type, text, ecli, ecli_hit, article_hit, path_hit, path_in,
     300.0 * ecli_hit + 120.0 * article_hit + CASE WHEN paragraph_q IS NOT NULL THEN 20.0 ELSE 0 END * article_hit + 95.0 * path_hit + 55.0 * path_in AS lexical_score
   FROM (SELECT *, q_paragraph AS paragraph_q,
       CASE WHEN q_ecli = ecli THEN 1 ELSE 0 END AS ecli_hit,
@@ -124,6 +126,16 @@ def lexical_topk(spark, sf):
     return R.lexical(_requests(spark), _chunks(spark, sf)).select("query_id", F.col("rank").cast("bigint"), F.col("chunk.chunk_id").alias("chunk_id"), "lexical_score")
 
 
+@query(f"""WITH {_CHUNKS}, w(wanted) AS (VALUES ('src0 artikel 0 0 lid 1'), ('artikel 12 5'), ('lid 3')), n AS (SELECT *, {_NORM.format("citation_path")} AS norm FROM chunks)
+  SELECT wanted, source_type, count(*) FILTER (norm = wanted) AS same, count(*) FILTER (norm <> wanted) AS inside FROM n JOIN w ON contains(norm, wanted) GROUP BY 1, 2""")
+def citation_path_match(spark, sf):
+    """Citation paths that are what is wanted, or hold it, by normalised text."""
+    wanted = spark.createDataFrame([("src0 > Artikel 0.0 > Lid 1",), ("ARTIKEL 12.5",), ("Lid 3",)], "q string").select(T.match_norm(F.col("q")).alias("wanted"))
+    norm = T.match_norm(F.col("citation_path"))
+    met = _chunks(spark, sf).select("source_type", norm.alias("norm")).join(F.broadcast(wanted), F.contains("norm", "wanted"))
+    return met.groupBy("wanted", "source_type").agg(F.count_if(F.col("norm") == F.col("wanted")).alias("same"), F.count_if(F.col("norm") != F.col("wanted")).alias("inside"))
+
+
 @query(f"WITH {_CHUNKS}, {_REQS}, {_SEEN} SELECT query_id, access AS reason, count(*) AS n FROM seen GROUP BY ALL")
 def rbac_reason_counts(spark, sf):
     met = _chunks(spark, sf).join(SEC.as_requests(_requests(spark)), F.lit(True))
@@ -145,40 +157,12 @@ def validity_asof(spark, sf):
     return met.groupBy("day", "source_type").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("doc_id").cast("bigint")).alias("first_doc"))
 
 
-@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS double)) AS v FROM embeddings),
-  q AS (SELECT vec_id AS query_id, v AS w FROM e WHERE vec_id < 5),
-  s AS (SELECT query_id, vec_id, round(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 9) AS score FROM e, q)
-  SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
-def dense_knn_topk(spark, sf):
-    e = _table(spark, sf, "embeddings")
-    q = F.broadcast(e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("w")))
-    s = e.join(q, F.lit(True)).select("query_id", "vec_id", _r(V.cosine(F.col("embedding"), F.col("w"))).alias("score"))
-    return R.top(s, F.lit(10), F.desc("score"), F.col("vec_id")).withColumn("rank", F.col("rank").cast("bigint"))
-
-
-@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS double)) AS v FROM embeddings),
-  q AS (SELECT vec_id AS query_id, v AS w, label AS l FROM e WHERE vec_id < 5),
-  dense AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 9) DESC, vec_id) AS rank FROM e, q),
-  same AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS rank FROM e JOIN q ON label = l),
-  both_ AS (SELECT * FROM dense WHERE rank <= 100 UNION ALL SELECT * FROM same WHERE rank <= 50)
-  SELECT query_id, vec_id, rrf_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, vec_id) AS rank FROM
-    (SELECT query_id, vec_id, round(sum(CAST(1 AS double) / (60 + rank)), 9) AS rrf_score FROM both_ GROUP BY 1, 2)) WHERE rank <= 10""")
-def hybrid_rrf(spark, sf):
-    e = _table(spark, sf, "embeddings")
-    q = F.broadcast(e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("w"), F.col("label").alias("l")))
-    met = e.join(q, F.lit(True)).select("query_id", "vec_id", _r(V.cosine(F.col("embedding"), F.col("w"))).alias("score"))
-    dense = R.top(met, F.lit(100), F.desc("score"), F.col("vec_id")).select("query_id", "vec_id", "rank")
-    same = R.top(e.join(q, F.col("label") == F.col("l")).select("query_id", "vec_id"), F.lit(50), F.col("vec_id"))
-    fused = dense.unionByName(same).groupBy("query_id", "vec_id").agg(_r(F.sum(1.0 / (R.RRF_K + F.col("rank")))).alias("rrf_score"))
-    return R.top(fused, F.lit(10), F.desc("rrf_score"), F.col("vec_id")).withColumn("rank", F.col("rank").cast("bigint"))
-
-
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS double)) AS v FROM embeddings),
   q AS (SELECT vec_id AS query_id, v AS w FROM e WHERE vec_id % 100 = 0),
   s AS (SELECT query_id, vec_id, round(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 9) AS score FROM e, q)
   SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
-def dense_knn_topk_all(spark, sf):
-    """Every row whose id is divisible by 100 against all rows; ``dense_knn_topk`` asks for five, as its SQL does."""
+def dense_knn_topk(spark, sf):
+    """Every row whose id is divisible by 100 against all rows."""
     e = _table(spark, sf, "embeddings")
     return R.nearest(e, e.where("vec_id % 100 = 0"), 10).withColumn("score", _r("score")).withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -190,8 +174,8 @@ def dense_knn_topk_all(spark, sf):
   both_ AS (SELECT * FROM dense WHERE rank <= 100 UNION ALL SELECT * FROM same WHERE rank <= 50)
   SELECT query_id, vec_id, rrf_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, vec_id) AS rank FROM
     (SELECT query_id, vec_id, round(sum(CAST(1 AS double) / (60 + rank)), 9) AS rrf_score FROM both_ GROUP BY 1, 2)) WHERE rank <= 10""")
-def hybrid_rrf_all(spark, sf):
-    """As ``hybrid_rrf``, for every row whose id is divisible by 100."""
+def hybrid_rrf(spark, sf):
+    """Nearest rows and rows of the same label, fused, for every row whose id is divisible by 100."""
     e = _table(spark, sf, "embeddings")
     asked = e.where("vec_id % 100 = 0")
     dense = R.nearest(e, asked, 100).select("query_id", "vec_id", "rank")
@@ -257,9 +241,9 @@ def hash_embed(spark, sf):
 
 @query(f"""WITH {_CHUNKS}, {_REQS}, {_SEEN2}, {_LEX}, best AS (SELECT query_id, max(ecli_hit + article_hit + path_hit) AS most FROM lex WHERE rank <= 50 GROUP BY 1)
   SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY lexical_score - 55.0 * path_in DESC, CAST(1 AS double) / (60 + rank) DESC, chunk_id) AS bigint) AS rank
-  FROM lex JOIN best USING (query_id) WHERE rank <= 50 AND query_id <> 'q6' AND (most = 0 OR ecli_hit + article_hit + path_hit > 0)""")
+  FROM lex JOIN best USING (query_id) JOIN (SELECT query_id, named FROM reqs) USING (query_id) WHERE rank <= 50 AND (NOT named OR most = 0 OR ecli_hit + article_hit + path_hit > 0)""")
 def exact_priority_prune(spark, sf):
-    asked, chunks = _requests(spark).where("query_id <> 'q6'"), _chunks(spark, sf)
+    asked, chunks = _requests(spark), _chunks(spark, sf)
     by_terms = R.lexical(asked, chunks, R.LEXICAL_LIMIT)
     none = by_terms.where("false").select("query_id", "rank", "chunk", F.lit(0.0).alias("dense_score"))
     return R.fuse(asked, by_terms, none).select("query_id", F.col("chunk.chunk_id").alias("chunk_id"), F.col("rank").cast("bigint"))
@@ -269,25 +253,35 @@ def exact_priority_prune(spark, sf):
 
 
 @query(f"""WITH {_CHUNKS}, {_REQS}, {_SEEN}, {_SEEN2}, {_LEX},
-  top2 AS (SELECT query_id, max(lexical_score) FILTER (rank = 1) AS s1, max(lexical_score) FILTER (rank = 2) AS s2, max(ecli_hit + article_hit + path_hit) FILTER (rank = 1) AS exact1, max(ecli_hit + article_hit + path_hit) AS any_exact, least(max(rank), 10) AS n FROM lex WHERE rank <= 10 GROUP BY 1),
+  top2 AS (SELECT query_id, max(lexical_score) FILTER (rank = 1) AS s1, max(lexical_score) FILTER (rank = 2) AS s2, max(ecli_hit + article_hit + path_hit) FILTER (rank = 1) AS exact1, max(ecli_hit + article_hit + path_hit) AS any_exact, max(CAST(split_part(ecli, ':', 4) AS int)) FILTER (rank <= 2 AND ecli IS NOT NULL) AS decided, least(max(rank), 10) AS n FROM lex WHERE rank <= 10 GROUP BY 1),
   counts AS (SELECT query_id, count(*) FILTER (access <> 'authorized') AS denied, count(*) FILTER (access = 'authorized' AND scope = 'in_scope') AS cand, count(*) FILTER (access = 'authorized' AND scope = 'validity') AS invalid FROM seen GROUP BY 1)
-  SELECT query_id, CASE WHEN n IS NULL THEN 'irrelevant' WHEN as_of IS NOT NULL AND invalid > 0 AND query_id <> 'q6' AND any_exact = 0 THEN 'ambiguous' WHEN exact1 > 0 THEN 'relevant' WHEN s1 >= 20 AND s2 >= 20 AND abs(s1 - s2) <= 0.01 THEN 'ambiguous' WHEN s1 >= 55 THEN 'relevant' WHEN s1 >= 20 THEN 'ambiguous' ELSE 'irrelevant' END AS grade,
-    CASE WHEN n IS NULL AND denied > 0 AND cand = 0 THEN 'no_authorized_source' WHEN n IS NULL AND invalid > 0 AND cand = 0 THEN 'outdated_evidence' WHEN n IS NULL THEN 'insufficient_evidence' WHEN as_of IS NOT NULL AND invalid > 0 AND query_id <> 'q6' AND any_exact = 0 THEN 'outdated_evidence' WHEN exact1 > 0 THEN NULL WHEN s1 >= 20 AND s2 >= 20 AND abs(s1 - s2) <= 0.01 THEN 'conflicting_evidence' WHEN s1 >= 55 THEN NULL ELSE 'insufficient_evidence' END AS refusal_reason,
+  SELECT query_id, CASE WHEN n IS NULL THEN 'irrelevant' WHEN as_of IS NOT NULL AND invalid > 0 AND named AND any_exact = 0 THEN 'ambiguous' WHEN decided < asked_year THEN 'ambiguous' WHEN exact1 > 0 THEN 'relevant' WHEN s1 >= 20 AND s2 >= 20 AND abs(s1 - s2) <= 0.01 THEN 'ambiguous' WHEN s1 >= 55 THEN 'relevant' WHEN s1 >= 20 THEN 'ambiguous' ELSE 'irrelevant' END AS grade,
+    CASE WHEN n IS NULL AND denied > 0 AND cand = 0 THEN 'no_authorized_source' WHEN n IS NULL AND invalid > 0 AND cand = 0 THEN 'outdated_evidence' WHEN n IS NULL THEN 'insufficient_evidence' WHEN as_of IS NOT NULL AND invalid > 0 AND named AND any_exact = 0 THEN 'outdated_evidence' WHEN decided < asked_year THEN 'outdated_evidence' WHEN exact1 > 0 THEN NULL WHEN s1 >= 20 AND s2 >= 20 AND abs(s1 - s2) <= 0.01 THEN 'conflicting_evidence' WHEN s1 >= 55 THEN NULL ELSE 'insufficient_evidence' END AS refusal_reason,
     s1 AS top_score, coalesce(n, 0) AS n FROM reqs JOIN counts USING (query_id) LEFT JOIN top2 USING (query_id)""")
 def evidence_grade(spark, sf):
     asked = _requests(spark).withColumn("method", F.lit("lexical"))
     chunks = _chunks(spark, sf)
-    # Years named in identifiers are left out of this comparison: the tables' rulings have dates of their own.
-    out = E.grade(asked, R.lexical(asked, chunks.withColumn("decision_date", F.lit(None).cast("string"))), SEC.request_counts(asked, chunks))
+    out = E.grade(asked, R.lexical(asked, chunks), SEC.request_counts(asked, chunks))
     return out.select("query_id", "grade", "refusal_reason", "top_score", F.col("n").cast("bigint"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM conversations),
-  parts AS (SELECT conv_id, turn, q, list_distinct(list_transform(list_filter(string_split_regex(q, '(?i)\\s*(?:;|\\?|(?:\\s+(?:and|en)\\s+))\\s*'), lambda x: length(trim(x)) >= 12), lambda x: trim(x, ' .'))) AS p FROM t)
-  SELECT conv_id, turn, CASE WHEN len(p) >= 2 THEN 'decomposition' ELSE 'none' END AS strategy, CASE WHEN len(p) >= 2 THEN len(p) ELSE 0 END AS n FROM parts""")
+_QUESTION = """CASE conv_id % 6 WHEN 1 THEN text || ' under Artikel  ' || turn || '.1 lid 2 onderdeel b' WHEN 2 THEN 'artikel ' || (conv_id % 9)
+  WHEN 3 THEN 'What is an incoming employee: ' || text WHEN 4 THEN 'Maximum of the 30% ruling in ' || conv_id WHEN 5 THEN 'ECLI:NL:HR:2001:' || conv_id || ' or art. 3 lid 1' ELSE text END"""
+_RULES = ", ".join(f"CASE WHEN regexp_matches(q, '(?i){p}') THEN '{to}' END" for p, to in T.REWRITES)
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace({_QUESTION}, '\s+', ' ', 'g')) AS q FROM conversations),
+  p AS (SELECT conv_id, turn, q, list_transform(list_filter(string_split_regex(q, '(?i){T.CLAUSE_SPLIT}'), lambda x: length(trim(x)) >= 12), lambda x: trim(x, ' .')) AS parts,
+    list_filter(list_transform(list_concat(regexp_extract_all(q, '(?i){T.ECLI}'), regexp_extract_all(q, '(?i){T.ARTICLE_REF}')), lambda i: trim(i)), lambda i: lower(i) <> lower(q)) AS found,
+    list_filter([{_RULES}], lambda r: r IS NOT NULL) AS rules FROM t),
+  x AS (SELECT *, CASE WHEN len(list_distinct(parts)) >= 2 THEN 1 WHEN len(found) > 0 THEN 2 WHEN len(rules) > 0 THEN 3 ELSE 4 END AS k FROM p)
+  SELECT conv_id, turn, CASE k WHEN 1 THEN 'decomposition' WHEN 4 THEN 'none' ELSE 'structured_identifier' END AS strategy, k = 3 AS forced,
+    CASE k WHEN 1 THEN len(list_distinct(parts)) WHEN 2 THEN len(list_distinct(found)) WHEN 3 THEN len(rules) ELSE 0 END AS n,
+    CASE k WHEN 1 THEN parts[1] WHEN 2 THEN found[1] WHEN 3 THEN rules[1] END AS first FROM x""")
 def transform_plan(spark, sf):
-    c = _table(spark, sf, "conversations").withColumn("plan", plan(F.col("text")))
-    return c.select("conv_id", "turn", F.col("plan.strategy").alias("strategy"), F.size("plan.transformed").cast("bigint").alias("n"))
+    """Plans of every turn as a question: as it stands, with identifiers in it, as one, and as recurring questions."""
+    c = _table(spark, sf, "conversations").select("conv_id", "turn", plan(F.expr(_QUESTION)).alias("plan"))
+    return c.select("conv_id", "turn", F.col("plan.strategy").alias("strategy"), F.col("plan.forced").alias("forced"), F.size("plan.transformed").cast("bigint").alias("n"), F.try_element_at("plan.transformed", F.lit(1)).alias("first"))
 
 
 @query()
@@ -299,25 +293,33 @@ def corrective_two_pass(spark, sf):
 
 
 @query(f"""WITH {_CHUNKS}, {_REQS}, {_SEEN2}, {_LEX}, x AS (SELECT *, trim(regexp_replace(text, '[\\s\\x{{00a0}}]+', ' ', 'g')) AS flat, max(CASE WHEN rank = 1 THEN ecli_hit + article_hit + path_hit END) OVER (PARTITION BY query_id) AS exact1 FROM lex)
-  SELECT query_id, rank, chunk_id, split_part(citation_path, ' > ', 1) AS label,
+  SELECT query_id, rank, chunk_id, coalesce(ecli, split_part(citation_path, ' > ', 1)) AS label,
     CASE WHEN length(flat) <= 240 THEN flat ELSE rtrim(substring(flat, 1, 237)) || '...' END AS snippet
-  FROM x WHERE source_type <> 'case_law' AND rank <= CASE WHEN exact1 > 0 THEN 1 ELSE 2 END""")
+  FROM x WHERE rank <= CASE WHEN exact1 > 0 THEN 1 ELSE 2 END""")
 def answer_citations(spark, sf):
     asked = _requests(spark).withColumn("method", F.lit("lexical"))
     chunks = _chunks(spark, sf)
     out = E.answer(E.grade(asked, R.lexical(asked, chunks), SEC.request_counts(asked, chunks))).where("n > 0")
     some = out.select("query_id", F.posexplode(E.cited(F.col("rs"), F.col("is_exact"))).alias("i", "r"))
     cited = some.select("query_id", (F.col("i") + 1).cast("bigint").alias("rank"), "r.chunk.*")
-    return cited.where("source_type <> 'case_law'").select("query_id", "rank", "chunk_id", T.source_label(F.col("ecli"), F.col("citation_path")).alias("label"), T.snippet(F.col("text")).alias("snippet"))
+    return cited.select("query_id", "rank", "chunk_id", T.source_label(F.col("ecli"), F.col("citation_path")).alias("label"), T.snippet(F.col("text")).alias("snippet"))
 
 
 # ---- sources, chunking, text -------------------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, 'Heading' AS title, length(trim(text, chr(10) || ' ' || chr(9))) AS n_chars FROM documents WHERE trim(text, chr(10) || ' ' || chr(9)) <> ''""")
+@query(r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE 'left out' || chr(10) || '# Heading' || chr(10) || text || chr(10) || '## Next  part ' || chr(13) || chr(10) || text END AS c FROM documents),
+  h AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(chr(10) || regexp_replace(c, '\r\n?', chr(10), 'g'), '\n\s*##?[ \t]+(\S)', chr(1) || '\1', 'g'), chr(1))[2:],
+      lambda x: {'title': trim(split_part(x, chr(10), 1)), 'body': trim(substring(x, instr(x || chr(10), chr(10)) + 1), ' ' || chr(9) || chr(10))}), lambda s: s.body <> '') AS headed,
+    list_filter(list_transform(string_split(c, chr(10) || chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '') AS paras FROM t),
+  s AS (SELECT doc_id, unnest(CASE WHEN len(headed) > 0 THEN headed ELSE list_transform(paras, lambda x, i: {'title': CASE WHEN len(paras) = 1 THEN 'Body' ELSE 'Paragraph ' || i END, 'body': x}) END) AS s FROM h)
+  SELECT doc_id, s.title AS title, length(s.body) AS n_chars FROM s""")
 def markdown_sections(spark, sf):
-    d = _table(spark, sf, "documents").where(~F.col("text").rlike(r"(^|\n)\s*##?[ \t]"))
-    return d.select("doc_id", F.explode(sections(F.concat(F.lit("left out\n# Heading\n"), F.col("text")))).alias("s")).select("doc_id", F.col("s.title").alias("title"), F.length("s.body").cast("bigint").alias("n_chars"))
+    """Every text cut at its headings: a third as it stands, the others under two headings."""
+    d = F.col("doc_id")
+    headed = F.concat(F.lit("left out\n# Heading\n"), F.col("text"), F.lit("\n## Next  part \r\n"), F.col("text"))
+    cut = _table(spark, sf, "documents").select("doc_id", F.explode(sections(F.when(d % 3 == 0, F.col("text")).otherwise(headed))).alias("s"))
+    return cut.select("doc_id", F.col("s.title").alias("title"), F.length("s.body").cast("bigint").alias("n_chars"))
 
 
 @query("""SELECT doc_id, i AS part, trim(ps[i], chr(10) || ' ' || chr(9)) AS body FROM (SELECT doc_id, ps, unnest(generate_series(1, len(ps))) AS i FROM
@@ -333,11 +335,11 @@ def token_counts(spark, sf):
     return t.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
-@query("""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9%:.+-]+')) AS token FROM benchmark)
-  SELECT gram, count(*) AS n FROM (SELECT unnest(CASE WHEN length(token) < 3 THEN [token] ELSE list_transform(generate_series(1, length(token) - 2), lambda i: substring(token, i, 3)) END) AS gram FROM t) GROUP BY 1""")
+@query("""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9%:.+-]+')) AS token FROM documents), k AS (SELECT token, count(*) AS n FROM t GROUP BY 1)
+  SELECT gram, CAST(sum(n) AS bigint) AS n FROM (SELECT n, unnest(CASE WHEN length(token) < 3 THEN [token] ELSE list_transform(generate_series(1, length(token) - 2), lambda i: substring(token, i, 3)) END) AS gram FROM k) GROUP BY 1""")
 def trigram_counts(spark, sf):
-    t = _table(spark, sf, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("token"))
-    return t.select(F.explode(T.trigrams(F.col("token"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    t = _table(spark, sf, "documents").select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k"))
+    return t.select("k", F.explode(T.trigrams(F.col("token"))).alias("gram")).groupBy("gram").agg(F.sum("k").alias("n"))
 
 
 @query("""SELECT c_custkey, coalesce(nullif(trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'item') AS slug, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS norm,
@@ -355,6 +357,15 @@ def first_wins_dedup(spark, sf):
     return sinks.merge_documents(parts).select("doc_id", "lang", "src")
 
 
+@query(f"WITH {_CHUNKS} SELECT chunk_id, source_type, jurisdiction, security_rank FROM chunks")
+def union_all_sources(spark, sf):
+    """The four kinds of source, put together again."""
+    c = _chunks(spark, sf)
+    parts = [c.where(F.col("source_type") == k) for k in S.SOURCE_TYPES]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return every.select("chunk_id", "source_type", "jurisdiction", F.col("security_rank"))
+
+
 @query(f"WITH {_CHUNKS} SELECT source_type, count(*) AS n FROM chunks GROUP BY ROLLUP (source_type)")
 def count_by_source(spark, sf):
     c = _chunks(spark, sf)
@@ -465,14 +476,24 @@ def eval_metrics(spark, sf):
 
 
 @query(
-    f"WITH {_METRICS} "
+    f"WITH {_METRICS}, {_METRICS.replace('m AS', 'b AS', 1).replace('quality = 1', 'toxic <> 1')} "
     + " UNION ALL ".join(f"SELECT '{m}' AS metric, '{k}' AS kind, round({m}, 9) AS value, {b}::double AS bound, {m} {'<=' if k == 'max' else '>='} {b}::double AS passed FROM m" for m, k, b in EV.THRESHOLDS)
     + " UNION ALL "
-    + " UNION ALL ".join(f"SELECT '{m}' AS metric, 'regression' AS kind, round({m}, 9) AS value, round({m} - 0.05::double, 9) AS bound, true AS passed FROM m" for m in EV.REGRESSIONS)
+    + " UNION ALL ".join(f"SELECT '{m}' AS metric, 'regression' AS kind, round(m.{m}, 9) AS value, round(b.{m} - 0.05::double, 9) AS bound, m.{m} >= b.{m} - 0.05::double AS passed FROM m, b" for m in EV.REGRESSIONS)
 )
 def promotion_gate(spark, sf):
-    report = EV.metrics(_cases(spark, sf))
-    return EV.promotion(report, report).select("metric", "kind", _r("value").alias("value"), _r("bound").alias("bound"), "passed")
+    cases = _cases(spark, sf)
+    before = EV.metrics(cases.withColumn("passed", ~F.col("unauthorized_retrieval_failure")))
+    return EV.promotion(EV.metrics(cases), before).select("metric", "kind", _r("value").alias("value"), _r("bound").alias("bound"), "passed")
+
+
+@query(rf"""WITH {_CHUNKS}, t AS (SELECT *, trim(regexp_replace(lower(citation_path), '\s+', ' ', 'g')) AS path, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS said, 'artikel ' || (d % 11) || '.' || (d % 3) AS bad FROM chunks)
+  SELECT d AS doc_id, coalesce(contains(path, bad) OR contains(said, bad) OR contains(path, 'src3 > artikel 5') OR contains(said, 'src3 > artikel 5'), contains(path, bad) OR contains(path, 'src3 > artikel 5')) OR d % 50 = 7 * d % 50 AS leak FROM t""")
+def leak_check(spark, sf):
+    """Whether what is forbidden - two citations and an id for each document - was cited, retrieved or said."""
+    d = F.col("doc_id").cast("bigint")
+    bad = F.array(F.concat(F.lit("ARTIKEL  "), d % 11, F.lit("."), d % 3), F.lit("Src3 > Artikel 5"))
+    return _chunks(spark, sf).select(d.alias("doc_id"), EV.leaks(F.array("citation_path"), F.array((d % 50).cast("string")), F.col("text"), bad, F.array((7 * d % 50).cast("string"))).alias("leak"))
 
 
 @query("""WITH n AS (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents)

@@ -24,13 +24,13 @@ def test_every_hundredth_vector_meets_all(spark, monkeypatch, size, block):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     asked = {r.vec_id for r in rows if r.vec_id % 100 == 0}
     want, got = _brute(rows, asked, 10), {}
-    for r in sorted(QUERIES["dense_knn_topk_all"](spark, SF).collect(), key=lambda r: r["rank"]):
+    for r in sorted(QUERIES["dense_knn_topk"](spark, SF).collect(), key=lambda r: r["rank"]):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got.keys() == asked and len(asked) == 5
     for q, best in want.items():
         assert [v for v, _ in got[q]] == [v for v, _ in best] and np.allclose([s for _, s in got[q]], [s for _, s in best], atol=2e-9)
     label, near, fused = {r.vec_id: r.label for r in rows}, _brute(rows, asked, 100), {}
-    for r in sorted(QUERIES["hybrid_rrf_all"](spark, SF).collect(), key=lambda r: r["rank"]):
+    for r in sorted(QUERIES["hybrid_rrf"](spark, SF).collect(), key=lambda r: r["rank"]):
         fused.setdefault(r.query_id, []).append(r.vec_id)
     assert fused.keys() == asked
     for q in asked:
