@@ -5,7 +5,9 @@ The cache is a table: namespace, seq, query, embedding, response (JSON), expires
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexvane.functions.text import matches
@@ -50,9 +52,13 @@ def probe(requests: DataFrame, cache: DataFrame, now: Column, threshold: float =
 
 
 def put(cache: DataFrame, answers: DataFrame, now: Column, ttl: int = TTL_SECONDS) -> DataFrame:
-    """The live cache with the cacheable answers after it. Answers: namespace, query, embedding, outcome, security_ranks, response."""
+    """The live cache with the cacheable answers after it.
+
+    Answers: namespace, query, embedding, outcome, security_ranks, response; with a grade, the whole rule of what may be kept holds.
+    """
     last = cache.agg(F.coalesce(F.max("seq"), F.lit(0).cast("long"))).first()[0]
-    new = answers.where(cacheable(F.col("outcome"), F.col("security_ranks")))
+    whole = [F.col("grade"), F.col("query")] if "grade" in answers.columns else []
+    new = answers.where(cacheable(F.col("outcome"), F.col("security_ranks"), *whole))
     new = new.select("namespace", (F.lit(last + 1) + F.monotonically_increasing_id()).cast("long").alias("seq"), "query", "embedding", "response", (now + F.expr(f"INTERVAL {ttl} SECONDS")).alias("expires_at"))
     return live(cache, now).unionByName(new)
 
@@ -66,6 +72,51 @@ def tolerant(raw: Column) -> Column:
     return F.from_json(raw, "query string, embedding array<double>, response string, expires_at double", {"mode": "PERMISSIVE"})
 
 
+class TableCache:
+    """Answers kept as Parquet in a folder that sessions share, by the day they expire on and by namespace.
+
+    A put appends one small file; a probe reads the folders of its namespaces alone; what expired goes by whole days.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def _hadoop(self, *parts: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def entries(self) -> DataFrame:
+        fs, at = self._hadoop()
+        if not fs.exists(at):
+            return self.spark.createDataFrame([], CACHE)
+        return self.spark.read.schema(f"{CACHE}, day date").parquet(self.path).where(F.col("day") >= F.current_date()).drop("day")
+
+    def get(self, requests: DataFrame, now: Column | None = None, threshold: float = SIMILARITY) -> DataFrame:
+        """As ``probe``. Requests: query_id, namespace, embedding; their namespaces decide which folders are read."""
+        names = [r[0] for r in requests.select("namespace").distinct().collect()]  # one for each kind of request in a batch
+        return probe(requests, self.entries().where(F.col("namespace").isin(names)), F.current_timestamp() if now is None else now, threshold)
+
+    def put(self, answers: DataFrame, now: Column | None = None, ttl: int = TTL_SECONDS) -> None:
+        """Appends the answers that may be kept. Columns as for the function ``put``, with the grade; entries are in order of time."""
+        now = F.current_timestamp() if now is None else now
+        may = answers.where(cacheable(F.col("outcome"), F.col("security_ranks"), F.col("grade"), F.col("query")))
+        new = may.select("namespace", F.unix_micros(now).alias("seq"), "query", "embedding", "response", (now + F.expr(f"INTERVAL {ttl} SECONDS")).alias("expires_at"))
+        new.withColumn("day", F.to_date("expires_at")).write.mode("append").partitionBy("day", "namespace").parquet(self.path)
+
+    def clear(self, namespace: str) -> None:
+        """Removes the entries of one namespace."""
+        fs, at = self._hadoop(f"day=*/namespace={namespace}")
+        for found in fs.globStatus(at) or []:
+            fs.delete(found.getPath(), True)
+
+    def purge(self, today: datetime.date | None = None) -> None:
+        """Removes the days on which everything has expired."""
+        fs, at = self._hadoop("day=*")
+        for found in fs.globStatus(at) or []:
+            if found.getPath().getName().removeprefix("day=") < (today or datetime.date.today()).isoformat():
+                fs.delete(found.getPath(), True)
+
+
 BACKENDS = {"none": None, "disabled": None, "off": None, "in_memory": "table", "memory": "table", "redis": "table"}
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexvane.functions import text as T
+from lexvane.functions.schemas import CLEARANCE
 from lexvane.functions.vectors import dot, embed, ratio
 from lexvane.operators.security import as_requests, may_see, with_rank
 
@@ -44,7 +45,7 @@ def top(df: DataFrame, limit: Column, *order: Column) -> DataFrame:
     return ranked.where(F.col("rank") <= limit)
 
 
-def lexical(requests: DataFrame, chunks: DataFrame, least: int = 0) -> DataFrame:
+def lexical(requests: DataFrame, chunks: DataFrame, least: int = 0, clearance: dict[str, str] = CLEARANCE) -> DataFrame:
     """Exact identifiers and citation paths. The best max(top_k, least) of each request."""
     asked = requests.withColumn("terms", T.query_terms(F.col("query"))).withColumn("norm", T.match_norm(F.col("query")))
     c = _with_fields(chunks).withColumn("path_norm", T.match_norm(F.col("citation_path")))
@@ -56,7 +57,7 @@ def lexical(requests: DataFrame, chunks: DataFrame, least: int = 0) -> DataFrame
     path_part = (F.col("q_norm") != "") & ~path_same & F.contains("path_norm", "q_norm")
     ecli = F.coalesce(t("ecli") == F.upper("ecli"), F.lit(False))
     hit = ~(article & (wrong_paragraph | wrong_sub)) & (ecli | article | path_same | path_part)
-    met = c.join(as_requests(asked), may_see() & hit)
+    met = c.join(as_requests(asked), may_see(clearance) & hit)
     scored = met.select(
         "query_id", "q_top_k", _chunk(c),
         F.when(ecli, 300.0).alias(EXACT[0]),
@@ -85,7 +86,7 @@ def indexed(chunks: DataFrame) -> DataFrame:
     return c.withColumn("embedding", embed(text))
 
 
-def dense(requests: DataFrame, chunks: DataFrame, least: int = 0) -> DataFrame:
+def dense(requests: DataFrame, chunks: DataFrame, least: int = 0, clearance: dict[str, str] = CLEARANCE) -> DataFrame:
     """Inner product of unit vectors. ``chunks`` has an ``embedding``; requests without one get the embedding of their query.
 
     Requests whose vector is zero get no results.
@@ -94,7 +95,7 @@ def dense(requests: DataFrame, chunks: DataFrame, least: int = 0) -> DataFrame:
     # A query without a single term has the zero vector: no chunk is near it.
     asked = asked.where(F.exists("embedding", lambda x: x != 0))
     c = _with_fields(chunks)
-    met = c.join(as_requests(asked), may_see())
+    met = c.join(as_requests(asked), may_see(clearance))
     scored = met.select("query_id", "q_top_k", _chunk(c), dot(F.col("embedding"), F.col("q_embedding")).alias("dense_score"))
     return top(scored, F.greatest(F.col("q_top_k"), F.lit(least)), F.desc("dense_score"), F.col("chunk.chunk_id")).drop("q_top_k")
 
@@ -240,7 +241,20 @@ def cross_encoder(load: Callable[[], Callable[[list[tuple[str, str]]], list[floa
     return rerank
 
 
-RERANKERS: dict[str, Callable[[DataFrame], DataFrame]] = {"deterministic": deterministic}
+# Fixed value: the model that is loaded where none is given.
+CROSS_ENCODER = "BAAI/bge-reranker-v2-m3"
+
+
+def load_cross_encoder(model: str = CROSS_ENCODER) -> Callable[[list[tuple[str, str]]], list[float]]:
+    """The predictor of an installed cross-encoder package; RuntimeError where there is none."""
+    try:
+        from sentence_transformers import CrossEncoder
+    except ImportError as e:
+        raise RuntimeError("the cross_encoder reranker needs the package sentence-transformers on every worker") from e
+    return CrossEncoder(model).predict
+
+
+RERANKERS: dict[str, Callable[[DataFrame], DataFrame]] = {"deterministic": deterministic, "cross_encoder": cross_encoder(load_cross_encoder)}
 
 
 def reranker(name: str) -> Callable[[DataFrame], DataFrame]:
@@ -249,9 +263,9 @@ def reranker(name: str) -> Callable[[DataFrame], DataFrame]:
     return RERANKERS[name]
 
 
-def hybrid(requests: DataFrame, chunks: DataFrame, rerank: Callable[[DataFrame], DataFrame] | None = deterministic) -> DataFrame:
+def hybrid(requests: DataFrame, chunks: DataFrame, rerank: Callable[[DataFrame], DataFrame] | None = deterministic, clearance: dict[str, str] = CLEARANCE) -> DataFrame:
     """Both ways fused; queries without identifiers reranked within the window; top_k of each request."""
-    fused = fuse(requests, lexical(requests, chunks, LEXICAL_LIMIT), dense(requests, chunks, DENSE_LIMIT))
+    fused = fuse(requests, lexical(requests, chunks, LEXICAL_LIMIT, clearance), dense(requests, chunks, DENSE_LIMIT, clearance))
     if rerank is None:
         return fused.where(F.col("rank") <= F.col("top_k")).drop("query", "top_k")
     scored = rerank(fused)

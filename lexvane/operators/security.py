@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 
 from lexvane.functions.schemas import CLASSIFICATIONS, CLEARANCE, classification_rank
 
+# Where access is decided, and what it protects.
+STAGE = "pre_retrieval"
+SURFACES = ("lexical", "dense", "fusion", "reranking", "generation", "cache", "evaluation")
+
+
+def checked_contract(stage: str = STAGE, surfaces: tuple[str, ...] = SURFACES) -> tuple[str, tuple[str, ...]]:
+    """The contract, or ValueError: access is decided before retrieval and nowhere else, for some of the known surfaces at least."""
+    if stage != STAGE:
+        raise ValueError(f"access must be decided in {STAGE!r}, so that what may not be seen is never scored; got {stage!r}")
+    if not surfaces or set(surfaces) - set(SURFACES):
+        raise ValueError(f"surfaces must be some of {SURFACES}; got {tuple(surfaces)!r}")
+    return stage, tuple(surfaces)
+
+
 #: Requests are broadcast; a batch of more than this is refused rather than sent to every executor.
 MOST_REQUESTS = 20_000
 
@@ -54,27 +68,27 @@ def as_requests(requests: DataFrame) -> DataFrame:
     return F.broadcast(requests.select(*[F.col(c).alias(f"q_{c}") if c != "query_id" else F.col(c) for c in requests.columns]))
 
 
-def access_of() -> Column:
-    return access_reason(F.col("q_role"), F.col("allowed_roles"), F.col("security_rank"))
+def access_of(clearance: dict[str, str] = CLEARANCE) -> Column:
+    return access_reason(F.col("q_role"), F.col("allowed_roles"), F.col("security_rank"), clearance)
 
 
 def scope_of() -> Column:
     return scope_reason(*[F.col(c) for c in ("q_source_types", "q_jurisdiction", "q_as_of_date", "source_type", "jurisdiction", "valid_from", "valid_to")])
 
 
-def may_see() -> Column:
+def may_see(clearance: dict[str, str] = CLEARANCE) -> Column:
     """Access and scope of a joined request and chunk, in one condition."""
-    return (access_of() == "authorized") & (scope_of() == "in_scope")
+    return (access_of(clearance) == "authorized") & (scope_of() == "in_scope")
 
 
-def request_counts(requests: DataFrame, chunks: DataFrame) -> DataFrame:
+def request_counts(requests: DataFrame, chunks: DataFrame, clearance: dict[str, str] = CLEARANCE) -> DataFrame:
     """For each request: chunks in all, denied, out of scope by first reason, and candidates.
 
     Chunks are first counted by what the filters look at, so the work with requests does not grow with the corpus.
     """
     keys = ["allowed_roles", "security_rank", "source_type", "jurisdiction", "valid_from", "valid_to"]
     kinds = with_rank(chunks).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    met = kinds.join(as_requests(requests), F.lit(True)).withColumn("access", access_of()).withColumn("scope", F.when(F.col("access") == "authorized", scope_of()))
+    met = kinds.join(as_requests(requests), F.lit(True)).withColumn("access", access_of(clearance)).withColumn("scope", F.when(F.col("access") == "authorized", scope_of()))
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
     counted = met.groupBy("query_id").agg(
         F.sum("n").cast("long").alias("total_chunk_count"),

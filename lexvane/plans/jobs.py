@@ -19,13 +19,20 @@ from lexvane.operators import evidence as E
 from lexvane.operators import retrieval as R
 from lexvane.operators.chunking import chunk_texts, read_xml
 from lexvane.operators.security import request_counts
-from lexvane.plans.engine import Engine, requests_of, with_as_of
-from lexvane.sources import readers, sinks
+from lexvane.plans.engine import Engine, plan, requests_of, with_as_of
+from lexvane.sources import download, readers, sinks
+
+
+TARGET_MS = 1500.0
 
 
 def build_chunks(spark: SparkSession, raw: str, out: str | None = None) -> DataFrame:
-    """Chunks of laws, cases, policies and lessons under ``raw``; written by source type where ``out`` is given."""
-    parts = [read_xml(spark, f"{raw}/{d}", k).where("error IS NULL").select(*CHUNK.fieldNames()) for d, k in (("laws", "legislation"), ("cases", "case_law")) if _has(spark, f"{raw}/{d}")]
+    """Chunks of laws, cases, policies and lessons under ``raw``; written by source type where ``out`` is given.
+
+    Files that are no XML give no chunks; with ``out`` their paths and errors are written beside it, in ``<out>-rejected``.
+    """
+    read = [read_xml(spark, f"{raw}/{d}", k) for d, k in (("laws", "legislation"), ("cases", "case_law")) if _has(spark, f"{raw}/{d}")]
+    parts = [x.where("error IS NULL").select(*CHUNK.fieldNames()) for x in read]
     parts += [chunk_texts(readers.read_fixtures(spark, f"{raw}/{d}", d)) for d in ("internal_policy", "e_learning") if _has(spark, f"{raw}/{d}")]
     if not parts:
         raise ValueError(f"nothing to read under {raw}")
@@ -34,6 +41,9 @@ def build_chunks(spark: SparkSession, raw: str, out: str | None = None) -> DataF
         every = every.unionByName(p)
     if out:
         sinks.write_chunks(every, out, "overwrite")
+        if read:
+            bad = [x.where("error IS NOT NULL").select("source_type", "source_path", "error") for x in read]
+            sinks.write_json_lines(bad[0] if len(bad) == 1 else bad[0].unionByName(bad[1]), f"{out}-rejected", "overwrite")
     return every
 
 
@@ -42,21 +52,23 @@ def _has(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def run_eval(spark: SparkSession, chunks: DataFrame, gold: DataFrame, out: str | None = None, baseline: DataFrame | None = None) -> tuple[DataFrame, DataFrame, bool]:
-    """Cases, the report, and whether all checks pass."""
+def run_eval(spark: SparkSession, chunks: DataFrame, gold: DataFrame, out: str | None = None, baseline: DataFrame | None = None, label: str = "candidate") -> tuple[DataFrame, DataFrame, bool]:
+    """Cases, the report, and whether all checks pass. With ``out``: report, cases and the decision on ``label`` are written there."""
     engine = Engine.from_chunks(chunks)
     asked = requests_of(spark, [{"query_id": r["case_id"], "query": r["query"], "role": r["role"]} for r in gold.select("case_id", "query", "role").collect()])
     cases = EV.evaluate(gold, engine.answer(asked).withColumnRenamed("query_id", "case_id"), chunks).persist()
     report = EV.metrics(cases).persist()
-    checks = EV.promotion(report, baseline).collect()
+    decision = EV.promotion(report, baseline).persist()
+    checks = decision.collect()  # a row for each metric
     if out:
         stamp = datetime.datetime.now(datetime.UTC).strftime("%Y%m%dT%H%M%SZ")
         sinks.write_report(report, cases, f"{out}/eval-{stamp}")
+        sinks.write_json_lines(decision.withColumn("label", F.lit(label)), f"{out}/decision-{label}", "overwrite")
     return cases, report, all(c["passed"] for c in checks)
 
 
-def run_latency(spark: SparkSession, chunks: DataFrame, gold: DataFrame, times: int = 1, limit: int | None = None) -> tuple[DataFrame, dict]:
-    """Stage timings of each case, retrieved on its own, and their report against 1500 ms."""
+def run_latency(spark: SparkSession, chunks: DataFrame, gold: DataFrame, times: int = 1, limit: int | None = None, out: str | None = None) -> tuple[DataFrame, dict]:
+    """Stage timings of each case, retrieved on its own, and their report against 1500 ms; both written where ``out`` is given."""
     index = R.indexed(readers.stress(chunks, times)).persist()
     index.count()
     rows = []
@@ -67,7 +79,11 @@ def run_latency(spark: SparkSession, chunks: DataFrame, gold: DataFrame, times:
         def lap(name, marks=marks):
             marks[name] = (time.perf_counter() - start) * 1000 - sum(marks.values())
 
-        asked = with_as_of(asked)
+        plans = asked.select(plan(F.col("query"))["strategy"].alias("s")).first()["s"]
+        lap("query_planning_ms")
+        asked = with_as_of(asked).persist()
+        asked.count()
+        lap("request_scoping_ms")
         counts = request_counts(asked, index).persist()
         counts.count()
         lap("security_filter_ms")
@@ -83,16 +99,24 @@ def run_latency(spark: SparkSession, chunks: DataFrame, gold: DataFrame, times:
         ranked = R.deterministic(fused).drop("query", "top_k").persist()
         ranked.count()
         lap("reranking_ms")
+        retrieval = sum(marks.values()) - marks["query_planning_ms"]
         graded = E.grade(asked, ranked, counts).persist()
         graded.count()
         lap("evidence_grading_ms")
-        E.answer(graded).collect()
+        said = E.answer(graded).first()
         lap("answer_build_ms")
-        for df in (counts, terms, near, fused, ranked, graded):
+        total = sum(marks.values())
+        for df in (asked, counts, terms, near, fused, ranked, graded):
             df.unpersist()
-        rows.append((case["case_id"], *[marks.get(s) for s in EV.STAGES[:-1]], sum(marks.values())))
-    cases = spark.createDataFrame(rows, "case_id string, " + ", ".join(f"{s} double" for s in EV.STAGES))
-    return cases, EV.latency_report(cases).first().asDict() | EV.stage_averages(cases).first().asDict()
+        marks |= {"retrieval_total_ms": retrieval, "total_ms": total}
+        rows.append((case["case_id"], case["category"], said["outcome"], said["grade"], plans, said["n"], total <= TARGET_MS, *[round(marks[s], 3) for s in EV.STAGES]))
+    index.unpersist()
+    cases = spark.createDataFrame(rows, "case_id string, category string, outcome string, grade string, strategy string, result_count int, target_met boolean, " + ", ".join(f"{s} double" for s in EV.STAGES))
+    report = EV.latency_report(cases, target=TARGET_MS).crossJoin(EV.stage_averages(cases).withColumnsRenamed({s: f"avg_{s}" for s in EV.STAGES}))  # one row each
+    if out:
+        stamp = datetime.datetime.now(datetime.UTC).strftime("%Y%m%dT%H%M%SZ")
+        sinks.write_report(report, cases, f"{out}/latency-{stamp}")
+    return cases, report.first().asDict()
 
 
 def render(r) -> str:
@@ -104,12 +128,16 @@ def render(r) -> str:
 
 
 class Service:
-    """Answers over one chunk table, with an optional cache table kept in the session."""
+    """Answers over one chunk table, ``times`` each chunk for stress, with an optional cache of answers.
+
+    With ``cache_path`` the answers are kept in that folder, for all services that name it; else in this session alone.
+    """
 
-    def __init__(self, spark: SparkSession, chunks_path: str, index_path: str | None = None, cache: str = "none") -> None:
-        self.spark = spark
-        self.engine = Engine.from_chunks(readers.read_chunks(spark, chunks_path), index_path)
-        self.cache = spark.createDataFrame([], C.CACHE) if C.backend(cache) else None
+    def __init__(self, spark: SparkSession, chunks_path: str, index_path: str | None = None, cache: str = "none", cache_path: str | None = None, times: int = 1) -> None:
+        self.spark, self.cache = spark, None
+        self.engine = Engine.from_chunks(readers.stress(readers.read_chunks(spark, chunks_path), times), index_path)
+        if C.backend(cache):
+            self.cache = C.TableCache(spark, cache_path) if cache_path else spark.createDataFrame([], C.CACHE)
 
     def query(self, query: str, role: str = "helpdesk", method: str | None = None, top_k: int = R.FINAL, jurisdiction: str | None = "NL", as_of_date: str | None = None) -> dict:
         day = datetime.date.fromisoformat(as_of_date) if as_of_date else None
@@ -123,14 +151,20 @@ class Service:
             scope = F.array(F.concat(F.lit("as_of:"), F.coalesce(F.col("as_of_date").cast("string"), F.lit("current"))), F.concat(F.lit("method:"), F.coalesce("method", F.lit("hybrid"))))
             key = C.namespace(F.col("role"), F.col("jurisdiction"), "corpus-1", "retrieval-1", "answer-1", scope, F.col("top_k"))
             probe = dated.select("query_id", "query", key.alias("namespace"), embed(F.col("query")).alias("embedding")).persist()
-            if hit := C.probe(probe, self.cache, now).first():
+            hit = (self.cache.get(probe) if isinstance(self.cache, C.TableCache) else C.probe(probe, self.cache, now)).first()
+            if hit:
+                probe.unpersist()
                 return json.loads(hit["response"]) | {"cached": True}
         row = self.engine.answer(asked).first()
         out = json.loads(json.dumps(row.asDict(recursive=True), default=str))
         if self.cache is not None:
-            new = probe.withColumns({"outcome": F.lit(row["outcome"]), "security_ranks": F.array(*map(F.lit, row["security_ranks"] or [])).cast("array<int>"), "response": F.lit(json.dumps(out))})
-            # The service's own table of answers: entries live for a day, one for each answered question.
-            self.cache = self.spark.createDataFrame(C.put(self.cache, new, now).collect(), C.CACHE)
+            new = probe.withColumns({"outcome": F.lit(row["outcome"]), "grade": F.lit(row["grade"]), "security_ranks": F.array(*map(F.lit, row["security_ranks"] or [])).cast("array<int>"), "response": F.lit(json.dumps(out))})
+            if isinstance(self.cache, C.TableCache):
+                self.cache.put(new)
+            elif new.where(C.cacheable(*map(F.col, ("outcome", "security_ranks", "grade", "query")))).first():
+                # The service's own table of answers: entries live for a day, one for each answer that may be kept.
+                self.cache = self.spark.createDataFrame(C.put(self.cache, new, now).collect(), C.CACHE)
+            probe.unpersist()
         return out
 
 
@@ -164,6 +198,20 @@ def serve(service: Service, port: int = 8000) -> ThreadingHTTPServer:
     return ThreadingHTTPServer(("127.0.0.1", port), Handler)
 
 
+def fetch_corpus(spark: SparkSession, config: str, out: str, lock: str | None = None, write_lock: bool = False, get=download.fetch) -> int:
+    """Fetches what a configuration lists, writes its manifest and, where asked for, its lock. 0 where every file is ok."""
+    known = None
+    if lock:
+        known = {(r["source_type"], r["identifier"], r["version_date"] or ""): r["sha256"] for r in spark.read.schema(sinks.MANIFEST).json(lock).collect()}  # a row for each configured file
+    with open(config, encoding="utf-8") as f:
+        rows = download.download_all(json.load(f), out, get, known)
+    manifest = sinks.write_manifest(rows, spark, f"{out}/manifest")
+    good = all(r["status"] == "ok" for r in rows)
+    if write_lock and good:
+        sinks.write_lock(manifest, f"{out}/lock")
+    return 0 if good else 1
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="lexvane", description="Ask a question, build chunks, evaluate or measure.")
     sub = p.add_subparsers(dest="what", required=True)
@@ -180,6 +228,22 @@ def main(args: list[str] | None = None) -> int:
     build = sub.add_parser("chunks")
     build.add_argument("raw")
     build.add_argument("out")
+    build = sub.add_parser("index")
+    build.add_argument("chunks")
+    build.add_argument("out")
+    build.add_argument("--recreate", action="store_true")
+    got = sub.add_parser("download")
+    got.add_argument("config", help="JSON with laws (bwb_id, version_date) and cases (ecli)")
+    got.add_argument("out")
+    got.add_argument("--lock", help="JSON lines of a lock; files that it does not list are mismatches")
+    got.add_argument("--write-lock", action="store_true")
+    web = sub.add_parser("serve")
+    web.add_argument("--chunks", required=True)
+    web.add_argument("--index")
+    web.add_argument("--port", type=int, default=8000)
+    web.add_argument("--cache", default="none", choices=sorted(C.BACKENDS))
+    web.add_argument("--cache-path")
+    web.add_argument("--times", type=int, default=1)
     for name in ("eval", "latency"):
         q = sub.add_parser(name)
         q.add_argument("--chunks", required=True)
@@ -187,6 +251,10 @@ def main(args: list[str] | None = None) -> int:
         q.add_argument("--out")
         q.add_argument("--times", type=int, default=1)
         q.add_argument("--limit", type=int)
+        if name == "eval":
+            q.add_argument("--baseline", help="the summary of an earlier report")
+            q.add_argument("--label", default="candidate")
+            q.add_argument("--gate", action="store_true", help="exit with 1 where a check fails")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("lexvane").getOrCreate()
     if a.what == "ask":
@@ -196,13 +264,23 @@ def main(args: list[str] | None = None) -> int:
     if a.what == "chunks":
         build_chunks(spark, a.raw, a.out)
         return 0
+    if a.what == "index":
+        print(sinks.ensure_index(readers.read_chunks(spark, a.chunks), a.out, a.recreate).count())
+        return 0
+    if a.what == "download":
+        return fetch_corpus(spark, a.config, a.out, a.lock, a.write_lock)
+    if a.what == "serve":
+        serve(Service(spark, a.chunks, a.index, a.cache, a.cache_path, a.times), a.port).serve_forever()
+        return 0
     chunks, gold = readers.read_chunks(spark, a.chunks), readers.read_gold(spark, a.gold)
     if a.what == "latency":
-        print(json.dumps(run_latency(spark, chunks, gold, a.times, a.limit)[1]))
+        print(json.dumps(run_latency(spark, chunks, gold, a.times, a.limit, a.out)[1]))
         return 0
-    _, report, passed = run_eval(spark, chunks, gold, a.out)
+    gold = gold.limit(a.limit) if a.limit else gold
+    baseline = spark.read.json(a.baseline) if a.baseline else None
+    _, report, passed = run_eval(spark, readers.stress(chunks, a.times), gold, a.out, baseline, a.label)
     print(report.toJSON().first())
-    return 0 if passed else 1
+    return 0 if passed or not a.gate else 1
 
 
 if __name__ == "__main__":

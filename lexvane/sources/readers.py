@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexvane.functions.schemas import CHUNK, DOCUMENT, GOLD, ROLES, checked, classification_rank
+from lexvane.functions import text as T
 from lexvane.functions.text import strict_date
 
 
@@ -92,7 +93,10 @@ def verify(manifest: DataFrame, lock: DataFrame) -> DataFrame:
 
 
 def stress(chunks: DataFrame, times: int) -> DataFrame:
-    """Every chunk ``times`` times under ids of its own; up to one, as it is."""
+    """Every chunk ``times`` times under ids of its own; up to one, as it is.
+
+    The metadata say so: synthetic_stress, stress_replica and stress_multiplier, after what is there (a JSON object, or null).
+    """
     if times <= 1:
         return chunks
     n = F.col("_n").cast("string")
@@ -100,7 +104,10 @@ def stress(chunks: DataFrame, times: int) -> DataFrame:
     for c in ("chunk_id", "doc_id"):
         if c in out.columns:
             out = out.withColumn(c, F.concat(F.col(c).cast("string"), F.lit("::stress:"), n))
-    return out.drop("_n")
+    marks = F.concat(F.lit('"synthetic_stress":true,"stress_replica":'), n, F.lit(f',"stress_multiplier":{times}}}'))
+    old = F.regexp_replace(F.col("metadata"), r"\s*\}\s*$", "") if "metadata" in out.columns else F.lit("{")
+    old = F.coalesce(T.blank_to_null(old), F.lit("{"))
+    return out.withColumn("metadata", F.concat(old, F.when(F.btrim(old) == "{", "").otherwise(","), marks)).drop("_n")
 
 
 def document_chunks(documents: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexvane.operators.retrieval import indexed
 
+MANIFEST = "source_type string, identifier string, name string, status string, saved_path string, url string, sha256 string, version_date string, note string"
+
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "error") -> None:
     """One object a line, keys in order, nulls written."""
@@ -43,6 +45,13 @@ def ensure_index(chunks: DataFrame, path: str, recreate: bool = False) -> DataFr
     return spark.read.parquet(path)
 
 
+def write_manifest(rows: list[dict], spark: SparkSession, path: str) -> DataFrame:
+    """The rows of fetched files as JSON lines; returns them as a table."""
+    manifest = spark.createDataFrame([tuple(r.get(c.split()[0]) for c in MANIFEST.split(", ")) for r in rows], MANIFEST)
+    write_json_lines(manifest, path, "overwrite")
+    return manifest
+
+
 def write_lock(manifest: DataFrame, path: str) -> None:
     """The lock rows of a manifest; refused unless every row is ok."""
     if manifest.where("status <> 'ok' OR status IS NULL").limit(1).count():
