@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,10 +55,6 @@ REWRITES: list[tuple[str, str]] = [
 _ANY_CASE = "(?iu)"
 
 
-def _none() -> Column:
-    return F.array().cast("array<string>")
-
-
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
@@ -137,24 +133,24 @@ def trigrams(token: Column) -> Column:
     return F.when(F.length(token) < 3, F.array(token)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(token) - 2, F.lit(1))), lambda i: F.substring(token, i, F.lit(3))))
 
 
-def has_concept(text: Column, concept: str) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(p) for p in CONCEPTS[concept]])
-
-
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, with ``value`` evaluated once however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _shown(low: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(has_concept(low, k), F.lit(k)) for k in CONCEPTS]))
+    """Concepts of which a lower-case text holds a phrase. Phrases that hold another one of their concept need no search of their own."""
+    least = {k: [p for p in ps if not any(q != p and q in p for q in ps)] for k, ps in CONCEPTS.items()}
+    every = F.from_json(F.lit(json.dumps([{"k": k, "p": p} for k, p in least.items()])), "array<struct<k:string,p:array<string>>>")
+    met = F.filter(every, lambda x: F.coalesce(F.exists(x["p"], lambda p: F.contains(low, p)), F.lit(False)))
+    return F.transform(met, lambda x: x["k"])
 
 
 def _terms(low: Column, shown: Column) -> Column:
     """Tokens that are no stop words, and the terms that the concepts ``shown`` add."""
     own = F.filter(tokens(low), lambda t: ~t.isin(STOPWORDS))
-    added = F.flatten(F.array(*[F.when(F.array_contains(shown, k), F.array(*map(F.lit, ALIASES[k]))).otherwise(_none()) for k in CONCEPTS]))
-    return F.array_distinct(F.concat(own, added))
+    of = F.str_to_map(F.lit("|".join(f"{k}={','.join(v)}" for k, v in ALIASES.items())), F.lit("[|]"), F.lit("="))
+    return F.array_distinct(F.concat(own, F.flatten(F.transform(shown, lambda k: F.split(F.element_at(of, k), ",")))))
 
 
 def concepts(c: Column) -> Column:
