@@ -9,8 +9,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +28,9 @@ def _usable(v: Column) -> Column:
 
 def fit_cells(vectors: DataFrame, cells: int, vector_col: str = "embedding", sample: int = SAMPLE, seed: int = 7) -> np.ndarray:
     """Unit centres of ``cells`` groups (cells x dimensions), from about ``sample`` rows at most. Vectors have one length."""
+    from pyspark.ml.clustering import KMeans  # workers that only score rows do not load it
+    from pyspark.ml.functions import array_to_vector
+
     good = vectors.where(_usable(F.col(vector_col)))
     n = good.count()
     if not n:
