@@ -31,6 +31,25 @@ def test_words_give_the_whole_texts_ids(spark, monkeypatch):
         assert len(found) == len(texts)
 
 
+def _differ(texts):
+    found = [ids[o:p] for _, ids, offs in WordEncoder(PATH).encode(pa.array(texts)) for o, p in zip(offs[:-1], offs[1:], strict=True)]
+    return [t for t, a, b in zip(texts, found, _ids(texts), strict=True) if a.tolist() != b.tolist()]
+
+
+def test_every_letter_before_every_sign():
+    letters = [chr(c) for c in range(0x20, 0x250)] + [chr(c) for c in (0x301, 0x307, 0x1E9E, 0x1E96, 0x2126, 0x212B, 0xFB01, 0x4E2D, 0x1F600)]
+    signs = [*",.%&*$#!?;:", "...", "?!", "$.", "'s,", "-", '"', ")"]
+    texts = [f"{c}{s}" for c in letters for s in signs] + [f"ab{c}{s} x{c}{s}\n{c}" for c in letters for s in signs]
+    assert _differ(texts) == []
+
+
+def test_random_texts():
+    rng = np.random.default_rng(5)
+    pool = list("abzABZ019éÉİıßŸǅǰẞ,.%&*$#!?;:'\"-()<|>_ \t\n\x0b\x1c\x85\xa0\u0301\u0307\u2028ﬁµªΣς中😀") + ["'s ", "'LL ", "<|endoftext|>", " i\u0307, ", "İ, "]
+    texts = ["".join(rng.choice(pool, rng.integers(1, 24))) for _ in range(100_000)]
+    assert _differ(texts) == []
+
+
 def test_values_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
