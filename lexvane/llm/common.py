@@ -86,3 +86,14 @@ def unused_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = "_" + wanted
     return wanted
+
+
+def between(items: Column, gone: Column) -> Column:
+    """The items at no position of ``gone``, which is sorted: all stretches between two of them."""
+
+    def stretch(i: Column) -> Column:
+        start = F.coalesce(F.get(gone, i - 1) + 1, F.lit(0))
+        end = F.coalesce(F.get(gone, i), F.size(items))
+        return F.slice(items, start + 1, end - start)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), stretch))

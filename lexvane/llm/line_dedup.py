@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexvane.llm.common import discard, shuffle_partitions, stored_at, unused_name, whole_text, workspace
+from lexvane.llm.common import between, discard, shuffle_partitions, stored_at, unused_name, whole_text, workspace
 
 _BLANK = " \t\n\x0b\x0c\r"
 _LAST = 2**63 - 1
@@ -112,17 +112,6 @@ class LevelledRuns:
         self.spark.conf.set(_SORTED_SCANS, self._was)
 
 
-def _between(lines: Column, gone: Column) -> Column:
-    """The lines at no position of ``gone``, which is sorted: all stretches between two of them."""
-
-    def stretch(i: Column) -> Column:
-        start = F.coalesce(F.get(gone, i - 1) + 1, F.lit(0))
-        end = F.coalesce(F.get(gone, i), F.size(lines))
-        return F.slice(lines, start + 1, end - start)
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), stretch))
-
-
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
     """``df`` with its text less the dropped lines, and the columns n_lines and n_dropped (named with underscores in front if taken)."""
     spark = df.sparkSession
@@ -162,7 +151,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     joined = src.withColumn("id", ident).withColumn("th", F.xxhash64(text)).join(dropped, ["id", "th"], "left").withColumn("lines", lines)
     return joined.select(
-        *[(F.when(F.col("gone").isNull(), F.col(cols[c])).otherwise(F.array_join(_between(F.col("lines"), F.col("gone")), "\n")) if c == text_col else F.col(cols[c])).alias(c) for c in names],
+        *[(F.when(F.col("gone").isNull(), F.col(cols[c])).otherwise(F.array_join(between(F.col("lines"), F.col("gone")), "\n")) if c == text_col else F.col(cols[c])).alias(c) for c in names],
         F.size("lines").cast("long").alias(n_lines),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(n_dropped),
     )
