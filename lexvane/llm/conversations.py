@@ -17,8 +17,8 @@ character but ``[\x20\x09-\x0D]``), duplicate (role and text were there before),
 ``.!?``); the first that holds counts. Null roles and texts are one space. ``gaps`` is what the turns lack between least and
 greatest; ``illegal`` counts neighbours whose role initials are not su, ua or au.
 
-Defined cases: rows of a null conversation id are one conversation; a role of another initial can only be given a role or be
-deleted; texts of any length are hashed in pieces; an empty table gives an empty result; other columns are ignored.
+Defined cases: rows of a null conversation id are one conversation; a role of another initial, or an empty one, can only be
+given a role or be deleted; texts of any length are hashed in pieces; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
