@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -43,9 +45,7 @@ def _bucket(name: str, dims: int) -> int:
 def _weights(value: str) -> dict[str, float]:
     low = " ".join(value.lower().split())
     out: dict[str, float] = {}
-    import re
-
-    for t in re.findall(T.TOKEN, low, re.I):
+    for t in _TOKEN.findall(low):
         if t not in _STOP:
             out[t] = out.get(t, 0.0) + 1.0
     for name, phrases in T.CONCEPTS.items():
@@ -57,6 +57,7 @@ def _weights(value: str) -> dict[str, float]:
 
 
 _STOP = frozenset(T.STOPWORDS)
+_TOKEN = re.compile(T.TOKEN, re.I)
 
 
 def hash_embedding(value: str, dims: int = 256) -> np.ndarray:
@@ -71,11 +72,78 @@ def hash_embedding(value: str, dims: int = 256) -> np.ndarray:
     return v / size if size else v
 
 
+class _Terms:
+    """Places and weights of the terms met so far, as two flat lists; forgotten when there are very many."""
+
+    most = 500_000
+
+    def __init__(self, dims: int) -> None:
+        self.dims, self.ids, self.places, self.shares, self.ends = dims, {}, [], [], [0]
+
+    def number(self, term: str) -> int:
+        n = self.ids.get(term)
+        if n is None:
+            n = self.ids[term] = len(self.ids)
+            bare = term.replace("concept:", "").replace("_", "").replace(" ", "")
+            grams = [bare[k : k + 3] for k in range(len(bare) - 2)] if len(bare) >= 3 else [bare]
+            self.places.append(_bucket(f"tok:{term}", self.dims))
+            self.places += [_bucket(f"tri:{g}", self.dims) for g in grams]
+            self.shares += [1.0] + [0.2] * len(grams)
+            self.ends.append(len(self.places))
+        return n
+
+
+_TERMS: dict[int, _Terms] = {}
+
+
+@lru_cache(maxsize=1024)
+def _added(mask: int) -> tuple[tuple[str, float], ...]:
+    """Terms that concepts (as bits) add to a text, with their weights."""
+    return tuple(x for k, name in enumerate(T.CONCEPTS) if mask >> k & 1 for x in ((name, 2.8), *((a, 1.4) for a in T.ALIASES[name])))
+
+
+def hash_embeddings(texts: list[str | None], dims: int = 256) -> np.ndarray:
+    """``hash_embedding`` of many texts: each distinct term is hashed once, and the sums of all texts are one sparse sum."""
+    from lexvane.functions.phrases import matcher
+
+    find = matcher()
+    known = _TERMS.setdefault(dims, _Terms(dims))
+    if len(known.ids) > known.most:
+        known = _TERMS[dims] = _Terms(dims)
+    ids: list[int] = []
+    weights: list[float] = []
+    held = []
+    for value in texts:
+        low = " ".join((value or "").lower().split())
+        own = Counter(_TOKEN.findall(low))
+        for w in _STOP & own.keys():
+            del own[w]
+        added = _added(find.mask(low))
+        ids += map(known.number, own)
+        ids += [known.number(t) for t, _ in added]
+        weights += own.values()
+        weights += [w for _, w in added]
+        held.append(len(own) + len(added))
+    ends, col = np.array(known.ends), np.array(ids, np.int64)
+    n = ends[col + 1] - ends[col]
+    each = np.arange(n.sum()) + np.repeat(ends[col] - (np.cumsum(n) - n), n)
+    row = np.repeat(np.arange(len(texts)), held)
+    v = np.bincount(np.repeat(row, n) * dims + np.array(known.places, np.int64)[each], np.repeat(np.array(weights, np.float64), n) * np.array(known.shares)[each], len(texts) * dims).astype(np.float64).reshape(-1, dims)
+    size = np.sqrt((v * v).sum(1, keepdims=True))
+    return np.divide(v, size, out=v, where=size > 0)
+
+
+#: Texts whose terms are summed up together.
+_TOGETHER = 1000
+
+
 def embed(c: Column, dims: int = 256) -> Column:
     """The embedding of a text column, in Arrow batches. Meant for building an index once, not for every query."""
 
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: hash_embedding(x or "", dims))
+        values = s.tolist()
+        found = [hash_embeddings(values[k : k + _TOGETHER], dims) for k in range(0, len(values), _TOGETHER)]
+        return pd.Series([v for m in found for v in m], dtype=object)
 
     return run(c)

@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexvane.functions import phrases as P
 from lexvane.functions import text as T
 from lexvane.functions.schemas import CLEARANCE
-from lexvane.functions.vectors import dot, embed, ratio
+from lexvane.functions.vectors import dot, embed
 from lexvane.operators.security import as_requests, may_see, with_rank
 
 LEXICAL_LIMIT, DENSE_LIMIT, WINDOW, FINAL, RRF_K = 50, 100, 50, 10, 60
@@ -79,11 +80,14 @@ def lexical(requests: DataFrame, chunks: DataFrame, least: int = 0, clearance: d
     return top(scored, F.greatest(F.col("q_top_k"), F.lit(least)), F.desc("lexical_score"), F.col("chunk.chunk_id")).drop("q_top_k")
 
 
+def embedding_text() -> Column:
+    """What of a chunk is embedded: its citation, text and identifiers."""
+    return T.joined(*[F.coalesce(F.col(x), F.lit("")) for x in ("citation_path", "text", "article", "ecli", "section_type", "source_type")])
+
+
 def indexed(chunks: DataFrame) -> DataFrame:
     """Chunks with the embedding of their text and citation. Written once; retrieval reads it."""
-    c = _with_fields(chunks)
-    text = T.joined(*[F.coalesce(F.col(x), F.lit("")) for x in ("citation_path", "text", "article", "ecli", "section_type", "source_type")])
-    return c.withColumn("embedding", embed(text))
+    return _with_fields(chunks).withColumn("embedding", embed(embedding_text()))
 
 
 def dense(requests: DataFrame, chunks: DataFrame, least: int = 0, clearance: dict[str, str] = CLEARANCE) -> DataFrame:
@@ -197,15 +201,13 @@ def deterministic(results: DataFrame) -> DataFrame:
     """Adds rerank_score and its parts. ``results`` has query, chunk and the fused scores."""
     w, c = WEIGHTS, lambda x: F.col(f"chunk.{x}")
     shown = T.joined(*[F.coalesce(c(x), F.lit("")) for x in ("citation_path", "text", "source_type", "section_type")])
-    q_con, q_lex, r_con, r_lex = T.concepts(F.col("query")), T.lexical_terms(F.col("query")), T.concepts(shown), T.lexical_terms(shown)
-    df = results.withColumn("_qc", q_con).withColumn("_ql", q_lex).withColumn("_rc", r_con).withColumn("_rl", r_lex)
-    hit = lambda a, b: ratio(F.size(F.array_intersect(a, b)), F.size(a))
-    has = lambda k: F.array_contains("_qc", k)
+    df = results.withColumn("_over", P.overlaps(F.col("query"), shown))
+    has = lambda k: F.array_contains("_over.asked", k)
     rule = F.when(has("concept:thirty_percent_ruling"), w["bonus"]).otherwise(0.0) + F.when(has("concept:employment_change") & has("concept:employer"), w["bonus"]).otherwise(0.0)
     general = (c("source_type") == "legislation") & ~T.matches(F.col("query"), T.IDENTIFIER_STRICT)
     df = (
-        df.withColumn("rerank_concept_overlap", hit("_qc", "_rc"))
-        .withColumn("rerank_lexical_overlap", hit("_ql", "_rl"))
+        df.withColumn("rerank_concept_overlap", F.col("_over.concept"))
+        .withColumn("rerank_lexical_overlap", F.col("_over.lexical"))
         .withColumn("rerank_dense_signal", F.coalesce("dense_score", F.lit(0.0)))
         .withColumn("rerank_source_bonus", F.when(general, F.least(rule, F.lit(w["most_bonus"]))).otherwise(0.0))
     )
@@ -217,7 +219,7 @@ def deterministic(results: DataFrame) -> DataFrame:
         + w["rrf"] * F.least(F.col("rrf_score") / 0.03, F.lit(1.0))
         + F.col("rerank_source_bonus")
     )
-    return df.withColumn("rerank_score", score).drop("_qc", "_ql", "_rc", "_rl")
+    return df.withColumn("rerank_score", score).drop("_over")
 
 
 def cross_encoder(load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]]) -> Callable[[DataFrame], DataFrame]:
@@ -263,9 +265,17 @@ def reranker(name: str) -> Callable[[DataFrame], DataFrame]:
     return RERANKERS[name]
 
 
-def hybrid(requests: DataFrame, chunks: DataFrame, rerank: Callable[[DataFrame], DataFrame] | None = deterministic, clearance: dict[str, str] = CLEARANCE) -> DataFrame:
-    """Both ways fused; queries without identifiers reranked within the window; top_k of each request."""
-    fused = fuse(requests, lexical(requests, chunks, LEXICAL_LIMIT, clearance), dense(requests, chunks, DENSE_LIMIT, clearance))
+Search = Callable[[DataFrame, int, dict[str, str]], DataFrame]
+
+
+def hybrid(requests: DataFrame, chunks: DataFrame, rerank: Callable[[DataFrame], DataFrame] | None = deterministic, clearance: dict[str, str] = CLEARANCE, by_terms: Search | None = None, by_vectors: Search | None = None) -> DataFrame:
+    """Both ways fused; queries without identifiers reranked within the window; top_k of each request.
+
+    ``by_terms`` and ``by_vectors`` are searches of an index, in place of scans of the chunks.
+    """
+    terms = by_terms(requests, LEXICAL_LIMIT, clearance) if by_terms else lexical(requests, chunks, LEXICAL_LIMIT, clearance)
+    vectors = by_vectors(requests, DENSE_LIMIT, clearance) if by_vectors else dense(requests, chunks, DENSE_LIMIT, clearance)
+    fused = fuse(requests, terms, vectors)
     if rerank is None:
         return fused.where(F.col("rank") <= F.col("top_k")).drop("query", "top_k")
     scored = rerank(fused)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexvane.functions import phrases as P
 from lexvane.functions import schemas as S
 from lexvane.functions import text as T
 from lexvane.functions import vectors as V
@@ -210,7 +211,8 @@ _LOW = "trim(regexp_replace(lower({}), '[\\s\\x{{00a0}}]+', ' ', 'g'))"
   SELECT doc_id, array_to_string(con, '|') AS concepts, len(lex) AS n_terms FROM c""")
 def semantic_concepts(spark, sf):
     d = _table(spark, sf, "documents")
-    return d.select("doc_id", F.array_join(T.concepts(F.col("text")), "|").alias("concepts"), F.size(T.lexical_terms(F.col("text"))).cast("bigint").alias("n_terms"))
+    found = d.select("doc_id", P.profiled(F.col("text")).alias("p"))
+    return found.select("doc_id", F.array_join("p.concepts", "|").alias("concepts"), F.col("p.n_terms").cast("bigint").alias("n_terms"))
 
 
 _RR_Q = "which thing is the nl stage for an employee that and the of"

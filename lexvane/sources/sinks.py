@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexvane.operators.retrieval import indexed
+from lexvane.operators.vector_index import VectorIndex
 
 MANIFEST = "source_type string, identifier string, name string, status string, saved_path string, url string, sha256 string, version_date string, note string"
 
@@ -35,14 +35,9 @@ def merge_documents(parts: list[DataFrame]) -> DataFrame:
     return first_wins(both, "doc_id", "_source", "_line").drop("_source", "_line")
 
 
-def ensure_index(chunks: DataFrame, path: str, recreate: bool = False) -> DataFrame:
-    """The chunks with embeddings, written unless they are there already. The whole corpus is indexed; filters come with the queries."""
-    spark = chunks.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(hadoop, "_SUCCESS"))
-    if recreate or not there:
-        indexed(chunks).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def ensure_index(chunks: DataFrame, path: str, recreate: bool = False) -> VectorIndex:
+    """The index of just these chunks at ``path``, written anew where the one there is of others. The whole corpus is indexed; filters come with the queries."""
+    return VectorIndex.refresh(chunks, path, recreate=recreate)
 
 
 def write_manifest(rows: list[dict], spark: SparkSession, path: str) -> DataFrame:
