@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,19 +27,39 @@ def _usable(v: Column) -> Column:
     return F.coalesce(fine, F.lit(False))
 
 
-def fit_cells(vectors: DataFrame, cells: int, vector_col: str = "embedding", sample: int = SAMPLE, seed: int = 7) -> np.ndarray:
-    """Unit centres of ``cells`` groups (cells x dimensions), from about ``sample`` rows at most. Vectors have one length."""
-    from pyspark.ml.clustering import KMeans  # workers that only score rows do not load it
-    from pyspark.ml.functions import array_to_vector
+def _lloyd(batches: Iterator[pa.RecordBatch], cells: int, seed: int, rounds: int = 10) -> Iterator[pa.RecordBatch]:
+    """Unit centres of one partition's vectors, a row each: spherical k-means in blocks of vectors."""
+    parts = [np.asarray(b.column(0).flatten(), np.float32).reshape(b.num_rows, -1) for b in batches if b.num_rows]
+    if not parts:
+        return
+    x = np.concatenate(parts)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rng = np.random.default_rng(seed)
+    centres = x[rng.permutation(len(x))[:cells]].copy()
+    for _ in range(rounds):
+        sums, counts = np.zeros_like(centres), np.zeros(len(centres), np.int64)
+        for k in range(0, len(x), 4096):
+            part = x[k : k + 4096]
+            near = np.argmax(part @ centres.T, axis=1)
+            np.add.at(sums, near, part)
+            counts += np.bincount(near, minlength=len(centres))
+        empty = np.flatnonzero(counts == 0)
+        sums[empty] = x[rng.integers(0, len(x), len(empty))]
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    out = centres.astype(np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.list_(pa.float64()))], ["centre"])
 
-    good = vectors.where(_usable(F.col(vector_col)))
+
+def fit_cells(vectors: DataFrame, cells: int, vector_col: str = "embedding", sample: int = SAMPLE, seed: int = 7) -> np.ndarray:
+    """Unit centres of ``cells`` groups (cells x dimensions), from about ``sample`` rows at most, in one task. Vectors have one length."""
+    good = vectors.where(_usable(F.col(vector_col))).select(F.col(vector_col).cast("array<double>").alias("v"))
     n = good.count()
     if not n:
         return np.zeros((0, 0))
     some = good if n <= sample else good.sample(sample / n, seed)
-    points = some.select(array_to_vector(unit(F.col(vector_col).cast("array<double>"))).alias("features"))
-    found = np.array(KMeans(k=min(cells, n), seed=seed, maxIter=10, distanceMeasure="cosine").fit(points).clusterCenters())
-    return found / np.linalg.norm(found, axis=1, keepdims=True)
+    # In the order of a hash, so that the centres do not depend on how the rows lie.
+    rows = some.orderBy(F.xxhash64("v")).coalesce(1).mapInArrow(lambda it: _lloyd(it, min(cells, n), seed), "centre array<double>").collect()
+    return np.array([r["centre"] for r in rows])
 
 
 def _nearest_cells(vectors: DataFrame, centres: np.ndarray, vector_col: str, n: int) -> DataFrame:

@@ -20,7 +20,7 @@ from lexvane.functions import phrases as P
 from lexvane.functions import text as T
 from lexvane.functions.schemas import CLEARANCE
 from lexvane.functions.vectors import dot, embed
-from lexvane.operators.security import as_requests, may_see, with_rank
+from lexvane.operators.security import as_requests, local_requests, may_see, with_rank
 
 LEXICAL_LIMIT, DENSE_LIMIT, WINDOW, FINAL, RRF_K = 50, 100, 50, 10, 60
 EXACT = ["ecli_exact_match", "article_exact_match", "paragraph_exact_match", "subparagraph_exact_match", "citation_path_exact_match"]
@@ -46,10 +46,53 @@ def top(df: DataFrame, limit: Column, *order: Column) -> DataFrame:
     return ranked.where(F.col("rank") <= limit)
 
 
+#: Characters to a run of a citation path that finds candidates for a part of it.
+GRAM = 3
+_BY_ECLI, _BY_ARTICLE, _BY_PATH, _BY_PART = range(4)
+
+
+def _key(kind: int, value: Column) -> Column:
+    return F.xxhash64(F.lit(kind), value)
+
+
+def _runs(text: Column, size: int) -> Column:
+    """Every run of ``size`` characters of a text, once; none of a shorter one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def telling_run(text: Column, size: int = GRAM) -> Column:
+    """The run of a text by which texts that hold it are looked for: with most digits, then least spaces, then the last.
+
+    Every text that holds ``text`` has each of its runs, so any would do; this one is in few citation paths.
+    """
+    runs = F.transform(_runs(text, size), lambda g: F.struct(F.length(F.regexp_replace(g, "[^0-9]", "")).alias("d"), (-F.length(F.regexp_replace(g, "[^ ]", ""))).alias("s"), g.alias("g")))
+    return F.when(F.length(text) >= size, F.array_max(runs)["g"]).otherwise(text)
+
+
+def posting_keys(chunks: DataFrame, sizes: list[int]) -> Column:
+    """Keys of a chunk: its ECLI, article and path, and every run of its path of these sizes. ``chunks`` has path_norm."""
+    exact = F.array(F.when(F.col("ecli").isNotNull(), _key(_BY_ECLI, F.upper("ecli"))), F.when(F.col("article").isNotNull(), _key(_BY_ARTICLE, F.col("article"))), F.when(F.col("path_norm") != "", _key(_BY_PATH, F.col("path_norm"))))
+    runs = [F.transform(_runs(F.col("path_norm"), n), lambda g: _key(_BY_PART, g)) for n in sizes]
+    return F.concat(F.array_compact(exact), *runs)
+
+
 def lexical(requests: DataFrame, chunks: DataFrame, least: int = 0, clearance: dict[str, str] = CLEARANCE) -> DataFrame:
-    """Exact identifiers and citation paths. The best max(top_k, least) of each request."""
-    asked = requests.withColumn("terms", T.query_terms(F.col("query"))).withColumn("norm", T.match_norm(F.col("query")))
+    """Exact identifiers and citation paths. The best max(top_k, least) of each request.
+
+    Chunks are cut into keys in one scan and meet the requests' keys in one hash join: ECLI, article, whole path, and for parts of
+    paths one telling run of the query. What meets is then compared in full; of the keys by which a request and a chunk meet, the
+    first that holds counts, so nothing has to be made distinct.
+    """
+    terms = requests.withColumn("terms", T.query_terms(F.col("query"))).withColumn("norm", T.match_norm(F.col("query")))
+    asked = local_requests(terms)
+    # A query shorter than a run is a run of its own size.
+    sizes = sorted({min(GRAM, r[0]) for r in asked.select(F.length("norm")).collect() if r[0]})
+    keys = F.array_distinct(F.array_compact(F.array(F.when(F.col("terms.ecli").isNotNull(), _key(_BY_ECLI, F.col("terms.ecli"))), F.when(F.col("terms.article").isNotNull(), _key(_BY_ARTICLE, F.col("terms.article"))), F.when(F.col("norm") != "", _key(_BY_PATH, F.col("norm"))), F.when(F.col("norm") != "", _key(_BY_PART, telling_run(F.col("norm")))))))
+    # The telling run goes with the request, and what meets is held against it.
+    sought = as_requests(asked.withColumn("run", telling_run(F.col("norm"))).withColumn("key", F.explode(keys)))
     c = _with_fields(chunks).withColumn("path_norm", T.match_norm(F.col("citation_path")))
+    cut = c.withColumn("_held", F.explode_outer(posting_keys(c, sizes)))
     t = lambda name: F.col(f"q_terms.{name}")
     article = F.coalesce(t("article") == F.col("article"), F.lit(False))
     wrong_paragraph = t("paragraph").isNotNull() & ~F.coalesce(F.col("paragraph") == t("paragraph"), F.lit(False))
@@ -57,8 +100,8 @@ def lexical(requests: DataFrame, chunks: DataFrame, least: int = 0, clearance: d
     path_same = (F.col("q_norm") != "") & (F.col("q_norm") == F.col("path_norm"))
     path_part = (F.col("q_norm") != "") & ~path_same & F.contains("path_norm", "q_norm")
     ecli = F.coalesce(t("ecli") == F.upper("ecli"), F.lit(False))
-    hit = ~(article & (wrong_paragraph | wrong_sub)) & (ecli | article | path_same | path_part)
-    met = c.join(as_requests(asked), may_see(clearance) & hit)
+    first = F.when(ecli, _key(_BY_ECLI, t("ecli"))).when(article, _key(_BY_ARTICLE, t("article"))).when(path_same, _key(_BY_PATH, F.col("q_norm"))).when(path_part, _key(_BY_PART, F.col("q_run")))
+    met = cut.join(sought, F.col("_held") == F.col("q_key")).where((F.col("_held") == first) & ~(article & (wrong_paragraph | wrong_sub)) & may_see(clearance))
     scored = met.select(
         "query_id", "q_top_k", _chunk(c),
         F.when(ecli, 300.0).alias(EXACT[0]),

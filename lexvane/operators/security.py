@@ -5,7 +5,7 @@ Reasons are decided row by row, so a denied chunk is never let back in by an all
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexvane.functions.schemas import CLASSIFICATIONS, CLEARANCE, classification_rank
@@ -46,6 +46,51 @@ def valid_on(valid_from: Column, valid_to: Column, day: Column) -> Column:
     return day.isNull() | ((valid_from.isNull() | (valid_from <= day)) & (valid_to.isNull() | (day <= valid_to)))
 
 
+#: Days of the calendar that is halved again and again, about 1,435 years to each side of 1970.
+_SPAN_BITS = 20
+
+
+def _place(day: Column, open_end: int) -> Column:
+    """A day's place in the calendar; days beyond its ends lie at the ends."""
+    return F.least(F.greatest(F.coalesce(F.unix_date(day) + (1 << (_SPAN_BITS - 1)), F.lit(open_end)), F.lit(0)), F.lit((1 << _SPAN_BITS) - 1))
+
+
+def validity_blocks(valid_from: Column, valid_to: Column) -> Column:
+    """The fewest blocks of 1, 2, 4, ... days, each in its place, that a validity is made of: at most two of each size.
+
+    An open end reaches the calendar's end, in blocks that grow as fast; a validity that ends before it begins has none.
+    """
+    first, end = _place(valid_from, 0), _place(valid_to, (1 << _SPAN_BITS) - 1) + 1
+
+    def of(level: Column) -> Column:
+        size = F.pow(F.lit(2), level).cast("int")
+        low, high = F.ceil(first / size).cast("int"), F.floor(end / size).cast("int")
+        block = lambda at: F.struct(level.alias("level"), at.alias("at"))
+        there = low < high
+        return F.array(F.when(there & (low % 2 == 1), block(low)), F.when(there & (high % 2 == 1), block(high - 1)))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_SPAN_BITS)), of)))
+
+
+def day_blocks(day: Column) -> Column:
+    """The block of each size that a day lies in."""
+    at = _place(day, 0)
+    return F.transform(F.sequence(F.lit(0), F.lit(_SPAN_BITS)), lambda n: F.struct(n.alias("level"), F.floor(at / F.pow(F.lit(2), n)).cast("int").alias("at")))
+
+
+def valid_at(days: DataFrame, chunks: DataFrame, day_col: str = "day") -> DataFrame:
+    """Each row of ``days`` with each row of ``chunks`` that is valid on its day, by an equi join on blocks of the calendar.
+
+    A day lies in one block of each size and a validity is made of few blocks that do not overlap, so every pair is found once, however
+    long validities are or where they are open. Rows of ``days`` without a day are left out: they ask for no date.
+    """
+    asked = days.where(F.col(day_col).isNotNull()).withColumn("_b", F.explode(day_blocks(F.col(day_col))))
+    held = chunks.withColumn("_v", F.explode(validity_blocks(F.col("valid_from"), F.col("valid_to"))))
+    same = (F.col("_b.level") == F.col("_v.level")) & (F.col("_b.at") == F.col("_v.at"))
+    met = held.join(asked, same & valid_on(F.col("valid_from"), F.col("valid_to"), F.col(day_col)))
+    return met.drop("_b", "_v")
+
+
 def scope_reason(source_types: Column, jurisdiction: Column, day: Column, chunk_type: Column, chunk_jurisdiction: Column, valid_from: Column, valid_to: Column) -> Column:
     """First of source type, jurisdiction and validity that a chunk fails, or ``in_scope``."""
     any_type = source_types.isNull() | (F.size(source_types) <= 0)
@@ -63,9 +108,18 @@ def with_rank(chunks: DataFrame) -> DataFrame:
 
 def as_requests(requests: DataFrame) -> DataFrame:
     """Requests under names of their own, marked for broadcast. The plan fails where there are more than ``MOST_REQUESTS``; no job is run here."""
-    many = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) > MOST_REQUESTS  # what is broadcast is in one place anyway
-    some = requests.limit(MOST_REQUESTS + 1).withColumn("query_id", F.when(many, F.raise_error(F.lit(f"more than {MOST_REQUESTS} requests in one batch"))).otherwise(F.col("query_id")))
-    return F.broadcast(some.select(*[F.col(c).alias(f"q_{c}") if c != "query_id" else F.col(c) for c in requests.columns]))
+    # After a limit rows are in one partition, where these numbers count from 0.
+    some = requests.limit(MOST_REQUESTS + 1).withColumn("_at", F.monotonically_increasing_id())
+    known = F.when(F.col("_at") >= MOST_REQUESTS, F.raise_error(F.lit(f"more than {MOST_REQUESTS} requests in one batch"))).otherwise(F.col("query_id"))
+    return F.broadcast(some.select(*[F.col(c).alias(f"q_{c}") if c != "query_id" else known.alias(c) for c in requests.columns]))
+
+
+def local_requests(requests: DataFrame) -> DataFrame:
+    """The requests as a local table: they are few, and plans that read them start from no job of their own."""
+    rows = requests.limit(MOST_REQUESTS + 1).toArrow()
+    if rows.num_rows > MOST_REQUESTS:
+        raise ValueError(f"more than {MOST_REQUESTS} requests in one batch")
+    return requests.sparkSession.createDataFrame(rows, requests.schema)
 
 
 def access_of(clearance: dict[str, str] = CLEARANCE) -> Column:

@@ -3,7 +3,7 @@
 Layout, under the index path. Each version is a folder of its own and is never changed:
 
 - ``rows``, by cell: the chunks, their embeddings and keys;
-- ``blocks``, by cell: packs of up to ``block`` chunks of one cell and one access class: ids, validity days and codes as bytes;
+- ``blocks``, by cell: packs of up to ``block`` chunks of one cell and one access class: keys, validity days and codes as bytes;
 - ``zones``: a row for each cell and class with what decides access (roles, rank, source type, jurisdiction), the least and the
   greatest day of validity, and the number of chunks;
 - a file in ``versions`` that names the folder. It is made last and only where there is none of its number, so readers see whole
@@ -12,7 +12,7 @@ Layout, under the index path. Each version is a folder of its own and is never c
 ``refresh`` compares the corpus with the version by a digest over all columns of all chunks, so an index never answers for other
 chunks, roles or dates than it was built from. Embeddings of texts that the version has are taken over; only new texts are embedded.
 
-A search joins the requests with the zones first. Cells that a request may not read at its date are left out before any vector is
+A search matches the requests with the zones first, on the driver: both are few. Cells that a request may not read at its date are left out before any vector is
 read, and its nearest remaining cells are probed: as many as its role needs by the measured recall, and more where these hold fewer
 readable chunks than ``enough`` times what is asked. Codes and requests meet in blocks as whole numbers: a product of bytes is exact
 in 32-bit floats. The best ``oversample`` times k of each request are scored again with the stored vectors.
@@ -22,6 +22,7 @@ Equal rows count once. A request whose vector is zero finds nothing. An index of
 
 from __future__ import annotations
 
+import datetime
 import json
 import uuid
 from collections.abc import Iterator
@@ -30,15 +31,15 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexvane.functions.schemas import CLEARANCE
-from lexvane.functions.vectors import dot, embed
+from lexvane.functions.vectors import dot, embed, hash_embeddings
 from lexvane.operators.cells import fit_cells
 from lexvane.operators.retrieval import _chunk, _with_fields, embedding_text, top
-from lexvane.operators.security import access_of, as_requests, may_see, scope_reason
+from lexvane.operators.security import access_of, as_requests, local_requests, may_see, scope_reason
 
 #: What decides access to a chunk, besides its dates.
 CLASS = ["allowed_roles", "security_rank", "source_type", "jurisdiction"]
@@ -130,11 +131,6 @@ def _drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _ranked_cells(centres: np.ndarray, batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for v in batches:
-        yield pd.Series(list(np.argsort(-(np.stack(v.to_numpy()).astype(np.float64) @ centres.T), axis=1, kind="stable").astype(np.int32)) if len(v) else [], dtype=object)
-
-
 def _first_cell(centres: np.ndarray, batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for v in batches:
         yield pd.Series(np.argmax(np.stack(v.to_numpy()).astype(np.float64) @ centres.T, axis=1).astype(np.int32) if len(v) else np.zeros(0, np.int32))
@@ -142,39 +138,51 @@ def _first_cell(centres: np.ndarray, batches: Iterator[pd.Series]) -> Iterator[p
 
 def _pack(pdf: pd.DataFrame, scale: float) -> pd.DataFrame:
     codes = quantised(np.stack(pdf["embedding"].to_numpy()), scale)
-    one = {"cell": pdf["cell"].iloc[0], "class": pdf["class"].iloc[0], "ids": list(pdf["chunk_id"]), "keys": list(pdf["row_key"]), "starts": list(pdf["start"]), "ends": list(pdf["end"]), "codes": codes.tobytes()}
+    one = {"cell": pdf["cell"].iloc[0], "class": pdf["class"].iloc[0], "keys": list(pdf["row_key"]), "starts": list(pdf["start"]), "ends": list(pdf["end"]), "codes": codes.tobytes()}
     return pd.DataFrame([one])
 
 
-def _heads(batches: Iterator[pa.RecordBatch], scale: float, dims: int, oversample: int) -> Iterator[pa.RecordBatch]:
-    """The best of each pack for each of its requests, by codes."""
+@dataclass(frozen=True)
+class _Asked:
+    """Requests as arrays, and for each cell and class those that read it, with the place of the cell among theirs."""
+
+    vectors: np.ndarray
+    most: np.ndarray
+    days: np.ndarray
+    at: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]
+
+
+#: The day of a request without a date.
+_ANY_DAY = 2**31
+
+
+def _heads(batches: Iterator[pa.RecordBatch], asked: _Asked, scale: float) -> Iterator[pa.RecordBatch]:
+    """The best of each pack for each request that reads it, by codes."""
+    dims = asked.vectors.shape[1]
+    most = np.maximum(np.abs(asked.vectors).max(axis=1, keepdims=True), 1e-300)
+    coded = np.rint(asked.vectors * (127 / most)).astype(np.float32)
     for b in batches:
         cols = dict(zip(b.schema.names, b.columns, strict=True))
         for k in range(b.num_rows):
+            key = cols["cell"][k].as_py(), cols["class"][k].as_py()
+            if key not in asked.at:
+                continue
             codes = np.frombuffer(cols["codes"][k].as_buffer(), np.int8).reshape(-1, dims).astype(np.float32)
-            asked = cols["asked"][k].values
-            q = np.asarray(asked.field("v").flatten(), np.float64).reshape(len(asked), dims)
-            most = np.maximum(np.abs(q).max(axis=1, keepdims=True), 1e-300)
-            score = (np.rint(q * (127 / most)).astype(np.float32) @ codes.T).astype(np.float64) * (most * scale / 127**2)
-            starts, ends = (cols[c][k].values.to_numpy() for c in ("starts", "ends"))
-            day = asked.field("day")
-            known = np.asarray(day.is_valid())
-            at = day.fill_null(0).to_numpy()[:, None]
-            score[known[:, None] & ((at < starts) | (at > ends))] = -np.inf
-            want = np.minimum(asked.field("k").to_numpy() * oversample, len(codes))
-            rows, places = [], []
-            for i, n in enumerate(want):
-                near = np.argpartition(-score[i], n - 1)[:n]
-                near = near[score[i][near] > -np.inf]
-                rows.append(np.full(len(near), i))
-                places.append(near)
-            row, place = np.concatenate(rows), np.concatenate(places)
-            if len(row):
-                n = len(row)
-                yield pa.RecordBatch.from_arrays(
-                    [asked.field("query_id").take(pa.array(row)), pa.array(np.full(n, cols["cell"][k].as_py(), np.int32)), asked.field("nth").take(pa.array(row)), cols["ids"][k].values.take(pa.array(place)), cols["keys"][k].values.take(pa.array(place)), pa.array(score[row, place])],
-                    ["query_id", "cell", "nth", "chunk_id", "row_key", "guess"],
-                )
+            starts, ends, keys = (cols[c][k].values.to_numpy() for c in ("starts", "ends", "keys"))
+            who_, nth_ = asked.at[key]
+            for i in range(0, len(who_), 256):
+                who, nth = who_[i : i + 256], nth_[i : i + 256]
+                score = (coded[who] @ codes.T).astype(np.float64) * (most[who] * scale / 127**2)
+                day = asked.days[who][:, None]
+                score[(day != _ANY_DAY) & ((day < starts) | (day > ends))] = -np.inf
+                rows, places = [], []
+                for j, n in enumerate(np.minimum(asked.most[who], len(codes))):
+                    near = np.argpartition(-score[j], n - 1)[:n]
+                    near = near[score[j][near] > -np.inf]
+                    rows.append(np.full(len(near), j))
+                    places.append(near)
+                row, place = np.concatenate(rows), np.concatenate(places)
+                yield pa.RecordBatch.from_arrays([pa.array(who[row], pa.int32()), pa.array(np.full(len(row), key[0]), pa.int32()), pa.array(nth[row], pa.int32()), pa.array(keys[place], pa.int64()), pa.array(score[row, place])], ["asked", "cell", "nth", "row_key", "guess"])
 
 
 class VectorIndex:
@@ -182,6 +190,8 @@ class VectorIndex:
 
     def __init__(self, spark: SparkSession, path: str, meta: IndexMeta, params: IndexParams = IndexParams()) -> None:
         self.spark, self.path, self.meta, self.params = spark, path.rstrip("/"), meta, params
+        self._zone_rows: dict[str, np.ndarray] | None = None
+        self._seen: dict[tuple, dict[tuple, set[str]]] = {}
         at = f"{self.path}/{meta.folder}"
         # With schemas, as an index of no chunks has no files.
         self.rows, self.blocks, self.zones = (spark.read.schema(StructType.fromJson(json.loads(meta.schemas[t]))).parquet(f"{at}/{t}") for t in ("rows", "blocks", "zones"))
@@ -256,8 +266,8 @@ class VectorIndex:
         zones = spark.read.schema(zones.schema).parquet(f"{at}/zones")
         parts = F.ceil(F.col("n") / p.block).cast("int")
         packs = ranged.join(zones.select("cell", "class", parts.alias("parts")), ["cell", "class"]).withColumn("part", F.pmod(F.xxhash64("row_key"), F.col("parts")))
-        schema = "cell int, class string, ids array<string>, keys array<long>, starts array<int>, ends array<int>, codes binary"
-        packed = packs.select("cell", "class", "part", "chunk_id", "row_key", "start", "end", "embedding").groupBy("cell", "class", "part").applyInPandas(lambda pdf: _pack(pdf, scale), schema)
+        schema = "cell int, class string, keys array<long>, starts array<int>, ends array<int>, codes binary"
+        packed = packs.select("cell", "class", "part", "row_key", "start", "end", "embedding").groupBy("cell", "class", "part").applyInPandas(lambda pdf: _pack(pdf, scale), schema)
         packed.write.partitionBy("cell").parquet(f"{at}/blocks")
         _drop(spark, f"{at}/embedded")
         schemas = {"rows": placed.schema.json(), "blocks": packed.schema.json(), "zones": zones.schema.json()}
@@ -292,41 +302,77 @@ class VectorIndex:
             out[role] = int(np.searchsorted(share, p.recall)) + 1 if counts.sum() else n
         return out
 
-    def cells_of(self, requests: DataFrame, clearance: dict[str, str] = CLEARANCE, probes: int | None = None) -> DataFrame:
-        """The cells and classes that each request reads: query_id, v (its vector), k, day, cell, class, nth (of its readable cells, from 0)."""
-        p, n = self.params, max(1, len(self.meta.centres))
-        asked = requests if "embedding" in requests.columns else requests.withColumn("embedding", embed(F.col("query")))
-        asked = asked.where(F.exists("embedding", lambda x: x != 0))
-        order = self._udf(np.array(self.meta.centres), _ranked_cells, "array<int>")(F.col("embedding")) if self.meta.centres else F.array(F.lit(0))
-        asked = asked.withColumn("cells", order)
-        q = as_requests(asked)
-        day = F.unix_date(F.col("q_as_of_date"))
-        scope = scope_reason(F.col("q_source_types"), F.col("q_jurisdiction"), F.lit(None).cast("date"), F.col("source_type"), F.col("jurisdiction"), F.lit(None).cast("date"), F.lit(None).cast("date"))
-        holds = day.isNull() | ((F.col("start") <= day) & (day <= F.col("end")))
-        seen = self.zones.join(q, (access_of(clearance) == "authorized") & (scope == "in_scope") & holds)
-        seen = seen.withColumn("at", F.array_position("q_cells", F.col("cell")))
-        ahead = Window.partitionBy("query_id").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-        seen = seen.withColumn("nth", F.dense_rank().over(Window.partitionBy("query_id").orderBy("at")) - 1).withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-        least = F.lit(probes) if probes else F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in self.meta.probes.items() for x in kv]), F.col("q_role")), F.lit(n)) if self.meta.probes else F.lit(n)
-        near = seen.where((F.col("nth") < least) | (F.col("before") < p.enough * p.oversample * F.col("q_top_k")))
-        return near.select("query_id", F.col("q_embedding").alias("v"), F.col("q_top_k").alias("k"), day.alias("day"), "cell", "class", "nth")
+    def _zones(self) -> dict[str, np.ndarray]:
+        """The zones on the driver: a row for each cell and access class."""
+        if self._zone_rows is None:
+            rows = self.zones.select("cell", "class", "n", "start", "end").orderBy("cell", "class").toArrow()
+            self._zone_rows = {c: np.asarray(rows[c].to_pylist() if c == "class" else rows[c]) for c in rows.column_names}
+        return self._zone_rows
+
+    def _readable(self, profiles: list[tuple], clearance: dict[str, str]) -> dict[tuple, set[str]]:
+        """The access classes that each (role, source types, jurisdiction) may read, as ``security`` decides it; remembered."""
+        held = self._seen.setdefault(tuple(sorted(clearance.items())), {})
+        if new := [p for p in dict.fromkeys(profiles) if p not in held]:
+            asked = self.spark.createDataFrame([(str(k), role, list(types), jurisdiction) for k, (role, types, jurisdiction) in enumerate(new)], "query_id string, role string, source_types array<string>, jurisdiction string")
+            none = F.lit(None).cast("date")
+            scope = scope_reason(F.col("q_source_types"), F.col("q_jurisdiction"), none, F.col("source_type"), F.col("jurisdiction"), none, none)
+            classes = self.zones.select("class", *CLASS).dropDuplicates(["class"])
+            for p in new:
+                held[p] = set()
+            for r in classes.join(as_requests(asked), (access_of(clearance) == "authorized") & (scope == "in_scope")).select("query_id", "class").collect():
+                held[new[int(r["query_id"])]].add(r["class"])
+        return held
+
+    def cells_of(self, requests: DataFrame, clearance: dict[str, str] = CLEARANCE, probes: int | None = None) -> tuple[list[str], _Asked]:
+        """Ids of the requests with a direction, and which cells and classes each of them reads."""
+        p, zones = self.params, self._zones()
+        rows = local_requests(requests).toArrow().to_pylist()
+        vectors = np.array([r["embedding"] for r in rows], np.float64) if "embedding" in requests.columns else hash_embeddings([r["query"] for r in rows])
+        there = [k for k in range(len(rows)) if vectors[k].any()]
+        rows, vectors = [rows[k] for k in there], vectors[there] if there else np.zeros((0, self.meta.dims))
+        profiles = [(r["role"], tuple(r["source_types"] or ()), r["jurisdiction"]) for r in rows]
+        readable, kinds = self._readable(profiles, clearance), {}
+        days = np.array([_ANY_DAY if r["as_of_date"] is None else (r["as_of_date"] - datetime.date(1970, 1, 1)).days for r in rows], np.int64)
+        order = np.argsort(-(vectors @ np.array(self.meta.centres).T), axis=1, kind="stable") if self.meta.centres else np.zeros((len(rows), 1), np.int64)
+        at: dict[tuple[int, str], tuple[list[int], list[int]]] = {}
+        for k, r in enumerate(rows):
+            if profiles[k] not in kinds:
+                kinds[profiles[k]] = np.isin(zones["class"], list(readable[profiles[k]])) if len(zones["class"]) else np.zeros(0, bool)
+            mask = kinds[profiles[k]]
+            if days[k] != _ANY_DAY:
+                mask = mask & (zones["start"] <= days[k]) & (days[k] <= zones["end"])
+            near, least = 0, probes or self.meta.probes.get(r["role"], len(self.meta.centres) or 1)
+            held = np.bincount(zones["cell"][mask], zones["n"][mask], order.shape[1]) if mask.any() else np.zeros(order.shape[1])
+            cells, before = order[k][held[order[k]] > 0], 0.0
+            for near, cell in enumerate(cells):
+                if near >= least and before >= p.enough * p.oversample * r["top_k"]:
+                    break
+                before += held[cell]
+                for z in np.flatnonzero(mask & (zones["cell"] == cell)):
+                    own = at.setdefault((int(cell), str(zones["class"][z])), ([], []))
+                    own[0].append(k)
+                    own[1].append(near)
+        most = np.array([r["top_k"] * p.oversample for r in rows], np.int64)
+        return [r["query_id"] for r in rows], _Asked(vectors, most, days, {z: (np.array(a), np.array(b)) for z, (a, b) in at.items()})
 
     def found(self, requests: DataFrame, clearance: dict[str, str] = CLEARANCE, probes: int | None = None) -> DataFrame:
-        """The best ``top_k`` chunks of each request: query_id, rank, chunk, dense_score, cell and nth."""
-        p = self.params
-        near = self.cells_of(requests, clearance, probes)
-        # At most a batch's requests in a list.
-        asked = near.groupBy("cell", "class").agg(F.collect_list(F.struct("query_id", "v", "k", "day", "nth")).alias("asked"))
-        met = self.blocks.join(asked, ["cell", "class"]).select("cell", "ids", "keys", "starts", "ends", "codes", "asked")
-        scale, dims, more = self.meta.scale, self.meta.dims, p.oversample
-        kind = "query_id string, cell int, nth int, chunk_id string, row_key long, guess double"
-        heads = met.mapInArrow(lambda it: _heads(it, scale, dims, more), kind)
-        want = requests.select("query_id", (F.col("top_k") * more).alias("most"))
-        heads = top(heads.join(F.broadcast(want), "query_id"), F.col("most"), F.desc("guess"), F.col("chunk_id")).drop("rank", "most")
-        asked_again = requests if "embedding" in requests.columns else requests.withColumn("embedding", embed(F.col("query")))
-        rows = _with_fields(self.rows)
-        exact = rows.join(heads.select("query_id", "cell", "nth", "row_key"), ["cell", "row_key"]).join(as_requests(asked_again), "query_id").where(may_see(clearance))
-        exact = exact.dropDuplicates(["query_id", "row_key", "chunk_id"])
+        """The best ``top_k`` chunks of each request: query_id, rank, chunk, dense_score, cell and nth.
+
+        Requests and zones are few and on the driver, so the cells to read are partitions known before the plan is made.
+        """
+        ids, asked = self.cells_of(requests, clearance, probes)
+        cells, scale = sorted({cell for cell, _ in asked.at}), self.meta.scale
+        inside = F.col("cell").isin(cells) if cells else F.lit(False)
+        kept = pa.table({"asked": pa.array(range(len(ids)), pa.int32()), "query_id": pa.array(ids, pa.string()), "q_embedding": pa.array(list(asked.vectors), pa.list_(pa.float64())), "most": pa.array(asked.most, pa.int64())})
+        by_number = F.broadcast(self.spark.createDataFrame(kept, "asked int, query_id string, q_embedding array<double>, most long"))
+        heads = self.blocks.where(inside).select("cell", "class", "starts", "ends", "keys", "codes").mapInArrow(lambda it: _heads(it, asked, scale), "asked int, cell int, nth int, row_key long, guess double")
+        heads = heads.join(by_number, "asked")
+        heads = top(heads, F.col("most"), F.desc("guess"), F.col("row_key")).drop("rank").dropDuplicates(["query_id", "row_key"])
+        rows = _with_fields(self.rows.where(inside))
+        exact = rows.join(heads.select("query_id", "cell", "nth", "row_key", "q_embedding", "most"), ["cell", "row_key"])
+        # What codes found was chosen among what may be read; a digest of the row is no proof, so access is asked again of the row.
+        limits = as_requests(local_requests(requests).select("query_id", "role", "source_types", "jurisdiction", "as_of_date", "top_k"))
+        exact = exact.join(limits, "query_id").where(may_see(clearance)).dropDuplicates(["query_id", "row_key"])
         scored = exact.select("query_id", "q_top_k", _chunk(rows), dot(F.col("embedding"), F.col("q_embedding")).alias("dense_score"), "cell", "nth")
         return top(scored, F.col("q_top_k"), F.desc("dense_score"), F.col("chunk.chunk_id")).drop("q_top_k")
 

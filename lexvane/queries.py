@@ -154,10 +154,20 @@ def scope_first_failure_counts(spark, sf):
   SELECT day, source_type, count(*) AS n, min(d) AS first_doc FROM days, chunks WHERE valid_from <= day AND (valid_to IS NULL OR day <= valid_to) GROUP BY 1, 2""")
 def validity_asof(spark, sf):
     days = spark.createDataFrame([("2021-03-01",), ("2024-06-15",), ("2026-12-31",)], "d string").select(F.col("d").cast("date").alias("day"))
-    met = _chunks(spark, sf).join(F.broadcast(days), SEC.valid_on(F.col("valid_from"), F.col("valid_to"), F.col("day")))
+    met = SEC.valid_at(days, _chunks(spark, sf))
     return met.groupBy("day", "source_type").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("doc_id").cast("bigint")).alias("first_doc"))
 
 
+@query(f"""WITH {_CHUNKS}, days AS (SELECT CAST(ts AS date) AS day, count(*) AS asked FROM events GROUP BY 1)
+  SELECT day, source_type, any_value(asked) AS asked, count(*) AS n, min(d) AS first_doc, count(*) FILTER (valid_to IS NULL) AS open_ended FROM days, chunks WHERE valid_from <= day AND (valid_to IS NULL OR day <= valid_to) GROUP BY 1, 2""")
+def validity_of_events(spark, sf):
+    """What was valid on the day of each event. Days and validities are counted before they meet."""
+    days = _table(spark, sf, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("asked"))
+    kinds = _chunks(spark, sf).groupBy("valid_from", "valid_to", "source_type").agg(F.count(F.lit(1)).alias("k"), F.min(F.col("doc_id").cast("bigint")).alias("least"))
+    met = SEC.valid_at(days, kinds)
+    return met.groupBy("day", "source_type").agg(F.any_value("asked").alias("asked"), F.sum("k").alias("n"), F.min("least").alias("first_doc"), F.coalesce(F.sum(F.when(F.col("valid_to").isNull(), F.col("k"))), F.lit(0)).cast("bigint").alias("open_ended"))
+
+
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS double)) AS v FROM embeddings),
   q AS (SELECT vec_id AS query_id, v AS w FROM e WHERE vec_id % 100 = 0),
   s AS (SELECT query_id, vec_id, round(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 9) AS score FROM e, q)
