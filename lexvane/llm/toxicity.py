@@ -3,7 +3,9 @@
 A word, folded to lower-case letters with a mark at its start, maps to its subsequences of three characters within five places;
 each place skipped costs a factor ``decay``. The normalised inner product of two such maps is the kernel, so an insult with a
 character put in, doubled or written with signs between its letters stays close to the plain one. Runs of single letters
-("i d i o t") are read as one word.
+("i d i o t") are read as one word. A word of more than 16 letters (glued text, text without white space) is judged by every
+stretch of 5 to 16 of its letters, each as if it stood alone: running sums of table entries give all of them in
+linear time, and an insult in a run counts the same however long the run is.
 
 Labels are given for whole texts, so training alternates: every toxic text names its most toxic word, the machine is fitted on
 those words (and on altered copies of them) against words of clean texts, and clean words that it gets wrong join the others.
@@ -68,7 +70,8 @@ class ToxicityParams:
 
 #: Offsets of the second and third character of a subsequence.
 _OFFSETS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
-_WINDOW, _STRIDE = 40, 30
+#: Letters of the stretches that a longer word is judged by.
+_SHORTEST, _LONGEST = 5, 16
 _SPACED = r"(^|\s)\pL(\s\pL){3,}(\s|$)"
 _SPACED_PY = re.compile(r"(?:(?<=\s)|^)[^\W\d_](?:\s[^\W\d_]){3,}(?=\s|$)")
 
@@ -88,11 +91,7 @@ def _folds() -> np.ndarray:
 
 
 def fold(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all words' characters, a mark before each word; and each character's instance. Long words are read in windows.
-
-    Returns (classes, number of the word for each character), where windows of one word carry the word's number but are parted
-    by a gap of four classes that match nothing.
-    """
+    """Classes of all words' characters, a mark before each word, and the number of the word for each character."""
     raw = np.frombuffer("\n".join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = raw == 10
     owner = np.cumsum(ends) - ends
@@ -106,7 +105,10 @@ def fold(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def features(words: list[str], decay: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, subsequence, weight) of every word, each pair once. Weights are not normalised."""
-    cls, owner = fold(words)
+    return _subsequences(*fold(words), decay)
+
+
+def _subsequences(cls: np.ndarray, owner: np.ndarray, decay: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code = cls.astype(np.int64)
     keys, weights = [], []
     for d1, d2 in _OFFSETS:
@@ -116,7 +118,7 @@ def features(words: list[str], decay: float) -> tuple[np.ndarray, np.ndarray, np
         same = np.flatnonzero(owner[:n] == owner[d2:])
         keys.append((owner[same] * _SIZE + code[same]) * _SIZE**2 + code[same + d1] * _SIZE + code[same + d2])
         weights.append(np.full(len(same), decay ** (d2 - 2), np.float32))
-    if not keys:
+    if not sum(map(len, keys)):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
     key, weight = np.concatenate(keys), np.concatenate(weights)
     order = np.argsort(key, kind="stable")
@@ -125,17 +127,86 @@ def features(words: list[str], decay: float) -> tuple[np.ndarray, np.ndarray, np
     return key[first] // _SIZE**3, key[first] % _SIZE**3, np.add.reduceat(weight, first)
 
 
+def _stretches(cls: np.ndarray, owner: np.ndarray, table: np.ndarray, bias: float, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """The best stretch that begins at each letter: its margin and its letters. ``cls``: letters of words, without their marks.
+
+    A stretch is a word of its own, with the mark put before it. Running sums count a subsequence that it has twice as two, which can
+    only make a margin larger; of each letter's best one, those above zero are then mapped and normalised as words are.
+    """
+    n = len(cls)
+    best, size = np.full(n, _LOW), np.zeros(n, np.int64)
+    code = cls.astype(np.int64)
+    # For each width, sums of the table over subsequences that begin before a place; subsequences over a word's end are in no stretch.
+    upto: dict[int, np.ndarray] = {}
+    marked, norm_mark = np.zeros(n), 0.0
+    weights = {d2: 0.0 for d2 in (2, 3, 4)}
+    for d1, d2 in _OFFSETS:
+        w = decay ** (d2 - 2)
+        weights[d2] += w * w
+        norm_mark += w * w
+        value = np.zeros(n + 1)
+        if n > d2:
+            value[1 : n - d2 + 1] = w * table[(code[: n - d2] * _SIZE + code[d1 : n - d2 + d1]) * _SIZE + code[d2:]]
+        upto[d2] = upto.get(d2, 0) + np.cumsum(value)
+        if n >= d2:
+            marked[: n - d2 + 1] += w * table[(_START * _SIZE + code[d1 - 1 : n - d2 + d1]) * _SIZE + code[d2 - 1 :]]
+    for length in range(_SHORTEST, min(_LONGEST, n) + 1):
+        starts = np.flatnonzero(owner[: n - length + 1] == owner[length - 1 :])
+        value = marked[starts] + sum(upto[d2][starts + length - d2] - upto[d2][starts] for d2 in weights)
+        norm = norm_mark + sum((length - d2) * w for d2, w in weights.items())
+        margin = value / np.sqrt(norm) + bias
+        more = margin > best[starts]
+        best[starts[more]], size[starts[more]] = margin[more], length
+    some = np.flatnonzero(best > 0)
+    for k in range(0, len(some), _BLOCK):
+        at = some[k : k + _BLOCK]
+        n = size[at] + 1
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        marks = place == 0
+        letters = np.where(marks, np.uint8(_START), cls[np.repeat(at, n) + np.maximum(place - 1, 0)])
+        w, u, x = _subsequences(letters, np.repeat(np.arange(len(at)), n), decay)
+        best[at] = np.bincount(w, x * table[u], len(at)) / np.sqrt(np.bincount(w, x * x, len(at))) + bias
+    return best, size
+
+
+def _long(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each word has more letters than a stretch, and the letters of these words with the words' numbers."""
+    cls, owner = fold(words)
+    letters = cls != _START
+    count = np.bincount(owner[letters], minlength=len(words) + 1)[: len(words)] if len(words) else np.zeros(0, np.int64)
+    some = letters & (np.append(count, 0)[owner] > _LONGEST)
+    return count > _LONGEST, cls[some], owner[some]
+
+
 def margins(words: list[str], table: np.ndarray, bias: float, decay: float) -> np.ndarray:
     """The machine's decision for each word; the lowest for words with no subsequence. Taken in blocks, to bound memory."""
     out = [np.zeros(0)]
     for k in range(0, len(words), _BLOCK):
         part = words[k : k + _BLOCK]
-        w, u, x = features(part, decay)
+        long, cls, owner = _long(part)
+        w, u, x = features(["" if z else v for v, z in zip(part, long.tolist(), strict=True)] if long.any() else part, decay)
         norm = np.bincount(w, x * x, len(part))
-        out.append(np.where(norm > 0, np.bincount(w, x * table[u], len(part)) / np.sqrt(np.maximum(norm, 1e-12)) + bias, _LOW))
+        found = np.where(norm > 0, np.bincount(w, x * table[u], len(part)) / np.sqrt(np.maximum(norm, 1e-12)) + bias, _LOW)
+        if len(cls):
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            found[owner[first]] = np.maximum.reduceat(_stretches(cls, owner, table, bias, decay)[0], first)
+        out.append(found)
     return np.concatenate(out)
 
 
+def telling_stretches(words: list[str], table: np.ndarray, bias: float, decay: float) -> list[str]:
+    """Of each word longer than a stretch its most toxic one, in letters; other words as they are."""
+    out = list(words)
+    long, cls, owner = _long(words)
+    if long.any():
+        best, size = _stretches(cls, owner, table, bias, decay)
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        for a, z in zip(first, [*first[1:], len(cls)], strict=True):
+            at = a + int(np.argmax(best[a:z]))
+            out[owner[a]] = "".join(chr(97 + c) if c < 26 else "2" for c in cls[at : at + size[at]].tolist())
+    return out
+
+
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, each text's words as numbers of these, and the number of words of each text."""
     texts = fresh(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -145,28 +216,8 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         texts = pa.array(joined, pa.large_string())
     split = pc.utf8_split_whitespace(texts)
     coded = split.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    parts, index, counts = [], [], []
-    for w in words:
-        if len(w) <= _WINDOW:
-            index.append(len(parts))
-            parts.append(w)
-            counts.append(1)
-        else:
-            more = [w[k : k + _WINDOW] for k in range(0, len(w) - _WINDOW + _STRIDE, _STRIDE)]
-            index.append(len(parts))
-            parts += more
-            counts.append(len(more))
-    flat = coded.indices.to_numpy(zero_copy_only=False)
     sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-    if len(parts) != len(words):
-        index_, counts_ = np.array(index), np.array(counts)
-        each = counts_[flat]
-        upto = np.concatenate([[0], np.cumsum(each)])
-        ends = np.cumsum(sizes)
-        flat = np.arange(upto[-1]) - np.repeat(upto[:-1], each) + np.repeat(index_[flat], each)
-        sizes = upto[ends] - upto[ends - sizes]
-    return parts, flat, sizes
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), sizes
 
 
 @dataclass(frozen=True)
@@ -293,6 +344,7 @@ def fit(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityParams
     hard = clean_words[np.argsort(-guess[clean_words], kind="stable")[: p.most_words // 4]]
     score = np.where(in_clean, -9.0, guess)
     table, bias, floor = np.zeros(_SIZE**3), 0.0, 0.5
+    stretches: list[str] = []
     for turn in range(p.rounds):
         order = np.lexsort((-score[word[toxic]], doc[toxic]))
         named, by = word[toxic][order], doc[toxic][order]
@@ -301,7 +353,7 @@ def fit(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityParams
         if not len(best):
             return blank
         kinds = Counter(best.tolist())
-        ranked = [words[k] for k, _ in kinds.most_common()]
+        ranked = telling_stretches([words[k] for k, _ in kinds.most_common()], table if turn else odds, bias, p.decay)
         often = np.sqrt([n for _, n in kinds.most_common()])
         whole = np.array([len(w) > 3 for w in ranked])
         positive, weight_of = list(ranked), [often]
@@ -312,8 +364,8 @@ def fit(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityParams
         chosen = np.unique(np.concatenate([common, drawn, hard]))
         negative = [words[k] for k in chosen]
         changed = _altered(negative[:: max(1, len(negative) // 1500)], rng)
-        against = np.sqrt(np.concatenate([clean_counts[np.searchsorted(clean_words, chosen)], np.ones(len(changed))]))
-        negative += changed
+        against = np.sqrt(np.concatenate([clean_counts[np.searchsorted(clean_words, chosen)], np.ones(len(changed) + len(stretches))]))
+        negative += changed + stretches
         half = p.landmarks // 2
         marks = ranked[:half] + [words[k] for k in hard[: half // 2]] + [words[k] for k in common[: half - half // 2]]
         marks = list(dict.fromkeys(marks))
@@ -332,6 +384,10 @@ def fit(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityParams
         found = margins(words, table, bias, p.decay)
         hard = np.unique(np.concatenate([hard[: p.most_words // 8], clean_words[np.argsort(-found[clean_words], kind="stable")[: p.most_words // 4]]]))
         score, floor = found, -0.5
+        # Stretches of long clean words that look toxic are clean as well.
+        worst = clean_words[np.argsort(-found[clean_words], kind="stable")[: p.most_words // 4]]
+        shown = [words[k] for k in worst]
+        stretches = list(dict.fromkeys([*stretches, *(a for a, w in zip(telling_stretches(shown, table, bias, p.decay), shown, strict=True) if a != w)]))[: p.most_words // 2]
     table = table.astype(np.float32)
 
     model = ToxicityModel(table, bias, 1.0, 0.0, share, p.decay)

@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lexvane.llm.toxicity import ToxicityModel, ToxicityParams, _dense, features, fit, fit_on_labels, margins, score_documents, words_of
+from lexvane.llm.toxicity import ToxicityModel, ToxicityParams, _dense, features, fit, fit_on_labels, margins, score_documents, telling_stretches, words_of
 
 BAD = ["blorgnak", "fizzwump", "snargle"]
 
@@ -43,9 +43,28 @@ def test_held_out_texts_and_altered_insults():
     assert (model.score(pa.array(["talare misola", "", None, "…", "solado " * 3000])) < 0.3).all()
 
 
-def test_long_words_are_read_whole():
+@pytest.mark.parametrize("glue", [12, 20, 30, 60, 400])
+def test_insults_in_glued_text(glue):
+    """An insult counts wherever it stands in a run and however long the run is, plain or spelt with signs or a letter put in."""
     model = fit(*_corpus())
-    assert model.score(pa.array(["ta" * 60 + "fizzwump" + "re" * 60]))[0] > model.score(pa.array(["ta" * 60 + "re" * 64]))[0]
+    rng = np.random.default_rng(3)
+    syl = ["ta", "re", "mi", "so", "la", "do", "ven", "ter", "al", "in"]
+    runs = ["".join(rng.choice(syl, glue))[:glue] for _ in range(40)]
+    insults = ["blorgnak", "fizzwump", "snargle", "f-i-z-z-w-u-m-p", "b.l.o.r.g.n.a.k", "fizzxwump", "SNARGLE"]
+    glued = [r[:at] + bad + r[at:] for r in runs for bad in insults for at in [int(rng.integers(glue + 1))]]
+    said = model.score(pa.array(glued)) >= 0.3
+    assert said.mean() >= 0.95, [g for g, s in zip(glued, said, strict=True) if not s][:5]
+    assert (model.score(pa.array(runs)) >= 0.3).mean() <= 0.05
+
+
+def test_stretches_are_words_of_their_own():
+    """Running sums give what a stretch has as a word, where no subsequence comes twice."""
+    rng = np.random.default_rng(4)
+    table, word = rng.normal(size=36**3), "abcdefghijklmnopqrstuvwxyz"
+    best = max(margins([word[k : k + n]], table, 0.3, 0.7)[0] for n in range(5, 17) for k in range(len(word) - n + 1))
+    assert margins([word, "x", word[:16]], table, 0.3, 0.7)[0] == pytest.approx(best, abs=1e-5)
+    assert telling_stretches([word, "short"], table, 0.3, 0.7)[1] == "short"
+    assert margins(telling_stretches([word], table, 0.3, 0.7), table, 0.3, 0.7)[0] == pytest.approx(best, abs=1e-5)
 
 
 def test_insults_between_no_break_spaces():
