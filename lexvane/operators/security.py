@@ -135,13 +135,22 @@ def may_see(clearance: dict[str, str] = CLEARANCE) -> Column:
     return (access_of(clearance) == "authorized") & (scope_of() == "in_scope")
 
 
-def request_counts(requests: DataFrame, chunks: DataFrame, clearance: dict[str, str] = CLEARANCE) -> DataFrame:
+#: What the filters look at.
+KINDS = ["allowed_roles", "security_rank", "source_type", "jurisdiction", "valid_from", "valid_to"]
+
+
+def chunk_kinds(chunks: DataFrame) -> DataFrame:
+    """Chunks counted by what the filters look at."""
+    return with_rank(chunks).groupBy(*KINDS).agg(F.count(F.lit(1)).alias("n"))
+
+
+def request_counts(requests: DataFrame, chunks: DataFrame, clearance: dict[str, str] = CLEARANCE, kinds: DataFrame | None = None) -> DataFrame:
     """For each request: chunks in all, denied, out of scope by first reason, and candidates.
 
-    Chunks are first counted by what the filters look at, so the work with requests does not grow with the corpus.
+    Chunks are first counted by what the filters look at, so the work with requests does not grow with the corpus. With ``kinds``
+    (``chunk_kinds`` of the chunks, as an index keeps them) the chunks are not read at all.
     """
-    keys = ["allowed_roles", "security_rank", "source_type", "jurisdiction", "valid_from", "valid_to"]
-    kinds = with_rank(chunks).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    kinds = chunk_kinds(chunks) if kinds is None else kinds
     met = kinds.join(as_requests(requests), F.lit(True)).withColumn("access", access_of(clearance)).withColumn("scope", F.when(F.col("access") == "authorized", scope_of()))
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
     counted = met.groupBy("query_id").agg(

@@ -4,6 +4,7 @@ Layout, under the index path. Each version is a folder of its own and is never c
 
 - ``rows``, by cell: the chunks, their embeddings and keys;
 - ``blocks``, by cell: packs of up to ``block`` chunks of one cell and one access class: keys, validity days and codes as bytes;
+- ``kinds``: how many chunks there are of everything that the filters look at, so that counts of what was denied need no scan;
 - ``zones``: a row for each cell and class with what decides access (roles, rank, source type, jurisdiction), the least and the
   greatest day of validity, and the number of chunks;
 - a file in ``versions`` that names the folder. It is made last and only where there is none of its number, so readers see whole
@@ -39,7 +40,7 @@ from lexvane.functions.schemas import CLEARANCE
 from lexvane.functions.vectors import dot, embed, hash_embeddings
 from lexvane.operators.cells import fit_cells
 from lexvane.operators.retrieval import _chunk, _with_fields, embedding_text, top
-from lexvane.operators.security import access_of, as_requests, local_requests, may_see, scope_reason
+from lexvane.operators.security import access_of, as_requests, chunk_kinds, local_requests, may_see, scope_reason
 
 #: What decides access to a chunk, besides its dates.
 CLASS = ["allowed_roles", "security_rank", "source_type", "jurisdiction"]
@@ -194,7 +195,7 @@ class VectorIndex:
         self._seen: dict[tuple, dict[tuple, set[str]]] = {}
         at = f"{self.path}/{meta.folder}"
         # With schemas, as an index of no chunks has no files.
-        self.rows, self.blocks, self.zones = (spark.read.schema(StructType.fromJson(json.loads(meta.schemas[t]))).parquet(f"{at}/{t}") for t in ("rows", "blocks", "zones"))
+        self.rows, self.blocks, self.zones, self.kinds = (spark.read.schema(StructType.fromJson(json.loads(meta.schemas[t]))).parquet(f"{at}/{t}") for t in ("rows", "blocks", "zones", "kinds"))
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, params: IndexParams = IndexParams()) -> VectorIndex | None:
@@ -269,8 +270,10 @@ class VectorIndex:
         schema = "cell int, class string, keys array<long>, starts array<int>, ends array<int>, codes binary"
         packed = packs.select("cell", "class", "part", "row_key", "start", "end", "embedding").groupBy("cell", "class", "part").applyInPandas(lambda pdf: _pack(pdf, scale), schema)
         packed.write.partitionBy("cell").parquet(f"{at}/blocks")
+        kinds = chunk_kinds(rows)
+        kinds.write.parquet(f"{at}/kinds")
         _drop(spark, f"{at}/embedded")
-        schemas = {"rows": placed.schema.json(), "blocks": packed.schema.json(), "zones": zones.schema.json()}
+        schemas = {"kinds": kinds.schema.json(), "rows": placed.schema.json(), "blocks": packed.schema.json(), "zones": zones.schema.json()}
         meta = IndexMeta(folder, points, digest, dims, scale, schemas, [list(map(float, r)) for r in centres])
         out = cls(spark, path, meta, p)
         return cls(spark, path, IndexMeta(**(asdict(meta) | {"probes": out._measured()})), p)

@@ -225,15 +225,15 @@ def semantic_concepts(spark, sf):
     return found.select("doc_id", F.array_join("p.concepts", "|").alias("concepts"), F.col("p.n_terms").cast("bigint").alias("n_terms"))
 
 
-_RR_Q = "which thing is the nl stage for an employee that and the of"
+_RR_Q = "can an employee change employer and keep the 30% ruling in the nl for the thing"
 
 
 @query(f"""WITH {_CHUNKS}, q AS (SELECT {_LOW.format(repr(_RR_Q))} AS low), qt AS (SELECT {_CON} AS qc, {_LEXT} AS ql FROM q),
   t AS (SELECT chunk_id, d, source_type, {_LOW.format("citation_path || ' ' || text || ' ' || source_type")} AS low FROM chunks),
   f AS (SELECT chunk_id, d, source_type, {_CON} AS rc, {_LEXT} AS rl FROM t),
-  s AS (SELECT chunk_id, len(list_intersect(qc, rc)) / CAST(len(qc) AS double) AS co, len(list_intersect(ql, rl)) / CAST(len(ql) AS double) AS lo, (d % 13) / CAST(13 AS double) AS ds, CASE d % 5 WHEN 0 THEN CAST(55 AS double) ELSE 0 END AS ls, CAST(1 AS double) / (60 + d % 50) AS rr FROM f, qt)
+  s AS (SELECT chunk_id, source_type, CASE WHEN source_type = 'legislation' THEN least(0.08::double * list_contains(qc, 'concept:thirty_percent_ruling')::INT + 0.08::double * (list_contains(qc, 'concept:employment_change') AND list_contains(qc, 'concept:employer'))::INT, 0.16::double) ELSE 0 END AS bonus, len(list_intersect(qc, rc)) / CAST(len(qc) AS double) AS co, len(list_intersect(ql, rl)) / CAST(len(ql) AS double) AS lo, (d % 13) / CAST(13 AS double) AS ds, CASE d % 5 WHEN 0 THEN CAST(55 AS double) ELSE 0 END AS ls, CAST(1 AS double) / (60 + d % 50) AS rr FROM f, qt)
   SELECT chunk_id, round(co, 9) AS concept_overlap, round(lo, 9) AS lexical_overlap,
-    round(0.32::double * co + 0.26::double * lo + 0.16::double * ds + 0.12::double * least(ls / 100, 1) + 0.08::double * least(rr / 0.03::double, 1), 7) AS rerank_score FROM s""")
+    round(bonus, 9) AS source_bonus, round(0.32::double * co + 0.26::double * lo + 0.16::double * ds + 0.12::double * least(ls / 100, 1) + 0.08::double * least(rr / 0.03::double, 1) + bonus, 7) AS rerank_score FROM s""")
 def rerank_deterministic(spark, sf):
     c, d = _chunks(spark, sf), F.col("doc_id").cast("bigint")
     rows = c.select(
@@ -241,7 +241,7 @@ def rerank_deterministic(spark, sf):
         ((d % 13) / 13).alias("dense_score"), F.when(d % 5 == 0, 55.0).alias("lexical_score"), (1.0 / (60 + d % 50)).alias("rrf_score"),
     )
     out = R.deterministic(rows)
-    return out.select(F.col("chunk.chunk_id").alias("chunk_id"), _r("rerank_concept_overlap").alias("concept_overlap"), _r("rerank_lexical_overlap").alias("lexical_overlap"), F.round("rerank_score", 7).alias("rerank_score"))
+    return out.select(F.col("chunk.chunk_id").alias("chunk_id"), _r("rerank_concept_overlap").alias("concept_overlap"), _r("rerank_lexical_overlap").alias("lexical_overlap"), _r("rerank_source_bonus").alias("source_bonus"), F.round("rerank_score", 7).alias("rerank_score"))
 
 
 @query()

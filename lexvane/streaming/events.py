@@ -1,4 +1,4 @@
-"""Event-time additions: windows, sessions, repeats and a rolling answer cache on streams. Not part of the retrieval model."""
+"""Event-time additions: windows, sessions and repeats on streams. Not part of the retrieval model."""
 
 from __future__ import annotations
 

@@ -47,6 +47,47 @@ def test_contract_clearance_and_stress(spark):
     assert got["a::stress:2"] == got["b::stress:2"] == marks and got["c::stress:2"] == {"k": {"x": 1}} | marks
 
 
+def test_hashed_probe(spark):
+    """The hashed probe finds what comparing all entries finds, near the threshold and beyond it."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(300, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.97, 1.0, (300, 1))
+    near = cos * base + np.sqrt(1 - cos**2) * side
+    later = F.current_timestamp() + F.expr("INTERVAL 1 DAY")
+    rows = [(f"n{k % 3}", k, f"q{k}", [float(x) for x in v], "{}") for k, v in enumerate(base)] + [("n0", 900, "none", None, "{}"), ("n0", 901, "zero", [0.0] * 64, "{}"), ("n0", 902, "short", [1.0], "{}")]
+    cache = spark.createDataFrame(rows, "namespace string, seq long, query string, embedding array<double>, response string").withColumn("expires_at", later)
+    asked = spark.createDataFrame([(str(k), f"n{k % 3}", [float(x) for x in v]) for k, v in enumerate(near)], "query_id string, namespace string, embedding array<double>")
+    now = F.current_timestamp()
+    want = {(r.query_id, r.seq) for r in C.probe(asked, cache, now, exact=True).collect()}
+    got = {(r.query_id, r.seq) for r in C.probe(asked, cache, now).collect()}
+    assert want == {(str(k), k) for k in range(300) if cos[k, 0] >= 0.985} and got <= want and len(got) >= 0.999 * len(want)
+    plan = C.probe(asked, cache, now)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_concurrent_puts(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    cache, kind = C.TableCache(spark, f"{tmp_path}/cache"), "namespace string, query string, embedding array<double>, outcome string, grade string, security_ranks array<int>, response string"
+    put = lambda k: cache.put(spark.createDataFrame([("n", f"q{k} {i}", [1.0, 0.0], "answered", "relevant", [0], f"r{k}.{i}") for i in range(5)], kind))
+    put(0)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(put, range(1, 5)))
+    rows = cache.entries().orderBy("seq").collect()
+    assert len(rows) == 25 and [r.response for r in rows[:5]] == [f"r0.{i}" for i in range(5)]
+    for k in range(5):  # those of one put keep their order
+        assert [r.response for r in rows if r.response.startswith(f"r{k}.")] == [f"r{k}.{i}" for i in range(5)]
+    asked = spark.createDataFrame([("a", "n", [1.0, 0.0])], "query_id string, namespace string, embedding array<double>")
+    assert cache.get(asked).first().response == cache.get(asked, exact=True).first().response == "r0.0"
+
+
 def test_shared_cache(spark, tmp_path):
     cache = C.TableCache(spark, f"{tmp_path}/cache")
     kind = "namespace string, query string, embedding array<double>, outcome string, grade string, security_ranks array<int>, response string"
