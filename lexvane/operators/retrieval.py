@@ -15,11 +15,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lexvane.functions import phrases as P
 from lexvane.functions import text as T
 from lexvane.functions.schemas import CLEARANCE
-from lexvane.functions.vectors import dot, embed
+from lexvane.functions.vectors import dot, embed, hash_embeddings
 from lexvane.operators.security import as_requests, local_requests, may_see, with_rank
 
 LEXICAL_LIMIT, DENSE_LIMIT, WINDOW, FINAL, RRF_K = 50, 100, 50, 10, 60
@@ -133,14 +134,22 @@ def indexed(chunks: DataFrame) -> DataFrame:
     return _with_fields(chunks).withColumn("embedding", embed(embedding_text()))
 
 
+def with_vectors(requests: DataFrame) -> DataFrame:
+    """Requests with an ``embedding``: the one they have, or that of their query. Requests are few, so the driver embeds them."""
+    if "embedding" in requests.columns:
+        return requests
+    rows = local_requests(requests).toArrow()
+    vectors = pa.array(list(hash_embeddings(rows["query"].to_pylist())), pa.list_(pa.float64()))
+    return requests.sparkSession.createDataFrame(rows.append_column("embedding", vectors), StructType([*requests.schema.fields, StructField("embedding", ArrayType(DoubleType()))]))
+
+
 def dense(requests: DataFrame, chunks: DataFrame, least: int = 0, clearance: dict[str, str] = CLEARANCE) -> DataFrame:
     """Inner product of unit vectors. ``chunks`` has an ``embedding``; requests without one get the embedding of their query.
 
     Requests whose vector is zero get no results.
     """
-    asked = requests if "embedding" in requests.columns else requests.withColumn("embedding", embed(F.col("query")))
     # A query without a single term has the zero vector: no chunk is near it.
-    asked = asked.where(F.exists("embedding", lambda x: x != 0))
+    asked = with_vectors(requests).where(F.exists("embedding", lambda x: x != 0))
     c = _with_fields(chunks)
     met = c.join(as_requests(asked), may_see(clearance))
     scored = met.select("query_id", "q_top_k", _chunk(c), dot(F.col("embedding"), F.col("q_embedding")).alias("dense_score"))

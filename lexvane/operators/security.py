@@ -106,22 +106,23 @@ def with_rank(chunks: DataFrame) -> DataFrame:
     return chunks if "security_rank" in chunks.columns else chunks.withColumn("security_rank", classification_rank(F.col("security_classification")))
 
 
-def as_requests(requests: DataFrame) -> DataFrame:
-    """Requests under names of their own, marked for broadcast. The plan fails where there are more than ``MOST_REQUESTS``; no job is run here."""
-    # After a limit rows are in one partition, where these numbers count from 0.
-    some = requests.limit(MOST_REQUESTS + 1).withColumn("_at", F.monotonically_increasing_id())
-    known = F.when(F.col("_at") >= MOST_REQUESTS, F.raise_error(F.lit(f"more than {MOST_REQUESTS} requests in one batch"))).otherwise(F.col("query_id"))
-    return F.broadcast(some.select(*[F.col(c).alias(f"q_{c}") if c != "query_id" else known.alias(c) for c in requests.columns]))
-
-
 def local_requests(requests: DataFrame) -> DataFrame:
-    """The requests as a local table: they are few, and plans that read them start from no job of their own."""
+    """The requests as a local table, their number checked: plans that read them need no job of their own for it.
+
+    Requests made of records are local already, and then nothing is run here.
+    """
     rows = requests.limit(MOST_REQUESTS + 1).toArrow()
     if rows.num_rows > MOST_REQUESTS:
         raise ValueError(f"more than {MOST_REQUESTS} requests in one batch")
     return requests.sparkSession.createDataFrame(rows, requests.schema)
 
 
+def as_requests(requests: DataFrame) -> DataFrame:
+    """Requests under names of their own, marked for broadcast once their number is checked."""
+    some = local_requests(requests)
+    return F.broadcast(some.select(*[F.col(c).alias(f"q_{c}") if c != "query_id" else F.col(c) for c in requests.columns]))
+
+
 def access_of(clearance: dict[str, str] = CLEARANCE) -> Column:
     return access_reason(F.col("q_role"), F.col("allowed_roles"), F.col("security_rank"), clearance)
 
