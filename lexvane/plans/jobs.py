@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import argparse
 import datetime
+import hashlib
 import json
 import sys
 import time
+import warnings
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,12 +26,15 @@ from lexvane.sources import download, readers, sinks
 
 
 TARGET_MS = 1500.0
+#: Name of the embedding in cache keys.
+EMBEDDING = "hashed-terms-256"
 
 
 def build_chunks(spark: SparkSession, raw: str, out: str | None = None) -> DataFrame:
     """Chunks of laws, cases, policies and lessons under ``raw``; written by source type where ``out`` is given.
 
-    Files that are no XML give no chunks; with ``out`` their paths and errors are written beside it, in ``<out>-rejected``.
+    Broken files give what is sound of them; their paths and errors are written beside ``out``, in ``<out>-rejected``, or, without it,
+    told in a warning.
     """
     read = [read_xml(spark, f"{raw}/{d}", k) for d, k in (("laws", "legislation"), ("cases", "case_law")) if _has(spark, f"{raw}/{d}")]
     parts = [x.where("error IS NULL").select(*CHUNK.fieldNames()) for x in read]
@@ -39,11 +44,14 @@ def build_chunks(spark: SparkSession, raw: str, out: str | None = None) -> DataF
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
+    bad = [x.where("error IS NOT NULL").select("source_type", "source_path", "error") for x in read]
+    rejected = bad[0].unionByName(bad[1]) if len(bad) == 2 else bad[0] if bad else None
     if out:
         sinks.write_chunks(every, out, "overwrite")
-        if read:
-            bad = [x.where("error IS NOT NULL").select("source_type", "source_path", "error") for x in read]
-            sinks.write_json_lines(bad[0] if len(bad) == 1 else bad[0].unionByName(bad[1]), f"{out}-rejected", "overwrite")
+        if rejected is not None:
+            sinks.write_json_lines(rejected, f"{out}-rejected", "overwrite")
+    elif rejected is not None and (some := rejected.limit(20).collect()):
+        warnings.warn("files that could not be read whole: " + "; ".join(f"{r['source_path']}: {r['error']}" for r in some), stacklevel=2)
     return every
 
 
@@ -54,12 +62,15 @@ def _has(spark: SparkSession, folder: str) -> bool:
 
 def run_eval(spark: SparkSession, chunks: DataFrame, gold: DataFrame, out: str | None = None, baseline: DataFrame | None = None, label: str = "candidate") -> tuple[DataFrame, DataFrame, bool]:
     """Cases, the report, and whether all checks pass. With ``out``: report, cases and the decision on ``label`` are written there."""
-    engine = Engine.from_chunks(chunks)
+    indexed = R.indexed(chunks).persist()  # both passes read the embeddings
+    engine = Engine(indexed)
     asked = requests_of(spark, [{"query_id": r["case_id"], "query": r["query"], "role": r["role"]} for r in gold.select("case_id", "query", "role").collect()])
     cases = EV.evaluate(gold, engine.answer(asked).withColumnRenamed("query_id", "case_id"), chunks).persist()
     report = EV.metrics(cases).persist()
     decision = EV.promotion(report, baseline).persist()
     checks = decision.collect()  # a row for each metric
+    engine.release()
+    indexed.unpersist()
     if out:
         stamp = datetime.datetime.now(datetime.UTC).strftime("%Y%m%dT%H%M%SZ")
         sinks.write_report(report, cases, f"{out}/eval-{stamp}")
@@ -119,11 +130,13 @@ def run_latency(spark: SparkSession, chunks: DataFrame, gold: DataFrame, times:
     return cases, report.first().asDict()
 
 
-def render(r) -> str:
-    """One answer as text: outcome, answer or reason, citations, states."""
+def render(r, trace: bool = False, timings: dict[str, float] | None = None) -> str:
+    """One answer as text: outcome, answer or reason, citations, states; with the events and the times of stages where wanted."""
     lines = [f"Outcome: {r['outcome']} ({r['grade']})", r["answer_text"] or f"Refused: {r['refusal_reason']}. {r['explanation']}"]
     lines += [f"  [{k}] {c['label']} - {c['citation_path']} ({c['chunk_id']})" for k, c in enumerate(r["citations"] or [], 1)]
     lines.append("States: " + " > ".join(r["states"]))
+    lines += [f"  {t['sequence']}. {t['event']} ({t['state']}): {t['payload']}" for t in r["trace"] or []] if trace else []
+    lines += [f"  {name}: {ms:.1f} ms" for name, ms in (timings or {}).items()]
     return "\n".join(lines)
 
 
@@ -133,29 +146,36 @@ class Service:
     With ``cache_path`` the answers are kept in that folder, for all services that name it; else in this session alone.
     """
 
-    def __init__(self, spark: SparkSession, chunks_path: str, index_path: str | None = None, cache: str = "none", cache_path: str | None = None, times: int = 1) -> None:
-        self.spark, self.cache = spark, None
-        self.engine = Engine.from_chunks(readers.stress(readers.read_chunks(spark, chunks_path), times), index_path)
+    def __init__(self, spark: SparkSession, chunks_path: str, index_path: str | None = None, cache: str = "none", cache_path: str | None = None, times: int = 1, reranker: str = "deterministic") -> None:
+        self.spark, self.cache, self.reranker = spark, None, reranker
+        self.engine = Engine.from_chunks(readers.stress(readers.read_chunks(spark, chunks_path), times), index_path, rerank=reranker)
         if C.backend(cache):
             self.cache = C.TableCache(spark, cache_path) if cache_path else spark.createDataFrame([], C.CACHE)
 
-    def query(self, query: str, role: str = "helpdesk", method: str | None = None, top_k: int = R.FINAL, jurisdiction: str | None = "NL", as_of_date: str | None = None) -> dict:
+    def versions(self) -> tuple[str, str, str]:
+        """What names the corpus, the ways of search and the wording in a key: the indexed chunks' digest, the reranker and the embedding."""
+        index = self.engine.index
+        corpus = hashlib.sha256(index.meta.digest.encode()).hexdigest() if index else "corpus-1"
+        return corpus, f"retrieval-2|{self.reranker}|{EMBEDDING}", "answer-2"
+
+    def query(self, query: str, role: str = "helpdesk", method: str | None = None, top_k: int = R.FINAL, jurisdiction: str | None = "NL", as_of_date: str | None = None, source_types: list[str] | None = None) -> dict:
         day = datetime.date.fromisoformat(as_of_date) if as_of_date else None
-        asked = requests_of(self.spark, [{"query": query, "role": role, "method": method, "top_k": top_k, "jurisdiction": jurisdiction, "as_of_date": day}])
+        asked = requests_of(self.spark, [{"query": query, "role": role, "method": method, "top_k": top_k, "jurisdiction": jurisdiction, "as_of_date": day, "source_types": source_types or []}])
         now = F.current_timestamp()
         if self.cache is not None:
             from lexvane.functions.vectors import embed
 
             # The date that holds is the one given or the one named in the question; the way of retrieval counts as well.
             dated = with_as_of(asked)
-            scope = F.array(F.concat(F.lit("as_of:"), F.coalesce(F.col("as_of_date").cast("string"), F.lit("current"))), F.concat(F.lit("method:"), F.coalesce("method", F.lit("hybrid"))))
-            key = C.namespace(F.col("role"), F.col("jurisdiction"), "corpus-1", "retrieval-1", "answer-1", scope, F.col("top_k"))
+            scope = F.array(F.concat(F.lit("as_of:"), F.coalesce(F.col("as_of_date").cast("string"), F.lit("current"))), F.concat(F.lit("method:"), F.coalesce("method", F.lit("hybrid"))), F.concat(F.lit("types:"), F.array_join(F.sort_array("source_types"), ",")))
+            key = C.namespace(F.col("role"), F.col("jurisdiction"), *self.versions(), scope, F.col("top_k"))
             probe = dated.select("query_id", "query", key.alias("namespace"), embed(F.col("query")).alias("embedding")).persist()
             hit = (self.cache.get(probe) if isinstance(self.cache, C.TableCache) else C.probe(probe, self.cache, now)).first()
             if hit:
                 probe.unpersist()
                 return json.loads(hit["response"]) | {"cached": True}
         row = self.engine.answer(asked).first()
+        self.engine.release()
         out = json.loads(json.dumps(row.asDict(recursive=True), default=str))
         if self.cache is not None:
             new = probe.withColumns({"outcome": F.lit(row["outcome"]), "grade": F.lit(row["grade"]), "security_ranks": F.array(*map(F.lit, row["security_ranks"] or [])).cast("array<int>"), "response": F.lit(json.dumps(out))})
@@ -225,6 +245,7 @@ def main(args: list[str] | None = None) -> int:
     ask.add_argument("--as-of")
     ask.add_argument("--index")
     ask.add_argument("--json", action="store_true")
+    ask.add_argument("--trace", action="store_true", help="events and times too")
     build = sub.add_parser("chunks")
     build.add_argument("raw")
     build.add_argument("out")
@@ -258,8 +279,9 @@ def main(args: list[str] | None = None) -> int:
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("lexvane").getOrCreate()
     if a.what == "ask":
-        r = Service(spark, a.chunks, a.index).query(a.query, a.role, a.method, a.top_k, a.jurisdiction, a.as_of)
-        print(json.dumps(r) if a.json else render(r))
+        service, start = Service(spark, a.chunks, a.index), time.perf_counter()
+        r = service.query(a.query, a.role, a.method, a.top_k, a.jurisdiction, a.as_of)
+        print(json.dumps(r) if a.json else render(r, a.trace, {"answer": (time.perf_counter() - start) * 1000} if a.trace else None))
         return 0
     if a.what == "chunks":
         build_chunks(spark, a.raw, a.out)
