@@ -6,7 +6,7 @@ table of 256 rows gives the lengths for every control byte at once when a file i
 
 File (little-endian): ``IDSV0001``, u64 documents, u64 ids, u64 data bytes, ranks' table size as u64, the table as u32 (rank to
 id), the documents' ids as i64 and a byte for each (0: null), their lengths as u32, control bytes, data bytes. One file holds a range of document ids in ascending order,
-of ``file_bytes`` of text or about that, so that a file can be held whole by the task that writes or reads it.
+of ``file_bytes`` of text and 16 bytes a document or about that, so that a file can be held whole by the task that writes or reads it.
 
 Defined cases: null and empty texts are the end id alone; null ids come first; repeated rows are written each; an empty table
 gives an empty result; other columns are ignored.
@@ -100,6 +100,8 @@ def read_file(blob: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pa.array(plain, mask=known == 0), lengths.astype(np.int64), out
 
 
+#: Bytes that a document counts for besides its text.
+_ROW_BYTES = 16
 _ROWS = ["part", "path", "ids", "counts", "doc_ids", "lengths"]
 
 
@@ -189,7 +191,8 @@ def write_id_files(df: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     """Write the files, in ascending order of the (integer) id. Returns a row for each file, in order: path, n_ids, ids_before."""
     spark = df.sparkSession
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    size = src.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    # A document has an id, a length and an end id, even without a text.
+    size = src.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)).cast("long") + _ROW_BYTES), F.lit(0))).first()[0]
     n_files = max(shuffle_partitions(spark), -(-size // file_bytes))
     # The row's number parts repeats of one row; rows of one id and text may stand in any order.
     ranged = src.withColumn("r", F.monotonically_increasing_id()).repartitionByRange(n_files, "id", F.xxhash64("t"), "r").sortWithinPartitions("id", "t").drop("r")

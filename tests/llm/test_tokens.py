@@ -125,3 +125,13 @@ def test_short_documents_fill_short_tiers():
     p = PackParams()
     seq, _, tier = pack_lengths(np.array([100] * 20 + [500] * 4 + [1000] * 2), p, by_tier=True)
     assert set(tier) == {256, 512, 1024}
+
+
+def test_very_many_empty_texts_make_more_files(spark, tmp_path):
+    from lexvane.llm.id_output import read_id_files, write_id_files
+
+    df = spark.range(200_000).selectExpr("id AS doc_id", "CASE id % 3 WHEN 0 THEN '' END AS text")
+    files = write_id_files(df, PATH, f"file://{tmp_path}/ids", file_bytes=1 << 18)
+    assert files.count() >= 12 and files.agg({"n_ids": "max"}).first()[0] <= 40_000
+    rows = read_id_files(files, f"file://{tmp_path}/ids").toPandas().sort_values("id")
+    assert len(rows) == 200_000 and (rows["start"].to_numpy() == np.arange(200_000)).all() and (rows["n_tokens"] == 1).all()
