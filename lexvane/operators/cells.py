@@ -20,7 +20,7 @@ from lexvane.operators.retrieval import top
 SAMPLE = 50_000
 
 
-def _usable(v: Column) -> Column:
+def usable(v: Column) -> Column:
     """Whether a vector has a direction: no null, no component that is null or not finite, not all zero."""
     d = v.cast("array<double>")
     fine = F.forall(d, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(d, lambda x: x != 0)
@@ -52,7 +52,7 @@ def _lloyd(batches: Iterator[pa.RecordBatch], cells: int, seed: int, rounds: int
 
 def fit_cells(vectors: DataFrame, cells: int, vector_col: str = "embedding", sample: int = SAMPLE, seed: int = 7) -> np.ndarray:
     """Unit centres of ``cells`` groups (cells x dimensions), from about ``sample`` rows at most, in one task. Vectors have one length."""
-    good = vectors.where(_usable(F.col(vector_col))).select(F.col(vector_col).cast("array<double>").alias("v"))
+    good = vectors.where(usable(F.col(vector_col))).select(F.col(vector_col).cast("array<double>").alias("v"))
     n = good.count()
     if not n:
         return np.zeros((0, 0))
@@ -79,7 +79,7 @@ def _nearest_cells(vectors: DataFrame, centres: np.ndarray, vector_col: str, n:
 
 def write_cells(vectors: DataFrame, centres: np.ndarray, path: str, id_col: str = "vec_id", vector_col: str = "embedding", mode: str = "overwrite") -> None:
     """Every row with a direction, as a unit vector, in folders by cell. Rows without one are near nothing and are not stored."""
-    rows = vectors.where(_usable(F.col(vector_col))).select(F.col(id_col).alias("id"), unit(F.col(vector_col).cast("array<double>")).alias("v"))
+    rows = vectors.where(usable(F.col(vector_col))).select(F.col(id_col).alias("id"), unit(F.col(vector_col).cast("array<double>")).alias("v"))
     if not len(centres):
         rows.withColumn("cell", F.lit(0)).write.mode(mode).partitionBy("cell").parquet(path)
         return
@@ -90,7 +90,7 @@ def write_cells(vectors: DataFrame, centres: np.ndarray, path: str, id_col: str
 
 def _met(index: DataFrame, centres: np.ndarray, asked: DataFrame, probes: int, id_col: str, vector_col: str) -> DataFrame:
     """Queries and the rows of their nearest cells: query_id, vec_id, score, and which of its cells it was (``nth``, from 0)."""
-    q = asked.where(_usable(F.col(vector_col))).select(F.col(id_col).alias("query_id"), unit(F.col(vector_col).cast("array<double>")).alias("w"))
+    q = asked.where(usable(F.col(vector_col))).select(F.col(id_col).alias("query_id"), unit(F.col(vector_col).cast("array<double>")).alias("w"))
     q = _nearest_cells(q, centres, "w", probes).select("query_id", "w", F.posexplode("cells").alias("nth", "cell"))
     return index.join(q, "cell").select("query_id", F.col("id").alias("vec_id"), F.round(dot(F.col("v"), F.col("w")), 9).alias("score"), "nth")
 

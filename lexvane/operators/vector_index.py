@@ -2,7 +2,7 @@
 
 Layout, under the index path. Each version is a folder of its own and is never changed:
 
-- ``rows``, by cell: the chunks, their embeddings and keys;
+- ``rows``, by cell: the chunks, their embeddings (those they have, as unit vectors, or of their text) and keys;
 - ``blocks``, by cell: packs of up to ``block`` chunks of one cell and one access class: keys, validity days and codes as bytes;
 - ``kinds``: how many chunks there are of everything that the filters look at, so that counts of what was denied need no scan;
 - ``zones``: a row for each cell and class with what decides access (roles, rank, source type, jurisdiction), the least and the
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexvane.functions.schemas import CLEARANCE
-from lexvane.functions.vectors import dot, embed, hash_embeddings
-from lexvane.operators.cells import fit_cells
+from lexvane.functions.vectors import dot, embed, hash_embeddings, unit
+from lexvane.operators.cells import fit_cells, usable
 from lexvane.operators.retrieval import _chunk, _with_fields, embedding_text, top
 from lexvane.operators.security import access_of, as_requests, chunk_kinds, local_requests, may_see, scope_reason
 
@@ -236,7 +236,10 @@ class VectorIndex:
         text = embedding_text()
         keyed = c.withColumn("text_key", F.md5(text.cast("binary"))).withColumn("row_key", F.xxhash64(*[F.col(x) for x in sorted(c.columns) if not dict(c.dtypes)[x].startswith("map")]))
         keyed = keyed.withColumn("class", F.md5(F.to_json(F.struct(*CLASS)).cast("binary")))
-        if old is None:
+        if "embedding" in chunks.columns:
+            # Vectors of their own: those without a direction are near nothing.
+            embedded = keyed.withColumn("embedding", F.col("embedding").cast("array<double>")).where(usable(F.col("embedding"))).withColumn("embedding", unit(F.col("embedding")))
+        elif old is None:
             embedded = keyed.withColumn("embedding", embed(text))
         else:
             known = old.rows.select("text_key", "embedding").dropDuplicates(["text_key"])

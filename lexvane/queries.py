@@ -6,6 +6,8 @@ both sides.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +23,7 @@ from lexvane.operators import evidence as E
 from lexvane.operators import retrieval as R
 from lexvane.operators import security as SEC
 from lexvane.operators.chunking import parse_xml, sections
+from lexvane.operators.vector_index import IndexParams, VectorIndex
 from lexvane.plans.engine import Engine, plan, requests_of
 from lexvane.sources import readers, sinks
 
@@ -183,8 +186,8 @@ def dense_knn_topk(spark, sf):
   dense AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 9) DESC, vec_id) AS rank FROM e, q),
   same AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS rank FROM e JOIN q ON label = l),
   both_ AS (SELECT * FROM dense WHERE rank <= 100 UNION ALL SELECT * FROM same WHERE rank <= 50)
-  SELECT query_id, vec_id, rrf_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, vec_id) AS rank FROM
-    (SELECT query_id, vec_id, round(sum(CAST(1 AS double) / (60 + rank)), 9) AS rrf_score FROM both_ GROUP BY 1, 2)) WHERE rank <= 10""")
+  SELECT query_id, vec_id, round(rrf, 9) AS rrf_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, vec_id) AS rank FROM
+    (SELECT query_id, vec_id, sum(CAST(1 AS double) / (60 + rank)) AS rrf FROM both_ GROUP BY 1, 2)) WHERE rank <= 10""")
 def hybrid_rrf(spark, sf):
     """Nearest rows and rows of the same label, fused, for every row whose id is divisible by 100."""
     e = _table(spark, sf, "embeddings")
@@ -193,8 +196,51 @@ def hybrid_rrf(spark, sf):
     # The first rows of a label are the same for all queries of that label.
     first = R.top(e.where("label IS NOT NULL").select(F.col("label").alias("query_id"), "vec_id"), F.lit(50), F.col("vec_id")).withColumnRenamed("query_id", "label")
     same = asked.select(F.col("vec_id").alias("query_id"), "label").join(first, "label").select("query_id", "vec_id", "rank")
-    fused = dense.unionByName(same).groupBy("query_id", "vec_id").agg(_r(F.sum(1.0 / (R.RRF_K + F.col("rank")))).alias("rrf_score"))
-    return R.top(fused, F.lit(10), F.desc("rrf_score"), F.col("vec_id")).withColumn("rank", F.col("rank").cast("bigint"))
+    found = lambda df: df.select("query_id", "rank", F.struct(F.col("vec_id").alias("chunk_id")).alias("chunk"))
+    none = [F.lit(None).cast("double").alias(s) for s in R.LEXICAL]
+    wanted = asked.select(F.col("vec_id").alias("query_id"), F.lit("").alias("query"), F.lit(10).alias("top_k"))
+    fused = R.fuse(wanted, found(same).select("*", *none, F.array().cast("array<string>").alias("matched_terms")), found(dense).withColumn("dense_score", F.lit(None).cast("double")))
+    return fused.where(F.col("rank") <= 10).select("query_id", F.col("chunk.chunk_id").alias("vec_id"), _r("rrf_score").alias("rrf_score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or one of this machine where Spark runs locally."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lexvane-index-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_ROLES_OF = "CASE vec_id % 3 WHEN 0 THEN ['helpdesk', 'inspector', 'legal_counsel'] WHEN 1 THEN ['inspector', 'legal_counsel'] ELSE ['legal_counsel'] END"
+
+
+@query(f"""WITH c AS (SELECT vec_id, {_ROLES_OF} AS roles, vec_id % 4 AS rank_, CASE vec_id % 5 WHEN 0 THEN 'BE' ELSE 'NL' END AS jurisdiction, DATE '2020-01-01' + CAST(vec_id % 900 AS int) AS valid_from,
+    CASE WHEN vec_id % 2 = 0 THEN DATE '2021-06-01' + CAST(vec_id % 700 AS int) END AS valid_to, list_transform(embedding, lambda x: CAST(x AS double)) AS v FROM embeddings),
+  n AS (SELECT *, sqrt(list_dot_product(v, v)) AS s FROM c),
+  q AS (SELECT vec_id AS query_id, v AS w, s AS t, list_extract(['helpdesk', 'inspector', 'legal_counsel'], CAST(vec_id // 100 % 3 + 1 AS int)) AS role, CASE WHEN vec_id // 100 % 2 = 1 THEN DATE '2021-09-01' END AS day FROM n WHERE vec_id % 100 = 0),
+  f AS (SELECT query_id, vec_id, round(list_dot_product(v, w) / (s * t), 9) AS score, list_dot_product(v, w) / (s * t) AS exact FROM q, n
+    WHERE list_contains(roles, role) AND rank_ <= CASE role WHEN 'helpdesk' THEN 1 ELSE 3 END AND jurisdiction = 'NL' AND (day IS NULL OR (valid_from <= day AND (valid_to IS NULL OR day <= valid_to))))
+  SELECT CAST(query_id AS varchar) AS query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, vec_id) AS rank FROM f) WHERE rank <= 10""")
+def filtered_vector_search(spark, sf):
+    """Every row whose id is divisible by 100 asks for its nearest rows that its role may read, at a date, in an index of all rows; all cells are probed."""
+    v, e = F.col("vec_id"), _table(spark, sf, "embeddings")
+    chunks = e.select(
+        F.lpad(v.cast("string"), 19, "0").alias("chunk_id"), v.cast("string").alias("doc_id"), F.lit("").alias("text"), F.lit("").alias("citation_path"), F.lit("case_law").alias("source_type"),
+        F.when(v % 5 == 0, "BE").otherwise("NL").alias("jurisdiction"), (v % 4).cast("int").alias("security_rank"),
+        F.when(v % 3 == 0, F.array(*map(F.lit, S.ROLES))).when(v % 3 == 1, F.array(*map(F.lit, S.ROLES[1:]))).otherwise(F.array(F.lit(S.ROLES[2]))).alias("allowed_roles"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (v % 900).cast("int")).alias("valid_from"), F.when(v % 2 == 0, F.date_add(F.lit("2021-06-01").cast("date"), (v % 700).cast("int"))).alias("valid_to"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+    nth = F.floor(v / 100)
+    asked = e.where("vec_id % 100 = 0").select(
+        v.cast("string").alias("query_id"), F.lit("").alias("query"), F.element_at(F.array(*map(F.lit, S.ROLES)), (nth % 3 + 1).cast("int")).alias("role"), F.lit(10).alias("top_k"), F.array().cast("array<string>").alias("source_types"),
+        F.lit("NL").alias("jurisdiction"), F.when(nth % 2 == 1, F.lit("2021-09-01").cast("date")).alias("as_of_date"), V.unit(F.col("embedding")).alias("embedding"),
+    )
+    index = VectorIndex.refresh(chunks, _folder(spark, "vector-index"), IndexParams(oversample=20))
+    found = index.found(asked, probes=max(1, len(index.meta.centres)))
+    return found.select("query_id", F.col("chunk.doc_id").cast("bigint").alias("vec_id"), _r("dense_score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def _engine(spark, sf) -> Engine:
