@@ -34,9 +34,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lexvane.functions.schemas import CLEARANCE
+from lexvane.functions.schemas import CLEARANCE, REQUEST
 from lexvane.functions.vectors import dot, embed, hash_embeddings, unit
 from lexvane.operators.cells import fit_cells, usable
 from lexvane.operators.retrieval import _chunk, _with_fields, embedding_text, top
@@ -52,8 +53,9 @@ class IndexParams:
     #: Cells for so many chunks each, up to ``most_cells``.
     cell_rows: int = 512
     most_cells: int = 2048
-    #: Chunks to a pack.
+    #: Chunks to a pack, and chunks of a cell to a file, about.
     block: int = 1024
+    task_rows: int = 50_000
     #: The share of components that codes do not clip.
     quantile: float = 0.999
     oversample: int = 3
@@ -137,10 +139,16 @@ def _first_cell(centres: np.ndarray, batches: Iterator[pd.Series]) -> Iterator[p
         yield pd.Series(np.argmax(np.stack(v.to_numpy()).astype(np.float64) @ centres.T, axis=1).astype(np.int32) if len(v) else np.zeros(0, np.int32))
 
 
-def _pack(pdf: pd.DataFrame, scale: float) -> pd.DataFrame:
-    codes = quantised(np.stack(pdf["embedding"].to_numpy()), scale)
-    one = {"cell": pdf["cell"].iloc[0], "class": pdf["class"].iloc[0], "keys": list(pdf["row_key"]), "starts": list(pdf["start"]), "ends": list(pdf["end"]), "codes": codes.tobytes()}
-    return pd.DataFrame([one])
+_BLOCKS = "cell int, class string, keys array<long>, starts array<int>, ends array<int>, codes binary"
+
+
+def _pack(rows: pa.Table, scale: float) -> pa.Table:
+    """The rows of one pack as a row."""
+    rows = rows.combine_chunks()
+    vectors = rows["embedding"].combine_chunks()
+    codes = quantised(vectors.flatten().to_numpy().reshape(len(rows), -1), scale)
+    lists = [pa.array([rows[c].to_numpy()], pa.list_(kind)) for c, kind in (("row_key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()))]
+    return pa.table([rows["cell"][:1].cast(pa.int32()), rows["class"][:1], *lists, pa.array([codes.tobytes()])], ["cell", "class", "keys", "starts", "ends", "codes"])
 
 
 @dataclass(frozen=True)
@@ -261,7 +269,9 @@ class VectorIndex:
             placed = embedded.withColumn("cell", cls._udf(centres, _first_cell, "int")(F.col("embedding")))
         else:
             placed = embedded.withColumn("cell", F.lit(0))
-        placed.repartition("cell", F.pmod(F.xxhash64("row_key"), F.lit(8))).write.partitionBy("cell").parquet(f"{at}/rows")
+        # A large cell is written by several tasks.
+        tasks = max(1, -(-points // (cells * p.task_rows)))
+        placed.repartition("cell", F.pmod(F.xxhash64("row_key"), F.lit(tasks))).write.partitionBy("cell").parquet(f"{at}/rows")
         rows = spark.read.schema(placed.schema).parquet(f"{at}/rows")
         start, end = _days(F.col("valid_from"), _FIRST), _days(F.col("valid_to"), _LAST)
         ranged = rows.withColumn("start", start).withColumn("end", end)
@@ -270,8 +280,8 @@ class VectorIndex:
         zones = spark.read.schema(zones.schema).parquet(f"{at}/zones")
         parts = F.ceil(F.col("n") / p.block).cast("int")
         packs = ranged.join(zones.select("cell", "class", parts.alias("parts")), ["cell", "class"]).withColumn("part", F.pmod(F.xxhash64("row_key"), F.col("parts")))
-        schema = "cell int, class string, keys array<long>, starts array<int>, ends array<int>, codes binary"
-        packed = packs.select("cell", "class", "part", "row_key", "start", "end", "embedding").groupBy("cell", "class", "part").applyInPandas(lambda pdf: _pack(pdf, scale), schema)
+        grouped = packs.select("cell", "class", "part", "row_key", "start", "end", "embedding").groupBy("cell", "class", "part")
+        packed = grouped.applyInArrow(lambda t: _pack(t, scale), _BLOCKS)
         packed.write.partitionBy("cell").parquet(f"{at}/blocks")
         kinds = chunk_kinds(rows)
         kinds.write.parquet(f"{at}/kinds")
@@ -290,22 +300,33 @@ class VectorIndex:
         return run
 
     def _measured(self) -> dict[str, int]:
-        """For each role the fewest probes that meet the recall, on short queries made of the indexed texts."""
+        """For each role the fewest probes that meet the recall, on short queries made of the indexed texts.
+
+        Half of them ask at a day in the middle of the chunks' validities: with fewer chunks to choose from, those wanted lie in more
+        cells. The harder half decides.
+        """
         p, n = self.params, len(self.meta.centres)
         if n <= 1 or not self.meta.points:
             return {}
-        some = self.rows.orderBy(F.xxhash64("text_key"), "chunk_id").limit(p.samples).select("chunk_id", "text")
-        words = F.split(F.btrim("text"), r"\s+")
-        short = F.array_join(F.slice(words, F.greatest(F.floor(F.size(words) / 2).cast("int"), F.lit(1)), F.lit(8)), " ")
-        roles = self.spark.createDataFrame([(r,) for r in CLEARANCE], "role string")
-        asked = some.crossJoin(F.broadcast(roles)).select(F.concat_ws("|", "role", "chunk_id").alias("query_id"), short.alias("query"), "role", F.lit(p.sample_k).alias("top_k"), F.array().cast("array<string>").alias("source_types"), F.lit(None).cast("string").alias("jurisdiction"), F.lit(None).cast("date").alias("as_of_date"))
-        asked = self.spark.createDataFrame(asked.collect(), asked.schema)  # ``samples`` rows for each role
-        found = self.found(asked, probes=n).groupBy(F.split_part("query_id", F.lit("|"), F.lit(1)).alias("role"), "nth").count().collect()
+        some = self.rows.orderBy(F.xxhash64("text_key"), "chunk_id").limit(p.samples).select("chunk_id", "text").collect()
+        starts = self._zones()["start"]
+        known = np.sort(starts[starts > _FIRST])
+        day = datetime.date(1970, 1, 1) + datetime.timedelta(days=int(known[len(known) // 2])) if len(known) else None
+        asked = []
+        for k, r in enumerate(some):
+            words = (r["text"] or "").split()
+            for role in CLEARANCE:
+                asked.append({"query_id": f"{role}|{k % 2}|{k}", "query": " ".join(words[len(words) // 2 :][:8]), "role": role, "top_k": p.sample_k, "source_types": [], "jurisdiction": None, "as_of_date": day if k % 2 else None, "method": None})
+        requests = self.spark.createDataFrame(pa.Table.from_pylist(asked, to_arrow_schema(REQUEST)), REQUEST)
+        kind = F.substring_index("query_id", "|", 2)
+        found = {(r["kind"], r["nth"]): r["count"] for r in self.found(requests, probes=n).groupBy(kind.alias("kind"), "nth").count().collect()}
         out = {}
         for role in CLEARANCE:
-            counts = np.bincount([r["nth"] for r in found if r["role"] == role], [r["count"] for r in found if r["role"] == role], n) if any(r["role"] == role for r in found) else np.zeros(n)
-            share = np.cumsum(counts) / max(1, counts.sum())
-            out[role] = int(np.searchsorted(share, p.recall)) + 1 if counts.sum() else n
+            need = []
+            for half in ("0", "1"):
+                counts = np.array([found.get((f"{role}|{half}", k), 0) for k in range(n)])
+                need.append(int(np.searchsorted(np.cumsum(counts) / counts.sum(), p.recall)) + 1 if counts.sum() else 0)
+            out[role] = max(need) or n
         return out
 
     def _zones(self) -> dict[str, np.ndarray]:
