@@ -73,14 +73,14 @@ def _low(c: Column) -> Column:
 
 
 def annotated(c: Column) -> Column:
-    """Struct of a text's concepts (array of names), its number of lexical terms and these terms. A null text has nulls."""
+    """Struct of a text's concepts (array of names), its number of lexical terms and these terms. A null text has no concepts and null terms."""
 
     @F.pandas_udf("concepts array<string>, n_terms int, terms array<string>")
     def run(low: pd.Series) -> pd.DataFrame:
         find, rows = matcher(), []
         for x in low:
             if x is None:
-                rows.append((None, None, None))
+                rows.append(([], None, None))
             else:
                 mask = find.mask(x)
                 terms = terms_of(x, mask)
@@ -98,7 +98,7 @@ def profiled(c: Column) -> Column:
         find, rows = matcher(), []
         for x in low:
             if x is None:
-                rows.append((None, None))
+                rows.append(([], None))
             else:
                 mask = find.mask(x)
                 rows.append((list(_names(mask)[0]), len(terms_of(x, mask))))
