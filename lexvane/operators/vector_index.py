@@ -56,6 +56,8 @@ class IndexParams:
     #: Chunks to a pack, and chunks of a cell to a file, about.
     block: int = 1024
     task_rows: int = 50_000
+    #: Bytes of codes that a task of a search reads, about.
+    task_bytes: int = 64 << 20
     #: The share of components that codes do not clip.
     quantile: float = 0.999
     oversample: int = 3
@@ -165,8 +167,39 @@ class _Asked:
 _ANY_DAY = 2**31
 
 
+#: Heads that a task holds before it compares them.
+_HELD = 1_000_000
+
+
+def _best_heads(parts: list[tuple[np.ndarray, ...]], most: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of (request, cell, nth, key, guess) the best of each request, as many as it wants."""
+    who, cell, nth, key, guess = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((key, -guess, who))
+    own = who[order]
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    place = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+    order = order[place < most[own]]
+    return who[order], cell[order], nth[order], key[order], guess[order]
+
+
 def _heads(batches: Iterator[pa.RecordBatch], asked: _Asked, scale: float) -> Iterator[pa.RecordBatch]:
-    """The best of each pack for each request that reads it, by codes."""
+    """The best of a task's packs for each request that reads them, by codes."""
+    names, parts, held = ["asked", "cell", "nth", "row_key", "guess"], [], 0
+    for part in _pack_heads(batches, asked, scale):
+        parts.append(part)
+        held += len(part[0])
+        if held > _HELD:
+            parts = [_best_heads(parts, asked.most)]
+            held = len(parts[0][0])
+            if held > _HELD // 2:  # very many requests: what follows is compared by the plan
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts[0]], names)
+                parts, held = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _best_heads(parts, asked.most)], names)
+
+
+def _pack_heads(batches: Iterator[pa.RecordBatch], asked: _Asked, scale: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """The best of each pack for each request that reads it: request, cell, nth, key and guess."""
     dims = asked.vectors.shape[1]
     most = np.maximum(np.abs(asked.vectors).max(axis=1, keepdims=True), 1e-300)
     coded = np.rint(asked.vectors * (127 / most)).astype(np.float32)
@@ -191,7 +224,7 @@ def _heads(batches: Iterator[pa.RecordBatch], asked: _Asked, scale: float) -> It
                     rows.append(np.full(len(near), j))
                     places.append(near)
                 row, place = np.concatenate(rows), np.concatenate(places)
-                yield pa.RecordBatch.from_arrays([pa.array(who[row], pa.int32()), pa.array(np.full(len(row), key[0]), pa.int32()), pa.array(nth[row], pa.int32()), pa.array(keys[place], pa.int64()), pa.array(score[row, place])], ["asked", "cell", "nth", "row_key", "guess"])
+                yield who[row].astype(np.int32), np.full(len(row), key[0], np.int32), nth[row].astype(np.int32), keys[place], score[row, place]
 
 
 class VectorIndex:
@@ -387,12 +420,16 @@ class VectorIndex:
 
         Requests and zones are few and on the driver, so the cells to read are partitions known before the plan is made.
         """
+        p = self.params
         ids, asked = self.cells_of(requests, clearance, probes)
         cells, scale = sorted({cell for cell, _ in asked.at}), self.meta.scale
         inside = F.col("cell").isin(cells) if cells else F.lit(False)
         kept = pa.table({"asked": pa.array(range(len(ids)), pa.int32()), "query_id": pa.array(ids, pa.string()), "q_embedding": pa.array(list(asked.vectors), pa.list_(pa.float64())), "most": pa.array(asked.most, pa.int64())})
         by_number = F.broadcast(self.spark.createDataFrame(kept, "asked int, query_id string, q_embedding array<double>, most long"))
-        heads = self.blocks.where(inside).select("cell", "class", "starts", "ends", "keys", "codes").mapInArrow(lambda it: _heads(it, asked, scale), "asked int, cell int, nth int, row_key long, guess double")
+        # Packs of many cells and classes meet in a task, so that their heads are compared before they leave it.
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-self.meta.points * self.meta.dims // p.task_bytes))
+        packs = self.blocks.where(inside).select("cell", "class", "starts", "ends", "keys", "codes").coalesce(tasks)
+        heads = packs.mapInArrow(lambda it: _heads(it, asked, scale), "asked int, cell int, nth int, row_key long, guess double")
         heads = heads.join(by_number, "asked")
         heads = top(heads, F.col("most"), F.desc("guess"), F.col("row_key")).drop("rank").dropDuplicates(["query_id", "row_key"])
         rows = _with_fields(self.rows.where(inside))

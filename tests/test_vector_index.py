@@ -75,6 +75,25 @@ def test_codes(index):
     assert index.blocks.agg(F.sum(F.octet_length("codes"))).first()[0] == index.bytes_read()["codes"]
 
 
+def test_heads_are_merged_within_a_task(spark, corpus, index, monkeypatch):
+    from lexvane.operators import vector_index as X
+
+    rng = np.random.default_rng(2)
+    parts = [(rng.integers(0, 5, 200).astype(np.int32), *(np.zeros(200, np.int32),) * 2, rng.permutation(10_000)[:200], np.round(rng.random(200), 2)) for _ in range(7)]
+    most = np.array([3, 10, 0, 1, 2000])
+    got = list(zip(*(x.tolist() for x in X._best_heads(parts, most)), strict=True))
+    rows = list(zip(*(np.concatenate(x).tolist() for x in zip(*parts, strict=True)), strict=True))
+    assert sorted(got) == sorted(r for w in range(5) for r in sorted((r for r in rows if r[0] == w), key=lambda r: (-r[4], r[3]))[: most[w]])
+    # The same heads where a task gives them in several pieces.
+    found = index.cells_of(asked(spark, corpus, 3))[1]
+    batches = index.blocks.toArrow().to_batches()
+    heads = lambda: X._best_heads([tuple(c.to_numpy() for c in b.columns) for b in X._heads(iter(batches), found, index.meta.scale)], found.most)
+    want = heads()
+    monkeypatch.setattr(X, "_HELD", 50)
+    assert len(list(X._heads(iter(batches), found, index.meta.scale))) > 5
+    assert all((a == b).all() for a, b in zip(heads(), want, strict=True))
+
+
 def test_refresh_follows_the_corpus(spark, corpus, tmp_path):
     path, few = str(tmp_path / "i"), corpus.where(F.col("doc_id").cast("int") < 40)
     first = VectorIndex.refresh(few, path)
