@@ -29,10 +29,7 @@ SAYS = {
 
 
 def _padded(results: DataFrame) -> DataFrame:
-    for s in SCORES:
-        if s not in results.columns:
-            results = results.withColumn(s, F.lit(None).cast("double"))
-    return results
+    return results.withColumns({s: F.lit(None).cast("double") for s in SCORES if s not in results.columns})
 
 
 def primary_score(method: Column, r: Column) -> Column:
@@ -61,13 +58,13 @@ def heads(requests: DataFrame, results: DataFrame, counts: DataFrame) -> DataFra
         F.array_sort(F.collect_list("r")).alias("rs"),  # top_k rows of a request at most
         F.bool_or(_is_exact(F.col("r"))).alias("any_exact"),
     )
-    return requests.join(counts, "query_id", "left").join(got, "query_id", "left").withColumn("n", F.coalesce(F.size("rs"), F.lit(0))).withColumn("n", F.greatest("n", F.lit(0)))
+    return requests.join(counts, "query_id", "left").join(got, "query_id", "left").withColumn("n", F.greatest(F.coalesce(F.size("rs"), F.lit(0)), F.lit(0)))
 
 
 def grade(requests: DataFrame, results: DataFrame, counts: DataFrame) -> DataFrame:
     """Grade, refusal reason, explanation, top score and supporting chunks of each request. The first rule that holds decides."""
     df = heads(requests, results, counts)
-    df = df.withColumn("r1", F.try_element_at("rs", F.lit(1))).withColumn("r2", F.try_element_at("rs", F.lit(2)))
+    df = df.withColumns({"r1": F.try_element_at("rs", F.lit(1)), "r2": F.try_element_at("rs", F.lit(2))})
     q, m, r1, r2 = F.col("query"), F.coalesce("method", F.lit("hybrid")), F.col("r1"), F.col("r2")
     count = lambda c: F.coalesce(F.col(c), F.lit(0))
     s1, s2 = primary_score(m, r1), primary_score(m, r2)
@@ -107,17 +104,18 @@ def grade(requests: DataFrame, results: DataFrame, counts: DataFrame) -> DataFra
         verdict = F.when(cond, value) if verdict is None else verdict.when(cond, value)
     ids = F.transform(two, lambda r: r["chunk"]["chunk_id"])
     weak = F.col("verdict.rule") == "weak"
-    return (
-        df.withColumn("verdict", verdict)
-        .withColumn("grade", F.col("verdict.grade"))
-        .withColumn("refusal_reason", F.col("verdict.refusal_reason"))
-        .withColumn("explanation", F.col("verdict.explanation"))
-        .withColumn("top_score", F.when(F.col("n") > 0, s1))
-        .withColumn("supporting_chunk_ids", F.when(F.col("n") == 0, F.array().cast("array<string>")).when(weak, F.slice(ids, 1, 1)).otherwise(ids))
-        .withColumn("conflicting_chunk_ids", F.when(F.col("verdict.rule") == "conflict", ids).otherwise(F.array().cast("array<string>")))
-        .withColumn("is_exact", exact)
-        .drop("verdict", "r1", "r2")
+    df = df.withColumn("verdict", verdict).withColumns(
+        {
+            "grade": F.col("verdict.grade"),
+            "refusal_reason": F.col("verdict.refusal_reason"),
+            "explanation": F.col("verdict.explanation"),
+            "top_score": F.when(F.col("n") > 0, s1),
+            "supporting_chunk_ids": F.when(F.col("n") == 0, F.array().cast("array<string>")).when(weak, F.slice(ids, 1, 1)).otherwise(ids),
+            "conflicting_chunk_ids": F.when(F.col("verdict.rule") == "conflict", ids).otherwise(F.array().cast("array<string>")),
+            "is_exact": exact,
+        }
     )
+    return df.drop("verdict", "r1", "r2")
 
 
 def cited(rs: Column, is_exact: Column) -> Column:
@@ -146,10 +144,12 @@ def answer(graded: DataFrame) -> DataFrame:
         " ",
     )
     good = F.col("grade") == "relevant"
-    return (
-        graded.withColumn("outcome", F.when(good, "answered").otherwise("refused"))
-        .withColumn("answer_text", F.when(good, told))
-        .withColumn("citations", F.when(F.col("n") > 0, citations(some)).otherwise(citations(F.slice("rs", 1, 0))))
-        .withColumn("security_ranks", F.when(F.col("n") > 0, F.sort_array(F.array_distinct(F.transform(some, lambda r: r["chunk"]["security_rank"])))))
-        .withColumn("retrieved_chunk_ids", F.coalesce(F.transform("rs", lambda r: r["chunk"]["chunk_id"]), F.array().cast("array<string>")))
+    return graded.withColumns(
+        {
+            "outcome": F.when(good, "answered").otherwise("refused"),
+            "answer_text": F.when(good, told),
+            "citations": F.when(F.col("n") > 0, citations(some)).otherwise(citations(F.slice("rs", 1, 0))),
+            "security_ranks": F.when(F.col("n") > 0, F.sort_array(F.array_distinct(F.transform(some, lambda r: r["chunk"]["security_rank"])))),
+            "retrieved_chunk_ids": F.coalesce(F.transform("rs", lambda r: r["chunk"]["chunk_id"]), F.array().cast("array<string>")),
+        }
     )

@@ -35,10 +35,8 @@ def _chunk(chunks: DataFrame) -> Column:
 
 def _with_fields(chunks: DataFrame) -> DataFrame:
     out = with_rank(chunks)
-    for c in ("ecli", "article", "paragraph", "subparagraph", "citation_path", "section_type", "decision_date", "source_path"):
-        if c not in out.columns:
-            out = out.withColumn(c, F.lit(None).cast("string"))
-    return out
+    fields = ("ecli", "article", "paragraph", "subparagraph", "citation_path", "section_type", "decision_date", "source_path")
+    return out.withColumns({c: F.lit(None).cast("string") for c in fields if c not in out.columns})
 
 
 def top(df: DataFrame, limit: Column, *order: Column) -> DataFrame:
@@ -224,10 +222,9 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int, id_col: str = "vec_id"
 
 def fuse(requests: DataFrame, by_terms: DataFrame, by_vectors: DataFrame, k: int = RRF_K, window: int = WINDOW) -> DataFrame:
     """Reciprocal-rank fusion. On identifier queries exact hits come first, and where there are any the others go."""
-    a = by_terms.withColumn("dense_score", F.lit(None).cast("double")).withColumn("rrf_lexical", 1.0 / (k + F.col("rank"))).withColumn("rrf_dense", F.lit(None).cast("double"))
-    b = by_vectors.withColumn("rrf_dense", 1.0 / (k + F.col("rank"))).withColumn("rrf_lexical", F.lit(None).cast("double")).withColumn("matched_terms", F.lit(None).cast("array<string>"))
-    for s in LEXICAL:
-        b = b.withColumn(s, F.lit(None).cast("double"))
+    double, share = F.lit(None).cast("double"), 1.0 / (k + F.col("rank"))
+    a = by_terms.withColumns({"dense_score": double, "rrf_lexical": share, "rrf_dense": double})
+    b = by_vectors.withColumns({"rrf_dense": share, "rrf_lexical": double, "matched_terms": F.lit(None).cast("array<string>"), **dict.fromkeys(LEXICAL, double)})
     both = a.unionByName(b)
     scores = [*LEXICAL, "dense_score"]
     one = both.groupBy("query_id", F.col("chunk.chunk_id").alias("chunk_id")).agg(
@@ -238,7 +235,7 @@ def fuse(requests: DataFrame, by_terms: DataFrame, by_vectors: DataFrame, k: int
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched_terms")))).alias("matched_terms"),
     )
     exact = sum((F.coalesce(F.col(s), F.lit(0.0)) for s in EXACT), F.lit(0.0))
-    one = one.withColumn("rrf_score", F.coalesce("rrf_lexical", F.lit(0.0)) + F.coalesce("rrf_dense", F.lit(0.0))).withColumn("exact_priority", exact)
+    one = one.withColumns({"rrf_score": F.coalesce("rrf_lexical", F.lit(0.0)) + F.coalesce("rrf_dense", F.lit(0.0)), "exact_priority": exact})
     one = one.join(F.broadcast(requests.select("query_id", "query", "top_k")), "query_id").withColumn("by_identifier", T.is_identifier_query(F.col("query")))
     first = F.when(F.col("by_identifier"), F.col("exact_priority")).otherwise(0.0)
     one = one.withColumn("most_exact", F.max("exact_priority").over(Window.partitionBy("query_id"))).where(~(F.col("by_identifier") & (F.col("most_exact") > 0) & (F.col("exact_priority") <= 0)))
