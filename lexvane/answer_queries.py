@@ -8,17 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexvane.functions import schemas as S
 from lexvane.functions import text as T
-from lexvane.functions import vectors as V
 from lexvane.operators import evaluation as EV
 from lexvane.operators import evidence as E
-from lexvane.operators import retrieval as R
-from lexvane.operators import security as SEC
 from lexvane.operators.chunking import chunk_texts
-from lexvane.operators.vector_index import IndexParams, VectorIndex
 from lexvane.plans.engine import Engine
-from lexvane.queries import _ALIAS, _CHUNKS, _CON, _LEXT, _LOW, _NORM, _RULES, _chunks, _folder, _r, _requests, _table, query
+from lexvane.queries import _CHUNKS, _NORM, _RULES, _chunks, _r, _requests, _table, query
 
 # ---- the corrective loop -----------------------------------------------------------------------------------------------
 
@@ -149,3 +144,69 @@ def evaluated_cases(spark, sf):
     out = EV.evaluate(gold, answers, chunks)
     counts = [F.col(c).cast("bigint").alias(c) for c in ("expected_citation_match_count", "expected_exact_citation_match_count", "expected_chunk_match_count")]
     return out.select("case_id", "category", "outcome_match", "grade_match", "refusal_reason_match", "citation_presence", *counts, "unauthorized_retrieval_failure", "faithfulness_proxy_pass", _r("context_precision_proxy").alias("context_precision_proxy"), "passed")
+
+
+# ---- grading by given scores -------------------------------------------------------------------------------------------
+
+_ASKS = """CASE doc_id % 5 WHEN 0 THEN 'Can someone qualify for it' WHEN 1 THEN 'the change of 2019' WHEN 2 THEN 'Artikel 3 lid 2' WHEN 3 THEN 'two words' ELSE 'what the rule says here' END"""
+
+
+@query(rf"""WITH c AS (SELECT doc_id, {_ASKS} AS q, doc_id % 3 AS m, doc_id % 11 AS n11, CASE WHEN doc_id % 6 = 0 THEN DATE '2024-01-01' END AS as_of, doc_id % 4 AS denied, doc_id % 7 AS invalid, CASE WHEN doc_id % 13 = 0 THEN 0 ELSE doc_id % 3 END AS cand FROM labels),
+  s AS (SELECT *, CASE WHEN n11 = 0 THEN 0 WHEN n11 = 1 THEN 1 ELSE 2 END AS n, CASE m WHEN 0 THEN (doc_id * 7 % 30) / 100.0::double WHEN 1 THEN CASE WHEN doc_id % 9 = 0 THEN 120.0::double ELSE (doc_id * 7 % 30) * 5.0::double END ELSE (doc_id * 7 % 30) / 40.0::double END AS s1 FROM c),
+  t AS (SELECT *, CASE WHEN doc_id % 8 < 2 THEN s1 ELSE s1 / 2 END AS s2, CASE m WHEN 0 THEN 0.2::double WHEN 1 THEN 55 ELSE 0.55::double END AS hi, CASE m WHEN 0 THEN 0.13::double WHEN 1 THEN 20 ELSE 0.3::double END AS lo, doc_id % 9 = 0 AS exact1, doc_id % 17 = 0 AS exact2,
+    (doc_id % 2 = 0) AND (n = 1 OR doc_id % 10 < 5) AS all_cases, CASE WHEN doc_id % 2 = 0 THEN 2010 + doc_id % 12 END AS y1, CASE WHEN n = 2 AND doc_id % 10 < 5 THEN 2008 + doc_id % 14 END AS y2 FROM s),
+  r AS (SELECT *, CASE WHEN n = 0 THEN CASE WHEN denied > 0 AND cand = 0 THEN 1 WHEN invalid > 0 AND cand = 0 THEN 2 ELSE 3 END
+    WHEN as_of IS NOT NULL AND invalid > 0 AND doc_id % 5 = 2 AND NOT (exact1 OR n = 2 AND exact2) THEN 4 WHEN doc_id % 5 = 1 AND greatest(y1, y2) < 2019 THEN 5 WHEN doc_id % 5 = 0 AND NOT exact1 AND all_cases THEN 6 WHEN exact1 THEN 7
+    WHEN n = 2 AND s1 >= lo AND s2 >= lo AND doc_id % 16 <> 0 AND abs(s1 - s2) <= 0.01 THEN 8 WHEN s1 >= hi THEN 9 WHEN s1 >= lo THEN 10 WHEN denied > 0 AND s1 < 0.13 AND doc_id % 5 <> 3 AND doc_id % 3 <> 1 THEN 11 ELSE 12 END AS rule FROM t)
+  SELECT doc_id, CASE WHEN rule IN (1, 2, 3, 11, 12) THEN 'irrelevant' WHEN rule IN (7, 9) THEN 'relevant' ELSE 'ambiguous' END AS grade,
+    CASE WHEN rule IN (1, 11) THEN 'no_authorized_source' WHEN rule IN (2, 4, 5) THEN 'outdated_evidence' WHEN rule IN (3, 6, 10, 12) THEN 'insufficient_evidence' WHEN rule = 8 THEN 'conflicting_evidence' END AS refusal_reason,
+    round(CASE WHEN n > 0 THEN s1 END, 9) AS top_score, CASE WHEN n = 0 THEN 0 WHEN n = 1 OR rule IN (11, 12) THEN 1 ELSE 2 END AS n_supporting, CASE WHEN rule = 8 THEN 2 ELSE 0 END AS n_conflicting FROM r""")
+def grade_rules(spark, sf):
+    """Every rule of grading, in their order, for every labelled document as a request with up to two results of given scores."""
+    d, t = F.col("doc_id"), _table(spark, sf, "labels").select("doc_id")
+    m, method = d % 3, F.when(d % 3 == 0, "hybrid").when(d % 3 == 1, "lexical").otherwise("dense")
+    day = F.when(d % 6 == 0, F.lit("2024-01-01").cast("date"))
+    asked = t.select(d.cast("string").alias("query_id"), F.expr(_ASKS).alias("query"), method.alias("method"), day.alias("as_of_date"), d.alias("doc_id"))
+    counts = t.select(d.cast("string").alias("query_id"), (d % 4).alias("denied_count"), (d % 7).alias("validity_filtered_count"), F.when(d % 13 == 0, 0).otherwise(d % 3).alias("authorized_candidate_count"))
+    n = F.when(d % 11 == 0, 0).when(d % 11 == 1, 1).otherwise(2)
+    s1 = F.when(m == 0, (d * 7 % 30) / 100).when(m == 1, F.when(d % 9 == 0, 120.0).otherwise((d * 7 % 30) * 5.0)).otherwise((d * 7 % 30) / 40)
+    k = F.col("k")
+    score = F.when((k == 1) | (d % 8 < 2), s1).otherwise(s1 / 2)
+    case = F.when(k == 1, d % 2 == 0).otherwise(d % 10 < 5)
+    decided = F.when(case, F.concat(F.when(k == 1, 2010 + d % 12).otherwise(2008 + d % 14).cast("string"), F.lit("-06-01")))
+    # Two results of one document do not conflict.
+    doc = F.concat_ws(":", d.cast("string"), F.when((k == 2) & (d % 16 != 0), "other").otherwise("same"))
+    chunk = F.struct(F.concat_ws("/", doc, k.cast("string")).alias("chunk_id"), doc.alias("doc_id"), F.when(case, "case_law").otherwise("legislation").alias("source_type"), decided.alias("decision_date"))
+    results = t.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("k")).where(k <= n).select(
+        d.cast("string").alias("query_id"), k.alias("rank"), chunk.alias("chunk"),
+        F.when(F.when(k == 1, d % 9 == 0).otherwise(d % 17 == 0), 120.0).alias("article_exact_match"),
+        F.when(m == 0, score).alias("rerank_score"), F.when(m == 1, score).alias("lexical_score"), F.when(m == 2, score).alias("dense_score"),
+        F.when(d % 3 == 1, 0.5).otherwise(0.0).alias("rerank_concept_overlap"), F.lit(0.0).alias("rerank_lexical_overlap"),
+    )
+    out = E.grade(asked, results, counts)
+    return out.select("doc_id", "grade", "refusal_reason", _r("top_score").alias("top_score"), F.size("supporting_chunk_ids").alias("n_supporting"), F.size("conflicting_chunk_ids").alias("n_conflicting"))
+
+
+# ---- texts as chunks ---------------------------------------------------------------------------------------------------
+
+
+@query(r"""WITH d AS (SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'internal_policy' ELSE 'e_learning' END AS source_type, CASE WHEN doc_id % 3 = 0 THEN text ELSE '# Scope & Aim' || chr(10) || text || chr(10) || '## ' || lang || chr(10) || text END AS c FROM documents),
+  h AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(chr(10) || regexp_replace(c, '\r\n?', chr(10), 'g'), '\n\s*##?[ \t]+(\S)', chr(1) || '\1', 'g'), chr(1))[2:],
+      lambda x: {'title': trim(split_part(x, chr(10), 1)), 'body': trim(substring(x, instr(x || chr(10), chr(10)) + 1), ' ' || chr(9) || chr(10))}), lambda s: s.body <> '') AS headed,
+    list_filter(list_transform(string_split(c, chr(10) || chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '') AS paras FROM d),
+  s AS (SELECT doc_id, source_type, unnest(CASE WHEN len(headed) > 0 THEN list_transform(headed, lambda x, i: {'title': x.title, 'body': x.body, 'i': i}) ELSE list_transform(paras, lambda x, i: {'title': CASE WHEN len(paras) = 1 THEN 'Body' ELSE 'Paragraph ' || i END, 'body': x, 'i': i}) END) AS s FROM h),
+  k AS (SELECT *, coalesce(nullif(trim(regexp_replace(lower(s.title), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'item') AS slug FROM s)
+  SELECT 'text:' || doc_id || ':section:' || slug || ':' || s.i AS chunk_id, CASE WHEN doc_id % 5 = 0 THEN 'Guide ' || doc_id ELSE 'Path ' || doc_id END || ' > ' || s.title AS citation_path, slug AS section_type, source_type,
+    CASE WHEN doc_id % 7 = 0 THEN '2024-05-01' ELSE '2023-01-01' END AS valid_from, sha256(trim(regexp_replace(s.title || ': ' || s.body, '[\s\x{00a0}]+', ' ', 'g'))) AS text_sha256,
+    CASE source_type WHEN 'internal_policy' THEN '{"chunk_kind":"policy_section"}' ELSE '{"chunk_kind":"learning_section"}' END AS metadata FROM k""")
+def text_chunks(spark, sf):
+    """Every document as a policy or lesson, cut into chunks with their ids, citation paths and dates."""
+    d, text = F.col("doc_id"), F.col("text")
+    docs = _table(spark, sf, "documents").select(
+        F.concat(F.lit("text:"), d.cast("string")).alias("doc_id"), F.when(d % 2 == 0, "internal_policy").otherwise("e_learning").alias("source_type"),
+        F.when(d % 3 == 0, text).otherwise(F.concat(F.lit("# Scope & Aim\n"), text, F.lit("\n## "), F.col("lang"), F.lit("\n"), text)).alias("text"),
+        F.concat(F.lit("Guide "), d.cast("string")).alias("title"), F.when(d % 5 != 0, F.concat(F.lit("Path "), d.cast("string"))).alias("citation_path"),
+        F.when(d % 7 == 0, "2024-05-01").otherwise("").alias("valid_from"), F.lit("2023-01-01").alias("effective_date"),
+    )
+    c = chunk_texts(docs)
+    return c.select("chunk_id", "citation_path", "section_type", "source_type", F.col("valid_from").cast("string"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "metadata")
