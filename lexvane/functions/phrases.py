@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -107,6 +108,27 @@ def profiled(c: Column) -> Column:
     return run(_low(c))
 
 
+def held(text: Column, phrases: list[str]) -> Column:
+    """Which of some phrases, none of them empty, a text holds anywhere, as they are written: an array of their places in the list, in order.
+
+    One automaton over all phrases, built once by each task, reads a text once, however many phrases there are. None in a null text.
+    """
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        tree = ahocorasick.Automaton()
+        for k, p in enumerate(phrases):
+            tree.add_word(p, k)
+        if phrases:
+            tree.make_automaton()
+        for b in batches:
+            yield pd.Series([sorted({k for _, k in tree.iter(x)}) if x and phrases else [] for x in b], dtype=object)
+
+    return run(text)
+
+
 def overlaps(asked: Column, shown: Column) -> Column:
     """Struct: shares of the asked text's concepts and terms that the shown text has (0 where it has none), and the asked concepts.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexvane.functions import text as T
+from lexvane.functions.phrases import held
 from lexvane.functions.vectors import ratio
 
 # Least (or, for failures, most) value of each metric for promotion, and those that may not fall by more than the tolerance.
@@ -23,6 +24,12 @@ TOLERANCE = 0.05
 STAGES = ["request_scoping_ms", "security_filter_ms", "lexical_retrieval_ms", "dense_retrieval_ms", "fusion_ms", "reranking_ms", "retrieval_total_ms", "evidence_grading_ms", "answer_build_ms", "query_planning_ms", "total_ms"]
 
 
+#: Characters of a text's beginning that show it in an answer.
+HEAD = 24
+#: Beginnings go to every task; more than this are refused rather than sent.
+MOST_HEADS = 200_000
+
+
 def eval_norm(c: Column) -> Column:
     return T.squeeze(F.lower(c))
 
@@ -45,7 +52,23 @@ def leaks(citation_paths: Column, chunk_ids: Column, answer: Column, bad_paths:
 def faithful(answer: Column, texts: Column) -> Column:
     """Whether the answer has the first 24 characters of some cited chunk's normalised text. Shorter texts show nothing."""
     said = eval_norm(F.coalesce(answer, F.lit("")))
-    return F.coalesce(F.exists(texts, lambda t: (F.length(eval_norm(t)) >= 24) & F.contains(said, F.substring(eval_norm(t), 1, 24))), F.lit(False))
+    return F.coalesce(F.exists(texts, lambda t: (F.length(eval_norm(t)) >= HEAD) & F.contains(said, F.substring(eval_norm(t), 1, HEAD))), F.lit(False))
+
+
+def repeated(answers: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """Each row of ``answers`` with each row of ``items`` that ``faithful`` finds in its text; both have ``text_col``.
+
+    Every text is normalised once and read once for the heads of all items, however many there are. Items are a small set: their
+    heads go to every task. The text columns are left out.
+    """
+    head = F.substring(eval_norm(F.col(text_col)), 1, HEAD)
+    told = items.withColumn("_head", F.when(F.length(head) == HEAD, head)).where(F.col("_head").isNotNull()).drop(text_col)
+    heads = [r[0] for r in told.select("_head").distinct().orderBy("_head").collect()]
+    if len(heads) > MOST_HEADS:
+        raise ValueError(f"more than {MOST_HEADS} different beginnings of items")
+    found = answers.withColumn("_k", F.explode(held(eval_norm(F.col(text_col)), heads))).drop(text_col)
+    numbered = answers.sparkSession.createDataFrame(list(enumerate(heads)), "_k int, _head string").join(told, "_head").drop("_head")
+    return found.join(F.broadcast(numbered), "_k").drop("_k")
 
 
 def evaluate(gold: DataFrame, responses: DataFrame, chunks: DataFrame) -> DataFrame:

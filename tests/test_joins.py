@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexvane.functions import phrases as P
 from lexvane.functions import text as T
 from lexvane.functions.vectors import hash_embedding, hash_embeddings
+from lexvane.operators import evaluation as EV
 from lexvane.operators import retrieval as R
 from lexvane.operators.security import valid_at
 from lexvane.plans.engine import requests_of
@@ -73,3 +74,16 @@ def test_phrases_in_batches_say_what_the_columns_say(spark):
     for r in rows:
         assert r.a.concepts == r.p.concepts == r.c and r.a.n_terms == r.p.n_terms
         assert r.a.terms == r.t and (r.t is None or r.a.n_terms == len(r.t))
+
+
+def test_repeated_beginnings_against_every_pair(spark):
+    texts = ["The  first twenty-four letters of this", "the FIRST twenty-four letters of that", "four letters of another\u00a0item here", "too short for it", None, "x" * 30, "İstanbul and the letters after it"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id int, text string")
+    said = [None, "", "as in the first\ntwenty-FOUR letters and on", "nothing of it", *[f"({t}) and {u}" for t in texts for u in texts], "y" + "x" * 24, "x" * 23]
+    answers = spark.createDataFrame(list(enumerate(said)), "doc_id int, text string")
+    got = EV.repeated(answers, items)
+    assert "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
+    want = answers.join(items.withColumnRenamed("text", "t"), EV.faithful(F.col("text"), F.array("t"))).select("doc_id", "item_id")
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and len(rows) > 50 and {i for _, i in rows} == {0, 1, 2, 5, 6}
+    assert EV.repeated(answers, items.where("item_id = 3")).count() == 0
