@@ -39,10 +39,19 @@ def _with_fields(chunks: DataFrame) -> DataFrame:
     return out.withColumns({c: F.lit(None).cast("string") for c in fields if c not in out.columns})
 
 
-def top(df: DataFrame, limit: Column, *order: Column) -> DataFrame:
-    """Rank within each request, and the rows up to ``limit``."""
+def top(df: DataFrame, limit: Column, *order: Column, most: int | None = None) -> DataFrame:
+    """Rank within each request, and the rows up to ``limit``.
+
+    ``most`` is the greatest limit of any request. Tasks keep only their best rows before these are shuffled where a limit is a
+    number, so ``most`` (or a literal ``limit``) is what bounds what a request's one task reads.
+    """
     ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return ranked.where(F.col("rank") <= limit)
+    return ranked.where(F.col("rank") <= limit) if most is None else ranked.where((F.col("rank") <= most) & (F.col("rank") <= limit))
+
+
+def most_asked(asked: DataFrame, least: int = 0) -> int:
+    """The greatest ``top_k`` of requests that are local to the driver, or ``least``."""
+    return max([least, *[r[0] or 0 for r in asked.select("top_k").distinct().collect()]])
 
 
 #: Characters to a run of a citation path that finds candidates for a part of it.
@@ -119,7 +128,7 @@ def lexical(requests: DataFrame, chunks: DataFrame, least: int = 0, clearance: d
     )
     total = sum((F.coalesce(F.col(x), F.lit(0.0)) for x in LEXICAL[:-1]), F.lit(0.0))
     scored = scored.withColumn("lexical_score", total)
-    return top(scored, F.greatest(F.col("q_top_k"), F.lit(least)), F.desc("lexical_score"), F.col("chunk.chunk_id")).drop("q_top_k")
+    return top(scored, F.greatest(F.col("q_top_k"), F.lit(least)), F.desc("lexical_score"), F.col("chunk.chunk_id"), most=most_asked(asked, least)).drop("q_top_k")
 
 
 def embedding_text() -> Column:
@@ -147,11 +156,11 @@ def dense(requests: DataFrame, chunks: DataFrame, least: int = 0, clearance: dic
     Requests whose vector is zero get no results.
     """
     # A query without a single term has the zero vector: no chunk is near it.
-    asked = with_vectors(requests).where(F.exists("embedding", lambda x: x != 0))
+    asked = local_requests(with_vectors(requests).where(F.exists("embedding", lambda x: x != 0)))
     c = _with_fields(chunks)
     met = c.join(as_requests(asked), may_see(clearance))
     scored = met.select("query_id", "q_top_k", _chunk(c), dot(F.col("embedding"), F.col("q_embedding")).alias("dense_score"))
-    return top(scored, F.greatest(F.col("q_top_k"), F.lit(least)), F.desc("dense_score"), F.col("chunk.chunk_id")).drop("q_top_k")
+    return top(scored, F.greatest(F.col("q_top_k"), F.lit(least)), F.desc("dense_score"), F.col("chunk.chunk_id"), most=most_asked(asked, least)).drop("q_top_k")
 
 
 # Vectors to a slice of the table and to a block of queries that meet in one call.

@@ -87,3 +87,15 @@ def test_repeated_beginnings_against_every_pair(spark):
     rows = sorted(map(tuple, got.collect()))
     assert rows == sorted(map(tuple, want.collect())) and len(rows) > 50 and {i for _, i in rows} == {0, 1, 2, 5, 6}
     assert EV.repeated(answers, items.where("item_id = 3")).count() == 0
+
+
+def test_tasks_keep_only_their_best_rows(spark):
+    """A limit that differs by request still cuts each task's rows before they are shuffled."""
+    chunks = R.indexed(document_chunks(spark.read.parquet(f"{SF}/documents.parquet")).where("CAST(doc_id AS int) < 200"))
+    asked = requests_of(spark, [{"query_id": str(k), "query": "src1", "role": "inspector", "top_k": k} for k in (3, 7)])
+    for found in (R.lexical(asked, chunks), R.dense(asked, chunks)):
+        assert "WindowGroupLimit" in plan_of(found)
+        ranks = sorted((r.query_id, r["rank"]) for r in found.select("query_id", "rank").collect())
+        assert ranks == [("3", k + 1) for k in range(3)] + [("7", k + 1) for k in range(7)]
+    assert R.lexical(asked, chunks, 12).groupBy("query_id").count().where("count = 12").count() == 2
+    assert R.lexical(asked.where("false"), chunks).count() == R.dense(asked.where("false"), chunks).count() == 0
