@@ -9,7 +9,9 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from lexvane.functions import text as T
 _TOKEN = re.compile(T.TOKEN)
 _STOP = frozenset(T.STOPWORDS)
 NAMES = list(T.CONCEPTS)
+_NAMED = pa.list_(pa.string())
 
 
 class PhraseMatcher:
@@ -69,6 +72,24 @@ def terms_of(low: str, mask: int) -> dict[str, None]:
     return out
 
 
+#: Texts that are worked on together, and their bytes, about.
+_TOGETHER, _BYTES = 1000, 1 << 20
+
+
+def slices(texts: pa.Array, most: int = _TOGETHER, size: int = _BYTES) -> Iterator[list[str | None]]:
+    """The texts of an Arrow batch in order, some at a time: up to ``most``, and of about ``size`` bytes or a single longer one.
+
+    Only these become Python's, so a worker's memory follows the longest text and not the batch.
+    """
+    total = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    k = 0
+    while k < len(texts):
+        gone = total[k - 1] if k else 0
+        end = min(k + most, max(k + 1, int(np.searchsorted(total, gone + size, "right"))))
+        yield texts.slice(k, end - k).to_pylist()
+        k = end
+
+
 def _low(c: Column) -> Column:
     return T.squeeze(F.lower(c))
 
@@ -76,17 +97,17 @@ def _low(c: Column) -> Column:
 def annotated(c: Column) -> Column:
     """Struct of a text's concepts (array of names), its number of lexical terms and these terms. A null text has no concepts and null terms."""
 
-    @F.pandas_udf("concepts array<string>, n_terms int, terms array<string>")
-    def run(low: pd.Series) -> pd.DataFrame:
-        find, rows = matcher(), []
-        for x in low:
-            if x is None:
-                rows.append(([], None, None))
-            else:
-                mask = find.mask(x)
-                terms = terms_of(x, mask)
-                rows.append((list(_names(mask)[0]), len(terms), list(terms)))
-        return pd.DataFrame(rows, columns=["concepts", "n_terms", "terms"])
+    @F.arrow_udf("concepts array<string>, n_terms int, terms array<string>")
+    def run(low: pa.Array) -> pa.Array:
+        find, concepts, numbers, words = matcher(), [], [], []
+        for part in slices(low):
+            for x in part:
+                mask = find.mask(x or "")
+                terms = None if x is None else terms_of(x, mask)
+                concepts.append(_names(mask)[0])
+                numbers.append(None if x is None else len(terms))
+                words.append(None if x is None else list(terms))
+        return pa.StructArray.from_arrays([pa.array(concepts, _NAMED), pa.array(numbers, pa.int32()), pa.array(words, _NAMED)], ["concepts", "n_terms", "terms"])
 
     return run(_low(c))
 
@@ -94,16 +115,15 @@ def annotated(c: Column) -> Column:
 def profiled(c: Column) -> Column:
     """``annotated`` without the terms themselves."""
 
-    @F.pandas_udf("concepts array<string>, n_terms int")
-    def run(low: pd.Series) -> pd.DataFrame:
-        find, rows = matcher(), []
-        for x in low:
-            if x is None:
-                rows.append(([], None))
-            else:
-                mask = find.mask(x)
-                rows.append((list(_names(mask)[0]), len(terms_of(x, mask))))
-        return pd.DataFrame(rows, columns=["concepts", "n_terms"]).astype({"n_terms": "Int32"})
+    @F.arrow_udf("concepts array<string>, n_terms int")
+    def run(low: pa.Array) -> pa.Array:
+        find, concepts, numbers = matcher(), [], []
+        for part in slices(low):
+            for x in part:
+                mask = find.mask(x or "")
+                concepts.append(_names(mask)[0])
+                numbers.append(None if x is None else len(terms_of(x, mask)))
+        return pa.StructArray.from_arrays([pa.array(concepts, _NAMED), pa.array(numbers, pa.int32())], ["concepts", "n_terms"])
 
     return run(_low(c))
 
@@ -114,8 +134,8 @@ def held(text: Column, phrases: list[str]) -> Column:
     One automaton over all phrases, built once by each task, reads a text once, however many phrases there are. None in a null text.
     """
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick
 
         tree = ahocorasick.Automaton()
@@ -124,7 +144,7 @@ def held(text: Column, phrases: list[str]) -> Column:
         if phrases:
             tree.make_automaton()
         for b in batches:
-            yield pd.Series([sorted({k for _, k in tree.iter(x)}) if x and phrases else [] for x in b], dtype=object)
+            yield pa.array([sorted({k for _, k in tree.iter(x)}) if x and phrases else [] for part in slices(b) for x in part], pa.list_(pa.int32()))
 
     return run(text)
 
@@ -135,17 +155,20 @@ def overlaps(asked: Column, shown: Column) -> Column:
     A row's terms stay in the worker: only these few numbers come back.
     """
 
-    @F.pandas_udf("concept double, lexical double, asked array<string>")
-    def run(q: pd.Series, r: pd.Series) -> pd.DataFrame:
-        find, known, rows = matcher(), {}, []
-        for a, b in zip(q, r, strict=True):
-            if a not in known:
-                mask = find.mask(a or "")
-                known[a] = mask, terms_of(a or "", mask).keys()
-            mask, terms = known[a]
-            other = find.mask(b or "")
-            theirs = terms_of(b or "", other).keys()
-            rows.append(((mask & other).bit_count() / mask.bit_count() if mask else 0.0, len(terms & theirs) / len(terms) if terms else 0.0, list(_names(mask)[0])))
-        return pd.DataFrame(rows, columns=["concept", "lexical", "asked"])
+    @F.arrow_udf("concept double, lexical double, asked array<string>")
+    def run(q: pa.Array, r: pa.Array) -> pa.Array:
+        find, known, concepts, lexical, names = matcher(), {}, [], [], []
+        for part in slices(r):
+            for a, b in zip(q.slice(len(names), len(part)).to_pylist(), part, strict=True):
+                if a not in known:
+                    mask = find.mask(a or "")
+                    known[a] = mask, terms_of(a or "", mask).keys()
+                mask, terms = known[a]
+                other = find.mask(b or "")
+                theirs = terms_of(b or "", other).keys()
+                concepts.append((mask & other).bit_count() / mask.bit_count() if mask else 0.0)
+                lexical.append(len(terms & theirs) / len(terms) if terms else 0.0)
+                names.append(_names(mask)[0])
+        return pa.StructArray.from_arrays([pa.array(concepts, pa.float64()), pa.array(lexical, pa.float64()), pa.array(names, _NAMED)], ["concept", "lexical", "asked"])
 
     return run(_low(asked), _low(shown))

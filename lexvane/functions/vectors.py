@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexvane.functions import text as T
+from lexvane.functions.phrases import matcher, slices
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,11 +39,16 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
-@lru_cache(maxsize=200_000)
 def _bucket(name: str, dims: int) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "big") % dims
 
 
+@lru_cache(maxsize=50_000)
+def _run_bucket(run: str, dims: int) -> int:
+    """The place of a run of characters: few runs make up most terms, so these are kept; terms are not."""
+    return _bucket(f"tri:{run}", dims)
+
+
 def _weights(value: str) -> dict[str, float]:
     low = " ".join(value.lower().split())
     out: dict[str, float] = {}
@@ -67,28 +74,26 @@ def hash_embedding(value: str, dims: int = 256) -> np.ndarray:
         v[_bucket(f"tok:{term}", dims)] += w
         bare = term.replace("concept:", "").replace("_", "").replace(" ", "")
         for g in [bare[k : k + 3] for k in range(len(bare) - 2)] if len(bare) >= 3 else [bare]:
-            v[_bucket(f"tri:{g}", dims)] += 0.2 * w
+            v[_run_bucket(g, dims)] += 0.2 * w
     size = float(np.sqrt((v * v).sum()))
     return v / size if size else v
 
 
 class _Terms:
-    """Places and weights of the terms met so far, as two flat lists; forgotten when there are very many."""
+    """Places of the terms met so far, in one flat array: a term's own, then those of its runs. Forgotten when there are many."""
 
-    most = 500_000
+    most = 200_000
 
     def __init__(self, dims: int) -> None:
-        self.dims, self.ids, self.places, self.shares, self.ends = dims, {}, [], [], [0]
+        self.dims, self.ids, self.places, self.ends = dims, {}, array("q"), array("q", [0])
 
     def number(self, term: str) -> int:
         n = self.ids.get(term)
         if n is None:
             n = self.ids[term] = len(self.ids)
             bare = term.replace("concept:", "").replace("_", "").replace(" ", "")
-            grams = [bare[k : k + 3] for k in range(len(bare) - 2)] if len(bare) >= 3 else [bare]
             self.places.append(_bucket(f"tok:{term}", self.dims))
-            self.places += [_bucket(f"tri:{g}", self.dims) for g in grams]
-            self.shares += [1.0] + [0.2] * len(grams)
+            self.places.extend(_run_bucket(bare[k : k + 3], self.dims) for k in range(max(1, len(bare) - 2)))
             self.ends.append(len(self.places))
         return n
 
@@ -104,8 +109,6 @@ def _added(mask: int) -> tuple[tuple[str, float], ...]:
 
 def hash_embeddings(texts: list[str | None], dims: int = 256) -> np.ndarray:
     """``hash_embedding`` of many texts: each distinct term is hashed once, and the sums of all texts are one sparse sum."""
-    from lexvane.functions.phrases import matcher
-
     find = matcher()
     known = _TERMS.setdefault(dims, _Terms(dims))
     if len(known.ids) > known.most:
@@ -124,26 +127,28 @@ def hash_embeddings(texts: list[str | None], dims: int = 256) -> np.ndarray:
         weights += own.values()
         weights += [w for _, w in added]
         held.append(len(own) + len(added))
-    ends, col = np.array(known.ends), np.array(ids, np.int64)
+    # The arrays as they are: these views end before the next term is met.
+    ends, places, col = np.frombuffer(known.ends, np.int64), np.frombuffer(known.places, np.int64), np.array(ids, np.int64)
     n = ends[col + 1] - ends[col]
-    each = np.arange(n.sum()) + np.repeat(ends[col] - (np.cumsum(n) - n), n)
+    before = np.cumsum(n) - n
+    each = np.arange(n.sum()) + np.repeat(ends[col] - before, n)
+    shares = np.full(len(each), 0.2)
+    shares[before] = 1.0
     row = np.repeat(np.arange(len(texts)), held)
-    v = np.bincount(np.repeat(row, n) * dims + np.array(known.places, np.int64)[each], np.repeat(np.array(weights, np.float64), n) * np.array(known.shares)[each], len(texts) * dims).astype(np.float64).reshape(-1, dims)
+    v = np.bincount(np.repeat(row, n) * dims + places[each], np.repeat(np.array(weights, np.float64), n) * shares, len(texts) * dims).astype(np.float64).reshape(-1, dims)
     size = np.sqrt((v * v).sum(1, keepdims=True))
     return np.divide(v, size, out=v, where=size > 0)
 
 
-#: Texts whose terms are summed up together.
-_TOGETHER = 1000
-
-
 def embed(c: Column, dims: int = 256) -> Column:
     """The embedding of a text column, in Arrow batches. Meant for building an index once, not for every query."""
 
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
-        values = s.tolist()
-        found = [hash_embeddings(values[k : k + _TOGETHER], dims) for k in range(0, len(values), _TOGETHER)]
-        return pd.Series([v for m in found for v in m], dtype=object)
+    @F.arrow_udf("array<double>")
+    def run(s: pa.Array) -> pa.Array:
+        v, k = np.empty((len(s), dims)), 0
+        for part in slices(s):
+            v[k : k + len(part)] = hash_embeddings(part, dims)
+            k += len(part)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * dims), pa.array(v.ravel()))
 
     return run(c)

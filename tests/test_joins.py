@@ -3,10 +3,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexvane.functions import phrases as P
 from lexvane.functions import text as T
+from lexvane.functions import vectors as V
 from lexvane.functions.vectors import hash_embedding, hash_embeddings
 from lexvane.operators import evaluation as EV
 from lexvane.operators import retrieval as R
@@ -99,3 +101,20 @@ def test_tasks_keep_only_their_best_rows(spark):
         assert ranks == [("3", k + 1) for k in range(3)] + [("7", k + 1) for k in range(7)]
     assert R.lexical(asked, chunks, 12).groupBy("query_id").count().where("count = 12").count() == 2
     assert R.lexical(asked.where("false"), chunks).count() == R.dense(asked.where("false"), chunks).count() == 0
+
+
+def test_batches_are_worked_on_in_slices(spark):
+    """A worker makes Python's texts of a slice and keeps a bounded number of terms, however large a batch or a vocabulary is."""
+    texts = pa.array(["a" * 10, None, "b" * 500, "c", "d", "", "é" * 10])
+    parts = list(P.slices(texts, 2, 20))
+    assert [x for p in parts for x in p] == texts.to_pylist() and [len(p) for p in parts] == [2, 1, 2, 2]
+    assert [p for p in P.slices(texts.slice(2, 3), 9, 600)] == [texts.to_pylist()[2:5]] and list(P.slices(pa.array([], pa.string()))) == []
+    assert max(sum(map(len, p)) for p in P.slices(pa.array(["x" * 1000] * 5000))) <= 1 << 20
+    words = [" ".join(f"w{k}x{j}" for j in range(2000)) for k in range(130)]
+    for k in range(0, len(words), 10):
+        hash_embeddings(words[k : k + 10])
+        assert len(V._TERMS[256].ids) <= V._Terms.most + 20_000 and V._run_bucket.cache_info().maxsize <= 50_000
+    assert sum(len(set(w.split())) for w in words) > V._Terms.most and not isinstance(V._TERMS[256].places, list)
+    rows = spark.createDataFrame([(k, w if k % 3 else None) for k, w in enumerate(words[:12])], "k int, w string")
+    for r in rows.select("w", V.embed(F.col("w")).alias("e")).collect():
+        assert np.abs(np.array(r.e) - hash_embedding(r.w or "")).max() < 1e-12
