@@ -244,7 +244,8 @@ def filtered_vector_search(spark, sf):
 
 
 def _engine(spark, sf) -> Engine:
-    return Engine(R.indexed(_chunks(spark, sf)).persist())
+    # Not cached: one search reads the embeddings, and of a cached table every task reads a whole partition, texts and vectors.
+    return Engine(R.indexed(_chunks(spark, sf)))
 
 
 @query()

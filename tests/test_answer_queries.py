@@ -2,9 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lexvane import answer_queries as A
 from lexvane import queries as B
+from lexvane.operators import retrieval as R
 from lexvane.plans.engine import Engine, requests_of
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +43,19 @@ def test_no_second_pass_where_none_is_due(spark):
     assert out["x"]["outcome"] == out["y"]["outcome"] == "answered"
     assert Engine(chunks).answer(asked.where("false")).count() == 0
     assert {q["query_id"] for q in A.QUESTIONS} >= {g["case_id"] for g in A.GOLD}
+
+
+def test_searches_keep_no_copy_of_all_chunks(spark, monkeypatch):
+    """Only the few rows of a pass are cached, so no task reads a whole partition of texts and vectors; texts are embedded once."""
+    stored = lambda: {x.id(): x.memSize() + x.diskSize() for x in spark.sparkContext._jsc.sc().getRDDStorageInfo()}
+    before = stored().keys()
+    rows = B.QUERIES["corrective_two_pass"](spark, SF).collect()
+    kept = [n for k, n in stored().items() if k not in before]
+    texts = spark.read.parquet(f"{SF}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    assert kept and sum(kept) < texts / 4
+    shown = B.QUERIES["hybrid_search"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" not in shown and shown.count("ArrowEvalPython [run(array_join") == 1
+    chunks = R.indexed(B._chunks(spark, SF)).persist()
+    monkeypatch.setattr(B, "_engine", lambda *_: Engine(chunks))
+    assert _plain(B.QUERIES["corrective_two_pass"](spark, SF).collect()) == _plain(rows) and len(rows) == 7
+    chunks.unpersist()
