@@ -26,7 +26,7 @@ from __future__ import annotations
 import datetime
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -153,22 +153,100 @@ def _pack(rows: pa.Table, scale: float) -> pa.Table:
     return pa.table([rows["cell"][:1].cast(pa.int32()), rows["class"][:1], *lists, pa.array([codes.tobytes()])], ["cell", "class", "keys", "starts", "ends", "codes"])
 
 
+#: The day of a request without a date.
+_ANY_DAY = 2**31
+
+
+#: Heads that a task holds before it compares them, and the requests whose heads it holds at a time.
+_HELD = 1_000_000
+_GROUP = 4096
+
+
 @dataclass(frozen=True)
 class _Asked:
-    """Requests as arrays, and for each cell and class those that read it, with the place of the cell among theirs."""
+    """Requests and zones as arrays.
+
+    What a request reads follows from them, and is worked out for a group of requests at a time: for all of them it is a number for
+    each request, cell and class, which grows with the square of a corpus that asks for a share of its own rows.
+    """
 
     vectors: np.ndarray
     most: np.ndarray
     days: np.ndarray
-    at: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]
-
-
-#: The day of a request without a date.
-_ANY_DAY = 2**31
+    #: Which of the profiles each request has, and the cells and chunks that it reads at least.
+    profile: np.ndarray
+    probes: np.ndarray
+    wanted: np.ndarray
+    #: The classes that each profile reads (profiles x classes).
+    readable: np.ndarray
+    classes: list[str]
+    centres: np.ndarray
+    #: The zones' cells, classes (by number), chunks and days.
+    cell: np.ndarray
+    kind: np.ndarray
+    n: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+    def groups(self) -> list[tuple[int, int]]:
+        """Requests from and to, so many that a task can hold the best of each of a group."""
+        out, low, held = [], 0, 0
+        for k, n in enumerate(self.most.tolist()):
+            if k > low and (held + n > _HELD // 2 or k - low >= _GROUP):
+                out.append((low, k))
+                low, held = k, 0
+            held += n
+        return [*out, (low, len(self.most))] if len(self.most) else []
+
+    def places(self, low: int, high: int) -> np.ndarray:
+        """The place of each cell among those that each request of a group reads, -1 where it does not (cells x requests)."""
+        out = np.full((max(1, len(self.centres)), high - low), -1, np.int32)
+        for a in range(low, high, 256):
+            own = slice(a, min(a + 256, high))
+            if len(self.centres):
+                order = np.argsort(-(self.vectors[own] @ self.centres.T), axis=1, kind="stable")
+            else:
+                order = np.zeros((own.stop - a, 1), np.int64)
+            kinds, which = np.unique(np.stack([self.profile[own], self.days[own]], axis=1), axis=0, return_inverse=True)
+            held = np.take_along_axis(np.stack([self._held(*k) for k in kinds])[which.ravel()], order, 1)
+            there = held > 0
+            near, before = np.cumsum(there, axis=1) - 1, np.cumsum(held, axis=1) - held
+            read = there & ((near < self.probes[own, None]) | (before < self.wanted[own, None]))
+            np.put_along_axis(out[:, a - low : own.stop - low], order.T, np.where(read, near, -1).T.astype(np.int32), 0)
+        return out
 
+    def _held(self, profile: int, day: int) -> np.ndarray:
+        """How many chunks that may be read each cell has."""
+        mask = self.readable[profile, self.kind]
+        if day != _ANY_DAY:
+            mask = mask & (self.start <= day) & (day <= self.end)
+        return np.bincount(self.cell[mask], self.n[mask], max(1, len(self.centres)))
+
+    def readers(self, places: np.ndarray, low: int, high: int, cell: int, kind: int, start: int, end: int) -> np.ndarray:
+        """Those of a group, by number within it, that read rows of a cell and class with days from ``start`` to ``end``."""
+        day = self.days[low:high]
+        return np.flatnonzero((places[cell] >= 0) & self.readable[self.profile[low:high], kind] & ((day == _ANY_DAY) | ((start <= day) & (day <= end))))
+
+    def cells(self) -> list[int]:
+        """The cells that any request reads."""
+        some = np.zeros(max(1, len(self.centres)), bool)
+        for low, high in self.groups():
+            some |= (self.places(low, high) >= 0).any(axis=1)
+        return np.flatnonzero(some).tolist()
 
-#: Heads that a task holds before it compares them.
-_HELD = 1_000_000
+    @property
+    def at(self) -> dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]:
+        """For each cell and class those that read it, with the place of the cell among theirs: to look at, as a search never holds it."""
+        out: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]] = {}
+        for low, high in self.groups():
+            places = self.places(low, high)
+            for cell, kind, start, end in zip(self.cell.tolist(), self.kind.tolist(), self.start.tolist(), self.end.tolist(), strict=True):
+                who = self.readers(places, low, high, cell, kind, start, end)
+                if len(who):
+                    z, none = (cell, self.classes[kind]), np.zeros(0, np.int64)
+                    a, b = out.get(z, (none, none))
+                    out[z] = np.append(a, who + low), np.append(b, places[cell, who])
+        return out
 
 
 def _best_heads(parts: list[tuple[np.ndarray, ...]], most: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -183,48 +261,56 @@ def _best_heads(parts: list[tuple[np.ndarray, ...]], most: np.ndarray) -> tuple[
 
 
 def _heads(batches: Iterator[pa.RecordBatch], asked: _Asked, scale: float) -> Iterator[pa.RecordBatch]:
-    """The best of a task's packs for each request that reads them, by codes."""
-    names, parts, held = ["asked", "cell", "nth", "row_key", "guess"], [], 0
-    for part in _pack_heads(batches, asked, scale):
-        parts.append(part)
-        held += len(part[0])
-        if held > _HELD:
-            parts = [_best_heads(parts, asked.most)]
-            held = len(parts[0][0])
-            if held > _HELD // 2:  # very many requests: what follows is compared by the plan
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts[0]], names)
-                parts, held = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _best_heads(parts, asked.most)], names)
-
-
-def _pack_heads(batches: Iterator[pa.RecordBatch], asked: _Asked, scale: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """The best of each pack for each request that reads it: request, cell, nth, key and guess."""
-    dims = asked.vectors.shape[1]
-    most = np.maximum(np.abs(asked.vectors).max(axis=1, keepdims=True), 1e-300)
-    coded = np.rint(asked.vectors * (127 / most)).astype(np.float32)
+    """The best of a task's packs for each request that reads them, by codes. Where there are several groups the packs are held."""
+    names, groups = ["asked", "cell", "nth", "row_key", "guess"], asked.groups()
+    packs = list(batches) if len(groups) > 1 else batches
+    for low, high in groups:
+        parts, held, bars = [], 0, np.full(high - low, -np.inf)
+        for part in _pack_heads(packs, asked, scale, low, high, bars):
+            parts.append(part)
+            held += len(part[0])
+            if held > _HELD:
+                parts = [_best_heads(parts, asked.most)]
+                who, guess, held = parts[0][0], parts[0][4], len(parts[0][0])
+                # A request that has all it wants takes no less than the last of these.
+                last = np.flatnonzero(np.diff(who, append=-1))
+                last = last[np.diff(last, prepend=-1) >= asked.most[who[last]]]
+                bars[who[last] - low] = guess[last]
+                if held > _HELD // 2:  # one request that wants very many: what follows is compared by the plan
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts[0]], names)
+                    parts, held = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _best_heads(parts, asked.most)], names)
+
+
+#: Scores of a pack that are worked on at a time.
+_SCORES = 1 << 18
+
+
+def _pack_heads(batches: Iterable[pa.RecordBatch], asked: _Asked, scale: float, low: int, high: int, bars: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each pack and the requests of a group that read it, the pairs that reach a request's bar: request, cell, nth, key and guess."""
+    vectors, dims, places = asked.vectors[low:high], asked.vectors.shape[1], asked.places(low, high)
+    most = np.maximum(np.abs(vectors).max(axis=1, keepdims=True), 1e-300)
+    coded = np.rint(vectors * (127 / most)).astype(np.float32)
+    days, number = asked.days[low:high], {c: k for k, c in enumerate(asked.classes)}
     for b in batches:
         cols = dict(zip(b.schema.names, b.columns, strict=True))
         for k in range(b.num_rows):
-            key = cols["cell"][k].as_py(), cols["class"][k].as_py()
-            if key not in asked.at:
+            cell, kind = cols["cell"][k].as_py(), number[cols["class"][k].as_py()]
+            starts, ends, keys = (cols[c][k].values.to_numpy() for c in ("starts", "ends", "keys"))
+            own = asked.readers(places, low, high, cell, kind, starts.min(), ends.max())
+            if not len(own):
                 continue
             codes = np.frombuffer(cols["codes"][k].as_buffer(), np.int8).reshape(-1, dims).astype(np.float32)
-            starts, ends, keys = (cols[c][k].values.to_numpy() for c in ("starts", "ends", "keys"))
-            who_, nth_ = asked.at[key]
-            for i in range(0, len(who_), 256):
-                who, nth = who_[i : i + 256], nth_[i : i + 256]
+            step = max(1, _SCORES // len(codes))
+            for who in (own[i : i + step] for i in range(0, len(own), step)):
                 score = (coded[who] @ codes.T).astype(np.float64) * (most[who] * scale / 127**2)
-                day = asked.days[who][:, None]
+                day = days[who][:, None]
                 score[(day != _ANY_DAY) & ((day < starts) | (day > ends))] = -np.inf
-                rows, places = [], []
-                for j, n in enumerate(np.minimum(asked.most[who], len(codes))):
-                    near = np.argpartition(-score[j], n - 1)[:n]
-                    near = near[score[j][near] > -np.inf]
-                    rows.append(np.full(len(near), j))
-                    places.append(near)
-                row, place = np.concatenate(rows), np.concatenate(places)
-                yield who[row].astype(np.int32), np.full(len(row), key[0], np.int32), nth[row].astype(np.int32), keys[place], score[row, place]
+                row, place = np.nonzero((score >= bars[who][:, None]) & (score > -np.inf))
+                if len(row):
+                    at = who[row]
+                    yield (at + low).astype(np.int32), np.full(len(row), cell, np.int32), places[cell, at], keys[place], score[row, place]
 
 
 class VectorIndex:
@@ -313,7 +399,8 @@ class VectorIndex:
         zones = spark.read.schema(zones.schema).parquet(f"{at}/zones")
         parts = F.ceil(F.col("n") / p.block).cast("int")
         packs = ranged.join(zones.select("cell", "class", parts.alias("parts")), ["cell", "class"]).withColumn("part", F.pmod(F.xxhash64("row_key"), F.col("parts")))
-        grouped = packs.select("cell", "class", "part", "row_key", "start", "end", "embedding").groupBy("cell", "class", "part")
+        # All classes of a cell are packed in one task, so that its folder gets a file for 1,024 rows of each, not a file for each task.
+        grouped = packs.select("cell", "class", "part", "row_key", "start", "end", "embedding").repartition("cell", "part").groupBy("cell", "class", "part")
         packed = grouped.applyInArrow(lambda t: _pack(t, scale), _BLOCKS)
         packed.write.partitionBy("cell").parquet(f"{at}/blocks")
         kinds = chunk_kinds(rows)
@@ -384,48 +471,42 @@ class VectorIndex:
         return held
 
     def cells_of(self, requests: DataFrame, clearance: dict[str, str] = CLEARANCE, probes: int | None = None) -> tuple[list[str], _Asked]:
-        """Ids of the requests with a direction, and which cells and classes each of them reads."""
+        """Ids of the requests with a direction, and what tells which cells and classes each of them reads."""
         p, zones = self.params, self._zones()
-        rows = local_requests(requests).toArrow().to_pylist()
-        vectors = np.array([r["embedding"] for r in rows], np.float64) if "embedding" in requests.columns else hash_embeddings([r["query"] for r in rows])
+        table = local_requests(requests).toArrow()
+        own = "embedding" in table.column_names
+        rows = table.drop_columns(["embedding"] if own else []).to_pylist()
+        if own and rows:
+            vectors = np.stack(table["embedding"].to_numpy()).astype(np.float64)
+        else:
+            vectors = hash_embeddings([r["query"] for r in rows])
         there = [k for k in range(len(rows)) if vectors[k].any()]
         rows, vectors = [rows[k] for k in there], vectors[there] if there else np.zeros((0, self.meta.dims))
         profiles = [(r["role"], tuple(r["source_types"] or ()), r["jurisdiction"]) for r in rows]
-        readable, kinds = self._readable(profiles, clearance), {}
+        distinct, readable = list(dict.fromkeys(profiles)), self._readable(profiles, clearance)
+        classes, kind = np.unique(zones["class"], return_inverse=True)
+        reads = np.array([np.isin(classes, list(readable[x])) for x in distinct], bool).reshape(len(distinct), len(classes))
+        number = {x: k for k, x in enumerate(distinct)}
         days = np.array([_ANY_DAY if r["as_of_date"] is None else (r["as_of_date"] - datetime.date(1970, 1, 1)).days for r in rows], np.int64)
-        order = np.argsort(-(vectors @ np.array(self.meta.centres).T), axis=1, kind="stable") if self.meta.centres else np.zeros((len(rows), 1), np.int64)
-        at: dict[tuple[int, str], tuple[list[int], list[int]]] = {}
-        for k, r in enumerate(rows):
-            if profiles[k] not in kinds:
-                kinds[profiles[k]] = np.isin(zones["class"], list(readable[profiles[k]])) if len(zones["class"]) else np.zeros(0, bool)
-            mask = kinds[profiles[k]]
-            if days[k] != _ANY_DAY:
-                mask = mask & (zones["start"] <= days[k]) & (days[k] <= zones["end"])
-            near, least = 0, probes or self.meta.probes.get(r["role"], len(self.meta.centres) or 1)
-            held = np.bincount(zones["cell"][mask], zones["n"][mask], order.shape[1]) if mask.any() else np.zeros(order.shape[1])
-            cells, before = order[k][held[order[k]] > 0], 0.0
-            for near, cell in enumerate(cells):
-                if near >= least and before >= p.enough * p.oversample * r["top_k"]:
-                    break
-                before += held[cell]
-                for z in np.flatnonzero(mask & (zones["cell"] == cell)):
-                    own = at.setdefault((int(cell), str(zones["class"][z])), ([], []))
-                    own[0].append(k)
-                    own[1].append(near)
         most = np.array([r["top_k"] * p.oversample for r in rows], np.int64)
-        return [r["query_id"] for r in rows], _Asked(vectors, most, days, {z: (np.array(a), np.array(b)) for z, (a, b) in at.items()})
+        least = np.array([probes or self.meta.probes.get(r["role"], len(self.meta.centres) or 1) for r in rows], np.int64)
+        centres = np.array(self.meta.centres, np.float64)
+        who = np.array([number[x] for x in profiles], np.int64)
+        return [r["query_id"] for r in rows], _Asked(vectors, most, days, who, least, p.enough * most, reads, classes.tolist(), centres, zones["cell"], kind, zones["n"], zones["start"], zones["end"])
 
     def found(self, requests: DataFrame, clearance: dict[str, str] = CLEARANCE, probes: int | None = None) -> DataFrame:
         """The best ``top_k`` chunks of each request: query_id, rank, chunk, dense_score, cell and nth.
 
         Requests and zones are few and on the driver, so the cells to read are partitions known before the plan is made.
         """
-        p = self.params
+        p, requests = self.params, local_requests(requests)
         ids, asked = self.cells_of(requests, clearance, probes)
-        cells, scale = sorted({cell for cell, _ in asked.at}), self.meta.scale
+        cells, scale = asked.cells(), self.meta.scale
         inside = F.col("cell").isin(cells) if cells else F.lit(False)
-        kept = pa.table({"asked": pa.array(range(len(ids)), pa.int32()), "query_id": pa.array(ids, pa.string()), "q_embedding": pa.array(list(asked.vectors), pa.list_(pa.float64())), "most": pa.array(asked.most, pa.int64())})
-        by_number = F.broadcast(self.spark.createDataFrame(kept, "asked int, query_id string, q_embedding array<double>, most long"))
+        kept = pa.table({"asked": pa.array(range(len(ids)), pa.int32()), "query_id": pa.array(ids, pa.string()), "most": pa.array(asked.most, pa.int64())})
+        by_number = F.broadcast(self.spark.createDataFrame(kept, "asked int, query_id string, most long"))
+        directed = pa.table({"query_id": kept["query_id"], "q_embedding": pa.array(list(asked.vectors), pa.list_(pa.float64()))})
+        directions = F.broadcast(self.spark.createDataFrame(directed, "query_id string, q_embedding array<double>"))
         # Packs of many cells and classes meet in a task, so that their heads are compared before they leave it.
         tasks = max(self.spark.sparkContext.defaultParallelism, -(-self.meta.points * self.meta.dims // p.task_bytes))
         packs = self.blocks.where(inside).select("cell", "class", "starts", "ends", "keys", "codes").coalesce(tasks)
@@ -433,12 +514,13 @@ class VectorIndex:
         heads = heads.join(by_number, "asked")
         heads = top(heads, F.col("most"), F.desc("guess"), F.col("row_key")).drop("rank").dropDuplicates(["query_id", "row_key"])
         rows = _with_fields(self.rows.where(inside))
-        exact = rows.join(heads.select("query_id", "cell", "nth", "row_key", "q_embedding", "most"), ["cell", "row_key"])
+        exact = rows.join(heads.select("query_id", "cell", "nth", "row_key"), ["cell", "row_key"])
         # What codes found was chosen among what may be read; a digest of the row is no proof, so access is asked again of the row.
-        limits = as_requests(local_requests(requests).select("query_id", "role", "source_types", "jurisdiction", "as_of_date", "top_k"))
-        exact = exact.join(limits, "query_id").where(may_see(clearance)).dropDuplicates(["query_id", "row_key"])
-        scored = exact.select("query_id", "q_top_k", _chunk(rows), dot(F.col("embedding"), F.col("q_embedding")).alias("dense_score"), "cell", "nth")
-        return top(scored, F.col("q_top_k"), F.desc("dense_score"), F.col("chunk.chunk_id")).drop("q_top_k")
+        limits = as_requests(requests.select("query_id", "role", "source_types", "jurisdiction", "as_of_date", "top_k"))
+        exact = exact.join(limits, "query_id").where(may_see(clearance)).join(directions, "query_id")
+        # The vectors of requests meet the rows last and go no further: no head carries one through a shuffle.
+        scored = exact.select("query_id", "row_key", "q_top_k", _chunk(rows), dot(F.col("embedding"), F.col("q_embedding")).alias("dense_score"), "cell", "nth").dropDuplicates(["query_id", "row_key"])
+        return top(scored.drop("row_key"), F.col("q_top_k"), F.desc("dense_score"), F.col("chunk.chunk_id")).drop("q_top_k")
 
     def search(self, requests: DataFrame, least: int = 0, clearance: dict[str, str] = CLEARANCE) -> DataFrame:
         """As ``retrieval.dense``: query_id, chunk, dense_score, rank; the best max(top_k, least) of each request."""

@@ -1,11 +1,15 @@
 import datetime
+import pickle
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lexvane.functions.schemas import CLEARANCE
 from lexvane.operators import retrieval as R
-from lexvane.operators.vector_index import IndexParams, VectorIndex, _Files, corpus_digest, quantised
+from lexvane.operators.vector_index import IndexMeta, IndexParams, VectorIndex, _Files, corpus_digest, quantised
 from lexvane.plans.engine import Engine, requests_of
 from lexvane.sources.readers import document_chunks
 
@@ -139,3 +143,71 @@ def test_engine_with_and_without_index(spark, corpus, index):
         own = requests.withColumn("method", F.lit(method))
         x, y = pairs(a.retrieve(own, {method})), pairs(b.retrieve(own, {method}))
         assert len(x & y) >= 0.9 * len(x)
+
+
+def _large(spark, requests, cells=300, dims=16):
+    """An index of many cells and classes as the driver knows it, and requests of as many kinds: no chunks are made."""
+    rng = np.random.default_rng(4)
+    unit = lambda n: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rng.normal(size=(n, dims)))
+    meta = IndexMeta("none", 10 * cells, "", dims, 0.5, dict.fromkeys(("rows", "blocks", "zones", "kinds"), '{"type": "struct", "fields": []}'), unit(cells).tolist(), {"helpdesk": 5, "inspector": 20})
+    index = VectorIndex.__new__(VectorIndex)
+    index.spark, index.meta, index.params, classes = spark, meta, IndexParams(), [f"c{k:02d}" for k in range(12)]
+    cell, kind = (x.ravel() for x in np.meshgrid(np.arange(cells), np.arange(12), indexing="ij"))
+    start = rng.integers(15_000, 19_000, len(cell))
+    index._zone_rows = {"cell": cell, "class": np.array(classes)[kind], "n": rng.integers(1, 30, len(cell)), "start": start, "end": start + rng.integers(0, 4_000, len(cell))}
+    index._seen = {tuple(sorted(CLEARANCE.items())): {(r, (), "NL"): set(classes[: 4 * (k + 1)]) for k, r in enumerate(ROLES)}}
+    asked = requests_of(spark, [{"query_id": f"{k}", "query": "x", "role": ROLES[k % 3], "as_of_date": DAYS[k // 3 % 3]} for k in range(requests)])
+    return index, spark.createDataFrame(asked.toArrow().append_column("embedding", pa.array(list(unit(requests)), pa.list_(pa.float64()))))
+
+
+def test_what_is_read_is_as_zone_by_zone(spark):
+    index, requests = _large(spark, 30, cells=40)
+    zones, rows = index._zones(), requests.collect()
+    for probes in (None, 3, 40):
+        want: dict = {}
+        for k, r in enumerate(rows):
+            day = None if r.as_of_date is None else (r.as_of_date - datetime.date(1970, 1, 1)).days
+            mask = np.isin(zones["class"], list(next(iter(index._seen.values()))[r.role, (), "NL"]))
+            if day is not None:
+                mask &= (zones["start"] <= day) & (day <= zones["end"])
+            near, before = 0, 0
+            for cell in np.argsort(-(np.array(index.meta.centres) @ np.array(r.embedding)), kind="stable"):
+                own = np.flatnonzero(mask & (zones["cell"] == cell))
+                if not len(own):
+                    continue
+                if near >= (probes or index.meta.probes.get(r.role, 40)) and before >= 4 * 3 * r.top_k:
+                    break
+                for z in own:
+                    want.setdefault((int(cell), str(zones["class"][z])), []).append((k, near))
+                near, before = near + 1, before + zones["n"][own].sum()
+        asked = index.cells_of(requests, probes=probes)[1]
+        assert {z: list(zip(*(x.tolist() for x in v), strict=True)) for z, v in asked.at.items()} == want
+        assert asked.cells() == sorted({c for c, _ in want})
+
+
+def test_what_requests_read_is_not_held_by_the_driver(spark):
+    """Neither the driver nor what is sent to tasks holds a number for each request, cell and class."""
+    index, requests = _large(spark, 300)
+    zones = index._zones()
+    tracemalloc.start()
+    asked = index.cells_of(requests, probes=300)[1]
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    days = [None if d is None else (d - datetime.date(1970, 1, 1)).days for d in DAYS]
+    read = [np.ones(len(zones["start"]), bool) if d is None else (zones["start"] <= d) & (d <= zones["end"]) for d in days]
+    pairs = sum(int((read[k // 3 % 3] & (zones["class"] < f"c{4 * (k % 3 + 1):02d}")).sum()) for k in range(300))
+    assert pairs > 400_000 and len(pickle.dumps(asked)) < pairs and held < 8 * pairs
+
+
+def test_a_task_gives_each_request_its_best_alone(spark, corpus, index, monkeypatch):
+    """However many requests there are, what leaves a task is no more than they want."""
+    from lexvane.operators import vector_index as X
+
+    found = index.cells_of(asked(spark, corpus, 8), probes=len(index.meta.centres))[1]
+    batches = index.blocks.toArrow().to_batches(max_chunksize=1)
+    whole = pa.Table.from_batches(X._heads(iter(batches), found, index.meta.scale))
+    monkeypatch.setattr(X, "_HELD", 2 * int(found.most.sum()) // 3)
+    parts = pa.Table.from_batches(X._heads(iter(batches), found, index.meta.scale))
+    assert parts.num_rows <= found.most.sum()
+    keys = [("asked", "ascending"), ("guess", "descending"), ("row_key", "ascending")]
+    assert parts.sort_by(keys).equals(whole.sort_by(keys)) and len(found.groups()) > 2
