@@ -1,9 +1,10 @@
-"""A refreshable index of chunk embeddings: cells with zone maps, 8-bit codes, exact rescoring.
+"""A refreshable index of chunk embeddings: cells with zone maps, codes of one byte and another, exact rescoring.
 
 Layout, under the index path. Each version is a folder of its own and is never changed:
 
 - ``rows``, by cell: the chunks, their embeddings (those they have, as unit vectors, or of their text) and keys;
-- ``blocks``, by cell: packs of up to ``block`` chunks of one cell and one access class: keys, validity days and codes as bytes;
+- ``blocks``, by cell: packs of up to ``block`` chunks of one cell and one access class: keys, validity days, codes as bytes and a second
+  byte for each, ``fine``, of what the first leaves;
 - ``kinds``: how many chunks there are of everything that the filters look at, so that counts of what was denied need no scan;
 - ``zones``: a row for each cell and class with what decides access (roles, rank, source type, jurisdiction), the least and the
   greatest day of validity, and the number of chunks;
@@ -15,8 +16,9 @@ chunks, roles or dates than it was built from. Embeddings of texts that the vers
 
 A search matches the requests with the zones first, on the driver: both are few. Cells that a request may not read at its date are left out before any vector is
 read, and its nearest remaining cells are probed: as many as its role needs by the measured recall, and more where these hold fewer
-readable chunks than ``enough`` times what is asked. Codes and requests meet in blocks as whole numbers: a product of bytes is exact
-in 32-bit floats. The best ``oversample`` times k of each request are scored again with the stored vectors.
+readable chunks than ``enough`` times what is asked. Codes and requests meet in blocks as whole numbers of two bytes: their products are
+exact in 64-bit floats. The best ``oversample`` times k of each request are scored again with the stored vectors; of more chunks whose
+codes are the same, those of the lowest keys.
 
 Equal rows count once. A request whose vector is zero finds nothing. An index of no chunks answers with no rows.
 """
@@ -58,7 +60,7 @@ class IndexParams:
     task_rows: int = 50_000
     #: Bytes of codes that a task of a search reads, about.
     task_bytes: int = 64 << 20
-    #: The share of components that codes do not clip.
+    #: The share of components within the scale of codes; vectors with others are divided to fit.
     quantile: float = 0.999
     oversample: int = 3
     enough: int = 4
@@ -141,16 +143,28 @@ def _first_cell(centres: np.ndarray, batches: Iterator[pd.Series]) -> Iterator[p
         yield pd.Series(np.argmax(np.stack(v.to_numpy()).astype(np.float64) @ centres.T, axis=1).astype(np.int32) if len(v) else np.zeros(0, np.int32))
 
 
-_BLOCKS = "cell int, class string, keys array<long>, starts array<int>, ends array<int>, codes binary"
+def both_bytes(vectors: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, a second byte for what each leaves (in 254ths), and what a vector with components beyond ``scale`` was divided by."""
+    stretch = np.maximum(1, np.abs(vectors).max(axis=1, initial=0) / scale).astype(np.float32)
+    vectors = vectors / stretch[:, None].astype(np.float64)
+    codes = quantised(vectors, scale)
+    left = np.clip(vectors * (127 / scale) - codes, -0.5, 0.5)
+    return codes, np.rint(left * 254).astype(np.int8), stretch
+
+
+#: What the largest component of a request and the scale of an index stand at in whole numbers of two bytes.
+_WHOLE = 127 * 254
+_BLOCKS = "cell int, class string, keys array<long>, starts array<int>, ends array<int>, codes binary, fine binary, stretch array<float>"
 
 
 def _pack(rows: pa.Table, scale: float) -> pa.Table:
     """The rows of one pack as a row."""
     rows = rows.combine_chunks()
     vectors = rows["embedding"].combine_chunks()
-    codes = quantised(vectors.flatten().to_numpy().reshape(len(rows), -1), scale)
+    codes, fine, stretch = both_bytes(vectors.flatten().to_numpy().reshape(len(rows), -1), scale)
     lists = [pa.array([rows[c].to_numpy()], pa.list_(kind)) for c, kind in (("row_key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()))]
-    return pa.table([rows["cell"][:1].cast(pa.int32()), rows["class"][:1], *lists, pa.array([codes.tobytes()])], ["cell", "class", "keys", "starts", "ends", "codes"])
+    coded = [pa.array([codes.tobytes()]), pa.array([fine.tobytes()]), pa.array([stretch], pa.list_(pa.float32()))]
+    return pa.table([rows["cell"][:1].cast(pa.int32()), rows["class"][:1], *lists, *coded], ["cell", "class", "keys", "starts", "ends", "codes", "fine", "stretch"])
 
 
 #: The day of a request without a date.
@@ -291,7 +305,7 @@ def _pack_heads(batches: Iterable[pa.RecordBatch], asked: _Asked, scale: float,
     """Of each pack and the requests of a group that read it, the pairs that reach a request's bar: request, cell, nth, key and guess."""
     vectors, dims, places = asked.vectors[low:high], asked.vectors.shape[1], asked.places(low, high)
     most = np.maximum(np.abs(vectors).max(axis=1, keepdims=True), 1e-300)
-    coded = np.rint(vectors * (127 / most)).astype(np.float32)
+    coded = np.rint(vectors * (_WHOLE / most))
     days, number = asked.days[low:high], {c: k for k, c in enumerate(asked.classes)}
     for b in batches:
         cols = dict(zip(b.schema.names, b.columns, strict=True))
@@ -301,10 +315,11 @@ def _pack_heads(batches: Iterable[pa.RecordBatch], asked: _Asked, scale: float,
             own = asked.readers(places, low, high, cell, kind, starts.min(), ends.max())
             if not len(own):
                 continue
-            codes = np.frombuffer(cols["codes"][k].as_buffer(), np.int8).reshape(-1, dims).astype(np.float32)
+            codes, fine = (np.frombuffer(cols[c][k].as_buffer(), np.int8).reshape(-1, dims).astype(np.float64) for c in ("codes", "fine"))
+            codes, stretch = codes * 254 + fine, cols["stretch"][k].values.to_numpy()
             step = max(1, _SCORES // len(codes))
             for who in (own[i : i + step] for i in range(0, len(own), step)):
-                score = (coded[who] @ codes.T).astype(np.float64) * (most[who] * scale / 127**2)
+                score = (coded[who] @ codes.T) * (most[who] * scale / _WHOLE**2) * stretch
                 day = days[who][:, None]
                 score[(day != _ANY_DAY) & ((day < starts) | (day > ends))] = -np.inf
                 row, place = np.nonzero((score >= bars[who][:, None]) & (score > -np.inf))
@@ -339,7 +354,7 @@ class VectorIndex:
         while True:
             names = files.names()
             old = None if recreate else cls.open(spark, path, params)
-            if old and old.meta.digest == digest:
+            if old and old.meta.digest == digest and "fine" in old.blocks.columns:
                 return old
             new = cls._write(chunks, path, digest, old, params)
             if files.create(f"{int(names[-1]) + 1 if names else 0:08d}", json.dumps(asdict(new.meta))):
@@ -508,8 +523,8 @@ class VectorIndex:
         directed = pa.table({"query_id": kept["query_id"], "q_embedding": pa.array(list(asked.vectors), pa.list_(pa.float64()))})
         directions = F.broadcast(self.spark.createDataFrame(directed, "query_id string, q_embedding array<double>"))
         # Packs of many cells and classes meet in a task, so that their heads are compared before they leave it.
-        tasks = max(self.spark.sparkContext.defaultParallelism, -(-self.meta.points * self.meta.dims // p.task_bytes))
-        packs = self.blocks.where(inside).select("cell", "class", "starts", "ends", "keys", "codes").coalesce(tasks)
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-2 * self.meta.points * self.meta.dims // p.task_bytes))
+        packs = self.blocks.where(inside).select("cell", "class", "starts", "ends", "keys", "codes", "fine", "stretch").coalesce(tasks)
         heads = packs.mapInArrow(lambda it: _heads(it, asked, scale), "asked int, cell int, nth int, row_key long, guess double")
         heads = heads.join(by_number, "asked")
         heads = top(heads, F.col("most"), F.desc("guess"), F.col("row_key")).drop("rank").dropDuplicates(["query_id", "row_key"])
@@ -528,5 +543,5 @@ class VectorIndex:
         return self.found(asked, clearance).drop("cell", "nth")
 
     def bytes_read(self) -> dict[str, int]:
-        """Bytes of codes and of vectors in the index: what a search of all cells reads of each."""
-        return {"codes": self.meta.points * self.meta.dims, "vectors": 8 * self.meta.points * self.meta.dims}
+        """Bytes of codes, of their second bytes and of vectors in the index: what a search of all cells reads of each."""
+        return {"codes": self.meta.points * self.meta.dims, "fine": self.meta.points * self.meta.dims, "vectors": 8 * self.meta.points * self.meta.dims}

@@ -2,11 +2,14 @@ import datetime
 import pickle
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from lexvane import queries as B
 from lexvane.functions.schemas import CLEARANCE
 from lexvane.operators import retrieval as R
 from lexvane.operators.vector_index import IndexMeta, IndexParams, VectorIndex, _Files, corpus_digest, quantised
@@ -211,3 +214,21 @@ def test_a_task_gives_each_request_its_best_alone(spark, corpus, index, monkeypa
     assert parts.num_rows <= found.most.sum()
     keys = [("asked", "ascending"), ("guess", "descending"), ("row_key", "ascending")]
     assert parts.sort_by(keys).equals(whole.sort_by(keys)) and len(found.groups()) > 2
+
+
+def test_large_groups_of_near_copies_equal_the_sql(spark, tmp_path):
+    """More near copies than are scored again, closer than one byte tells, and vectors with a component far beyond the others."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(2500, 64)) * 0.125
+    v[:1800] = v[0] + rng.normal(size=(1800, 64)) * 0.002
+    v[1800:2100] = v[1800] * 0.2 + rng.normal(size=(300, 64)) * 0.004
+    v[1800:2100, 3] += 1 + rng.normal(size=300) * 0.1
+    v = v[rng.permutation(len(v))].astype(np.float32)
+    table = pa.table({"vec_id": pa.array(range(len(v)), pa.int64()), "embedding": pa.array(list(v), pa.list_(pa.float32())), "label": pa.array([0] * len(v), pa.int32())})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = con.execute(f"SELECT query_id, rank, vec_id, score FROM ({B.ORACLES['filtered_vector_search']}) ORDER BY 1, 2").fetchall()
+    got = B.QUERIES["filtered_vector_search"](spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").orderBy("query_id", "rank").collect()
+    assert len(want) == 250 and [tuple(r)[:3] for r in got] == [r[:3] for r in want]
+    assert all(abs(a.score - b[3]) < 2e-9 for a, b in zip(got, want, strict=True))
