@@ -18,7 +18,7 @@ A search matches the requests with the zones first, on the driver: both are few.
 read, and its nearest remaining cells are probed: as many as its role needs by the measured recall, and more where these hold fewer
 readable chunks than ``enough`` times what is asked. Codes and requests meet in blocks as whole numbers of two bytes: their products are
 exact in 64-bit floats. The best ``oversample`` times k of each request are scored again with the stored vectors; of more chunks whose
-codes are the same, those of the lowest keys.
+codes are the same, those of the lowest ids.
 
 Equal rows count once. A request whose vector is zero finds nothing. An index of no chunks answers with no rows.
 """
@@ -162,7 +162,7 @@ def _pack(rows: pa.Table, scale: float) -> pa.Table:
     rows = rows.combine_chunks()
     vectors = rows["embedding"].combine_chunks()
     codes, fine, stretch = both_bytes(vectors.flatten().to_numpy().reshape(len(rows), -1), scale)
-    lists = [pa.array([rows[c].to_numpy()], pa.list_(kind)) for c, kind in (("row_key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()))]
+    lists = [pa.array([rows[c].to_numpy()], pa.list_(kind)) for c, kind in (("place", pa.int64()), ("start", pa.int32()), ("end", pa.int32()))]
     coded = [pa.array([codes.tobytes()]), pa.array([fine.tobytes()]), pa.array([stretch], pa.list_(pa.float32()))]
     return pa.table([rows["cell"][:1].cast(pa.int32()), rows["class"][:1], *lists, *coded], ["cell", "class", "keys", "starts", "ends", "codes", "fine", "stretch"])
 
@@ -276,7 +276,7 @@ def _best_heads(parts: list[tuple[np.ndarray, ...]], most: np.ndarray) -> tuple[
 
 def _heads(batches: Iterator[pa.RecordBatch], asked: _Asked, scale: float) -> Iterator[pa.RecordBatch]:
     """The best of a task's packs for each request that reads them, by codes. Where there are several groups the packs are held."""
-    names, groups = ["asked", "cell", "nth", "row_key", "guess"], asked.groups()
+    names, groups = ["asked", "cell", "nth", "place", "guess"], asked.groups()
     packs = list(batches) if len(groups) > 1 else batches
     for low, high in groups:
         parts, held, bars = [], 0, np.full(high - low, -np.inf)
@@ -354,7 +354,7 @@ class VectorIndex:
         while True:
             names = files.names()
             old = None if recreate else cls.open(spark, path, params)
-            if old and old.meta.digest == digest and "fine" in old.blocks.columns:
+            if old and old.meta.digest == digest and "place" in old.rows.columns:
                 return old
             new = cls._write(chunks, path, digest, old, params)
             if files.create(f"{int(names[-1]) + 1 if names else 0:08d}", json.dumps(asdict(new.meta))):
@@ -364,7 +364,7 @@ class VectorIndex:
     @property
     def chunks(self) -> DataFrame:
         """The indexed chunks with their embeddings."""
-        return self.rows.drop("text_key", "row_key", "class", "cell")
+        return self.rows.drop("text_key", "row_key", "class", "cell", "place")
 
     def count(self) -> int:
         """Indexed points, as counted when the version was written."""
@@ -399,6 +399,8 @@ class VectorIndex:
         dims = embedded.select(F.size("embedding")).first()
         dims, scale = dims[0] if dims else 0, float(big or 1.0)
 
+        # Numbers that rise with the chunk ids: of chunks with the same codes the lower ids go first, as in the exact search.
+        embedded = embedded.orderBy("chunk_id", "row_key").withColumn("place", F.monotonically_increasing_id())
         if len(centres):
             placed = embedded.withColumn("cell", cls._udf(centres, _first_cell, "int")(F.col("embedding")))
         else:
@@ -415,7 +417,7 @@ class VectorIndex:
         parts = F.ceil(F.col("n") / p.block).cast("int")
         packs = ranged.join(zones.select("cell", "class", parts.alias("parts")), ["cell", "class"]).withColumn("part", F.pmod(F.xxhash64("row_key"), F.col("parts")))
         # All classes of a cell are packed in one task, so that its folder gets a file for 1,024 rows of each, not a file for each task.
-        grouped = packs.select("cell", "class", "part", "row_key", "start", "end", "embedding").repartition("cell", "part").groupBy("cell", "class", "part")
+        grouped = packs.select("cell", "class", "part", "place", "start", "end", "embedding").repartition("cell", "part").groupBy("cell", "class", "part")
         packed = grouped.applyInArrow(lambda t: _pack(t, scale), _BLOCKS)
         packed.write.partitionBy("cell").parquet(f"{at}/blocks")
         kinds = chunk_kinds(rows)
@@ -525,12 +527,12 @@ class VectorIndex:
         # Packs of many cells and classes meet in a task, so that their heads are compared before they leave it.
         tasks = max(self.spark.sparkContext.defaultParallelism, -(-2 * self.meta.points * self.meta.dims // p.task_bytes))
         packs = self.blocks.where(inside).select("cell", "class", "starts", "ends", "keys", "codes", "fine", "stretch").coalesce(tasks)
-        heads = packs.mapInArrow(lambda it: _heads(it, asked, scale), "asked int, cell int, nth int, row_key long, guess double")
+        heads = packs.mapInArrow(lambda it: _heads(it, asked, scale), "asked int, cell int, nth int, place long, guess double")
         heads = heads.join(by_number, "asked")
-        heads = top(heads, F.col("most"), F.desc("guess"), F.col("row_key")).drop("rank").dropDuplicates(["query_id", "row_key"])
+        heads = top(heads, F.col("most"), F.desc("guess"), F.col("place")).drop("rank")
         rows = _with_fields(self.rows.where(inside))
-        exact = rows.join(heads.select("query_id", "cell", "nth", "row_key"), ["cell", "row_key"])
-        # What codes found was chosen among what may be read; a digest of the row is no proof, so access is asked again of the row.
+        exact = rows.join(heads.select("query_id", "cell", "nth", "place"), ["cell", "place"])
+        # What codes found was chosen among what may be read; a number is no proof, so access is asked again of the row.
         limits = as_requests(requests.select("query_id", "role", "source_types", "jurisdiction", "as_of_date", "top_k"))
         exact = exact.join(limits, "query_id").where(may_see(clearance)).join(directions, "query_id")
         # The vectors of requests meet the rows last and go no further: no head carries one through a shuffle.
